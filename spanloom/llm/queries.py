@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, exact_dedup, language, mixing, quality_rules
+from . import bpe, brown, classifier, exact_dedup, language, line_dedup, minhash, mixing, quality_rules, repeats
 from .common import crc_mod, documents
 
 
@@ -21,6 +21,10 @@ def tokenizers():
     return public_tokenizers
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(documents(spark, sf_dir), crc_mod("doc_id", 7) == 2)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 4) == 2)
 
@@ -29,6 +33,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(documents(spark, sf_dir), crc_mod("doc_id", 3) == 1)
 
@@ -37,6 +49,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     public = tokenizers()
     return bpe.bpe_codec(documents(spark, sf_dir), bpe.read_ranks(public.path("byte_bpe_multi_50k.tiktoken")), public.PATTERN)
@@ -46,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_quality_rules, op6_language_id, op7_mixing, op9_bpe_codec, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_quality_classifier, op3_quality_rules, op4_bwt_dedup, op5_line_dedup, op6_language_id, op7_mixing, op8_minhash_dedup, op9_bpe_codec, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": r"""
