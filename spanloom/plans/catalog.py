@@ -1,8 +1,943 @@
-"""Every registered query of the trace operators, and its SQL twin."""
+"""Every registered query of the trace operators, and the SQL that gives the same rows where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions.fingerprints import rules_fingerprint, tool_schema_hash
+from ..functions.jsonview import json_leaves
+from ..operators import checks, graph, reconstruct, reports, scoring
+from ..sources import traces
+from .views import sql, table, view, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+KEY = ["graph_id", "run_id"]
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = with_views(oracle)
+        return f
+
+    return add
+
+
+def _n(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum doesn't show."""
+    return df.select(*(_r(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+
+
+def _r(c: str, digits: int) -> Column:
+    """The same rounding as ``views.half_up``."""
+    return F.floor(F.col(c) * 10.0**digits + 0.501) / 10.0**digits
+
+
+REACH = "reach as (select graph_id, from_run_id as src, to_run_id as dst from v_edges union select r.graph_id, r.src, e.to_run_id from reach r join v_edges e on e.graph_id = r.graph_id and e.from_run_id = r.dst)"
+SCC = REACH + """, own as (select a.graph_id, a.src as run_id, min(a.dst) as scc from reach a join reach b on b.graph_id = a.graph_id and b.src = a.dst and b.dst = a.src group by 1, 2),
+    member as (select r.*, coalesce(o.scc, r.run_id) as scc from v_runs r left join own o on o.graph_id = r.graph_id and o.run_id = r.run_id),
+    sccs as (select graph_id, scc, max(run_id) as exit_run, arg_max(coalesce(score, -1), run_id) as raw, min(score) as min_score, count(*) as n, max(end_time) as end_time from member group by 1, 2),
+    node as (select graph_id, scc, exit_run, case when raw >= 0 then raw end as score, min_score, n, end_time from sccs),
+    links as (select distinct e.graph_id, a.scc as src, b.scc as dst from v_edges e join member a on a.graph_id = e.graph_id and a.run_id = e.from_run_id join member b on b.graph_id = e.graph_id and b.run_id = e.to_run_id where a.scc <> b.scc)"""
+ORIGINS = SCC + """, pred as (select l.graph_id, l.dst as scc, max(s.score) as best, min(s.score) as worst,
+      bool_and(not exists (select 1 from links p where p.graph_id = l.graph_id and p.dst = l.src) and f.unscored_reason is not distinct from 'payload_missing') as only_bare
+      from links l join node s on s.graph_id = l.graph_id and s.scc = l.src join v_runs f on f.graph_id = l.graph_id and f.run_id = s.exit_run group by 1, 2),
+    succ as (select l.graph_id, l.src as scc, bool_and(coalesce(s.score >= 0.5, false)) as cured from links l join node s on s.graph_id = l.graph_id and s.scc = l.dst group by 1, 2),
+    base as (select n.*, f.input_flawed, f.verifier, p.best, p.worst, coalesce(p.only_bare, true) as source_like, coalesce(u.cured, false) as recovered,
+      case when p.best is not null then p.best when coalesce(p.only_bare, true) then 1.0 end as base from node n join v_runs f on f.graph_id = n.graph_id and f.run_id = n.exit_run
+      left join pred p on p.graph_id = n.graph_id and p.scc = n.scc left join succ u on u.graph_id = n.graph_id and u.scc = n.scc where n.score is not null),
+    origin as (select *, greatest(0.0, base - score) as fall, case when coalesce(worst >= 0.5, false) and base - score >= 0.25 then 'drop' when best is null and score < 0.5 and not recovered then 'propagating' when best is null and score < 0.5 then 'recovered' end as kind
+      from base where not (input_flawed and not (coalesce(worst >= 0.5, false) and not verifier)))"""
+
+
+class Orders:
+    """The order graphs with what the graph operators share; each part is made once a session use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.runs = view(spark, sf_dir, "v_runs")
+        self.edges = view(spark, sf_dir, "v_edges")
+
+    def paths(self) -> DataFrame:
+        return graph.reach(self.edges)
+
+    def sccs(self) -> DataFrame:
+        self.facts = self.runs.select(*KEY, "input_flawed", "verifier", "unscored_reason")
+        out = reconstruct.cut(graph.condense(self.runs, self.edges, self.paths()))
+        self.links = reconstruct.cut(graph.scc_edges(out, self.edges))
+        return out
+
+    def up(self) -> DataFrame:
+        return graph.closure(self.links, ["graph_id"])
+
+
+# ---- flagship -----------------------------------------------------------------------------------------------------------------
+
+CONV_SCORES = """scored as (select graph_id, run_id, agent_name, judge, list_count(t) as n, t, output from (select *, regexp_extract_all(lower(trim(output)), '\\S+') as t from v_conv) x),
+    blend as (select graph_id, run_id, agent_name, (0.4 * judge + case when h is not null then 0.15 * h else 0 end) / (0.4 + case when h is not null then 0.15 else 0 end) as score from
+      (select *, case when trim(output) = '' then 0.0 when n >= 4 and 1.0 - len(list_distinct(t)) * 1.0 / n > 0.5 then greatest(0.0, 1 - least(0.6, (1.0 - len(list_distinct(t)) * 1.0 / n - 0.5) * 2)) end as h from scored) y)""".replace("list_count(t)", "len(t)")
+FLAGSHIP = f"""with {CONV_SCORES}, o as (select *, lag(score) over (partition by graph_id order by run_id) as base, lead(score) over (partition by graph_id order by run_id) as after from blend),
+    cand as (select *, case when base is null then 1.0 else base end as b from o where (base >= 0.5 and base - score >= 0.25) or (base is null and score < 0.5 and coalesce(after < 0.5, true))),
+    best as (select * from (select *, row_number() over (partition by graph_id order by run_id) as k from cand) z where k = 1)
+    select b.agent_name, count(*) as runs, count(c.run_id) as origins, round(avg(b.score), 6) as avg_score,
+      round(avg(case when c.run_id is not null then 0.5 * least(1.0, greatest(0.0, c.b - c.score) / 0.5) + 0.3 * greatest(0.0, (0.5 - c.score) / 0.5) + 0.2 * greatest(0.0, (c.b - 0.5) / 0.5) end), 6) as avg_confidence
+    from blend b left join best c on c.graph_id = b.graph_id and c.run_id = b.run_id group by 1"""
+
+
+@query(FLAGSHIP)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which turn broke each conversation, and which role breaks them most: scores, origins, shadowing, confidence."""
+    conv = view(spark, sf_dir, "v_conv").withColumns({"status": F.lit("ok"), "tokens_out": F.lit(None).cast("bigint")})
+    parts = scoring.heuristics(conv).join(conv.select(*KEY, "judge"), KEY).withColumn("schema", F.lit(None).cast("double"))
+    runs = reconstruct.cut(conv.select(*KEY, "agent_name", "end_time").join(scoring.composite(parts).select(*KEY, "score"), KEY))
+    edges = runs.select("graph_id", F.col("run_id").alias("from_run_id"), (F.col("run_id") + 1).alias("to_run_id"))
+    edges = reconstruct.known_edges(runs, edges)
+    sccs = runs.select("graph_id", F.col("run_id").alias("scc"), F.col("run_id").alias("exit_run"), "score", "end_time", F.lit(1).alias("n"))
+    links = edges.select("graph_id", F.col("from_run_id").alias("src"), F.col("to_run_id").alias("dst"))
+    facts = runs.select(*KEY, F.lit(False).alias("input_flawed"), F.lit(False).alias("verifier"), F.lit(None).cast("string").alias("unscored_reason"))
+    origins = reconstruct.cut(graph.edge_drop_origins(sccs, links, facts).where("kind in ('drop', 'propagating')"))
+    found = graph.shadow(origins, graph.closure(links, ["graph_id"]))
+    found = found.select("graph_id", "run_id", graph.attribution(F.col("score"), F.col("base"), F.col("drop"), F.col("iterations")).alias("confidence"))
+    out = runs.join(found, KEY, "left").groupBy("agent_name").agg(F.count(F.lit(1)).alias("runs"), F.count("confidence").alias("origins"), F.avg("score").alias("avg_score"), F.avg("confidence").alias("avg_confidence"))
+    return _n(out)
+
+
+# ---- reports on order graphs ------------------------------------------------------------------------------------------------------
+
+BOARD = "round(sum(cost_usd), 2) as total_cost, count(*) as runs, count(cost_usd) as priced_runs, round(avg(case when status = 'failed' then 1.0 else 0.0 end), 6) as failure_rate, round(avg(score), 6) as avg_score"
+
+
+def _board(df: DataFrame) -> DataFrame:
+    return df.withColumns({"total_cost": _r("total_cost", 2), "failure_rate": _r("failure_rate", 6), "avg_score": _r("avg_score", 6)})
+
+
+@query(f"select agent_name, {BOARD} from v_runs group by 1")
+def r08_leaderboard(spark, sf_dir):
+    return _board(reports.leaderboard(view(spark, sf_dir, "v_runs")))
+
+
+@query(f"select agent_name, agent_version, model_name, prompt_hash, {BOARD} from v_runs group by 1, 2, 3, 4")
+def r09_leaderboard_by_version(spark, sf_dir):
+    return _board(reports.leaderboard_by_version(view(spark, sf_dir, "v_runs")))
+
+
+@query("""select r.agent_name, r.agent_version, r.runs, r.graphs, r.avg_score, coalesce(v.judged, 0) as judged, round(v.f / v.judged, 6) as flag_rate, round(v.b / v.judged, 6) as bad_rate, coalesce(i.incidents, 0) as incidents from
+    (select agent_name, agent_version, count(*) as runs, count(distinct graph_id) as graphs, round(avg(score), 6) as avg_score from v_runs group by 1, 2) r
+    left join (select agent_name, agent_version, count(*) as judged, sum(case when flagged then 1.0 else 0 end) as f, sum(case when verdict = 'bad' then 1.0 else 0 end) as b from (select distinct agent_name, agent_version, graph_id from v_runs) a join v_verdicts w on w.graph_id = a.graph_id group by 1, 2) v
+      on v.agent_name = r.agent_name and v.agent_version = r.agent_version
+    left join (select agent_name, agent_version, count(distinct incident_id) as incidents from (select distinct agent_name, agent_version, graph_id from v_runs) a join v_incidents w on w.graph_id = a.graph_id group by 1, 2) i
+      on i.agent_name = r.agent_name and i.agent_version = r.agent_version""")
+def r10_version_compare(spark, sf_dir):
+    return _n(reports.version_compare(view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_verdicts"), view(spark, sf_dir, "v_incidents")))
+
+
+@query("select graph_id, min(started_at) as started_at, max(ended_at) as ended_at, count(*) as run_count, round(sum(cost_usd), 2) as total_cost_usd from v_runs group by 1")
+def g16_graph_rollup(spark, sf_dir):
+    return reconstruct.graph_rollup(view(spark, sf_dir, "v_runs")).withColumn("total_cost_usd", _r("total_cost_usd", 2))
+
+
+@query("select g.graph_id, g.graph_type, g.status, coalesce(p.k, 0) as priced_runs from v_graphs g left join (select graph_id, count(cost_usd) as k from v_runs group by 1) p on p.graph_id = g.graph_id")
+def r02_graph_list(spark, sf_dir):
+    return reports.graph_list(view(spark, sf_dir, "v_graphs"), view(spark, sf_dir, "v_runs")).select("graph_id", "graph_type", "status", "priced_runs")
+
+
+@query("select i.incident_id, i.status, r.report_type, r.confidence from v_incidents i left join (select * from v_reports where is_latest) r on r.incident_id = i.incident_id order by i.created_at desc, i.incident_id limit 50 offset 10")
+def r01_incident_inbox(spark, sf_dir):
+    got = view(spark, sf_dir, "v_reports").withColumn("culprit_run_ids", F.array(F.lit(1)))
+    return reports.incident_inbox(view(spark, sf_dir, "v_incidents"), got, 50, 10).select("incident_id", "status", "report_type", "confidence")
+
+
+@query("""select g.graph_id from v_graphs g join v_runs r on r.graph_id = g.graph_id where g.status = 'active' and not exists (select 1 from v_edges e where e.graph_id = r.graph_id and e.to_run_id = r.run_id)
+    group by 1 having bool_and(r.ended_at is not null)""")
+def r03_ended_roots(spark, sf_dir):
+    return reports.ended_roots(view(spark, sf_dir, "v_graphs"), view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_edges"))
+
+
+@query("select g.graph_id, max(greatest(r.started_at, r.ended_at)) as last_activity from v_graphs g left join v_runs r on r.graph_id = g.graph_id group by 1")
+def r04_graph_activity(spark, sf_dir):
+    return reports.graph_activity(view(spark, sf_dir, "v_graphs"), view(spark, sf_dir, "v_runs"))
+
+
+@query("""with g as (select a.graph_id, a.graph_type, a.finalized_at, i.graph_id is null as clean from v_graphs a left join (select distinct graph_id from v_incidents) i on i.graph_id = a.graph_id where a.finalized_at is not null)
+    select graph_id, last_value(case when clean then graph_id end ignore nulls) over (partition by graph_type order by finalized_at, graph_id rows between unbounded preceding and 1 preceding) as baseline_graph_id from g""")
+def r05_last_clean(spark, sf_dir):
+    return reports.last_clean(view(spark, sf_dir, "v_graphs"), view(spark, sf_dir, "v_incidents"))
+
+
+CULPRITS = "(select incident_id, graph_id, unnest([1, 2]) as run_id from v_reports where is_latest)"
+
+
+@query(f"select r.agent_name, count(distinct i.incident_id) as n from v_incidents i join {CULPRITS} c on c.incident_id = i.incident_id join v_runs r on r.graph_id = c.graph_id and r.run_id = c.run_id where i.status = 'open' group by 1")
+def r06_open_incidents_by_agent(spark, sf_dir):
+    got = view(spark, sf_dir, "v_reports").withColumn("culprit_run_ids", F.array(F.lit(1), F.lit(2)).cast("array<bigint>"))
+    return reports.open_incidents_by_agent(view(spark, sf_dir, "v_incidents"), got, view(spark, sf_dir, "v_runs"))
+
+
+@query("select graph_id, verdict, score from v_verdicts v where exists (select 1 from v_runs r where r.graph_id = v.graph_id and r.agent_name = '7' and r.agent_version = 'R')")
+def r07_verdicts_of_version(spark, sf_dir):
+    return reports.verdicts_of_version(view(spark, sf_dir, "v_verdicts"), view(spark, sf_dir, "v_runs"), "7", "R").select("graph_id", "verdict", "score")
+
+
+@query("""select prompt_hash, model, count(*) as labels, sum(case when label = verdict then 1 else 0 end) as agreements,
+    round(sum(case when label = 'bad' and verdict = 'bad' then 1.0 else 0 end) / nullif(sum(case when verdict = 'bad' then 1 else 0 end), 0), 6) as precision_bad,
+    round(sum(case when label = 'bad' and verdict = 'bad' then 1.0 else 0 end) / nullif(sum(case when label = 'bad' then 1 else 0 end), 0), 6) as recall_bad from v_judgements group by 1, 2""")
+def r14_calibration(spark, sf_dir):
+    j = view(spark, sf_dir, "v_judgements")
+    out = reports.calibration(j.select("graph_id", "label"), j.select("graph_id", "verdict", "prompt_hash", "model"))
+    return _n(out.withColumn("agreements", F.col("agreements").cast("decimal(38,0)")))
+
+
+LATEST = "select graph_id, agent_name, agent_version, model_name, prompt_hash from (select *, row_number() over (partition by graph_id, agent_name order by started_at desc, run_id desc) as k from v_runs) x where k = 1"
+
+
+@query(f"""with latest as ({LATEST}), pairs as (select graph_id, graph_id - 1 as b from v_graphs) select p.graph_id, n.agent_name,
+    concat_ws(',', case when n.agent_version is distinct from o.agent_version then 'agent_version' end, case when n.model_name is distinct from o.model_name then 'model_name' end, case when n.prompt_hash is distinct from o.prompt_hash then 'prompt_hash' end) as changed
+    from pairs p join latest n on n.graph_id = p.graph_id join latest o on o.graph_id = p.b and o.agent_name = n.agent_name
+    where n.agent_version is distinct from o.agent_version or n.model_name is distinct from o.model_name or n.prompt_hash is distinct from o.prompt_hash""")
+def r15_version_diff(spark, sf_dir):
+    pairs = view(spark, sf_dir, "v_graphs").select("graph_id", (F.col("graph_id") - 1).alias("baseline_graph_id"))
+    return reports.version_diff(view(spark, sf_dir, "v_runs"), pairs)
+
+
+BASE = """select r.agent_name, g.graph_type, metric, count(x) as n, round(avg(x), 4) as mean, round(stddev_samp(x), 4) as std from
+    (select graph_id, agent_name, 'tokens_out' as metric, cast(tokens_out as double) as x from v_runs union all select graph_id, agent_name, 'cost_usd', cost_usd from v_runs) r join v_graphs g on g.graph_id = r.graph_id where x is not null group by 1, 2, 3"""
+
+
+def _typed_runs(spark, sf_dir):
+    return view(spark, sf_dir, "v_runs").join(view(spark, sf_dir, "v_graphs").select("graph_id", "graph_type"), "graph_id")
+
+
+@query(BASE)
+def r16_baselines(spark, sf_dir):
+    return _n(reports.baselines(_typed_runs(spark, sf_dir)).drop("m2"), 4)
+
+
+@query(BASE)
+def r16_merged_baselines(spark, sf_dir):
+    r = _typed_runs(spark, sf_dir)
+    return _n(reports.merge_baselines(reports.baselines(r.where("graph_id % 2 = 0")), reports.baselines(r.where("graph_id % 2 = 1"))).drop("m2"), 4)
+
+
+@query("""with new as (select graph_id, 'degraded_quality' as k, trigger, started_at from (select *, graph_type as trigger from v_graphs) g where graph_id % 4 = 0 union all select graph_id, 'cost_overrun', graph_type, started_at from v_graphs where graph_id % 5 = 0),
+    j as (select coalesce(i.graph_id, n.graph_id) as graph_id, coalesce(i.incident_key, n.k) as incident_key, i.status as s, i.graph_id is not null as old, n.graph_id is not null as fresh, coalesce(i.trigger, n.trigger) as trigger from v_incidents i full join new n on n.graph_id = i.graph_id and n.k = i.incident_key)
+    select j.graph_id, j.incident_key, j.trigger, case when not old then 'open' when fresh and s in ('resolved', 'superseded') then 'open' when fresh then s when t.graph_id is not null and s in ('open', 'acknowledged') then 'superseded' else s end as status,
+      not old or (fresh and s in ('resolved', 'superseded')) as is_new from j left join (select distinct graph_id from new) t on t.graph_id = j.graph_id""")
+def r17_upsert_incidents(spark, sf_dir):
+    new = sql(spark, sf_dir, "select graph_id, 'degraded_quality' as incident_key, graph_type as trigger, started_at as at from v_graphs where graph_id % 4 = 0 union all select graph_id, 'cost_overrun', graph_type, started_at from v_graphs where graph_id % 5 = 0")
+    return reports.upsert_incidents(view(spark, sf_dir, "v_incidents").drop("incident_id"), new).select("graph_id", "incident_key", "trigger", "status", "is_new")
+
+
+@query("""with b as (select incident_id, report_id, version from v_reports union all select graph_id, 900000000 + graph_id, coalesce(m.v, 0) + 1 from v_graphs g left join (select incident_id, max(version) as v from v_reports group by 1) m on m.incident_id = g.graph_id where graph_id % 2 = 0)
+    select incident_id, report_id, version, version = max(version) over (partition by incident_id) as is_latest from b""")
+def r18_version_reports(spark, sf_dir):
+    new = view(spark, sf_dir, "v_graphs").where("graph_id % 2 = 0").select(F.col("graph_id").alias("incident_id"), (F.col("graph_id") + 900000000).alias("report_id"), F.col("started_at").alias("at"))
+    return reports.version_reports(view(spark, sf_dir, "v_reports").select("incident_id", "report_id", "version", "is_latest").withColumn("at", F.lit(None).cast("timestamp_ntz")), new).select("incident_id", "report_id", "version", "is_latest")
+
+
+@query("select report_id, true as found, true as valid, cast(null as string) as detail from v_reports where incident_id % 12 = 0")
+def r19_r20_ledger(spark, sf_dir):
+    """A ledger over reports, then verified: every row holds."""
+    r = view(spark, sf_dir, "v_reports").where("incident_id % 12 = 0").select("report_id", "evidence")
+    ledger = reconstruct.cut(reports.append_ledger("", 1, r, "key"))
+    return reports.verify_ledger(ledger, r, "key")
+
+
+@query("""with t as (select *, row_number() over (partition by graph_id order by status <> 'superseded' desc, updated_at desc, incident_id desc) as k from v_incidents)
+    select g.graph_id, case when t.incident_id is not null then coalesce(r.report_type, 'incident') when g.status = 'active' then 'unanalysed' else 'passed' end as badge from v_graphs g left join (select * from t where k = 1) t on t.graph_id = g.graph_id left join (select * from v_reports where is_latest) r on r.incident_id = t.incident_id""")
+def r21_live_verdict(spark, sf_dir):
+    return reports.live_verdict(view(spark, sf_dir, "v_graphs"), view(spark, sf_dir, "v_incidents"), view(spark, sf_dir, "v_reports"))
+
+
+@query("select agent_version, round(sum(cost_usd), 2) as total, count(cost_usd) as priced, count(*) as total_runs from v_runs group by 1")
+def r22_sum_with_coverage(spark, sf_dir):
+    return reports.sum_with_coverage(view(spark, sf_dir, "v_runs"), "cost_usd", ["agent_version"]).withColumn("total", _r("total", 2))
+
+
+@query("select incident_id, status from (select *, row_number() over (partition by incident_id order by t desc, status desc) as k from (select incident_id, created_at as t, status from v_incidents union all select incident_id, created_at + interval 1 day, 'acknowledged' from v_incidents where incident_id % 2 = 0) x) y where k = 1")
+def r23_latest_status(spark, sf_dir):
+    i = view(spark, sf_dir, "v_incidents").select("incident_id", F.col("created_at").alias("at"), "status")
+    later = i.where("incident_id % 2 = 0").select("incident_id", (F.col("at") + F.expr("interval 1 day")).alias("at"), F.lit("acknowledged").alias("status"))
+    return reports.latest_status(i.unionByName(later))
+
+
+@query("select graph_id, run_id, cost_usd from v_runs order by cost_usd desc nulls last, graph_id, run_id limit 100 offset 50")
+def r24_page(spark, sf_dir):
+    return reports.page(view(spark, sf_dir, "v_runs").select(*KEY, "cost_usd"), [F.col("cost_usd").desc_nulls_last(), F.col("graph_id"), F.col("run_id")], 100, 50)
+
+
+@query("""select graph_id, count(*) as calls, count(c) as priced, sum(case when c is null then 1 else 0 end) as unpriced, sum(tokens_out + 2 * run_id) as tokens, round(sum(c), 4) as cost, string_agg(distinct model_name, ',' order by model_name) as models from
+    (select *, coalesce(case when run_id % 3 = 0 then cost_usd end, case when model_name = 'F' then tokens_out * 0.5 + 2 * run_id * 0.25 end) as c from v_runs) x group by 1""")
+def r25_judge_spend(spark, sf_dir):
+    calls = view(spark, sf_dir, "v_runs").select("graph_id", F.col("model_name").alias("model"), F.col("tokens_out").alias("prompt_tokens"), (2 * F.col("run_id")).alias("completion_tokens"), F.when(F.col("run_id") % 3 == 0, F.col("cost_usd")).alias("reported_cost"))
+    prices = spark.sql("select 'F' as model, 0.5d as prompt_price, 0.25d as completion_price")
+    return _n(reports.judge_spend(calls, prices).withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("unpriced", "tokens")}), 4)
+
+
+@query("select graph_id, case when status = 'failed' then 'failed' when score is null then 'unscored' when score < 0.5 then 'degraded' else 'healthy' end as state, count(*) as n, bool_or(score is not null) as measured from v_runs group by 1, 2")
+def r26_node_states(spark, sf_dir):
+    return reports.node_states(view(spark, sf_dir, "v_runs"))
+
+
+@query("select upper(coalesce(event_type, 'no-kind')) as kind, count(*) as n from events group by 1")
+def r27_span_census(spark, sf_dir):
+    return reports.span_census(table(spark, sf_dir, "events"), "event_type")
+
+
+def _quality(spark, sf_dir):
+    return reports.trace_quality(view(spark, sf_dir, "v_runs").withColumn("output", F.when(F.col("run_id") % 4 != 0, F.lit("x"))), view(spark, sf_dir, "v_edges"))
+
+
+QUALITY = """with g as (select graph_id, count(*) as total, sum(case when coalesce(agent_name, '') <> '' then 1 else 0 end) as names, sum(case when run_id % 4 <> 0 then 1 else 0 end) as payloads, count(status) as statuses, count(cost_usd) as costs, count(tokens_out) as tokens, count(model_name) as models, count(score) as scores from v_runs group by 1),
+    q as (select graph_id, 'names' as "check", names as n, total, 'gap' as worst from g union all select graph_id, 'payloads', payloads, total, 'gap' from g union all select graph_id, 'statuses', statuses, total, 'warn' from g union all select graph_id, 'costs', costs, total, 'warn' from g
+      union all select graph_id, 'tokens', tokens, total, 'warn' from g union all select graph_id, 'models', models, total, 'warn' from g union all select graph_id, 'scores', scores, total, 'warn' from g),
+    quality as (select graph_id, "check", case when n = total then 'ok' when n > 0 then 'warn' else worst end as level, cast(n as bigint) as n, total from q
+      union all select g.graph_id, 'edges', case when coalesce(e.k, 0) > 0 or total = 1 then 'ok' else 'gap' end, coalesce(e.k, 0), total from g left join (select graph_id, count(*) as k from v_edges group by 1) e on e.graph_id = g.graph_id)"""
+
+
+@query(QUALITY + ' select graph_id, "check", level, n, total from quality')
+def r28_trace_quality(spark, sf_dir):
+    return _quality(spark, sf_dir)
+
+
+@query(QUALITY + """, c as (select graph_id, bool_or("check" = 'edges' and level = 'gap') as no_edges, bool_or("check" = 'names' and level = 'gap') as no_names, bool_or("check" = 'scores' and level = 'ok') as all_scores, bool_or("check" = 'costs' and level = 'ok') as all_costs, bool_or("check" = 'costs' and n = 0) as no_costs, bool_or("check" = 'payloads' and level = 'gap') as no_payloads from quality group by 1)
+    select graph_id, 'localisation' as claim, case when no_edges or no_names then false when all_scores then true end as holds from c union all select graph_id, 'cost', case when all_costs then true when no_costs then false end from c union all select graph_id, 'terminal', not no_payloads from c""")
+def r29_claims(spark, sf_dir):
+    return reports.claims(_quality(spark, sf_dir))
+
+
+@query("select graph_id, run_id, count(*) as rounds, round(avg(s), 6) as mean, round(stddev_pop(s), 6) as std, round(min(s), 6) as lo, round(max(s), 6) as hi, min(s) < 0.5 and max(s) >= 0.5 as flips from (select o_custkey as graph_id, cast(1 as bigint) as run_id, round(o_totalprice / 600000.0, 4) as s from orders) x group by 1, 2")
+def r30_determinism(spark, sf_dir):
+    rounds = sql(spark, sf_dir, "select o_custkey as graph_id, cast(1 as bigint) as run_id, round(o_totalprice / 600000.0, 4) as score from orders")
+    return _n(reports.determinism(rounds))
+
+
+@query("""with c as (select prompt_hash || model as cell, model = 'en' as control, avg(case when verdict = 'bad' then 1.0 else 0 end) as b, case when model <> 'en' then avg(case when label = verdict then 1.0 else 0 end) end as hit from v_judgements group by 1, 2, prompt_hash, model),
+    m as (select 'false_positive_rate' as metric, sum(b) as h, count(*) as n from c where control union all select 'discrimination', sum(b), count(*) from c where not control union all select 'attribution_accuracy', sum(hit), count(*) from c where hit is not null),
+    w as (select metric, n, h / n as p, 1.959963984540054 as z from m)
+    select metric, round(p, 6) as value, round(greatest(0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) as lo, round(least(1, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) as hi, n as cells from w""")
+def r31_scoreboard(spark, sf_dir):
+    j = view(spark, sf_dir, "v_judgements")
+    cells = j.groupBy(F.concat("prompt_hash", "model").alias("cell"), (F.col("model") == "en").alias("control")).agg(F.avg(F.when(F.col("verdict") == "bad", 1.0).otherwise(0.0)).alias("verdict_bad"), F.avg(F.when(F.col("label") == F.col("verdict"), 1.0).otherwise(0.0)).alias("h"))
+    return _n(reports.scoreboard(cells.withColumn("hit", F.when(~F.col("control"), F.col("h")))))
+
+
+@query("""with a as (select graph_id, report_type from v_reports where is_latest), b as (select graph_id, case when graph_id % 10 = 0 then 'cut_point' else report_type end as report_type from v_reports where is_latest and graph_id % 9 <> 0)
+    select *, 'added' as side from (select * from a except all select * from b) x union all select *, 'missing' from (select * from b except all select * from a) y""")
+def r32_golden_diff(spark, sf_dir):
+    now = view(spark, sf_dir, "v_reports").where("is_latest").select("graph_id", "report_type")
+    return reports.golden_diff(now, now.where("graph_id % 9 <> 0").withColumn("report_type", F.when(F.col("graph_id") % 10 == 0, "cut_point").otherwise(F.col("report_type"))))
+
+
+@query("""select graph_id, run_id, string_agg(source || ':' || code, ',' order by rnk, source, code) as reasons from
+    (select graph_id, run_id, 0 as rnk, 'status' as source, 'failed' as code from v_runs where status = 'failed' union all select graph_id, run_id, 2, 'unscored', unscored_reason from v_runs where unscored_reason is not null union all select graph_id, run_id, 1, 'flag', 'input_flawed' from v_runs where input_flawed) x group by 1, 2""")
+def r33_node_reasons(spark, sf_dir):
+    r = view(spark, sf_dir, "v_runs")
+    part = lambda cond, sev, code: r.where(cond).select(*KEY, F.lit(sev).alias("severity"), code.alias("code"))
+    return reports.node_reasons({"status": part("status = 'failed'", "fail", F.lit("failed")), "unscored": part("unscored_reason is not null", "info", F.col("unscored_reason")), "flag": part("input_flawed", "warn", F.lit("input_flawed"))})
+
+
+# ---- graph analytics ------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"with recursive {REACH} select graph_id, src, dst from reach")
+def a01_reach(spark, sf_dir):
+    return Orders(spark, sf_dir).paths()
+
+
+@query(f"with recursive {SCC} select graph_id, scc, exit_run, score, min_score, n from node")
+def a02_condense(spark, sf_dir):
+    return Orders(spark, sf_dir).sccs().select("graph_id", "scc", "exit_run", "score", "min_score", "n")
+
+
+@query()
+def a03_topological(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    return graph.topological(s, o.links)
+
+
+@query(f"with recursive {SCC} select graph_id, scc, n as rounds, 'max_iterations' as limit_kind from node where n > 1")
+def a04_loop_anomalies(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    return graph.loop_anomalies(o.sccs(), o.runs.withColumn("attempt_of", F.lit(None).cast("string")), cfg=graph.Config(max_rounds=1))
+
+
+@query()
+def a05_topology(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    return graph.topology(o.runs, o.edges, s, reconstruct.cut(graph.topological(s, o.links)))
+
+
+@query(f"with recursive {ORIGINS} select graph_id, scc, exit_run as run_id, score, round(base, 6) as base, round(fall, 6) as drop, recovered, kind from origin")
+def a06_edge_drop_origins(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    return _n(graph.edge_drop_origins(s, o.links, o.facts).select("graph_id", "scc", "run_id", "score", "base", "drop", "recovered", "kind"))
+
+
+@query(f"""with recursive {SCC}, nxt as (select graph_id, src, dst, s2 from (select l.graph_id, l.src, l.dst, b.score as s2, row_number() over (partition by l.graph_id, l.src order by b.score, b.end_time, b.exit_run) as k
+      from links l join node a on a.graph_id = l.graph_id and a.scc = l.src join node b on b.graph_id = l.graph_id and b.scc = l.dst where a.score - b.score >= 0.05) x where k = 1),
+    walk as (select graph_id, scc as head, score as first, scc as tail, score as last, 1 as steps from node where score >= 0.5 union all select w.graph_id, w.head, w.first, n.dst, n.s2, w.steps + 1 from walk w join nxt n on n.graph_id = w.graph_id and n.src = w.tail),
+    done as (select * from walk w where not exists (select 1 from nxt n where n.graph_id = w.graph_id and n.src = w.tail)),
+    good as (select * from done where steps > 2 and first - last >= 0.3), inner_ as (select distinct w.graph_id, w.tail as head from walk w join good g on g.graph_id = w.graph_id and g.head = w.head where w.steps > 1)
+    select g.graph_id, g.head, g.steps as length, g.tail, round(g.first - g.last, 6) as drop from good g where not exists (select 1 from inner_ i where i.graph_id = g.graph_id and i.head = g.head)""")
+def a07_degradation_chains(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    return _n(graph.degradation_chains(s, o.links).select("graph_id", "head", F.size("path").alias("length"), F.element_at("path", -1).alias("tail"), "drop"))
+
+
+@query()
+def a08_chain_origins(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    return graph.chain_origins(graph.degradation_chains(s, o.links), s, graph.edge_drop_origins(s, o.links, o.facts).where("kind in ('drop', 'propagating')"))
+
+
+@query(f"""with recursive {ORIGINS}, inside as (select m.graph_id, m.scc, m.run_id, m.score from member m join node n on n.graph_id = m.graph_id and n.scc = m.scc where n.n > 1 and not exists (select 1 from origin o where o.graph_id = n.graph_id and o.scc = n.scc and o.kind in ('drop', 'propagating'))),
+    p as (select e.graph_id, e.to_run_id as run_id, max(s.score) as base, min(s.score) as worst from v_edges e join v_runs s on s.graph_id = e.graph_id and s.run_id = e.from_run_id where e.from_run_id <> e.to_run_id group by 1, 2),
+    fell as (select i.*, p.base from inside i join p on p.graph_id = i.graph_id and p.run_id = i.run_id where p.worst >= 0.5 and p.base - i.score >= 0.25)
+    select graph_id, scc, score, min(run_id) as run_id, round(max(base - score), 6) as drop, count(*) as ties from fell f where score = (select min(score) from fell g where g.graph_id = f.graph_id and g.scc = f.scc) group by 1, 2, 3""")
+def a09_cycle_origins(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    whole = graph.edge_drop_origins(s, o.links, o.facts).where("kind in ('drop', 'propagating')")
+    return _n(graph.cycle_origins(s, o.runs, o.edges, whole).select("graph_id", "scc", "score", "run_id", "drop", F.size("tied").cast("bigint").alias("ties")))
+
+
+@query(f"with recursive {ORIGINS}, c as (select * from origin where kind in ('drop', 'propagating')) select a.graph_id, a.exit_run as run_id from c a where not exists (select 1 from c b join reach r on r.graph_id = b.graph_id and r.src = b.exit_run and r.dst = a.exit_run where b.graph_id = a.graph_id and b.scc <> a.scc)")
+def a11_shadow(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    found = graph.edge_drop_origins(s, o.links, o.facts).where("kind in ('drop', 'propagating')")
+    return graph.shadow(found, o.up()).select("graph_id", "run_id")
+
+
+@query(f"""with recursive {SCC}, blind as (select n.graph_id, n.scc, n.exit_run from node n join v_runs f on f.graph_id = n.graph_id and f.run_id = n.exit_run where n.score is null and f.unscored_reason is distinct from 'zero_result_set'
+      and not (f.unscored_reason is not distinct from 'payload_missing' and not exists (select 1 from links l where l.graph_id = n.graph_id and l.dst = n.scc)))
+    select distinct m.graph_id, m.scc from blind b join reach r on r.graph_id = b.graph_id and r.src = b.exit_run join member m on m.graph_id = r.graph_id and m.run_id = r.dst where m.scc <> b.scc""")
+def a13_unknown_upstream(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    return graph.unknown_upstream(s, o.facts, o.links, o.up())
+
+
+@query(f"""with recursive {ORIGINS} select graph_id, exit_run as run_id, round(case when n > 1 then 0.8 else 1 end * (0.5 * least(1, fall / 0.5) + 0.3 * greatest(0, (0.5 - score) / 0.5) + 0.2 * greatest(0, (base - 0.5) / 0.5)), 6) as attribution,
+    round(greatest(greatest(0, (0.5 - score) / 0.5), case when best is null then 0 else least(1, fall / 0.5) * 0.7 end), 6) as observation from origin where kind = 'drop'""")
+def a15_a16_confidence(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    c = graph.edge_drop_origins(s, o.links, o.facts).where("kind = 'drop'")
+    return _n(c.select("graph_id", "run_id", graph.attribution(F.col("score"), F.col("base"), F.col("drop"), F.col("iterations")).alias("attribution"), graph.observation(F.col("score"), F.col("drop"), F.col("base_assumed"), F.lit(False)).alias("observation")))
+
+
+@query()
+def a18_propagation_path(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    start = graph.edge_drop_origins(s, o.links, o.facts).where("kind = 'drop'").select("graph_id", "scc")
+    ends = s.groupBy("graph_id").agg(F.max_by("scc", "end_time").alias("scc"))
+    return graph.propagation_path(start, s, o.links, ends)
+
+
+@query(f"""with recursive {REACH}, c as (select graph_id, run_id from v_runs where score < 0.2), hit as (select graph_id, run_id from c union select r.graph_id, r.dst from reach r join c on c.graph_id = r.graph_id and c.run_id = r.src)
+    select h.graph_id, round(sum(v.cost_usd), 2) as cost, count(v.cost_usd) as priced, count(*) as total from hit h join v_runs v on v.graph_id = h.graph_id and v.run_id = h.run_id group by 1""")
+def a19_downstream_cost(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    return graph.downstream_cost(o.runs.where("score < 0.2"), o.runs, o.paths()).withColumn("cost", _r("cost", 2))
+
+
+@query()
+def a20_manifestation(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    return graph.manifestation(s, o.links, o.runs.where("verifier"))
+
+
+@query(f"""with recursive {REACH}, w as (select graph_id, run_id from v_runs where score < 0.2), below as (select distinct r.graph_id, r.dst as run_id from reach r join w on w.graph_id = r.graph_id and w.run_id = r.src)
+    select r.graph_id, r.run_id, 'verdict_scored_incorrect' as reason from v_runs r join v_verdicts v on v.graph_id = r.graph_id where r.verifier and r.score < 0.5 and not v.bad
+    union all select r.graph_id, r.run_id, 'passed_bad_terminal' from v_runs r join v_verdicts v on v.graph_id = r.graph_id join below b on b.graph_id = r.graph_id and b.run_id = r.run_id where r.verifier and r.score >= 0.5 and v.bad""")
+def a21_verification_gaps(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    return graph.verification_gaps(o.runs, view(spark, sf_dir, "v_verdicts"), o.runs.where("score < 0.2"), o.paths())
+
+
+DROPS = "select r.graph_id, r.run_id, round(b.best - r.score, 6) as drop from v_runs r join (select e.graph_id, e.to_run_id as run_id, max(s.score) as best from v_edges e join v_runs s on s.graph_id = e.graph_id and s.run_id = e.from_run_id where s.score is not null group by 1, 2) b on b.graph_id = r.graph_id and b.run_id = r.run_id where b.best - r.score > 0.2"
+
+
+@query(DROPS)
+def a22_significant_drops(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    return _n(graph.significant_drops(o.runs, o.edges))
+
+
+@query("""select graph_id, origin, round(weight, 6) as weight from (select graph_id, unnest(t) as origin, confidence / len(t) as weight from (select graph_id, confidence, case when graph_id % 2 = 0 then [1, 2] else [1] end as t from v_reports where is_latest) a
+    union all select graph_id, null, 1 - confidence from v_reports where is_latest) x""")
+def a24_hypotheses(spark, sf_dir):
+    c = view(spark, sf_dir, "v_reports").where("is_latest").select("graph_id", "confidence", F.when(F.col("graph_id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("tied"))
+    return _n(graph.hypotheses(c))
+
+
+@query("select v.graph_id from v_verdicts v join v_runs r on r.graph_id = v.graph_id where v.bad group by 1 having bool_and(coalesce(r.score >= 0.5, false))")
+def a27_composition_suspect(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    none = o.runs.where("false")
+    return graph.composition_suspect(o.runs, view(spark, sf_dir, "v_verdicts"), none, none)
+
+
+@query()
+def a28_a33_reports(spark, sf_dir):
+    """Candidates of all channels to defects, report types and incidents, for every graph."""
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    verdicts = view(spark, sf_dir, "v_verdicts")
+    content = reconstruct.cut(graph.shadow(graph.edge_drop_origins(s, o.links, o.facts).where("kind in ('drop', 'propagating')"), o.up()))
+    hard = o.runs.where("status = 'failed'").select(*KEY)
+    via = graph.merge_channels(content, hard).join(content.select(*KEY, "recovered"), KEY, "left")
+    loops = graph.loop_anomalies(s, o.runs.withColumn("attempt_of", F.lit(None).cast("string")), cfg=graph.Config(max_rounds=1))
+    gaps = graph.verification_gaps(o.runs, verdicts, content, o.paths())
+    breaches = hard.select("graph_id", F.col("run_id").alias("scc"), F.lit("status").alias("key"), F.lit("failed").alias("value"))
+    found = graph.findings(o.runs, graph.significant_drops(o.runs, o.edges), loops, breaches, verdicts)
+    made, refs = graph.defects(via, loops, gaps, found)
+    kinds = graph.report_type(made.withColumn("quality_unmeasured", F.lit(False)))
+    out = kinds.join(verdicts.select("graph_id", "bad"), "graph_id", "left").join(refs.groupBy("graph_id").agg(F.count(F.lit(1)).alias("refs")), "graph_id", "left")
+    return out.select("graph_id", "report_type", "refs", graph.incident_key(F.col("report_type"), F.array().cast("array<string>"), F.coalesce("bad", F.lit(False))).alias("incident_key"))
+
+
+@query("select graph_id, 'representation_divergence' as kind, fact_key, string_agg(distinct v, ',' order by v) as \"values\" from (select graph_id, 'model:' || agent_version as fact_key, model_name as v from v_runs) x group by 1, 2, 3 having count(distinct v) > 1")
+def a31_reconcile(spark, sf_dir):
+    return graph.reconcile(view(spark, sf_dir, "v_runs").select("graph_id", F.concat(F.lit("model:"), "agent_version").alias("fact_key"), F.col("model_name").alias("value")))
+
+
+@query("select r.graph_id, r.run_id, coalesce(t.k, 0) - case when r.unscored_reason is not distinct from 'zero_result_set' then 1 else 0 end as n_empty_peers from v_runs r left join (select graph_id, count(*) as k from v_runs where unscored_reason = 'zero_result_set' group by 1) t on t.graph_id = r.graph_id")
+def a41_peer_facts(spark, sf_dir):
+    r = view(spark, sf_dir, "v_runs")
+    return graph.peer_facts(r.select(*KEY, F.col("unscored_reason").alias("name")), r)
+
+
+@query()
+def g18_deliverable(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    return reconstruct.deliverable(o.runs.withColumn("has_output", F.col("score").isNotNull()), o.edges)
+
+
+@query("select e.* from v_edges e where exists (select 1 from v_runs r where r.graph_id = e.graph_id and r.run_id = e.from_run_id and r.score is not null) and exists (select 1 from v_runs r where r.graph_id = e.graph_id and r.run_id = e.to_run_id and r.score is not null)")
+def g19_known_edges(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    return reconstruct.known_edges(o.runs.where("score is not null"), o.edges).select("graph_id", "from_run_id", "to_run_id")
+
+
+# ---- checks ------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("""select graph_id, run_id, name as tool, cast(n as string) as count, cast(start as string) as start from (select graph_id, run_id, name, args_sha, island, count(*) as n, min(pos) as start from
+    (select *, row_number() over (partition by graph_id, run_id order by pos) - row_number() over (partition by graph_id, run_id, name, args_sha order by pos) as island from v_calls) x group by 1, 2, 3, 4, 5 having count(*) >= 2) y""")
+def c01_loop_fingerprint(spark, sf_dir):
+    return checks.loop_fingerprint(view(spark, sf_dir, "v_calls")).select(*KEY, "params.tool", "params.count", "params.start")
+
+
+@query("select graph_id, run_id, name as tool, cast(count(*) as string) as count from v_calls group by graph_id, run_id, name, args_sha having count(*) >= 3 and sum(case when status = 'error' then 1 else 0 end) >= 1")
+def c02_retry_storm(spark, sf_dir):
+    return checks.retry_storm(view(spark, sf_dir, "v_calls")).select(*KEY, "params.tool", "params.count")
+
+
+@query("select graph_id, run_id, name as tool, 'create' as marker from v_calls where name like '%create%' group by graph_id, run_id, name, args_sha having count(*) >= 2 and bool_and(status = 'ok')")
+def c03_duplicate_side_effect(spark, sf_dir):
+    return checks.duplicate_side_effect(view(spark, sf_dir, "v_calls")).select(*KEY, "params.tool", "params.marker")
+
+
+@query("select graph_id, run_id, pos - 1 as pos, name, args_sha, status from v_calls")
+def c05_parse_tool_calls(spark, sf_dir):
+    """Digests written as JSON, then parsed again."""
+    c = view(spark, sf_dir, "v_calls").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("pos", "name", "args_sha", "status"))).alias("c"))
+    back = checks.parse_tool_calls(c.select(*KEY, F.to_json("c").alias("tool_calls")))
+    return back.select(*KEY, F.col("pos").cast("bigint").alias("pos"), "name", "args_sha", "status")
+
+
+@query("""with b as (select agent_name, avg(tokens_out) as m, stddev_samp(tokens_out) as s, count(tokens_out) as n from v_runs group by 1) select r.graph_id, r.run_id, r.agent_name from v_runs r join b on b.agent_name = r.agent_name where b.n >= 5 and b.s > 0 and (r.tokens_out - b.m) / b.s >= 1.5""")
+def c06_metric_anomaly(spark, sf_dir):
+    r = view(spark, sf_dir, "v_runs")
+    b = reports.baselines(r.withColumn("graph_type", F.lit("all")), ("tokens_out",))
+    return checks.metric_anomaly(r, b, "tokens_out", "token_anomaly", z=1.5).select(*KEY).join(r.select(*KEY, "agent_name"), KEY)
+
+
+@query("select graph_id, run_id, 'fail' as severity from v_runs where status = 'failed'")
+def c09_run_failed(spark, sf_dir):
+    return checks.run_failed(view(spark, sf_dir, "v_runs")).select(*KEY, "severity")
+
+
+@query("""select graph_id, run_id, 'assistant_the' as section from v_conv where agent_name = 'assistant' and not contains(lower(output), ' the ') union all select graph_id, run_id, 'any_prefix' from v_conv where not regexp_matches(lower(output), '(^|[^\\p{L}\\p{N}_])th')
+    union all select graph_id, run_id, 'capital' from v_conv where not regexp_matches(output, '^[A-Z]')""")
+def c10_required_section(spark, sf_dir):
+    rules = spark.sql("select * from values ('assistant', 'assistant_the', 'substring', ' THE ', false), (null, 'any_prefix', 'word_prefix', 'th', false), (null, 'capital', 'regex', '^[A-Z]', true) as t(agent_name, name, match, pattern, case_sensitive)")
+    return checks.required_section(view(spark, sf_dir, "v_conv"), rules).select(*KEY, "params.section")
+
+
+@query("""select graph_id, cast(round(s, 4) as string) as sum from (select l_orderkey as graph_id, sum(l_quantity) as s, count(*) as k from lineitem group by 1) x where abs(s - k * 25) > 0.01""")
+def c11_sum_invariant(spark, sf_dir):
+    bundles = sql(spark, sf_dir, "select l_orderkey as graph_id, cast(0 as bigint) as run_id, to_json(named_struct('items', collect_list(named_struct('q', l_quantity)), 'total', named_struct('q', count(*) * 25))) as output from lineitem group by l_orderkey")
+    rules = spark.sql("select 'items' as items, 'q' as field, 'total.q' as total, cast(null as double) as tolerance")
+    return checks.sum_invariant(bundles, rules).select("graph_id", "params.sum")
+
+
+@query("""with t as (select graph_id, run_id, case when run_id % 2 = 0 then 'eur 5' else '5 $ and gbp' end as i, case when graph_id % 3 = 0 then 'usd' when graph_id % 3 = 1 then 'the sum in €' else 'none' end as o from v_conv)
+    select graph_id, run_id, 'EUR' as input_family, 'USD' as output_families from t where i = 'eur 5' and o = 'usd'""")
+def c12_unit_inconsistency(spark, sf_dir):
+    t = sql(spark, sf_dir, "select graph_id, run_id, case when run_id % 2 = 0 then 'eur 5' else '5 $ and gbp' end as input, case when graph_id % 3 = 0 then 'usd' when graph_id % 3 = 1 then 'the sum in €' else 'none' end as output from v_conv")
+    return checks.unit_inconsistency(t).select(*KEY, "params.input_family", "params.output_families")
+
+
+@query("select l_orderkey as graph_id, cast(l_linenumber as bigint) as run_id, count(*) as n from lineitem where l_shipdate > timestamp '1996-06-01' group by 1, 2")
+def c13_temporal_invariant(spark, sf_dir):
+    rows = sql(spark, sf_dir, "select distinct l_orderkey as graph_id, cast(l_linenumber as bigint) as run_id, l_shipdate as started_at, to_json(named_struct('plan', named_struct('start', date_format(l_shipdate, 'yyyy-MM-dd'), 'deadline', '1996-06-01'))) as output, l_partkey from lineitem")
+    got = checks.temporal_invariant(json_leaves(rows, KEY, "output"), rows.select(*KEY, "started_at").where("false"))
+    return sql(spark, sf_dir, "select l_orderkey as graph_id, cast(l_linenumber as bigint) as run_id, l_shipdate from lineitem").where("l_shipdate > timestamp_ntz '1996-06-01 00:00:00'").join(got.select(*KEY).distinct(), KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def c14_language_mismatch(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    profiles = reconstruct.cut(checks.train_lang_profiles(d.where("doc_id % 5 <> 0").select("text", "lang")))
+    runs = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("graph_id"), F.lit(0).alias("run_id"), F.col("text").alias("output"), F.lit("en").alias("expected_lang"))
+    return checks.language_mismatch(runs, profiles).select(*KEY, "params.found")
+
+
+@query()
+def c16_number_not_derivable(spark, sf_dir):
+    rows = sql(spark, sf_dir, """select l_orderkey as graph_id, cast(0 as bigint) as run_id, concat('rate: 24.5\\n', array_join(collect_list(cast(l_extendedprice as string)), ' \\n')) as input,
+        array_join(collect_list(concat_ws(';', l_partkey, l_suppkey, cast(cast(round(l_extendedprice * case when l_quantity > 40 then 24.7 else 24.5 end, 2) as decimal(20,2)) as string))), '\\n') as output from lineitem group by l_orderkey""")
+    return checks.number_not_derivable(rows).select(*KEY, "params.count")
+
+
+@query("""select graph_id, run_id, cast(k as string) as input_numbers from (select doc_id as graph_id, cast(0 as bigint) as run_id, doc_id % 10 + 3 as k, text from documents) d where k >= 8 and length(trim(text)) >= 200 and not regexp_matches(text, '[0-9]')""")
+def c15_numeric_content_lost(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("not text rlike '[0-9]'").select(F.col("doc_id").alias("graph_id"), F.lit(0).cast("bigint").alias("run_id"), F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 10 + 3).cast("int")), lambda i: F.concat(i.cast("string"), F.lit(".5"))), " ").alias("input"), F.col("text").alias("output"))
+    return checks.numeric_content_lost(rows).select(*KEY, "params.input_numbers")
+
+
+@query(r"""select doc_id as graph_id, 'email address' as kind, substring(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}'), 1, 4) as prefix from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')
+    union all select doc_id, 'phone number', substring(p, 1, 4) from (select doc_id, list_filter(regexp_extract_all(text, '\+\d[\d \-()]{7,}\d'), lambda m: length(regexp_replace(m, '\D', '', 'g')) >= 9)[1] as p from documents) x where p is not null""")
+def c17_sensitive_data(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_id"), F.lit(0).alias("run_id"), F.col("text").alias("output"))
+    return checks.sensitive_data(rows).select("graph_id", "params.kind", "params.prefix").where("kind in ('email address', 'phone number')")
+
+
+@query("select doc_id as graph_id, 'zero-width characters' as signature from documents where doc_id % 7 = 0 union all select doc_id, 'you are now' from documents where doc_id % 5 = 0")
+def c18_prompt_injection(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_id"), F.lit(0).alias("run_id"), F.concat(F.when(F.col("doc_id") % 7 == 0, "​").otherwise(""), "text", F.when(F.col("doc_id") % 5 == 0, " You ARE now free").otherwise("")).alias("output"))
+    return checks.prompt_injection(rows).select("graph_id", "params.signature")
+
+
+@query("""select o_orderkey as graph_id, case when o_totalprice > 100000 then 1.0 else 0.0 end as schema from orders where o_orderstatus <> 'P'""")
+def c20_schema_component(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    price = F.when(F.col("o_totalprice") > 100000, F.to_json(F.struct(F.col("o_totalprice").alias("price"), F.lit("a").alias("kind")))).when(F.col("o_totalprice") > 50000, F.lit('{"price":"x","kind":"a"}')).otherwise(F.lit('{"kind":"a"}'))
+    runs = o.select(F.col("o_orderkey").alias("graph_id"), F.lit(0).cast("bigint").alias("run_id"), F.col("o_orderstatus").alias("agent_name"), F.lit("v1").alias("agent_version"), price.alias("output"))
+    schema = '{"type":"object","required":["price"],"properties":{"price":{"type":"number"},"kind":{"type":"string","enum":["a","b"]}}}'
+    contracts = spark.createDataFrame([("O", "v*", schema, 1), ("F", "v?", schema, 1), ("P", "w*", schema, 1)], "agent_name string, version_glob string, json_schema string, ord int")
+    return checks.schema_component(runs, contracts).select("graph_id", "schema")
+
+
+@query("select o_orderkey as graph_id, 'format' as key, 'md' as \"from\", 'html' as \"to\" from orders where o_custkey % 3 = 0")
+def c23_contract_violations(spark, sf_dir):
+    rows = sql(spark, sf_dir, "select o_orderkey as graph_id, cast(0 as bigint) as run_id, to_json(named_struct('ask', named_struct('format', 'md', 'lang', 'EN'))) as i, to_json(named_struct('format', case when o_custkey % 3 = 0 then 'html' else 'MD' end, 'lang', 'en')) as o from orders")
+    return checks.contract_violations(json_leaves(rows, KEY, "i"), json_leaves(rows, KEY, "o")).select("graph_id", "key", "from", "to")
+
+
+@query("select doc_id, case when n >= 4 then round(1.0 - len(list_distinct(t)) * 1.0 / n, 6) else 0.0 end as ratio, trim(text) = '' or (n >= 4 and 1.0 - len(list_distinct(t)) * 1.0 / n >= 0.75) as degenerate from (select doc_id, text, regexp_extract_all(lower(text), '\\S+') as t, len(regexp_extract_all(lower(text), '\\S+')) as n from documents) x")
+def c24_degenerate(spark, sf_dir):
+    return _n(table(spark, sf_dir, "documents").select("doc_id", C.repetition_ratio(F.col("text")).alias("ratio"), C.degenerate(F.col("text")).alias("degenerate")))
+
+
+@query("select graph_id, run_id, case when status = 'failed' then 0.5 end as heuristics from v_runs")
+def c25_heuristics(spark, sf_dir):
+    return scoring.heuristics(view(spark, sf_dir, "v_runs").withColumn("output", F.lit("some words of work")))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'opaque' when doc_id % 3 = 1 then 'opaque' else 'visible' end as state from documents where not contains(text, '.')  or true")
+def c26_artifact_visibility(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("A report. "), F.when(F.col("doc_id") % 3 == 0, "see out/final.docx").when(F.col("doc_id") % 3 == 1, "logo at a/logo.png").otherwise("all here")).alias("t"))
+    return d.select("doc_id", checks.artifact_visibility(F.col("t"))["state"].alias("state"))
+
+
+@query("""select s_suppkey, case s_suppkey % 6 when 0 then 'verifier' when 1 then 'planner' when 2 then 'retriever' when 3 then 'intermediate' when 4 then 'verifier' else 'deliverable' end as role from supplier""")
+def c27_role(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(F.array(*map(F.lit, ["qaGate", "task_router", "fetch-news", "checkout delegate", "Quality Control Engineer", "writer"])), (F.col("s_suppkey") % 6 + 1).cast("int")).alias("name"))
+    name = F.when(F.col("name") == "checkout delegate", F.lit("checkout clerk")).otherwise(F.col("name"))
+    return s.select("s_suppkey", C.role(name, F.col("name") == "writer").alias("role"))
+
+
+@query("select event_id, case when event_id % 4 = 0 then 'ping' when event_id % 4 = 1 then 'unclear' when event_id % 4 = 2 then 'empty' else 'work' end as kind from events")
+def c28_payload_kind(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"ok": true, "count": '), F.col("event_id").cast("string"), F.lit("}"))).when(F.col("event_id") % 4 == 1, F.lit('{"action": "escalate"}')).when(F.col("event_id") % 4 == 2, F.lit(" {} ")).otherwise(F.lit("a plan of three steps"))
+    return e.select("event_id", checks.payload_kind(text).alias("kind"))
+
+
+@query("select doc_id, case when strlen(text) > 160 then true else false end as cut, case when strlen(text) > 160 then null else text end as whole from documents")
+def c29_judge_window(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", C.judge_window(F.col("text"), 120, 40).alias("w"))
+    return d.select("doc_id", F.contains("w", F.lit(" bytes ...]")).alias("cut"), F.when(~F.contains("w", F.lit(" bytes ...]")), F.col("w")).alias("whole"))
+
+
+@query("select graph_id, run_id, claims from (select o_orderkey as graph_id, cast(0 as bigint) as run_id, o_orderpriority || '|' || o_orderstatus || 'xyz' as claims from orders where length(o_orderpriority) > 4) x")
+def c30_structured_claims(spark, sf_dir):
+    rows = sql(spark, sf_dir, "select o_orderkey as graph_id, cast(0 as bigint) as run_id, to_json(named_struct('a', o_orderstatus || 'xyz', 'b', named_struct('c', o_orderpriority), 'd', 'no')) as output from orders where length(o_orderpriority) > 4")
+    return checks.structured_claims(json_leaves(rows, KEY, "output")).select(*KEY, F.array_join("claims", "|").alias("claims"))
+
+
+@query()
+def c31_sampled(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("graph_id"), C.sampled(F.col("o_orderkey").cast("string"), 20).alias("sampled")).where("sampled")
+
+
+@query()
+def c32_uuid5(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.uuid5_url(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))).alias("id"))
+
+
+@query("select substring(sha256(string_agg(j, chr(10) order by j) || chr(10) || '{}'), 1, 12) as fingerprint from (select '{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}' as j from region) x")
+def c33_rules_fingerprint(spark, sf_dir):
+    return rules_fingerprint(table(spark, sf_dir, "region"))
+
+
+@query("select cast(n_regionkey as string) as agent_name, sha256(string_agg(n_name || '=' || n_nationkey, chr(10) order by n_name || '=' || n_nationkey)) as hash from nation group by 1")
+def c34_tool_schema_hash(spark, sf_dir):
+    return tool_schema_hash(table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("agent_name"), F.col("n_name").alias("tool"), F.col("n_nationkey").cast("string").alias("schema")))
+
+
+@query("select o_orderkey as graph_id, o_orderpriority as claim, contains(lower('the order is ' || o_orderpriority), lower(o_orderpriority)) as found from orders")
+def a37_claim_matches(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("graph_id"), F.col("o_orderpriority").alias("claim"), checks.claim_matches(F.col("o_orderpriority"), F.concat(F.lit("The order is "), "o_orderpriority")).alias("found"))
+
+
+# ---- scores and triage --------------------------------------------------------------------------------------------------------------------
+
+BLEND = "(select graph_id, run_id, case when run_id % 3 = 0 then 1.0 end as sch, score as jud, case when status = 'failed' then 0.5 end as heu from v_runs) x"
+
+
+@query(f"""select graph_id, run_id, case when jud is not null or w >= 0.5 then round(v / w, 6) end as score, case when not coalesce(jud is not null or w >= 0.5, false) then 'insufficient_components' end as reason from
+    (select *, case when sch is null then 0 else 0.35 end + case when jud is null then 0 else 0.4 end + case when heu is null then 0 else 0.15 end as w, coalesce(0.35 * sch, 0) + coalesce(0.4 * jud, 0) + coalesce(0.15 * heu, 0) as v from {BLEND}) y""")
+def t01_composite(spark, sf_dir):
+    p = view(spark, sf_dir, "v_runs").select(*KEY, F.when(F.col("run_id") % 3 == 0, 1.0).alias("schema"), F.col("score").alias("judge"), F.when(F.col("status") == "failed", 0.5).alias("heuristics"))
+    return _n(scoring.composite(p).select(*KEY, "score", "reason"))
+
+
+@query("select graph_id, run_id, case when run_id % 2 = 0 then least(score, 0.45) else score end as judge from v_runs where score is not null")
+def t02_judged(spark, sf_dir):
+    j = view(spark, sf_dir, "v_runs").where("score is not null").select(*KEY, F.col("score").alias("task_score"), "input_flawed", F.when(F.col("run_id") % 2 == 0, F.array(F.lit("factual_error"), F.lit("unverifiable"))).alias("flags"))
+    return scoring.judged(j).select(*KEY, "judge")
+
+
+@query("select graph_id, run_id, case when run_id % 5 = 0 then 'payload_missing' when run_id % 5 = 1 then 'empty_output' when unscored_reason = 'zero_result_set' then 'zero_result_set' else 'insufficient_components' end as reason from v_runs where score is null")
+def t03_unscored_reason(spark, sf_dir):
+    r = view(spark, sf_dir, "v_runs").withColumns({"output": F.when(F.col("run_id") % 5 == 0, F.lit(None)).when(F.col("run_id") % 5 == 1, F.lit("  ")).otherwise(F.lit("x")), "zero_result": F.col("unscored_reason") == "zero_result_set", "node_kind": F.lit(None).cast("string")})
+    return scoring.unscored_reason(r)
+
+
+@query("select r.graph_id, r.run_id from v_runs r where not exists (select 1 from v_runs f where f.graph_id = r.graph_id and f.status = 'failed')")
+def t06_judge_worklist(spark, sf_dir):
+    r = view(spark, sf_dir, "v_runs")
+    return scoring.judge_worklist(r, r.where("status = 'failed'")).select(*KEY)
+
+
+@query("""select graph_id, concat_ws(',', case when bool_or(status = 'failed') then 'failed_runs' end, case when coalesce(sum(cost_usd) > 200000, false) then 'cost_overrun' end, case when bool_or(run_id = 1 and input_flawed) then 'degenerate_output' end, case when bool_or(verifier) then 'duplicate_side_effect' end) as hard,
+    concat_ws(',', case when bool_or(score < 0.1) then 'retry_storm' end) as soft from v_runs group by 1""")
+def t07_triage_flags(spark, sf_dir):
+    r = view(spark, sf_dir, "v_runs").withColumn("output", F.when(F.col("input_flawed"), F.lit(" ")).otherwise(F.lit("fine work done here")))
+    s = r.where("verifier").select(*KEY, F.lit("duplicate_side_effect").alias("name")).union(r.where("score < 0.1").select(*KEY, F.lit("retry_storm")))
+    out = scoring.triage_flags(r, s, r.where("run_id = 1").select(*KEY), 200000.0)
+    return out.select("graph_id", F.array_join("hard", ",").alias("hard"), F.array_join("soft", ",").alias("soft"))
+
+
+@query("""select e.graph_id, case when e.graph_id % 11 = 0 then 'bad' when e.graph_id % 7 = 0 or v.verdict is null then 'not_checkable' else v.verdict end as verdict, case when e.graph_id % 11 = 0 then 0.0 when e.graph_id % 7 = 0 then null when e.graph_id % 5 = 0 then least(v.score, 0.85) else v.score end as score
+    from v_graphs e left join v_verdicts v on v.graph_id = e.graph_id""")
+def t08_terminal_verdict(spark, sf_dir):
+    ends = view(spark, sf_dir, "v_graphs").select("graph_id", F.when(F.col("graph_id") % 7 == 0, F.lit("")).otherwise(F.lit("text")).alias("output"), F.when(F.col("graph_id") % 5 == 0, "partial").otherwise("visible").alias("state"))
+    return scoring.terminal_verdict(ends, ends.where("graph_id % 11 = 0"), view(spark, sf_dir, "v_verdicts").select("graph_id", "verdict", "score"))
+
+
+@query("select graph_id, coalesce(verdict = 'bad' and graph_id % 4 <> 0, false) as stale, case when verdict = 'bad' and graph_id % 4 <> 0 then case when model = 'P' then 'unstamped' when model = 'F' then 'rules_changed' else 'payload_diverged' end end as cause from v_verdicts")
+def t09_stale_verdicts(spark, sf_dir):
+    v = view(spark, sf_dir, "v_verdicts").select("graph_id", "verdict", F.lit(True).alias("deterministic"), F.when(F.col("model") != "P", F.col("model")).alias("rules_hash"))
+    return scoring.stale_verdicts(v, v.where("graph_id % 4 = 0"), "O")
+
+
+@query("""with f as (select graph_id, sum(cost_usd) as cost, min(score) as low, bool_or(status = 'failed') as failed from v_runs group by 1)
+    select graph_id, 'failures' as policy, 'would_block' as decision, 'flags_any: failed_runs' as detail from f where failed union all
+    select graph_id, 'budget', 'would_warn', concat_ws('; ', case when cost > 250000 then 'cost_over' end, case when low < 0.05 then 'score_below' end) from f where coalesce(cost > 250000, false) or coalesce(low < 0.05, false)""")
+def t10_policies(spark, sf_dir):
+    facts = view(spark, sf_dir, "v_runs").groupBy("graph_id").agg(F.array_compact(F.array(F.when(F.bool_or(F.col("status") == "failed"), "failed_runs"))).alias("flags"), F.sum("cost_usd").alias("cost"), F.min("score").alias("min_score")).withColumns({"signals": F.array().cast("array<string>"), "report_type": F.lit(None).cast("string")})
+    policies = spark.createDataFrame([("failures", '{"flags_any":["failed_runs","cost_overrun"]}', "block", True), ("budget", '{"cost_over":250000,"score_below":0.05}', "warn", True), ("off", '{"cost_over":0}', "block", False), ("broken", "[", "block", True)], "name string, predicate string, action string, enabled boolean")
+    return scoring.evaluate_policies(facts, policies)
+
+
+@query(f"select r.agent_name, count(distinct i.incident_id) as open_incidents, case when count(distinct i.incident_id) >= 3 then 'open' else 'closed' end as state from v_incidents i join {CULPRITS} c on c.incident_id = i.incident_id join v_runs r on r.graph_id = c.graph_id and r.run_id = c.run_id where i.status = 'open' group by 1")
+def t11_breakers(spark, sf_dir):
+    got = view(spark, sf_dir, "v_reports").withColumn("culprit_run_ids", F.array(F.lit(1), F.lit(2)).cast("array<bigint>"))
+    return scoring.breakers(view(spark, sf_dir, "v_incidents"), got, view(spark, sf_dir, "v_runs"))
+
+
+@query("select graph_id, 'flagged' as why from v_verdicts where flagged and graph_id % 10 <> 0")
+def t12_deep_worklist(spark, sf_dir):
+    v = view(spark, sf_dir, "v_verdicts")
+    return scoring.deep_worklist(v, v.where("graph_id % 10 = 0"), 0)
+
+
+# ---- sources and reconstruction --------------------------------------------------------------------------------------------------------------
+
+SPANS = """select cast(conv_id as string) as trace_id, 's' || cast(turn as string) as span_id, case when turn > 0 then 's' || cast(turn - 1 as string) end as parent_span_id, 'turn' as name, 10 as kind, turn * 10 as at, role, text from conversations
+    union all select cast(conv_id as string), 't' || cast(turn as string), 's' || cast(turn as string), 'ask', 11, turn * 10 + 5, role, text from conversations where role = 'assistant'"""
+
+
+def _spans(spark, sf_dir):
+    s = sql(spark, sf_dir, SPANS)
+    bag = F.map_from_arrays(F.array(F.lit("agent.name"), F.lit("output"), F.lit("tokens.out"), F.lit("service.name"), F.lit("tool.args"), F.lit("delegate.to")),
+                            F.array(F.when(F.col("kind") == 10, F.col("role")), F.col("text"), F.when(F.col("kind") == 10, F.length("text").cast("string")), F.lit("chat"), F.lit("{}"), F.when(F.col("kind") == 11, F.lit("user"))))
+    return s.select("trace_id", "span_id", "parent_span_id", "name", "kind", F.timestamp_seconds("at").alias("start_time"), F.timestamp_seconds(F.col("at") + 1).alias("end_time"), F.map_filter(bag, lambda _, v: v.isNotNull()).alias("attributes"), (F.length("text") % 13 == 0).alias("error"))
+
+
+@query("select graph_id, run_id, n from (select l_orderkey as graph_id, l_linenumber as run_id, max(l_shipdate) as m, count(*) as n from lineitem group by 1, 2) x")
+def s07_latest_spans(spark, sf_dir):
+    raw = sql(spark, sf_dir, "select cast(l_orderkey as string) as trace_id, cast(l_linenumber as string) as span_id, l_shipdate as end_time, l_partkey, l_suppkey, l_orderkey as graph_id, l_linenumber as run_id, count(*) over (partition by l_orderkey, l_linenumber) as n from lineitem")
+    return traces.latest_spans(raw, ["l_partkey", "l_suppkey"]).select("graph_id", "run_id", "n")
+
+
+@query("select doc_id as run_id, strlen(text) as bytes, case when strlen(text) > 5000 then 1 else 0 end as apart, text as output from documents")
+def s08_s09_payloads(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("output"))
+    short, long = traces.split_payloads(d, "output", 5000)
+    back = traces.resolve_payloads(short, long, "output")
+    return back.select("run_id", F.col("output_bytes").cast("bigint").alias("bytes"), (F.col("output_bytes") > 5000).cast("int").alias("apart"), "output")
+
+
+@query("select l_orderkey as trace_id, count(*) as n from lineitem where exists (select 1 from orders o where o.o_orderkey = l_orderkey and o.o_orderstatus = 'P') group by 1")
+def s06_spans_for_traces(spark, sf_dir):
+    ids = sql(spark, sf_dir, "select o_orderkey as trace_id from orders where o_orderstatus = 'P'")
+    return traces.spans_for_traces(sql(spark, sf_dir, "select l_orderkey as trace_id from lineitem"), ids).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select event_id, 'k' as key, cast(cast(json_extract(props, '$.k') as bigint) as string) as value from events union all select event_id, 'type', event_type from events")
+def s02_s04_read_events(spark, sf_dir):
+    """Events written as an export, then flattened, decoded and normalised again."""
+    e = sql(spark, sf_dir, """select event_id, to_json(named_struct('resourceSpans', array(named_struct('resource', named_struct('attributes', array()), 'scopeSpans', array(named_struct('spans', array(named_struct('traceId', cast(user_id as string), 'spanId', cast(event_id as string), 'kind', 'AGENT',
+        'attributes', array(named_struct('key', 'type', 'value', named_struct('stringValue', event_type, 'intValue', cast(null as string))), named_struct('key', 'k', 'value', named_struct('stringValue', cast(null as string), 'intValue', get_json_object(props, '$.k')))))))))))) as t from events""")
+    spans = traces.normalize_spans(traces.flatten_exports(e.select(F.try_parse_json("t").alias("export"))))
+    return spans.select(F.col("span_id").cast("bigint").alias("event_id"), F.explode("attributes").alias("key", "value"))
+
+
+@query("""select graph_id, coalesce(o.graph_type, n.graph_type) as graph_type, least(o.started_at, n.at) as started_at from (select * from v_graphs where graph_id % 2 = 0) o full join (select graph_id, 'late' as graph_type, started_at - interval 1 day as at from v_graphs where graph_id % 3 = 0) n using (graph_id)""")
+def s11_upsert_graphs(spark, sf_dir):
+    g = view(spark, sf_dir, "v_graphs").withColumn("ended_at", F.col("started_at"))
+    old = g.where("graph_id % 2 = 0").select("graph_id", "graph_type", "status", "started_at", "ended_at")
+    new = g.where("graph_id % 3 = 0").select("graph_id", F.lit("late").alias("graph_type"), "status", (F.col("started_at") - F.expr("interval 1 day")).alias("started_at"), "ended_at")
+    return traces.upsert_graphs(old, new).select("graph_id", "graph_type", "started_at")
+
+
+@query("select graph_id, run_id, 'old' as side from v_runs where run_id <= 3 union all select graph_id, run_id, 'new' from v_runs where run_id > 3 and run_id % 2 = 0")
+def s12_upsert_runs(spark, sf_dir):
+    r = view(spark, sf_dir, "v_runs").select(*KEY)
+    return traces.upsert_runs(r.where("run_id <= 3").withColumn("side", F.lit("old")), r.where("run_id % 2 = 0").withColumn("side", F.lit("new")))
+
+
+@query("select distinct graph_id, from_run_id, to_run_id from v_edges")
+def s13_upsert_edges(spark, sf_dir):
+    e = view(spark, sf_dir, "v_edges").withColumn("type", F.lit("FLOW")).dropDuplicates()
+    return traces.upsert_edges(e.where("from_run_id <= 2"), e.where("from_run_id <= 2 or from_run_id > 2")).drop("type")
+
+
+@query("select i.incident_id, i.trigger, 'n/a' as cost, cast(r.confidence as string) as confidence from v_incidents i join (select * from v_reports where is_latest) r on r.incident_id = i.incident_id where i.status = 'open'")
+def s14_alert_feed(spark, sf_dir):
+    got = view(spark, sf_dir, "v_reports").withColumns({"culprit_run_ids": F.array(F.lit("1")), "downstream_cost_usd": F.lit(None).cast("double")})
+    return traces.alert_feed(view(spark, sf_dir, "v_incidents").withColumn("is_new", F.col("status") == "open"), got).select("incident_id", "trigger", "cost", "confidence")
+
+
+@query("select cast(conv_id as string) as trace_id, count(*) as spans, count(*) as owned from (select conv_id from conversations union all select conv_id from conversations where role = 'assistant') x group by 1")
+def g01_g02_owners(spark, sf_dir):
+    return reconstruct.assign_owners(_spans(spark, sf_dir)).groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), F.count("run_key").alias("owned"))
+
+
+@query("""select cast(conv_id as string) as graph_key, cast(conv_id as string) || ':s' || cast(turn as string) as run_key, role as agent_name, length(text) as tokens_out, case when length(text) % 13 = 0 then 'failed' else 'ok' end as status, role = 'assistant' as has_tools, text as output from conversations""")
+def g03_g07_runs(spark, sf_dir):
+    runs = reconstruct.build_runs(reconstruct.assign_owners(_spans(spark, sf_dir)))
+    return runs.select("graph_key", "run_key", "agent_name", F.col("tokens_out").cast("bigint").alias("tokens_out"), "status", F.col("tool_calls").isNotNull().alias("has_tools"), "output")
+
+
+@query("""select 'SPAWN' as type, cast(b.conv_id as string) || ':s' || cast(a.turn as string) as from_key, cast(b.conv_id as string) || ':s' || cast(b.turn as string) as to_key from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1 where a.role <> b.role
+    union all select 'TOOL_DELEGATION', cast(c.conv_id as string) || ':s' || cast(u.turn as string), cast(c.conv_id as string) || ':s' || cast(c.turn as string) from (select conv_id, turn from conversations where role = 'assistant') c join (select conv_id, min(turn) as turn from conversations where role = 'user' group by 1) u on u.conv_id = c.conv_id""")
+def g09_g15_edges(spark, sf_dir):
+    owned = reconstruct.cut(reconstruct.assign_owners(_spans(spark, sf_dir)))
+    runs = reconstruct.cut(reconstruct.build_runs(owned))
+    tools, _ = reconstruct.delegation_edges(owned, runs)
+    return reconstruct.dedup_edges(reconstruct.spawn_edges(owned, runs).unionByName(tools)).select("type", "from_key", "to_key")
+
+
+@query("select cast(a.conv_id as string) as graph_key, cast(a.conv_id as string) || ':s' || cast(a.turn as string) as from_key, cast(a.conv_id as string) || ':s' || cast(min(b.turn) as string) as to_key from conversations a join conversations b on b.conv_id = a.conv_id and b.turn > a.turn group by a.conv_id, a.turn")
+def g13_sequential_edges(spark, sf_dir):
+    flat = _spans(spark, sf_dir).withColumn("parent_span_id", F.lit("root"))
+    return reconstruct.sequential_edges(reconstruct.open_runs(flat), "^turn$").select("graph_key", "from_key", "to_key")
+
+
+# ---- streaming ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    import uuid
+
+    schema = table(spark, sf_dir, "events").schema
+    reconstruct.cut(spark.range(1))  # names the shared folder
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("arrival_ts", F.col("ts").cast("timestamp"))
+    return raw.withWatermark("arrival_ts", "0 seconds"), path
+
+
+@query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hour then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g)
+    select user_id as graph_id, count(*) as n, min(ts) as first_at, max(ts) as last_at from s group by user_id, k having max(ts) + interval 6 hour <= (select date_trunc('milliseconds', max(ts)) from events)""")
+def w02_finalize_quiet(spark, sf_dir):
+    """Session windows over a stream of arrivals, drained into a table."""
+    from ..streaming import live
+
+    stream, path = _stream(spark, sf_dir)
+    live.drain(live.finalize_quiet(stream.withColumnRenamed("user_id", "graph_id"), "graph_id", "arrival_ts", "6 hours"), path)
+    out = spark.read.parquet(f"{path}/out")
+    return out.select("graph_id", "n", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"))
+
+
+@query("select cast(user_id as string) as agent_name, event_type as graph_type, 'tokens_out' as metric, count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std from events group by 1, 2")
+def w07_stream_baselines(spark, sf_dir):
+    """Baselines folded batch by batch from a stream."""
+    from ..streaming import live
+
+    stream, path = _stream(spark, sf_dir)
+    rows = stream.select(F.col("user_id").cast("string").alias("agent_name"), F.col("event_type").alias("graph_type"), F.col("value").alias("tokens_out"), F.lit(None).cast("double").alias("cost_usd"))
+    q = rows.writeStream.foreachBatch(live.merging_baselines(path)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
+    return _n(spark.read.parquet(f"{path}/v={last}").drop("m2"))
+
+
+@query("select graph_id, count(*) as late_count from v_runs where run_id > 2 and graph_id % 2 = 0 group by 1")
+def w05_late_runs(spark, sf_dir):
+    from ..streaming import live
+
+    r = view(spark, sf_dir, "v_runs").select(*KEY, F.col("started_at").alias("arrival_ts"))
+    return live.late_runs(r, r.where("run_id <= 2"), r.where("graph_id % 2 = 0").select("graph_id").distinct()).select("graph_id", "late_count")
+
+
+@query("select distinct graph_id from v_runs where graph_id % 5 <> 0")
+def w04_emit_once(spark, sf_dir):
+    from ..streaming import live
+
+    r = view(spark, sf_dir, "v_runs").withColumn("n", F.lit(1))
+    return live.emit_once(r, r.where("graph_id % 5 = 0").select("graph_id").distinct()).select("graph_id")
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
