@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Namespace of URL-based version-5 ids, in hex.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -101,7 +102,7 @@ def glob_regex(glob: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc_fold(text: pd.Series) -> pd.Series:
     """Canonical composition and case folding, which no built-in function has. Arrow batches."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())

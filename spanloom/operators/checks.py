@@ -75,7 +75,7 @@ def zero_result_set(runs: DataFrame) -> DataFrame:
     number = F.col("value").try_cast("double")
     kind = F.upper("type")
     word = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.lower("value"), F.lit("\\E(?!\\w)"))
-    echoed = F.coalesce(F.col("asked").rlike(word), F.lit(False))
+    echoed = F.coalesce(F.regexp_like("asked", word), F.lit(False))
     record = F.when(kind.isin("BOOLEAN", "VOID"), F.lit(False)).when(number.isNotNull() & (kind != "STRING"), number != 0).otherwise((F.trim("value") != "") & ~echoed)
     some = leaves.where(record).select(*KEY).distinct()
     parsed = runs.where(F.schema_of_variant(tolerant(F.col("output"))).rlike("^(OBJECT|ARRAY)"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.fingerprints import rules_fingerprint, tool_schema_hash
 from ..functions.jsonview import json_leaves
-from ..operators import checks, graph, reconstruct, reports, scoring
+from ..operators import checks, evidence, graph, reconstruct, reports, scoring
 from ..sources import traces
 from .views import sql, table, view, with_views
 
@@ -888,6 +888,69 @@ def g13_sequential_edges(spark, sf_dir):
     return reconstruct.sequential_edges(reconstruct.open_runs(flat), "^turn$").select("graph_key", "from_key", "to_key")
 
 
+# ---- evidence -------------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("""select graph_id, 'format' as key, case when graph_id % 3 = 0 then 'propagated' when graph_id % 3 = 1 then 'corrected' else 'unverified' end as status, case when graph_id % 3 = 0 then 'param' when graph_id % 3 = 1 then 'path' end as basis from v_graphs""")
+def a34_contract_propagation(spark, sf_dir):
+    g = view(spark, sf_dir, "v_graphs").select("graph_id")
+    text = F.when(F.col("graph_id") % 3 == 0, F.lit('{"format":"HTML"}')).when(F.col("graph_id") % 3 == 1, F.lit('{"file":"out/report.md"}')).otherwise(F.lit('{"a":1}'))
+    broken = g.select("graph_id", F.lit("format").alias("key"), F.lit("md").alias("from"), F.lit("html").alias("to"))
+    return evidence.contract_propagation(broken, json_leaves(g.withColumn("t", text), ["graph_id"], "t")).select("graph_id", "key", "status", "basis")
+
+
+@query("""select graph_id, 'the' as claim, string_agg(distinct case when contains(lower(output), ' the ') then agent_name end, ',' order by case when contains(lower(output), ' the ') then agent_name end) as found_in, count(*) as checked from v_conv group by 1""")
+def a35_required_facts(spark, sf_dir):
+    rules = spark.sql("select 'the' as name, 'substring' as match, ' the ' as pattern, false as case_sensitive")
+    out = evidence.required_facts(view(spark, sf_dir, "v_conv"), rules)
+    return out.select("graph_id", "claim", F.nullif(F.array_join("found_in", ","), F.lit("")).alias("found_in"), "checked")
+
+
+@query("""with c as (select graph_id, run_id, substring(output, 1, 12) as claim from v_conv where run_id = 0), b as (select c.graph_id, v.agent_name, c.claim, contains(lower(concat_ws(chr(10), v.input, v.output)), lower(c.claim)) as hit from c join v_conv v on v.graph_id = c.graph_id and v.run_id > 0)
+    select graph_id, claim, count(*) as checked, count(distinct case when hit then agent_name end) as holders from b group by 1, 2""")
+def a36_fact_propagation(spark, sf_dir):
+    conv = view(spark, sf_dir, "v_conv")
+    claims = conv.where("run_id = 0").select(*KEY, F.substring("output", 1, 12).alias("claim"))
+    edges = conv.where("run_id > 0").select("graph_id", (F.col("run_id") - 1).alias("from_run_id"), F.col("run_id").alias("to_run_id"))
+    return evidence.fact_propagation(claims, conv, graph.reach(edges)).select("graph_id", "claim", "checked", F.size("found_in").cast("bigint").alias("holders"))
+
+
+@query("""select v.graph_id, case when v.graph_id % 4 = 0 then 'deterministic' else 'judge' end as decided_by, case when v.graph_id % 3 = 0 then 'shipped' when v.graph_id % 3 = 1 then 'restored' end as contract_conformance,
+    case when verdict = 'ok' and v.graph_id % 3 = 0 then 'ok_content_breached_contract' when verdict = 'bad' and v.graph_id % 3 = 1 then 'bad_content_kept_contract' end as caveat from v_verdicts v""")
+def a42_terminal_axes(spark, sf_dir):
+    v = view(spark, sf_dir, "v_verdicts")
+    flags = v.select("graph_id", F.when(F.col("graph_id") % 4 == 0, F.array(F.lit("missing_required_section"))).otherwise(F.array(F.lit("cost_overrun"))).alias("hard"))
+    found = v.where("graph_id % 3 <> 2").select("graph_id", F.when(F.col("graph_id") % 3 == 0, "propagated").otherwise("corrected").alias("status"))
+    return evidence.terminal_axes(v, flags, found)
+
+
+@query("""select graph_id, slug, n from (select graph_id, 'unscored_runs' as slug, sum(case when score is null then 1 else 0 end) as n from v_runs group by 1 union all select graph_id, 'payload_missing', sum(case when unscored_reason = 'payload_missing' then 1 else 0 end) from v_runs group by 1) x where n > 0
+    union all select v.graph_id, 'verdict_conflict', count(*) from v_verdicts v join v_runs r on r.graph_id = v.graph_id and r.status = 'failed' where v.verdict = 'ok' group by 1""")
+def a25_notes(spark, sf_dir):
+    r = view(spark, sf_dir, "v_runs")
+    return evidence.notes(r, view(spark, sf_dir, "v_verdicts"), checks.run_failed(r)).withColumn("n", F.col("n").cast("decimal(38,0)"))
+
+
+@query("""select agent_name, key, type, required, nullable from (select l_returnflag as agent_name, 'qty' as key, 'number' as type, true as required, false as nullable from lineitem group by 1 union all select l_returnflag, 'status', 'string', true, false from lineitem group by 1) x""")
+def r11_suggest_schema(spark, sf_dir):
+    runs = sql(spark, sf_dir, "select l_orderkey as graph_id, l_linenumber as run_id, l_returnflag as agent_name, l_shipdate as started_at, to_json(named_struct('qty', l_quantity + 0.5, 'status', l_linestatus)) as output from lineitem")
+    return reports.suggest_schema(runs).select("agent_name", "key", "type", "required", "nullable")
+
+
+@query("""select cast(n_nationkey as string) as agent_name, 0 as ord, case when n_regionkey = 0 then 'format' else '' end as ignored, case when n_regionkey = 1 then 'not_an_object' end as problems from nation""")
+def r12_check_contract(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    text = F.when(F.col("n_regionkey") == 0, F.lit('{"type":"object","format":"date","required":["a"]}')).when(F.col("n_regionkey") == 1, F.lit("[1")).otherwise(F.lit('{"properties":{"a":{"type":"string"}}}'))
+    return reports.check_contract(n.select(F.col("n_nationkey").cast("string").alias("agent_name"), F.lit(0).alias("ord"), text.alias("json_schema")))
+
+
+@query("select cast(n_nationkey as string) as agent_name, case when n_nationkey % 4 = 0 then 'new' else 'old' end as json_schema from nation")
+def r13_replace_contract(spark, sf_dir):
+    old = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("agent_name"), F.lit("*").alias("version_glob"), F.lit("old").alias("json_schema"))
+    new = old.where("cast(agent_name as int) % 4 = 0").withColumn("json_schema", F.lit("new"))
+    return reports.replace_contract(old, new).select("agent_name", "json_schema")
+
+
 # ---- streaming ---------------------------------------------------------------------------------------------------------------------------------
 
 
