@@ -2,7 +2,7 @@
 
 Two lines within ``EDITS`` edits share one of EDITS + 1 segments, at a place that differs by few characters. Each distinct line
 is filed under the hashes of its segments, with its length; it probes the segments of lines as long or up to EDITS shorter at
-the places that the multi-match-aware selection leaves. Counts of some letters, which an edit changes by two at most, are
+the places that the multi-match-aware selection leaves. Counts of letters, of which an edit changes two by one at most, are
 compared inside the join, so that lines with a segment in common but much else apart make no rows. The others are verified by a
 banded bit-parallel edit distance. Equal lines are one line from the start; linked lines form classes.
 
@@ -19,8 +19,9 @@ from .components import components
 
 #: Edits, and the characters that a line needs to be compared by them; shorter lines are only compared exactly.
 EDITS, SHORTEST = 2, 24
-#: Frequent letters whose counts screen pairs.
-LETTERS = "etaonirs"
+#: Frequent letters whose counts screen pairs: four bits each in one number.
+LETTERS = "etaonirshdlucmpg"
+BITS = 4
 
 
 def _segments(n: int, length: Column) -> list[tuple[Column, Column]]:
@@ -33,20 +34,27 @@ def _segments(n: int, length: Column) -> list[tuple[Column, Column]]:
     return out
 
 
-def _keys(line: Column, length: Column, edits: int) -> Column:
-    """All (key, files, probes) of a line: its own segments do both, the others only probe."""
+def _keys(line: Column, length: Column, edits: int, probes: bool) -> Column:
+    """The keys under which a line is filed (its own segments), or all that it probes. A place outside the line gives a key of other
+    text: at worst one more pair to verify."""
     n = edits + 1
     out = []
-    for less in range(edits + 1):
+    for less in range(edits + 1 if probes else 1):
         other = length - less
         for i, (start, size) in enumerate(_segments(n, other), 1):
-            low, high = max(-(i - 1), less - (n - i)), min(i - 1, less + (n - i))
+            low, high = (max(-(i - 1), less - (n - i)), min(i - 1, less + (n - i))) if probes else (0, 0)
             for shift in range(low, high + 1):
-                at = start + shift
-                key = F.xxhash64(other, F.lit(i), F.substring(line, at + 1, size))
-                fits = (at >= 0) & (at + size <= length)
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("files"))))
-    return F.array_compact(F.array(*out))
+                out.append(F.xxhash64(other, F.lit(i), F.substring(line, start + (shift + 1), size)))
+    return F.array(*out)
+
+
+def _measures(line: Column) -> list[Column]:
+    """Length, and the letters' counts modulo 16 in one number."""
+    packed = F.lit(0).cast("long")
+    for i, x in enumerate(LETTERS):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft((count % (1 << BITS)).cast("long"), BITS * i))
+    return [F.length(line).alias("length"), packed.alias("letters")]
 
 
 def edit_distance(a: Column, b: Column, most: int) -> Column:
@@ -101,34 +109,38 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """Each text once: h, first (doc, line_no), line, length, letters; in buckets by h."""
+    each = lines.groupBy("h").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.min("line").alias("line"))
+    return common.bucketed(each.select("*", *_measures(F.col("line"))), "h", "lines")
+
+
 def line_links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b), a < b: hashes of different lines within ``edits`` edits; ``distinct`` has h and line, once each."""
-    length = F.length("line")
-    counts = [(length - F.length(F.replace(F.col("line"), F.lit(x), F.lit("")))).cast("short").alias(f"c{i}") for i, x in enumerate(LETTERS)]
-    lines = distinct.where(length >= SHORTEST).select("h", *counts, F.explode(_keys(F.col("line"), length, edits)).alias("k"))
-    # Eight counts of up to 255, one byte each: larger counts are taken modulo 256, differences likewise.
-    packed = F.lit(0).cast("long")
-    for i in range(len(LETTERS)):
-        packed = packed.bitwiseOR(F.shiftleft(F.pmod(F.col(f"c{i}"), F.lit(256)).cast("long"), 8 * i))
-    rows = lines.select(F.col("k.key").alias("key"), F.col("k.files").alias("files"), "h", packed.alias("letters")).repartition("key")
-    a, b = rows.where("files").alias("a"), rows.alias("b")
-    apart = F.lit(0).cast("long")
+    """(a, b), a < b: hashes of different lines within ``edits`` edits; ``distinct`` as ``distinct_lines`` gives it."""
+    lines = distinct.where(F.col("length") >= SHORTEST)
+    rows = lambda probes: lines.select("h", "letters", F.explode(_keys(F.col("line"), F.col("length"), edits, probes)).alias("key"))
+    a, b = rows(False).hint("shuffle_hash").alias("a"), rows(True).alias("b")  # the smaller side is hashed: no sort of the probes
+    apart, top = F.lit(0).cast("long"), (1 << BITS) - 1
     for i in range(len(LETTERS)):
-        gap = F.pmod(F.shiftrightunsigned(F.col("a.letters"), 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(F.col("b.letters"), 8 * i).bitwiseAND(F.lit(255)), F.lit(256))
-        apart = apart + F.least(gap, F.lit(256) - gap)
+        one, two = (F.shiftrightunsigned(f"{side}.letters", BITS * i).bitwiseAND(F.lit(top)) for side in "ab")
+        gap = (one - two).bitwiseAND(F.lit(top))
+        apart = apart + F.least(gap, F.lit(1 << BITS) - gap)
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")) & (apart <= 2 * edits))
     pairs = common.written(pairs.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b")).distinct(), "lines")
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("h"))
-    texts = distinct.select("h", "line").join(sides, "h").groupBy("a", "b").agg(F.max(F.when(F.col("h") == F.col("a"), F.col("line"))).alias("left"), F.max(F.when(F.col("h") == F.col("b"), F.col("line"))).alias("right"))
-    near = edit_distance(_characters(F.col("left")), _characters(F.col("right")), edits) <= edits
-    return common.written(texts.where(F.abs(F.length("left") - F.length("right")) <= edits).where(near).select("a", "b"), "lines")
+    # The characters become lists in the aggregation: inside the fold they would be taken apart again at every step.
+    side = lambda c: F.max(F.when(F.col("h") == F.col(c), _characters(F.col("line"))))
+    texts = distinct.select("h", "line").join(sides, "h").groupBy("a", "b").agg(side("a").alias("left"), side("b").alias("right"))
+    texts = texts.where(F.abs(F.size("left") - F.size("right")) <= edits)
+    texts = texts.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")  # few bytes, much work
+    return common.written(texts.where(edit_distance(F.col("left"), F.col("right"), edits) <= edits).select("a", "b"), "lines")
 
 
 def decisions(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """Every line (doc, line_no, h) with its links, the smallest document of its class, and whether it is kept: the first line of
     its class, by document and place."""
     lines = _lines(docs)
-    distinct = common.bucketed(lines.groupBy("h").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.min("line").alias("line")), "h", "lines")
+    distinct = distinct_lines(lines)
     links = line_links(distinct, edits)
     comps = components(links, "lines")
     of = distinct.select("h", "first").join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
