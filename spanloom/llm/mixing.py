@@ -20,6 +20,8 @@ TOLERANCE, STEPS = 1e-12, 60
 #: Documents of one source and size that are numbered in one task: so many, or this part of all rows if that is more. At most
 #: ``PARTS`` groups can be larger, so the table of larger groups is bounded and broadcast.
 RUN, PARTS = 20_000, 10_000
+#: Phases of the rounding that are tried.
+PHASES = 16
 
 
 def token_count(text: Column) -> Column:
@@ -66,7 +68,7 @@ def balance(sizes: DataFrame, goals: DataFrame) -> DataFrame:
 
 def rounded(docs: DataFrame, goals: DataFrame, most=MOST) -> DataFrame:
     """Documents with whole ``copies``: along a source's documents by size (then doc_id), document k of rate r gets
-    floor(k r) - floor((k - 1) r). Places are found without gathering a source: documents of one source and size are
+    floor(k r + u) - floor((k - 1) r + u), with a phase u of the source. Places are found without gathering a source: documents of one source and size are
     numbered in runs of bounded length, and window sums go over the runs' counts only."""
     key = ["source", "size"]
     run = max(RUN, docs.count() // PARTS)
@@ -84,8 +86,16 @@ def rounded(docs: DataFrame, goals: DataFrame, most=MOST) -> DataFrame:
     rate = F.least(F.lit(most), F.coalesce(F.exp("m"), F.lit(0.0)))
     place = F.col("before") + F.col("inner")
     d = d.join(goals.withColumn("name", name).drop("source"), "name")
-    copies = F.floor(place * rate + 1e-6) - F.floor((place - 1) * rate + 1e-6)
-    return d.withColumn("copies", F.least(F.lit(int(most)), copies).cast("long")).drop("name", "inner", "run", "before", "m")
+    d = common.written(d.withColumns({"place": place.cast("double"), "rate": rate}).drop("inner", "run", "before", "m"), "mixing")
+
+    def copies(phase: Column) -> Column:
+        return F.floor(F.col("place") * F.col("rate") + phase) - F.floor((F.col("place") - 1) * F.col("rate") + phase)
+
+    # Where the steps fall is free: of PHASES phases each source takes the one whose words come nearest its target.
+    sums = d.groupBy("name").agg(F.first("target").alias("goal"), *(F.sum(copies(F.lit(k / PHASES + 1e-6)) * F.col("size")).alias(f"s{k}") for k in range(PHASES)))
+    miss = F.array(*(F.struct(F.abs(F.col(f"s{k}") - F.col("goal")).alias("miss"), F.lit(k / PHASES + 1e-6).alias("phase")) for k in range(PHASES)))
+    d = d.join(sums.select("name", F.array_min(miss)["phase"].alias("phase")), "name")
+    return d.withColumn("copies", F.least(F.lit(int(most)), copies(F.col("phase"))).cast("long")).drop("name", "place", "rate", "phase")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
