@@ -951,6 +951,125 @@ def r13_replace_contract(spark, sf_dir):
     return reports.replace_contract(old, new).select("agent_name", "json_schema")
 
 
+# ---- further operators -----------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("select graph_id, run_id, 'create_order' as tool, 'total' as missing from v_calls where name = 'create_order' group by 1, 2")
+def c04_tool_args_invalid(spark, sf_dir):
+    calls = view(spark, sf_dir, "v_calls").withColumn("args", F.lit('{"id": 1}'))
+    rules = spark.sql("select 'create_order' as tool, array('id', 'total') as required union all select 'click', array('id')")
+    return checks.tool_args_invalid(calls, rules).select(*KEY, "params.tool", "params.missing")
+
+
+@query("select graph_id, run_id, cast(tokens_out as string) as tokens_out from v_runs where input_flawed and tokens_out > 0")
+def c07_empty_output(spark, sf_dir):
+    return checks.empty_output(view(spark, sf_dir, "v_runs").withColumn("output", F.when(F.col("input_flawed"), F.lit("  ")))).select(*KEY, "params.tokens_out")
+
+
+@query("select o_orderkey as graph_id from orders where o_custkey % 3 <> 2")
+def c08_zero_result_set(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    out = F.when(F.col("o_custkey") % 3 == 0, F.lit('{"hits": [], "total": 0}')).when(F.col("o_custkey") % 3 == 1, F.concat(F.lit('{"q": "'), "o_orderpriority", F.lit('"}'))).otherwise(F.lit('{"hits": [1]}'))
+    return checks.zero_result_set(o.select(F.col("o_orderkey").alias("graph_id"), F.lit(0).cast("bigint").alias("run_id"), F.concat(F.lit("find "), "o_orderpriority", F.lit(" now")).alias("input"), out.alias("output"))).select("graph_id")
+
+
+@query("select o_orderkey as graph_id, case when o_custkey % 2 = 0 then 'too_small' else 'kind_mismatch' end as code from orders")
+def c19_artifact_integrity(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    meta = F.when(F.col("o_custkey") % 2 == 0, F.lit('[{"path":"a.pdf","exists":true,"size":10,"ext":"pdf","detected_kind":"pdf","parse_ok":true,"nonempty":true}]')).otherwise(F.lit('[{"path":"a.docx","exists":true,"size":900,"ext":"docx","detected_kind":"text","parse_ok":true,"nonempty":true}]'))
+    return checks.artifact_integrity(o.select(F.col("o_orderkey").alias("graph_id"), F.lit(0).alias("run_id"), meta.alias("artifact_meta"))).select("graph_id", "code")
+
+
+@query("select graph_id, run_id, case when agent_version = 'R' then 'first' else 'any' end as json_schema from v_runs where cast(agent_name as int) < 50")
+def c21_select_contract(spark, sf_dir):
+    agents = table(spark, sf_dir, "supplier").where("s_suppkey < 50").select(F.col("s_suppkey").cast("string").alias("agent_name"))
+    contracts = agents.select("agent_name", F.lit("R*").alias("version_glob"), F.lit("first").alias("json_schema"), F.lit(1).alias("ord")).union(agents.select("agent_name", F.lit("?"), F.lit("any"), F.lit(2)))
+    return checks.select_contract(view(spark, sf_dir, "v_runs"), contracts).select(*KEY, "json_schema")
+
+
+@query("select l_orderkey as graph_id, count(*) * 2 as n, round(sum(l_quantity + l_extendedprice), 2) as total from lineitem group by 1")
+def c22_payload_numbers(spark, sf_dir):
+    rows = sql(spark, sf_dir, "select l_orderkey as graph_id, array_join(collect_list(concat_ws(';', 'row', cast(cast(l_quantity as decimal(20,2)) as string), replace(cast(cast(l_extendedprice as decimal(20,2)) as string), '.', ','))), chr(10)) as t from lineitem group by l_orderkey")
+    out = checks.payload_numbers(rows, ["graph_id"], "t").groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return out.withColumn("total", _r("total", 2))
+
+
+@query(f"""with recursive {SCC}, b as (select distinct m.graph_id, m.scc from member m where m.status = 'failed'), first as (select b.* from b where not exists (select 1 from b a join node x on x.graph_id = a.graph_id and x.scc = a.scc join node y on y.graph_id = b.graph_id and y.scc = b.scc
+    join reach r on r.graph_id = a.graph_id and r.src = x.exit_run and r.dst = y.exit_run where a.graph_id = b.graph_id and a.scc <> b.scc)) select graph_id, scc, false as unknown_upstream from first""")
+def a10_deterministic_origins(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    s = o.sccs()
+    failed = o.runs.where("status = 'failed'").join(graph.membership(s), KEY).select("graph_id", "scc", F.lit("status").alias("key"), F.lit("failed").alias("value")).distinct()
+    order = reconstruct.cut(s.select("graph_id", "scc", F.col("end_time").alias("topo")))
+    return graph.deterministic_origins(failed, s, failed, o.up(), order).select("graph_id", "scc", "unknown_upstream")
+
+
+@query("select graph_id, run_id, case when score < 0.2 and status = 'failed' then 'both' when score < 0.2 then 'content' else 'deterministic' end as via from v_runs where score < 0.2 or status = 'failed'")
+def a12_merge_channels(spark, sf_dir):
+    r = view(spark, sf_dir, "v_runs")
+    return graph.merge_channels(r.where("score < 0.2"), r.where("status = 'failed'"))
+
+
+@query("select report_id, round(least(confidence, case when report_type = 'multi_culprit' then 0.8 else 1.0 end, case when report_type = 'cut_point' and version = 1 then 0.7 else 1.0 end), 6) as confidence from v_reports")
+def a17_capped(spark, sf_dir):
+    no = F.lit(False)
+    return _n(view(spark, sf_dir, "v_reports").select("report_id", graph.capped(F.col("confidence"), F.col("report_type"), F.col("version") == 1, no, no).alias("confidence")))
+
+
+@query("""select graph_id, run_id, case when score < 0.05 then 'culprit' when unscored_reason is not null then 'unscored_' || unscored_reason when score is null then 'unscored' when input_flawed then 'input_flawed' when verifier and score < 0.5 then 'verifier_low_score' when score < 0.5 then 'drop_too_small' else 'healthy' end as reason from v_runs""")
+def a23_candidacy(spark, sf_dir):
+    none = F.lit(None).cast("double")
+    r = view(spark, sf_dir, "v_runs").withColumns({"is_culprit": F.coalesce(F.col("score") < 0.05, F.lit(False)), "shadowed": F.lit(False), "in_loop": F.lit(False), "kind": F.lit(None).cast("string"), "base": none, "drop": none})
+    return graph.candidacy(r)
+
+
+@query("select r.graph_id, min(r.run_id) as run_id, 0.65e0 as confidence from v_runs r join v_verdicts v on v.graph_id = r.graph_id where v.bad and not r.verifier and r.input_flawed group by 1")
+def a26_fabrication_origin(spark, sf_dir):
+    r = view(spark, sf_dir, "v_runs").withColumn("content_flag", F.col("input_flawed"))
+    order = r.select("graph_id", F.col("run_id").alias("scc"), F.col("end_time").alias("topo"))
+    return graph.fabrication_origin(r, view(spark, sf_dir, "v_verdicts"), order, r.where("false"))
+
+
+@query("select graph_id, claim from (select graph_id, 'zzz' as claim, count(*) as k from v_conv where run_id > 0 group by 1) x where k > 0")
+def a38_field_drop(spark, sf_dir):
+    conv = view(spark, sf_dir, "v_conv")
+    claims = conv.where("run_id = 0").select(*KEY, F.lit("zzz").alias("claim"))
+    edges = conv.where("run_id > 0").select("graph_id", (F.col("run_id") - 1).alias("from_run_id"), F.col("run_id").alias("to_run_id"))
+    return evidence.field_drop(evidence.fact_propagation(claims, conv, graph.reach(edges))).select("graph_id", "params.claim")
+
+
+@query("select graph_id, 1 as origin, round(case when graph_id % 2 = 0 then confidence * 0.6 else confidence end, 6) as weight from v_reports where is_latest union all select graph_id, 9, round(confidence * 0.4, 6) from v_reports where is_latest and graph_id % 2 = 0")
+def a39_reconcile_evidence(spark, sf_dir):
+    r = view(spark, sf_dir, "v_reports").where("is_latest").select("graph_id", F.lit(1).alias("run_id"), "confidence")
+    facts = r.select("graph_id", F.lit("budget").alias("claim"), F.when(F.col("graph_id") % 2 == 0, F.array(F.lit("writer"))).otherwise(F.array(F.lit("editor"))).alias("found_in"))
+    return _n(evidence.reconcile_evidence(r, facts, r.select("graph_id", F.lit(9).alias("run_id"), F.lit("editor").alias("agent_name"))))
+
+
+@query("select graph_id, case when graph_id % 3 = 0 then 'terminal_asks_for_original' else 'terminal_accepts_rewrite' end as slug, 'format' as key from v_verdicts where graph_id % 3 <> 2")
+def a40_requirement_provenance(spark, sf_dir):
+    v = view(spark, sf_dir, "v_verdicts").select("graph_id", F.when(F.col("graph_id") % 3 == 0, "wanted Markdown").when(F.col("graph_id") % 3 == 1, "the html is fine").otherwise("fine").alias("reasoning"))
+    broken = v.select("graph_id", F.lit("format").alias("key"), F.lit("markdown").alias("from"), F.lit("html").alias("to"))
+    return evidence.requirement_provenance(broken, v)
+
+
+@query("select cast(o_custkey as string) as agent_name, 'closed' as from_state, 'open' as to_state from orders group by 1 having count(*) >= 15")
+def w09_control_signals(spark, sf_dir):
+    from ..streaming import live
+
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("agent_name")).agg(F.count(F.lit(1)).alias("n"))
+    state = lambda df: df.select("agent_name", F.when(F.col("n") >= 15, "open").otherwise("closed").alias("state"))
+    return live.control_signals(state(n.withColumn("n", F.lit(0))), state(n))
+
+
+@query("select event_id, 'not_parsed' as error from events where event_id % 9 = 0")
+def w08_quarantine(spark, sf_dir):
+    from ..streaming import live
+
+    e = table(spark, sf_dir, "events").withColumn("raw", F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("{"), F.col("event_id").cast("string"))).otherwise(F.col("props"))).withColumn("parsed", F.get_json_object("raw", "$.k"))
+    _, dead = live.quarantine(e, "raw", "parsed")
+    return dead.select(F.substring("payload", 2, 20).cast("bigint").alias("event_id"), "error")
+
+
 # ---- streaming ---------------------------------------------------------------------------------------------------------------------------------
 
 
