@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Distinct pieces kept from one batch to the next; beyond it a task starts a new memory of pieces.
-PIECES = 300_000
+PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -172,7 +172,7 @@ def bpe_codec(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: bool
         codec = _Codec(_worker(shared.value), pattern)
         gc.disable()  # millions of strings live on and no cycles are made: looking for them takes longer than the merges
         for part in parts:
-            for rows in common.batches(part):
+            for rows in common.batches(part, most=4 << 20):
                 n, ids, decoded, kept, raw = [], [], [], [], []
                 for count, text, data in codec.encode(rows.column(rows.schema.get_field_index("text")).to_pylist()):
                     n.append(count)
@@ -185,4 +185,4 @@ def bpe_codec(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: bool
                 out += [pa.array(kept, pa.list_(pa.int32())), pa.array(raw, pa.binary())] if keep else []
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
+    return docs.select("doc_id", "text").mapInArrow(common.task(run), T.StructType(fields))

@@ -127,7 +127,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, held_out) -> DataFram
             weights, bias = train(rows.text.tolist(), rows.quality.to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
-    model = sample.coalesce(1).mapInArrow(fit, "weights binary, bias double").collect()
+    model = sample.coalesce(1).mapInArrow(common.task(fit), "weights binary, bias double").collect()
     weights = spark.sparkContext.broadcast((bytes(model[0].weights), model[0].bias) if model else (bytes(4 * ROWS), 0.0))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
@@ -138,4 +138,4 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, held_out) -> DataFram
                 found = score(rows.column(2).to_pylist(), table, bias)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found), pa.array((found >= 0.7).astype(np.int32))], names=schema.names)
 
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(common.task(run), schema)

@@ -146,8 +146,8 @@ def language_id(docs: DataFrame, held_out) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, models = [x for x, _ in shared.value], [Automaton(t) for _, t in shared.value]
         for part in parts:
-            for rows in common.batches(part, most=4 << 20):
+            for rows in common.batches(part):
                 names, scores = identify(rows.column(2).to_pylist(), langs, models)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
 
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(common.task(run), schema)

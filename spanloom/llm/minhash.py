@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists], schema=pa.schema([(rows.schema.names[0], rows.schema.types[0]), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), pa.field("sketch", pa.list_(pa.int64()))]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(common.task(run), schema)
 
 
 def _estimate(a: Column, b: Column) -> Column:
@@ -151,14 +151,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                             b.append(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(common.task(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id: an integer).
 
-    A null or empty text has no shingles and is linked with nothing. A row without an id is linked with nothing, its
-    component_id is null and it is kept. Rows that repeat an id are each judged by their own text. Other columns are ignored; no rows give no rows.
+    A null or empty text has no shingles and is linked with nothing. A row without an id goes with a
+    document of the same set of shingles, if there is one; else it is linked with nothing, its component_id is null and it is kept. Rows that repeat an id are each judged by their own text. Other columns are ignored; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = common.written(sketches(docs, size), "minhash")

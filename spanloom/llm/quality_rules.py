@@ -127,7 +127,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
                 found = measure(rows.column(rows.schema.get_field_index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(found[c]) for c, _ in _COLUMNS)], names=["doc_id", *(c for c, _ in _COLUMNS)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(common.task(run), schema)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -138,4 +138,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
             for rows in common.batches(part):
                 yield rows.filter(pa.array(measure(rows.column(rows.schema.get_field_index("text")).to_pylist())["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.task(run), docs.schema)

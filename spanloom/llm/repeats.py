@@ -206,8 +206,8 @@ def repeated_spans(docs: DataFrame, heavy: int | None = None) -> DataFrame:
             for rows in common.batches(part):
                 yield _runs(rows)
 
-    dealt = docs.mapInArrow(first, _RUN_DDL).repartition("anchor").sortWithinPartitions("anchor", "key", "doc", "start")
-    found = common.written(dealt.mapInArrow(_settle, _RUN_DDL), "repeats")
+    dealt = docs.mapInArrow(common.task(first), _RUN_DDL).repartition("anchor").sortWithinPartitions("anchor", "key", "doc", "start")
+    found = common.written(dealt.mapInArrow(common.task(_settle), _RUN_DDL), "repeats")
     settled = found.where("count < 0").select("doc", "start", (-F.col("count")).alias("count"))
 
     # Of the first runs, those that share the bytes beside the anchor on a side on which they have windows; only these windows.
@@ -220,15 +220,15 @@ def repeated_spans(docs: DataFrame, heavy: int | None = None) -> DataFrame:
     high = F.when(F.col("has_r"), F.col("count")).otherwise(F.least(F.col("count"), F.col("offset") - SIDE + 1))
     edge = edge.where("has_l or has_r").select("anchor", "doc", (F.col("start") + low).alias("start"), (high - low).cast("int").alias("count")).where("count > 0")
     wanted = edge.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("wanted"))
-    body = common.written(docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_bodies, "anchor long, doc long, start long, count int, body binary"), "repeats")
+    body = common.written(docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(common.task(_bodies), "anchor long, doc long, start long, count int, body binary"), "repeats")
 
     sizes = body.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("bytes"))
     crowded = common.written(sizes.where(F.col("n") > heavy).select("anchor"), "repeats")
     bytes_, = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()
     parts = max(1, -(-int(bytes_) // PART_BYTES))
     light = body.join(crowded, "anchor", "left_anti").select("anchor", "doc", "start", "count", "body")
-    merged = common.written(light.repartition(parts, "anchor").mapInArrow(_merged, "doc long, start long, count int"), "repeats")
-    windows = body.join(crowded, "anchor").select("anchor", "doc", "start", "count", "body").mapInArrow(_windows, "hash binary, doc long, start long")
+    merged = common.written(light.repartition(parts, "anchor").mapInArrow(common.task(_merged), "doc long, start long, count int"), "repeats")
+    windows = body.join(crowded, "anchor").select("anchor", "doc", "start", "count", "body").mapInArrow(common.task(_windows), "hash binary, doc long, start long")
     first_of = windows.groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("first"))
     rest = windows.join(first_of, "hash").where("struct(doc, start) <> first").select("doc", "start", F.lit(1).alias("count"))
     return settled.unionByName(merged).unionByName(rest)
@@ -246,4 +246,4 @@ def remove_repeats(docs: DataFrame, heavy: int | None = None) -> DataFrame:
     spans = repeated_spans(base, heavy).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("found"))
     rows = base.join(spans, "doc", "left").select(F.when(F.col("doc") < last, F.col("doc")).alias("doc_id"), "text", "found")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
-    return rows.mapInArrow(_cut, schema)
+    return rows.mapInArrow(common.task(_cut), schema)
