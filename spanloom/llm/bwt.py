@@ -31,7 +31,7 @@ class Shard:
             key = key * 256 + text[after(k)]
         depth, order, rank = 7, None, None
         while True:  # prefix doubling, to at least 100 bytes
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.zeros(n, np.int64)
             new[1:] = np.diff(key[order]) != 0
             rank = np.empty(n, np.int64)
@@ -51,15 +51,18 @@ def merge(shards: list[Shard], depth: int = 100) -> tuple[np.ndarray, np.ndarray
     sizes = [len(s.transform) for s in shards]
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
     interval = np.zeros(len(source), np.int32)
-    symbols = np.concatenate([s.transform for s in shards])
+    transforms = np.concatenate([s.transform for s in shards])
+    symbols = transforms
+    by, new = np.empty_like(symbols), np.zeros(len(symbols), bool)
     for _ in range(-(-depth // 2)):
         place = np.argsort(symbols, kind="stable")  # of 16-bit numbers: a radix sort
-        source, had, by = source[place], interval[place], symbols[place]
-        new = np.empty(len(by), bool)
-        new[:1] = False
-        new[1:] = (by[1:] != by[:-1]) | (had[1:] != had[:-1])
+        source, had = source[place], interval[place]
+        by = symbols[place]
+        np.not_equal(by[1:], by[:-1], out=new[1:])
+        new[1:] |= had[1:] != had[:-1]
         interval = np.cumsum(new, dtype=np.int32)
-        symbols = np.empty(len(by), np.uint16)
-        for k, s in enumerate(shards):  # each shard's transform runs along its own suffixes
-            symbols[source == k] = s.transform
+        symbols = np.empty_like(transforms)
+        symbols[np.argsort(source, kind="stable")] = transforms  # each shard's transform runs along its own suffixes
+        if interval[-1] == len(interval) - 1:
+            break  # no two suffixes are alike any more
     return source, interval
