@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from spanloom.llm import anchors, brown, bpe, bwt, classifier, common, exact_dedup, language, line_dedup, minhash, mixing, quality_rules, repeats
+from spanloom.llm import anchors, brown, bpe, bwt, classifier, common, components, exact_dedup, language, line_dedup, minhash, mixing, quality_rules, repeats
 from spanloom.llm.queries import tokenizers
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean"
@@ -156,6 +156,17 @@ def components_of(sets, links):
     return {i: find(i) for i in sets}
 
 
+def test_components_of_long_paths(spark):
+    r = random.Random(5)
+    ids = list(range(1, 3001))
+    r.shuffle(ids)
+    links = list(zip(ids, ids[1:])) + [(5000 + i, 5001 + i) for i in range(300)] + [(9000, 9000), (9001, 9002), (9002, 9001)]
+    got = {x.node: x.comp for x in components.components(spark.createDataFrame(links, "a long, b long"), "test").collect()}
+    want = {i: 1 for i in ids} | {i: 5000 for i in range(5000, 5301)} | {9000: 9000, 9001: 9001, 9002: 9001}
+    assert got == want
+    assert components.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
 def test_near_duplicates(spark, docs, none):
     r = random.Random(8)
     base = sentence(r, 150).split()
