@@ -13,6 +13,7 @@ one component are compared further; the last round compares every pair of a list
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,26 +94,29 @@ def _estimate(a: Column, b: Column) -> Column:
 
 
 def _lists(reps: DataFrame) -> DataFrame:
-    """(value, rep) for the rarest values of each sketch that occur in several."""
-    values = reps.select("rep", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+    """(value, rep, size) for the rarest values of each sketch that occur in several; size: shingles of rep."""
+    values = reps.select("rep", F.col("n").alias("size"), F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     common_values = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = values.join(common_values, "value").groupBy("rep", "k").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("found"))
+    found = values.join(common_values, "value").groupBy("rep", "size", "k").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("found"))
     room = F.col("k") - F.floor(F.col("k") * (LEAST / K)) + 1 - (F.col("k") - F.size("found"))  # after the values of its own
     return (found.withColumn("room", room.cast("int")).where("room > 0")
-            .select("rep", F.explode(F.slice("found", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.value").alias("value"), "rep"))
+            .select("rep", "size", F.explode(F.slice("found", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.value").alias("value"), "rep", "size"))
 
 
 def _candidates(lists: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components within lists: all of short lists (in the last round of all), else pivots and members."""
+    """Pairs (a, b) of different components within lists: all of short lists (in the last round of all), else pivots and members.
+
+    Documents whose sizes alone keep them apart never meet: pairs are joined by bands of sizes 1.3 times apart, of which like sizes
+    are in one or in two adjacent ones."""
     now = lists.withColumn("comp", F.col("rep")) if comps is None else lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     order = F.xxhash64(F.col("rep"), F.lit(turn))
     about = now.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("p0"),
                                      F.min_by("rep", order).alias("p1"), F.max_by("rep", order).alias("p2")).where("n > 1 and lo <> hi")
     short = about if turn >= ROUNDS else about.where(F.col("n") <= SHORT)
     long = about.limit(0) if turn >= ROUNDS else about.where(F.col("n") > SHORT)
-    mine = now.join(short.select("value"), "value")
-    other = mine.select("value", F.col("rep").alias("b"), F.col("comp").alias("b_comp"))
-    every = mine.join(other, "value").where("rep < b and comp <> b_comp").select(F.col("rep").alias("a"), "b")
+    mine = now.join(short.select("value"), "value").withColumn("band", F.floor(F.log("size") / math.log(1.3)))
+    other = mine.select("value", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("rep").alias("b"), F.col("comp").alias("b_comp"), F.col("size").alias("b_size"))
+    every = mine.join(other, ["value", "band"]).where("rep < b and comp <> b_comp and 100 * least(size, b_size) >= 80 * greatest(size, b_size)").select(F.col("rep").alias("a"), "b")
     pivots = now.join(long.select("value", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("a")), "value").where("a <> rep")
     return every.union(pivots.select("a", F.col("rep").alias("b"))).distinct()
 
@@ -168,17 +172,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = common.written(reps, "minhash")
     lists = common.written(_lists(reps), "minhash")
     links, comps, tested = None, None, None
-    for turn in range(ROUNDS + 1):
+    turn = 0
+    while turn <= ROUNDS:
         pairs = _candidates(lists, comps, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = common.written(pairs, "minhash")
-        if not pairs.limit(1).count():
-            break
+        if not pairs.limit(1).count():  # pivots that have met all members before; only the last round ends the search
+            turn = max(turn + 1, ROUNDS)
+            continue
         tested = pairs if tested is None else tested.union(pairs)
         good = common.written(_confirmed(common.written(_promising(pairs, reps), "minhash"), docs, size, percent), "minhash")
         links = good if links is None else links.union(good)
         comps = components(links, "minhash")
+        turn += 1
     out = every.join(classes, key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     if comps is not None:
         out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))

@@ -187,6 +187,37 @@ def test_near_duplicates(spark, docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("first, linked", [(3, (6, 7)), (0, (1, 2))])
+def test_link_that_no_pivot_meets(spark, first, linked):
+    """Six documents with one sketch, so every list holds the same members; the only link lies between two that are no pivots in
+    the first rounds (by their ids), and later pivots bring no pair that is new."""
+    base = [f"word{i}" for i in range(400)]
+    h, _ = minhash.shingle_sets([" ".join(base)], 5)
+    at = iter(range(10, 395, 5))
+
+    def edit(words):
+        for p in at:
+            for k in range(2000):
+                new = words[:p] + [f"new{p}x{k}"] + words[p + 1 :]
+                if (minhash.shingle_sets([" ".join(new)], 5)[0][: minhash.K] == h[: minhash.K]).all():
+                    return new
+                if k == 0 and not (np.isin(h[: minhash.K], minhash.shingle_sets([" ".join(new)], 5)[0])).all():
+                    break  # a shingle of the sketch stands here
+        raise AssertionError("no place left")
+
+    texts = {}
+    for i in range(first, first + 6):
+        words_now = base
+        for _ in range(4 if i in linked else 8):
+            words_now = edit(words_now)
+        texts[i] = " ".join(words_now)
+    sets = {i: shingles(t, 5) for i, t in texts.items()}
+    assert [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])] == [linked]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs).collect()}
+    assert got == {i: linked[0] if i in linked else i for i in texts}
+
+
 def test_line_dedup(spark, docs, none):
     text = {}
     for d in rows():
