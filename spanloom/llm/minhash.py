@@ -4,11 +4,19 @@ The k smallest hashes of a document's shingles are its sketch. Documents with th
 start. Inverted lists of retained values give candidates; the overlap of two sketches within the sketch of their union
 estimates their Jaccard similarity and filters; the full sets, made again from the texts, decide.
 
-A pair with similarity 0.8 shares some 80 % of the union's sketch, so two documents that share fewer than ``LEAST`` of k = 32
-values are linked with a probability below one in a million. Hence only the ``k - LEAST + 1`` rarest values of a
-document need to be listed: passages common to many documents fill no lists. What lists remain long hold documents that are
-alike in most of their content. There a few pivots meet all members, and after each round only members that are not yet in
-one component are compared further; the last round compares every pair of a list that is still in two components.
+Two documents at the threshold share so many values of their sketches that listing a document under its rarest few is enough:
+if o values are common, the rarest common one is among the k - o + 1 rarest of either side. o is set so that a linked pair has
+fewer with a probability of one in a million at most; where both sets are complete, o is exact.
+
+* First level, all documents, k = 32. Lists of up to ``SHORT`` members give all their pairs.
+* Second level, only members of longer lists, k = 1,024: nearly always the whole set. Lists are kept by bands of sizes 5 % apart,
+  since two sets of like size must share nearly 8/9 of their values: the larger document probes the bands of partners down to 4/5
+  of its size. A common passage, or a group of copies that have drifted apart, gives long lists on the first level and few on this.
+  In some rounds one pivot a list meets the others, so that groups of copies become one component with few comparisons. In
+  the last round the rows outside a list's largest component meet all rows of other components.
+
+Within the joins, places in the two orders and parity words (a bit for each of 512 buckets; differing bits can't outnumber the
+values in one set only) shut out pairs that can't reach the threshold, so these make no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +35,25 @@ from pyspark.sql import types as T
 from . import common
 from .components import components
 
-K, LEAST = 32, 12
-#: Lists up to this length give all pairs at once; longer ones give pivots for so many rounds first. Members of one pivot in one task.
-SHORT, ROUNDS, MEMBERS = 5, 3, 400
-#: The estimate has a standard deviation of 0.07 at similarity 0.8: five of them below it.
-MARGIN = 0.35
+#: Sizes of the sketches of the first and the second level, and bits of the parity words.
+K, K2, BITS = 32, 1024, 512
+#: Lists up to this length give all pairs at once. Rounds of pivots in longer ones. Members of one pivot in one task.
+SHORT, ROUNDS, MEMBERS = 6, 4, 400
+#: Ratio of sizes within one band of the second level.
+BAND = 1.05
+#: Chance that a pair at the threshold shares fewer values than assumed, and the standard deviations that this is.
+MISS, SIGMAS = 1e-6, 4.9
+
+
+def least_common(k: int, share: float) -> int:
+    """The number of successes that k draws of chance ``share`` fail to reach with a probability of MISS at most."""
+    total, n = 0.0, 0
+    while n < k:
+        total += math.comb(k, n) * share**n * (1 - share) ** (k - n)
+        if total > MISS:
+            break
+        n += 1
+    return n
 
 
 def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +87,10 @@ def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.nda
     return h, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (number of shingles), two sums that name the set, and its sketch."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType(), False))])
+def sketches(docs: DataFrame, size: int, k: int, parity: bool = False) -> DataFrame:
+    """doc_id, n (number of shingles), two sums that name the set, its sketch of k values, and the parity words of the whole set."""
+    fields = [docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n", "s1", "s2")), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("sketch", "parity")[: 1 + parity])]
+    names = [x.name for x in fields]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -78,13 +101,18 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 for salt in (0, 1):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(h ^ np.uint64(salt * 0xA5A5A5A5A5A5)), dtype=np.uint64)])
                     sums.append((total[cut[1:]] - total[cut[:-1]]).view(np.int64))
-                take = np.minimum(n, K)
+                take = np.minimum(n, k)
                 at = np.repeat(cut[:-1] - np.concatenate([[0], np.cumsum(take)[:-1]]), take) + np.arange(int(take.sum()))
                 values = (h[at] >> np.uint64(1)).view(np.int64)  # positive, in the same order
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists], schema=pa.schema([(rows.schema.names[0], rows.schema.types[0]), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), pa.field("sketch", pa.list_(pa.int64()))]))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(values))]
+                if parity:
+                    bucket = np.repeat(np.arange(len(n)), n) * BITS + (common.mix(h) % np.uint64(BITS)).astype(np.int64)
+                    odd = (np.bincount(bucket, minlength=len(n) * BITS) & 1).astype(np.uint8)
+                    words = np.packbits(odd).view(np.int64)
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), *lists], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(common.task(run), schema)
+    return docs.select("doc_id", "text").mapInArrow(common.task(run), T.StructType(fields))
 
 
 def _estimate(a: Column, b: Column) -> Column:
@@ -93,39 +121,101 @@ def _estimate(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
-def _lists(reps: DataFrame) -> DataFrame:
-    """(value, rep, size) for the rarest values of each sketch that occur in several; size: shingles of rep."""
-    values = reps.select("rep", F.col("n").alias("size"), F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    common_values = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = values.join(common_values, "value").groupBy("rep", "size", "k").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("found"))
-    room = F.col("k") - F.floor(F.col("k") * (LEAST / K)) + 1 - (F.col("k") - F.size("found"))  # after the values of its own
-    return (found.withColumn("room", room.cast("int")).where("room > 0")
+def _ranked(sketched: DataFrame) -> DataFrame:
+    """rep, s1, size, k, found: the values of each sketch that occur in others too, the rarest first, with the place of each in the
+    order of all its values (those that occur once come first)."""
+    values = sketched.select("rep", "s1", F.col("n").alias("size"), F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+    several = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = values.join(several, "value").groupBy("rep", "s1", "size", "k").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("found"))
+    return found.withColumn("own", F.col("k") - F.size("found"))
+
+
+def _lists(reps: DataFrame, share: float) -> DataFrame:
+    """(value, rep, size) of the first level: the rarest values of each sketch that occur in several."""
+    # Of a set so small that its partners' sketches are complete too, the least number of common values is exact.
+    rooms = [k - (math.ceil(share * k - 1e-9) if k <= share * K else least_common(k, share)) + 1 for k in range(1, K + 1)]
+    room = F.element_at(F.array(*map(F.lit, rooms)), F.col("k")) - F.col("own")
+    return (_ranked(reps).withColumn("room", room.cast("int")).where("room > 0")
             .select("rep", "size", F.explode(F.slice("found", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.value").alias("value"), "rep", "size"))
 
 
-def _candidates(lists: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components within lists: all of short lists (in the last round of all), else pivots and members.
+def _short_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the lists of up to SHORT members, and the members of longer lists."""
+    about = lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = lists.join(about, "value")
+    groups = lists.where(F.col("n") <= SHORT).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("rep", "size"))).alias("m"))
+    each = groups.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.lit(SHORT))).alias("y"))
+    pairs = each.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.size").alias("an"), F.col("y.size").alias("bn"))
+    return pairs, lists.where(F.col("n") > SHORT).select("rep").distinct()
+
+
+def _like_sizes(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _second_lists(sketched: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(value, band, rep, size, k, place, parity) of the second level, twice: what is filed and what is probed.
 
-    Documents whose sizes alone keep them apart never meet: pairs are joined by bands of sizes 1.3 times apart, of which like sizes
-    are in one or in two adjacent ones."""
-    now = lists.withColumn("comp", F.col("rep")) if comps is None else lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    order = F.xxhash64(F.col("rep"), F.lit(turn))
-    about = now.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("p0"),
-                                     F.min_by("rep", order).alias("p1"), F.max_by("rep", order).alias("p2")).where("n > 1 and lo <> hi")
-    short = about if turn >= ROUNDS else about.where(F.col("n") <= SHORT)
-    long = about.limit(0) if turn >= ROUNDS else about.where(F.col("n") > SHORT)
-    mine = now.join(short.select("value"), "value").withColumn("band", F.floor(F.log("size") / math.log(1.3)))
-    other = mine.select("value", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("rep").alias("b"), F.col("comp").alias("b_comp"), F.col("size").alias("b_size"))
-    every = mine.join(other, ["value", "band"]).where("rep < b and comp <> b_comp and 100 * least(size, b_size) >= 80 * greatest(size, b_size)").select(F.col("rep").alias("a"), "b")
-    pivots = now.join(long.select("value", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("a")), "value").where("a <> rep")
-    return every.union(pivots.select("a", F.col("rep").alias("b"))).distinct()
+    A document is filed under its band for partners as large or larger, and probes its own band and the smaller ones."""
+    share = percent / 100
+    both = share / (1 + share)  # common values are at least this part of both sizes together
+    n, k = F.col("size"), F.col("k")
+    ranked = common.written(_ranked(sketched).join(sketched.select("rep", "s1", "parity"), ["rep", "s1"]), "minhash")
+    band = lambda x: F.floor(F.log(x) / math.log(BAND) + 1e-9).cast("int")
 
+    def rows(rooms: Column, bands: Column) -> DataFrame:
+        some = ranked.withColumn("band", bands).withColumn("room", (rooms - F.col("own")).cast("int")).where("room > 0")
+        each = some.select("rep", "size", "k", "own", "parity", "band", F.posexplode(F.slice("found", F.lit(1), F.col("room"))).alias("i", "x"))
+        return each.select(F.col("x.value").alias("value"), "band", "rep", "size", "k", (F.col("own") + F.col("i")).alias("place"), "parity")
 
-def _promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    a = reps.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ask"))
-    b = reps.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsk"))
-    out = pairs.join(a, "a").join(b, "b").where(100 * F.least("an", "bn") >= 80 * F.greatest("an", "bn"))
-    return out.where(_estimate(F.col("ask"), F.col("bsk")) >= 0.8 - MARGIN).select("a", "b")
+    whole = F.ceil(n / share) <= K2
+    filed = rows(F.when(whole, n - F.ceil(2 * both * n - 1e-9) + 1).otherwise(k - F.floor(share * k - SIGMAS * math.sqrt(share * (1 - share)) * F.sqrt(k)) + 1), band(n))
+    low = F.greatest(F.ceil(F.pow(F.lit(BAND), F.col("band")) - 1e-6), F.ceil(share * n - 1e-9))
+    part = F.least(F.lit(1.0), both * (1 + F.least(low, n) / n))
+    sampled = k - F.floor(part * k - SIGMAS * F.sqrt(part * (1 - part) * k)) + 1
+    probed = rows(F.when(F.greatest(n, F.pow(F.lit(BAND), F.col("band") + 1)) <= K2, n - F.ceil(part * n - 1e-9) + 1).otherwise(sampled), F.explode(F.sequence(band(F.greatest(F.ceil(share * n - 1e-9), F.lit(1))), band(n))))
+    filed = common.written(filed, "minhash")
+    there = filed.select("value", "band").distinct()
+    return filed, common.written(probed.join(there, ["value", "band"], "left_semi"), "minhash")
+
+
+def _possible(percent: int) -> Column:
+    """Whether rows x and y of one list may be documents at the threshold: other components, like sizes, and neither the places of the
+    value nor the parity words shut it out. The value may be taken as the first that both have: with that one the pair passes."""
+    need = F.ceil(percent / (100 + percent) * (F.col("x.size") + F.col("y.size")) - F.lit(1e-9))
+    apart = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    whole = (F.col("x.size") <= K2) & (F.col("y.size") <= K2)
+    return ((F.col("x.comp") != F.col("y.comp")) & _like_sizes("x.size", "y.size", percent) & (apart + 2 * need <= F.col("x.size") + F.col("y.size"))
+            & (~whole | (F.least(F.col("x.k") - F.col("x.place"), F.col("y.k") - F.col("y.place")) >= need)))
+
+
+def _candidates(filed: DataFrame, probed: DataFrame, comps: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one list: a pivot with each other member, or in the last round each row outside the
+    list's largest component with each row of another component."""
+    label = lambda rows: rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    x, y = label(filed), label(probed)
+    key = ["value", "band"]
+    sizes = y.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("n"))
+    about = sizes.groupBy(*key).agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main")).where("comps > 1").drop("comps")
+    on = F.expr("x.value = y.value and x.band = y.band") & _possible(percent)
+    pair = lambda joined: joined.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.size").alias("an"), F.col("y.size").alias("bn"))
+    if turn < ROUNDS:
+        first = F.struct(F.xxhash64("rep", F.lit(turn)), *(c for c in x.columns if c not in key))
+        pivots = x.join(about, key, "left_semi").groupBy(*key).agg(F.min(first).alias("p")).select(*key, "p.*")
+        return pair(pivots.alias("x").join(y.alias("y"), on))
+    x, y = (rows.join(about, key) for rows in (x, y))
+    outside = pair(x.where("comp <> main").alias("x").join(y.alias("y"), on))
+    return outside.union(pair(x.where("comp = main").alias("x").join(y.where("comp <> main").alias("y"), on)).select("b", "a", "bn", "an"))
+
+
+def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, an, bn) of like sizes whose sketches of the first level let the threshold seem possible."""
+    share = percent / 100
+    pairs = pairs.where(_like_sizes("an", "bn", percent)).select("a", "b").distinct()
+    a = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("ask"))
+    b = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("bsk"))
+    out = pairs.join(a, "a").join(b, "b")
+    return out.where(_estimate(F.col("ask"), F.col("bsk")) >= share - SIGMAS * math.sqrt(share * (1 - share) / K)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -139,7 +229,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, base = None, None
+        group, bases = None, []
         for whole in parts:
             for rows in common.batches(whole):
                 h, cut = shingle_sets(rows.column(4).to_pylist(), size)
@@ -147,10 +237,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                 for i, (p, part, role, doc) in enumerate(zip(*(rows.column(k).to_pylist() for k in range(4)), strict=True)):
                     own = h[cut[i] : cut[i + 1]]
                     if role == 0:
-                        group, base = (p, part), own.copy()
+                        bases = [*(bases if group == (p, part) else []), own.copy()]
+                        group = (p, part)
                     elif group == (p, part) and len(own):
-                        both = len(np.intersect1d(base, own, assume_unique=True))
-                        if 100 * both >= percent * (len(base) + len(own) - both):
+                        both = [(len(np.intersect1d(base, own, assume_unique=True)), len(base)) for base in bases]
+                        if any(100 * n >= percent * (size_of + len(own) - n) for n, size_of in both):
                             a.append(p)
                             b.append(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -158,43 +249,57 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return rows.mapInArrow(common.task(run), "a long, b long")
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) with the components that ``links`` (a, b) connect made one."""
+    label = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    new = components(between, "minhash")
+    every = comps.union(new.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    root = new.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    return common.written(every.join(root, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "minhash")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id: an integer).
 
     A null or empty text has no shingles and is linked with nothing. A row without an id goes with a
-    document of the same set of shingles, if there is one; else it is linked with nothing, its component_id is null and it is kept. Rows that repeat an id are each judged by their own text. Other columns are ignored; no rows give no rows.
+    document of the same set of shingles, if there is one; else it is linked with nothing, its component_id is null and it is kept.
+    Rows that repeat an id are one document, whose links are those of all its texts. Other columns are ignored; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = common.written(sketches(docs, size), "minhash")
-    key = ["n", "s1", "s2"]
-    classes = common.written(every.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "minhash")
-    reps = every.join(classes, key).where("doc_id = rep").select("rep", "n", "sketch").dropDuplicates(["rep", "n", "sketch"])
+    share, name = percent / 100, ["n", "s1", "s2"]
+    every = common.written(sketches(docs, size, K), "minhash")
+    classes = common.written(every.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep")), "minhash")
+    reps = every.join(classes, name).where("doc_id = rep").select("rep", *name, "sketch").dropDuplicates(["rep", *name])
     reps = common.written(reps, "minhash")
-    lists = common.written(_lists(reps), "minhash")
-    links, comps, tested = None, None, None
-    turn = 0
+
+    pairs, long = _short_pairs(common.written(_lists(reps, share), "minhash"))
+    pairs = common.written(_promising(pairs, reps, percent), "minhash")
+    links = common.written(_confirmed(pairs, docs, size, percent), "minhash")
+    several = every.where("n > 0").groupBy("doc_id").agg(F.min(F.struct(*name)).alias("x"), F.max(F.struct(*name)).alias("y")).where("x <> y").select("doc_id")
+    same = every.join(several, "doc_id").join(classes, name).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comps = components(links.union(same), "minhash")
+
+    mine = docs.join(common.written(long, "minhash").withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    fine = sketches(mine, size, K2, parity=True).where("n > 0").dropDuplicates(["doc_id", *name]).withColumnRenamed("doc_id", "rep")
+    filed, probed = _second_lists(common.written(fine, "minhash"), percent)
+    tested, turn = None, 0
     while turn <= ROUNDS:
-        pairs = _candidates(lists, comps, turn)
+        pairs = _promising(_candidates(filed, probed, comps, turn, percent), reps, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = common.written(pairs, "minhash")
-        if not pairs.limit(1).count():  # pivots that have met all members before; only the last round ends the search
-            turn = max(turn + 1, ROUNDS)
-            continue
         tested = pairs if tested is None else tested.union(pairs)
-        good = common.written(_confirmed(common.written(_promising(pairs, reps), "minhash"), docs, size, percent), "minhash")
-        links = good if links is None else links.union(good)
-        comps = components(links, "minhash")
-        turn += 1
-    out = every.join(classes, key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    if comps is not None:
-        out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
-    else:
-        out = out.withColumn("component_id", F.col("rep"))
+        good = common.written(_confirmed(pairs, docs, size, percent), "minhash")
+        found = not good.isEmpty()
+        comps = _joined(comps, good) if found else comps
+        turn = turn + 1 if found or turn == ROUNDS else ROUNDS  # pivots that link nothing more: on to the round of all pairs
+    out = every.join(classes, name, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group of near duplicates; columns as given."""
-    stay = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
+    """The rows of ``docs`` that stay: one document of each group of near duplicates; columns as given, whatever their names."""
+    stay = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["stays"]), "left_semi")
