@@ -39,6 +39,8 @@ from .components import components
 K, K2, BITS = 32, 1024, 512
 #: Lists up to this length give all pairs at once. Rounds of pivots in longer ones. Members of one pivot in one task.
 SHORT, ROUNDS, MEMBERS = 6, 4, 400
+#: Up to so many ids (some 60 MB with their table) are broadcast.
+BROADCAST = 1 << 20
 #: Ratio of sizes within one band of the second level.
 BAND = 1.05
 #: Chance that a pair at the threshold shares fewer values than assumed, and the standard deviations that this is.
@@ -218,6 +220,14 @@ def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return out.where(_estimate(F.col("ask"), F.col("bsk")) >= share - SIGMAS * math.sqrt(share * (1 - share) / K)).select("a", "b")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) whose ids are in ``ids`` (doc_id, each once): few enough ids go to the executors whole, so that
+    only the texts needed are shuffled later; more are joined by shuffling both."""
+    ids = common.written(ids, "minhash")
+    small = ids.limit(BROADCAST + 1).count() <= BROADCAST
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union. A pivot's members are dealt over several
     groups when they are many; a group is read in order, the pivot first, so a task holds one set at a time."""
@@ -225,7 +235,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     member = pairs.join(fan, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("role"))
     pivot = fan.select(F.col("a").alias("doc_id"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     roles = member.union(pivot)
-    rows = docs.select("doc_id", "text").join(roles, "doc_id").select("pivot", "part", "role", "doc_id", "text")
+    roles = common.written(roles, "minhash")
+    rows = _texts(docs, roles.select("doc_id").distinct()).join(roles, "doc_id").select("pivot", "part", "role", "doc_id", "text")
     rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +291,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     same = every.join(several, "doc_id").join(classes, name).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comps = components(links.union(same), "minhash")
 
-    mine = docs.join(common.written(long, "minhash").withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    fine = sketches(mine, size, K2, parity=True).where("n > 0").dropDuplicates(["doc_id", *name]).withColumnRenamed("doc_id", "rep")
+    fine = sketches(_texts(docs, long.withColumnRenamed("rep", "doc_id")), size, K2, parity=True).where("n > 0").dropDuplicates(["doc_id", *name]).withColumnRenamed("doc_id", "rep")
     filed, probed = _second_lists(common.written(fine, "minhash"), percent)
     tested, turn = None, 0
     while turn <= ROUNDS:
