@@ -175,10 +175,11 @@ def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The rows of ``docs``, columns as given, without the lines that ``line_dedup`` removes. A document of which no line is left
     goes: all that it said stands in earlier documents. A document without any line stays."""
     last = (1 << 63) - 1
-    gone = decisions(docs, edits).where("not kept").groupBy("doc").agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(last))).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    parts = F.split(F.col("text"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text))
-    return rows.where(F.col("_gone").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
+    gone = decisions(docs, edits).where("not kept").groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+    row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row")  # in one column, the given names clash with none here
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), row).join(gone, "doc", "left")
+    parts = F.split(F.col("row.text"), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    rows = rows.select("row", "gone", text.alias("left_over")).where(F.col("gone").isNull() | F.col("left_over").rlike("[^\\x20\\x09-\\x0D]"))
+    return rows.select(*(F.col("left_over" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns))
