@@ -2,8 +2,11 @@
 
 Wanted are document rates r >= 0 that stay as near as possible to 1, in relative entropy weighted by tokens, and give each
 source its target number of tokens. The convex dual has one multiplier a source, and r = exp(multiplier of the document's
-source); distributed Newton steps find the multipliers. Rates become whole copies by systematic rounding along the
-documents of a source in the order of their size, so that a source misses its target by about one large document.
+source). Gradient and curvature of the dual depend on the documents through each source's tokens alone, so these are summed
+once, as whole numbers, and the Newton steps run on the sources. Rates become whole copies by systematic rounding along the
+documents of a source in the order of their size, band by band (a band: sizes from one power of two to the next) from the largest
+documents down; what a band takes too much or too little is made good by the rate of the next, so that a source
+misses its target by about one of its smallest documents.
 """
 
 from __future__ import annotations
@@ -15,13 +18,11 @@ from pyspark.sql.window import Window as W
 from . import common
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Newton stops when every source is this near its target, relatively; it converges quadratically near the solution.
-TOLERANCE, STEPS = 1e-12, 60
+#: Newton steps; the dual is convex, a step moves a multiplier by 1 at most, and near the solution the digits double each time.
+STEPS = 60
 #: Documents of one source and size that are numbered in one task: so many, or this part of all rows if that is more. At most
 #: ``PARTS`` groups can be larger, so the table of larger groups is bounded and broadcast.
 RUN, PARTS = 20_000, 10_000
-#: Phases of the rounding that are tried.
-PHASES = 16
 
 
 def token_count(text: Column) -> Column:
@@ -49,53 +50,61 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
     return s.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def balance(sizes: DataFrame, goals: DataFrame) -> DataFrame:
-    """goals with each source's log rate: Newton on the dual, sum of size * exp(m) - m * target over documents.
+def balance(goals: DataFrame) -> DataFrame:
+    """goals with each source's rate: Newton on the dual, sum of tokens * exp(m) - m * target, where tokens * exp(m) is gradient and
+    curvature at once. A source without tokens keeps the rate 1, one with target 0 gets rate 0."""
 
-    Each step aggregates every document's tilted tokens, which are gradient and curvature at once, by source. A source
-    without tokens, or with target 0, keeps the multiplier 0 or gets none (rate 0).
-    """
-    now = common.written(goals.withColumn("m", F.when((F.col("target") > 0) | (F.col("source_size") == 0), F.lit(0.0))), "mixing")
-    for _ in range(STEPS):
-        tilted = sizes.alias("d").join(now.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).groupBy(F.col("s.source").alias("of")).agg(
-            F.sum(F.col("size") * F.exp("m")).alias("tokens"))
-        step = now.join(tilted, F.col("source").eqNullSafe(F.col("of"))).withColumn("gap", F.coalesce((F.col("target") - F.col("tokens")) / F.when(F.col("tokens") > 0, F.col("tokens")), F.lit(0.0)))
-        now = common.written(step.select("source", "source_size", "target", (F.col("m") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "gap"))).alias("m"), F.abs("gap").alias("gap")), "mixing")
-        if (now.agg(F.max("gap")).first()[0] or 0) <= TOLERANCE:
-            break
-    return now.drop("gap")
+    def step(m: Column, _: Column) -> Column:
+        tilted = F.col("source_size") * F.exp(m)
+        return m + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - tilted) / tilted))
+
+    m = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), step)
+    return goals.withColumn("rate", F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("target") > 0, F.exp(m)).otherwise(F.lit(0.0)))
+
+
+def _copies(place: Column, rate: Column, n: Column | int = 1) -> Column:
+    """Copies that the n documents up to a place get together: the whole numbers that place * rate + 1/2 passes there."""
+    return F.floor(place * rate + 0.5) - F.floor((place - n) * rate + 0.5)
+
+
+def band_rates(runs: DataFrame, goals: DataFrame, most=MOST) -> DataFrame:
+    """name, band, rate. One row a source holds its different sizes, which are no more than its longest document has words; the fold
+    over them goes from the largest band down and carries the tokens still owed."""
+    sizes = runs.groupBy("name", "band", "size").agg(F.sum("n").alias("n"), F.max(F.col("before") + F.col("n")).alias("place"))
+    bands = sizes.groupBy("name", "band").agg(F.sum(F.col("size") * F.col("n")).alias("tokens"), F.collect_list(F.struct("size", "n", "place")).alias("sizes"))
+    each = bands.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("band", "tokens", "sizes")), asc=False).alias("bands")).join(goals.select("name", "rate"), "name")
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.when(x["tokens"] == 0, F.col("rate")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(most), F.col("rate") + acc["owed"] / x["tokens"])))
+
+        def taken(rate: Column) -> Column:
+            tokens = F.aggregate(x["sizes"], F.lit(0).cast("long"), lambda t, z: t + z["size"] * _copies(z["place"], rate, z["n"]))
+            return F.struct((acc["owed"] + F.col("rate") * x["tokens"] - tokens).alias("owed"), F.array_append(acc["rates"], F.struct(x["band"].alias("band"), rate.alias("rate"))).alias("rates"))
+
+        return F.element_at(F.transform(F.array(own), taken), 1)
+
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<band:int,rate:double>>").alias("rates"))
+    rates = each.select("name", F.explode(F.aggregate("bands", start, step, lambda acc: acc["rates"])).alias("x"))
+    return rates.select("name", "x.band", "x.rate")
 
 
 def rounded(docs: DataFrame, goals: DataFrame, most=MOST) -> DataFrame:
-    """Documents with whole ``copies``: along a source's documents by size (then doc_id), document k of rate r gets
-    floor(k r + u) - floor((k - 1) r + u), with a phase u of the source. Places are found without gathering a source: documents of one source and size are
-    numbered in runs of bounded length, and window sums go over the runs' counts only."""
-    key = ["source", "size"]
+    """Documents (doc_id, source, size) with whole ``copies``. Their places are found without gathering a source: documents of one source and
+    size are numbered in runs of bounded length, and window sums go over the runs' counts only."""
+    # A source's name may be null: the joins are on a text that isn't.
+    name = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))
+    docs, goals = docs.withColumn("name", name).drop("source"), goals.withColumn("name", name).drop("source")
+    key = ["name", "size"]
     run = max(RUN, docs.count() // PARTS)
     many = docs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("runs", F.ceil(F.col("n") / run))
-    hot = F.broadcast(many.where("runs > 1").select(F.col("source").alias("hs"), F.col("size").alias("hz"), "runs"))
-    d = docs.join(hot, F.col("source").eqNullSafe(F.col("hs")) & (F.col("size") == F.col("hz")), "left")
-    d = d.withColumn("run", F.when(F.col("runs").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("runs"))).cast("long")).drop("hs", "hz", "runs")
-    runs = d.groupBy(*key, "run").agg(F.count(F.lit(1)).alias("n"))
-    runs = runs.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("size", "run")) - F.col("n")).drop("n")
-    # A source's name may be null: the join is on a text that isn't.
-    name = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))
-    inner = F.row_number().over(W.partitionBy("name", "size", "run").orderBy("doc_id"))
-    d = d.withColumn("name", name).withColumn("inner", inner)
-    d = d.join(runs.withColumn("name", name).drop("source"), ["name", "size", "run"])
-    rate = F.least(F.lit(most), F.coalesce(F.exp("m"), F.lit(0.0)))
-    place = F.col("before") + F.col("inner")
-    d = d.join(goals.withColumn("name", name).drop("source"), "name")
-    d = common.written(d.withColumns({"place": place.cast("double"), "rate": rate}).drop("inner", "run", "before", "m"), "mixing")
-
-    def copies(phase: Column) -> Column:
-        return F.floor(F.col("place") * F.col("rate") + phase) - F.floor((F.col("place") - 1) * F.col("rate") + phase)
-
-    # Where the steps fall is free: of PHASES phases each source takes the one whose words come nearest its target.
-    sums = d.groupBy("name").agg(F.first("target").alias("goal"), *(F.sum(copies(F.lit(k / PHASES + 1e-6)) * F.col("size")).alias(f"s{k}") for k in range(PHASES)))
-    miss = F.array(*(F.struct(F.abs(F.col(f"s{k}") - F.col("goal")).alias("miss"), F.lit(k / PHASES + 1e-6).alias("phase")) for k in range(PHASES)))
-    d = d.join(sums.select("name", F.array_min(miss)["phase"].alias("phase")), "name")
-    return d.withColumn("copies", F.least(F.lit(int(most)), copies(F.col("phase"))).cast("long")).drop("name", "place", "rate", "phase")
+    d = docs.join(F.broadcast(many.where("runs > 1").select(*key, "runs")), key, "left")
+    d = d.withColumn("run", F.when(F.col("runs").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("runs"))).cast("long")).drop("runs")
+    runs = d.groupBy(*key, "run").agg(F.count(F.lit(1)).alias("n")).withColumn("band", F.when(F.col("size") == 0, 0).otherwise(F.length(F.bin("size"))))
+    runs = common.written(runs.withColumn("before", F.sum("n").over(W.partitionBy("name", "band").orderBy("size", "run")) - F.col("n")), "mixing")
+    inner = F.row_number().over(W.partitionBy(*key, "run").orderBy("doc_id"))
+    d = d.withColumn("inner", inner).join(runs.drop("n"), [*key, "run"])
+    d = d.join(band_rates(runs, goals, most), ["name", "band"]).join(goals.select("name", "source_size", "target"), "name")
+    return d.withColumn("copies", F.least(F.lit(int(most)), _copies(F.col("before") + F.col("inner"), F.col("rate"))).cast("long"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
@@ -107,13 +116,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """
     sizes = common.written(docs.select("doc_id", "source", token_count(F.col("text")).alias("size")), "mixing")
     goals = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goals = balance(sizes, common.written(goals, "mixing"))
-    out = rounded(sizes, goals, most)
+    out = rounded(sizes, common.written(balance(goals), "mixing"), most)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say (none, one or two); columns as given."""
-    count = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    rows = docs.join(count.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as its copies say (none, one or two); columns as given, whatever their names. Of rows that
+    repeat an id, each comes as often as the id's copies come to on average, rounded up."""
+    count = mix(docs).groupBy(F.col("doc_id").alias("of")).agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("times"))
+    row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row")  # in one column, the given names clash with none here
+    rows = docs.select(row).join(count, F.col("row.doc_id").eqNullSafe(F.col("of")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
