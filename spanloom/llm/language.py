@@ -3,8 +3,9 @@
 A suffix automaton of each language's labelled text gives the longest match from any point of a new text. Parsing a text
 greedily into such matches, each followed by one literal character, takes few phrases in its own language and many in
 others (Ziv and Merhav, 1993). The language with the lowest phrases * log2(training length) / length wins. Texts are
-parsed whole, in blocks of ``BLOCK`` characters: a phrase ends at the end of its block, in every language alike, so that
-numpy can step through thousands of blocks at a time.
+parsed whole, by numpy in thousands of blocks of ``BLOCK`` characters at a time: first every block as if a phrase began with it,
+then again each block that was entered in another state than assumed, until all fit together. Parses that begin
+apart soon fall in step, so that this takes few rounds, and the outcome is that of one parse from beginning to end.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import types as T
 from . import common
 
 #: The documented bound on training text: this many documents a language at most (those with the smallest hash in each of
-#: as many buckets of ids), and this many characters of them in all.
-DOCS, CHARS = 24, 24_000
+#: as many buckets of ids), and of a longer one this many pieces of this many characters, spread evenly over its whole text.
+DOCS, PIECES, PIECE = 24, 5, 200
 BLOCK, LANES = 256, 8_192
 
 
@@ -76,17 +77,33 @@ class Automaton:
         small[own] = list(self.alphabet.values())
         return small[np.minimum(points, len(small) - 1)]
 
-    def phrases(self, blocks: np.ndarray) -> np.ndarray:
-        """Number of phrases of each row of code points; -1 fills up a row."""
+    def parse(self, blocks: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of phrases that end in each row of code points (-1 fills up a row), and the state after it, from the states before."""
         code = self.codes(np.maximum(blocks, 0))
-        state, count = np.zeros(len(blocks), np.int32), np.zeros(len(blocks), np.int64)
+        count = np.zeros(len(blocks), np.int64)
         for t in range(blocks.shape[1]):
             to = self.table[state, code[:, t]]
             there = blocks[:, t] >= 0
             ends = there & (to < 0)
             count += ends
             state = np.where(ends, 0, np.where(there, to, state))
-        return count + (state > 0)
+        return count, state
+
+    def phrases(self, blocks: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Number of phrases of each text; ``owners``: the text of each block, in order."""
+        first = np.ones(len(blocks), bool)
+        first[1:] = owners[1:] != owners[:-1]
+        before, after, count = (np.zeros(len(blocks), np.int64) for _ in range(3))
+        todo = np.arange(len(blocks))
+        while len(todo):
+            for i in range(0, len(todo), LANES):
+                now = todo[i : i + LANES]
+                count[now], after[now] = self.parse(blocks[now], before[now])
+            entered = np.where(first, 0, np.concatenate([[0], after[:-1]]))
+            todo = np.flatnonzero(entered != before)
+            before = entered
+        last = np.append(first[1:], True)
+        return np.bincount(owners, count + (last & (after > 0)), int(owners[-1]) + 1)
 
 
 def entropies(texts: list[str], models: list[Automaton]) -> np.ndarray:
@@ -99,23 +116,22 @@ def entropies(texts: list[str], models: list[Automaton]) -> np.ndarray:
         n = -(-len(p) // BLOCK)
         blocks[row : row + n].reshape(-1)[: len(p)] = p
         row += n
-    out = np.zeros((len(texts), len(models)))
     sizes = np.array([len(p) for p in points])
-    for k, model in enumerate(models):
-        count = np.concatenate([model.phrases(blocks[i : i + LANES]) for i in range(0, len(blocks), LANES)])
-        out[:, k] = np.bincount(owners, count, len(texts)) * np.log2(max(model.length, 2)) / sizes
-    return out
+    return np.stack([model.phrases(blocks, owners) * np.log2(max(model.length, 2)) / sizes for model in models], 1)
 
 
 def train(docs: DataFrame) -> dict[str, str]:
-    """Training text by language, of documents (doc_id, text, lang); at most ``CHARS`` characters of ``DOCS`` documents each."""
+    """Training text by language, of documents (doc_id, text, lang): ``DOCS`` of them at most, each with the same room."""
     rank = F.xxhash64("doc_id")
     known = docs.where("text is not null and lang is not null and doc_id is not null and length(text) > 0")
     picked = known.groupBy("lang", F.pmod(rank, F.lit(DOCS)).alias("bucket")).agg(F.min_by("doc_id", F.struct(rank, "doc_id")).alias("doc_id")).select("lang", "doc_id")
-    rows = known.select("doc_id", "lang", F.substring("text", 1, CHARS).alias("text")).join(F.broadcast(picked), ["lang", "doc_id"]).distinct().collect()
+    n = F.length("text")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", F.floor(i * (n - PIECE) / (PIECES - 1)).cast("int") + 1, F.lit(PIECE)))
+    text = F.when(n <= PIECES * PIECE, F.col("text")).otherwise(F.array_join(spread, " "))
+    rows = known.select("doc_id", "lang", text.alias("text")).join(F.broadcast(picked), ["lang", "doc_id"]).distinct().collect()
     out: dict[str, str] = {}
     for row in sorted(rows):
-        out[row.lang] = (out.get(row.lang, "") + " " + letters(row.text))[:CHARS]
+        out[row.lang] = out.get(row.lang, "") + " " + letters(row.text)
     return out
 
 
