@@ -53,16 +53,25 @@ def judge_window(text: Column, head: int = 12 * 1024, tail: int = 4 * 1024) -> C
 
 
 # The vocabularies of roles.
-VERIFIER_TOKENS = """qa qc eval evals evaluate evaluator evaluation review reviews reviewer critique critic criticism verify verifier
-verification verified validate validator validation check checks checker checking audit audits auditor auditing gate gates
-gatekeeper gating judge judgement judgment adjudicator test tests tester testing inspect inspector inspection grade grader grading
-lint linter linting guard guardrail guardrails moderate moderator moderation approve approver approval assess assessor assessment
-referee arbiter arbitrator adjudicate scorer scoring rater rating ranker ranking screener screening examiner examination watchdog
-sentinel jury""".split()
+VERIFIER_TOKENS = [
+    "qa", "qc", "eval", "evals", "evaluate", "evaluator", "evaluation", "review", "reviews", "reviewer", "critique", "critic",
+    "criticism", "verify", "verifier", "verification", "verified", "validate", "validator", "validation", "check", "checks",
+    "checker", "checking", "audit", "audits", "auditor", "auditing", "gate", "gates", "gatekeeper", "gating", "judge",
+    "judgement", "judgment", "adjudicator", "test", "tests", "tester", "testing", "inspect", "inspector", "inspection", "grade",
+    "grader", "grading", "lint", "linter", "linting", "guard", "guardrail", "guardrails", "moderate", "moderator", "moderation",
+    "approve", "approver", "approval", "assess", "assessor", "assessment", "referee", "arbiter", "arbitrator", "adjudicate",
+    "scorer", "scoring", "rater", "rating", "ranker", "ranking", "screener", "screening", "examiner", "examination", "watchdog",
+    "sentinel", "jury",
+]
 VERIFIER_PHRASES = ["quality assurance", "quality control", "fact check", "red team", "peer review", "code review", "acceptance test"]
 VERIFIER_STEMS = ["verif", "validat", "review", "audit", "critic", "evaluat", "inspect"]
-PLANNER_PREFIXES = "think plan orchestrat rout coordinat supervis dispatch manag delegat schedul triage director controll".split()
-RETRIEVER_PREFIXES = "collect fetch retriev gather".split()
+PLANNER_PREFIXES = [
+    "think", "plan", "orchestrat", "rout", "coordinat", "supervis", "dispatch", "manag", "delegat", "schedul", "triage",
+    "director", "controll",
+]
+RETRIEVER_PREFIXES = [
+    "collect", "fetch", "retriev", "gather",
+]
 
 
 def name_tokens(name: Column) -> Column:

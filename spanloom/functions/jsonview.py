@@ -14,23 +14,24 @@ def tolerant(text: Column) -> Column:
 
 
 def json_leaves(rows: DataFrame, key: list[str], text: str, depth: int = DEPTH) -> DataFrame:
-    """key…, parent_path, key_name, value, type, depth of every scalar of the JSON in ``text``, down to ``depth`` levels.
+    """key…, parent_path, key_name, value, type, depth and place (positions from the root on) of every scalar of the JSON in ``text``, down to
+    ``depth`` levels. Fields of an object stand in the order of their names, as VARIANT keeps them.
 
     Each level is one generator step over the values that are still objects or arrays; there is no recursion and no UDF.
     """
     keys = [F.col(k) for k in key]
     level = rows.select(*keys, F.lit("$").alias("path"), tolerant(F.col(text)).alias("v")).where("v is not null")
-    level = level.select(*keys, F.lit("").alias("parent_path"), F.lit("$").alias("key_name"), "path", "v")
+    level = level.select(*keys, F.lit("").alias("parent_path"), F.lit("$").alias("key_name"), "path", F.array().cast("array<int>").alias("place"), "v")
     out = None
     for d in range(depth + 1):
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaves = level.where(~nested).select(*keys, "parent_path", "key_name", F.try_variant_get("v", "$", "string").alias("value"), F.schema_of_variant("v").alias("type"), F.lit(d).alias("depth"))
+        leaves = level.where(~nested).select(*keys, "parent_path", "key_name", F.try_variant_get("v", "$", "string").alias("value"), F.schema_of_variant("v").alias("type"), F.lit(d).alias("depth"), "place")
         out = leaves if out is None else out.unionByName(leaves)
         if d == depth:
             break
         level.createOrReplaceTempView("_spanloom_level")
         each = rows.sparkSession.sql("select l.*, e.pos as _pos, e.key as _key, e.value as _value from _spanloom_level l, lateral variant_explode(l.v) e")
         name = F.coalesce(F.col("_key"), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]")))
-        level = each.select(*keys, F.col("path").alias("parent_path"), name.alias("key_name"), F.concat("path", F.lit("."), name).alias("path"), F.col("_value").alias("v"))
+        level = each.select(*keys, F.col("path").alias("parent_path"), name.alias("key_name"), F.concat("path", F.lit("."), name).alias("path"), F.array_append("place", F.col("_pos")).alias("place"), F.col("_value").alias("v"))
     return out

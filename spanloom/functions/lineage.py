@@ -5,12 +5,12 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; where that is unset (tests), in a folder of its own."""
+def _folder(df: DataFrame) -> str:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         wanted = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -18,4 +18,17 @@ def cut(df: DataFrame) -> DataFrame:
             wanted = tempfile.mkdtemp(prefix="spanloom-")
             atexit.register(shutil.rmtree, wanted, ignore_errors=True)
         context.setCheckpointDir(wanted)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; where that is unset (tests), in a folder of its own."""
+    _folder(df)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the same folder, read again: for tables that later steps join or add to in many ways."""
+    path = f"{_folder(df)}/spanloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -148,14 +148,15 @@ def temporal_invariant(leaves: DataFrame, runs: DataFrame) -> DataFrame:
 
 def train_lang_profiles(corpus: DataFrame) -> DataFrame:
     """(lang, gram, logp): smoothed log shares of letter trigrams by language, from a labelled corpus (text, lang); one shuffle."""
-    grams = corpus.select("lang", F.explode(_trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    grams = corpus.where("lang is not null").select("lang", F.explode(_trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     total = grams.groupBy("lang").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("v"))
     return grams.join(F.broadcast(total), "lang").select("lang", "gram", F.ln((F.col("n") + 0.5) / (F.col("t") + 0.5 * F.col("v"))).alias("logp"), F.ln(0.5 / (F.col("t") + 0.5 * F.col("v"))).alias("floor"))
 
 
 def _trigrams(text: Column) -> Column:
+    """Every three characters in a row, of letters in lower case with one space between words: one pass of a pattern that looks ahead."""
     clean = F.regexp_replace(F.lower(text), "(?U)[^\\p{L}]+", " ")
-    return F.when(F.length(clean) >= 3, F.transform(F.sequence(F.lit(1), F.length(clean) - 2), lambda i: F.substring(clean, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(clean, F.lit("(?s)(?=(...))"), F.lit(1))
 
 
 def detect_language(texts: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -372,48 +373,53 @@ def select_contract(runs: DataFrame, contracts: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg(F.min_by("json_schema", "ord").alias("json_schema"))
 
 
-def schema_component(runs: DataFrame, contracts: DataFrame) -> DataFrame:
-    """graph_id, run_id, schema: 1.0 where the output fits the agent's contract, else 0.0; no row without a contract.
+# The types of JSON Schema as VARIANT names them.
+JSON_TYPES = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING", "integer": "^(BIGINT|INT|TINYINT|SMALLINT|DECIMAL\\(\\d+,0\\))", "number": "^(BIGINT|INT|TINYINT|SMALLINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "null": "^VOID"}
+
+
+def fits_schema(value: Column, schema: Column, depth: int = 4) -> Column:
+    """Whether a VARIANT fits a JSON Schema, itself a VARIANT: type (one or a list), enum, required, properties, items; other words
+    are ignored, as is what lies deeper than ``depth`` levels."""
+    get = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    texts, variants = "array<string>", "array<variant>"
+    patterns = F.create_map(*(y for k, p in JSON_TYPES.items() for y in (F.lit(k), F.lit(p))))
+    types = F.coalesce(get(schema, "$.type", texts), F.array(get(schema, "$.type", "string")))
+    shape = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    typed = get(schema, "$.type", "variant").isNull() | F.exists(types, lambda t: F.coalesce(F.regexp_like(shape, F.element_at(patterns, t)), F.lit(False)))
+    listed = F.coalesce(F.exists(get(schema, "$.enum", variants), lambda x: F.to_json(x) == F.to_json(value)), F.lit(True))
+    fields = get(value, "$", "map<string,variant>")
+    names = F.coalesce(F.map_keys(fields), F.array().cast(texts))
+    required = F.coalesce(F.forall(get(schema, "$.required", texts), lambda k: F.array_contains(names, k)), F.lit(True))
+    good = typed & listed & (~shape.startswith("OBJECT") | required)
+    if depth:
+        below = lambda e: ~F.array_contains(names, e["key"]) | fits_schema(F.element_at(fields, e["key"]), e["value"], depth - 1)
+        each = F.coalesce(F.forall(F.map_entries(get(schema, "$.properties", "map<string,variant>")), below), F.lit(True))
+        items = get(schema, "$.items", "variant")
+        every = items.isNull() | F.coalesce(F.forall(get(value, "$", variants), lambda x: fits_schema(x, items, depth - 1)), F.lit(True))
+        good = good & (~shape.startswith("OBJECT") | each) & (~shape.startswith("ARRAY") | every)
+    return F.coalesce(good, F.lit(False))
 
-    Of a contract: required keys, types and listed values of properties, at the top level and one below; the schema is read with
-    from_json, the output as VARIANT.
-    """
-    prop = "struct<type:string,enum:array<string>>"
-    schema = F.from_json("json_schema", f"struct<type:string,required:array<string>,properties:map<string,{prop}>>")
-    x = runs.join(select_contract(runs, contracts), KEY).withColumn("s", schema).withColumn("v", F.try_parse_json("output"))
-    shape = F.schema_of_variant("v")
-    as_map = F.try_variant_get("v", "$", "map<string,variant>")
-    names = F.coalesce(F.map_keys(as_map), F.array().cast("array<string>"))
-    is_object = shape.startswith("OBJECT")
-    fits = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING", "integer": "^(BIGINT|INT|TINYINT|SMALLINT|DECIMAL\\(\\d+,0\\))", "number": "^(BIGINT|INT|TINYINT|SMALLINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "null": "^VOID"}
-    kind_of = F.create_map(*(y for k, p in fits.items() for y in (F.lit(k), F.lit(p))))
-    typed = F.col("s.type").isNull() | F.regexp_like(shape, F.coalesce(F.element_at(kind_of, F.col("s.type")), F.lit(".*")))
-    required = F.coalesce(F.forall(F.col("s.required"), lambda k: F.array_contains(names, k)), F.lit(True))
-
-    def ok(e: Column) -> Column:
-        value = F.element_at(as_map, e["key"])
-        t = e["value"]["type"].isNull() | F.regexp_like(F.schema_of_variant(value), F.coalesce(F.element_at(kind_of, e["value"]["type"]), F.lit(".*")))
-        listed = e["value"]["enum"].isNull() | F.array_contains(e["value"]["enum"], F.try_variant_get(value, "$", "string"))
-        return ~F.array_contains(names, e["key"]) | (t & listed)
-
-    props = F.coalesce(F.forall(F.map_entries("s.properties"), ok), F.lit(True))
-    good = F.col("v").isNotNull() & typed & (~is_object | (required & props))
-    return x.select(*KEY, F.when(F.coalesce(good, F.lit(False)), 1.0).otherwise(0.0).alias("schema"))
+
+def schema_component(runs: DataFrame, contracts: DataFrame) -> DataFrame:
+    """graph_id, run_id, schema: 1.0 where the output fits the agent's contract, else 0.0; no row without a contract. An output that is no JSON doesn't fit."""
+    x = runs.join(select_contract(runs, contracts), KEY).select(*KEY, F.try_parse_json("json_schema").alias("s"), F.try_parse_json("output").alias("v"))
+    return x.select(*KEY, F.when(F.col("v").isNotNull() & (F.col("s").isNull() | fits_schema(F.col("v"), F.col("s"))), 1.0).otherwise(0.0).alias("schema"))
 
 
 def tool_args_invalid(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Calls whose arguments lack what the tool's registered schema requires; the first by tool. rules: tool, required (list)."""
-    x = calls.join(F.broadcast(rules.select(F.col("tool").alias("name"), "required")), "name").withColumn("v", F.try_variant_get(F.try_parse_json("args"), "$", "map<string,variant>"))
-    missing = F.array_except("required", F.coalesce(F.map_keys("v"), F.array().cast("array<string>")))
-    first = x.withColumn("missing", missing).where(F.size("missing") > 0).groupBy(*KEY, "name").agg(F.min_by("missing", "pos").alias("missing"))
-    return signal(first.withColumnRenamed("name", "tool"), "tool_args_invalid", "fail", "args_schema", tool=F.col("tool"), missing=F.array_join("missing", ","))
+    """Tools that a run called with arguments that don't fit the tool's registered schema, once each. calls: args (JSON; calls without, or with
+    text that is no JSON, give nothing). rules: tool, json_schema, ord (the first of a tool counts)."""
+    first = rules.groupBy(F.col("tool").alias("name")).agg(F.min_by("json_schema", "ord").alias("json_schema"))
+    x = calls.join(first, "name").select(*KEY, F.col("name").alias("tool"), F.try_parse_json("args").alias("v"), F.try_parse_json("json_schema").alias("s"))
+    bad = x.where(F.col("v").isNotNull() & F.col("s").isNotNull()).where(~fits_schema(F.col("v"), F.col("s"))).select(*KEY, "tool").distinct()
+    return signal(bad, "tool_args_invalid", "fail", "tool_args_invalid", tool=F.col("tool"))
 
 
 # What keys of a payload tell of.
-LIFECYCLE = "ok okay success succeeded successful status state step stage phase done complete completed finished error errors failed failure running pending skipped".split()
-TELEMETRY = "count n total index i iteration iter attempt attempts retries retry progress percent elapsed elapsed_ms duration duration_ms latency_ms ts timestamp time started ended start end".split()
-AMBIGUOUS = "result results message msg action event node code output answer response reply decision label category class verdict reason summary value data text content type kind name id".split()
-STATUS_WORDS = "ok okay done success succeeded successful complete completed finished failed failure error true false null none noop pass passed fail n/a na".split()
+LIFECYCLE = ["ok", "okay", "success", "succeeded", "successful", "status", "state", "step", "stage", "phase", "done", "complete", "completed", "finished", "error", "errors", "failed", "failure", "running", "pending", "skipped"]
+TELEMETRY = ["count", "n", "total", "index", "i", "iteration", "iter", "attempt", "attempts", "retries", "retry", "progress", "percent", "elapsed", "elapsed_ms", "duration", "duration_ms", "latency_ms", "ts", "timestamp", "time", "started", "ended", "start", "end"]
+AMBIGUOUS = ["result", "results", "message", "msg", "action", "event", "node", "code", "output", "answer", "response", "reply", "decision", "label", "category", "class", "verdict", "reason", "summary", "value", "data", "text", "content", "type", "kind", "name", "id"]
+STATUS_WORDS = ["ok", "okay", "done", "success", "succeeded", "successful", "complete", "completed", "finished", "failed", "failure", "error", "true", "false", "null", "none", "noop", "pass", "passed", "fail", "n/a", "na"]
 
 
 def payload_kind(text: Column) -> Column:
@@ -433,11 +439,14 @@ def payload_kind(text: Column) -> Column:
 
 
 def structured_claims(leaves: DataFrame, most: int = 6) -> DataFrame:
-    """(graph_id, run_id, claims): up to ``most`` distinct scalars of a JSON output, numbers and texts of 3 to 80 characters, longest first."""
-    number = F.col("value").try_cast("double").isNotNull() & (F.col("type") != "STRING")
-    text = (F.col("type") == "STRING") & F.length("value").between(3, 80)
-    each = leaves.where(number | text).select(*KEY, "value").distinct()
-    return each.groupBy(*KEY).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct((-F.length("value")).alias("l"), "value"))), lambda x: x["value"]), 1, most).alias("claims"))
+    """(graph_id, run_id, claims): up to ``most`` distinct scalars of a JSON output, numbers and texts of 3 to 80 characters; telling ones (with a
+    digit, a space, or 12 characters) first, else as they stand in the document. leaves: json_leaves with ``place``."""
+    claim = F.when(F.col("type") == "STRING", F.trim("value")).otherwise(F.col("value"))
+    number = F.col("value").try_cast("double").isNotNull() & ~F.col("type").isin("STRING", "BOOLEAN")
+    each = leaves.withColumn("claim", claim).where(number | ((F.col("type") == "STRING") & F.length("claim").between(3, 80)))
+    once = each.groupBy(*KEY, "claim").agg(F.min("place").alias("place"))
+    dull = ~(F.col("claim").rlike("\\d") | F.contains("claim", F.lit(" ")) | (F.length("claim") >= 12))
+    return once.groupBy(*KEY).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct(dull.alias("dull"), "place", "claim"))), lambda x: x["claim"]), 1, most).alias("claims"))
 
 
 def claim_matches(claim: Column, text: Column) -> Column:

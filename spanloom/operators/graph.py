@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 
 
 @dataclass(frozen=True)
@@ -42,17 +42,16 @@ CONFIG = Config()
 
 def closure(pairs: DataFrame, key: list[str]) -> DataFrame:
     """key…, src, dst: all pairs joined by a path of one step or more. Each round doubles the length of the paths, so there are
-    as many rounds as the logarithm of the longest path; circles end it as pairs are a set."""
-    now = cut(pairs.select(*key, "src", "dst").distinct())
-    n = now.count()
+    as many rounds as the logarithm of the longest shortest path. Only the pairs that the round before found are carried on: a pair
+    twice as far begins with one of these. Circles end it, as pairs found before aren't found again."""
+    fresh = every = stored(pairs.select(*key, "src", "dst").distinct())
     while True:
-        far = now.select(*key, F.col("src").alias("dst"), F.col("dst").alias("far"))
-        longer = now.join(far, [*key, "dst"]).select(*key, "src", F.col("far").alias("dst"))
-        now = cut(now.union(longer).distinct())
-        m = now.count()
-        if m == n:
-            return now
-        n = m
+        far = every.select(*key, F.col("src").alias("dst"), F.col("dst").alias("far"))
+        longer = fresh.join(far, [*key, "dst"]).select(*key, "src", F.col("far").alias("dst")).distinct()
+        fresh = stored(longer.join(every, [*key, "src", "dst"], "left_anti"))
+        if fresh.isEmpty():
+            return every
+        every = every.union(fresh)
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -67,8 +66,10 @@ def reach(edges: DataFrame) -> DataFrame:
 def condense(runs: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
     """One row a strongly connected component: graph_id, scc (least member), members (by time), exit_run, score (the exit's),
     min_score, n, self_loop, end_time."""
-    back = paths.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("src"))
-    own = paths.join(back, ["graph_id", "src", "dst"]).groupBy("graph_id", F.col("src").alias("run_id")).agg(F.min("dst").alias("scc"))
+    ring = cut(paths.where("src = dst").select("graph_id", "src"))  # runs on a cycle; most graphs have none
+    inside = paths.join(ring, ["graph_id", "src"], "left_semi").join(ring.withColumnRenamed("src", "dst"), ["graph_id", "dst"], "left_semi")
+    back = inside.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("src"))
+    own = inside.join(back, ["graph_id", "src", "dst"]).groupBy("graph_id", F.col("src").alias("run_id")).agg(F.min("dst").alias("scc"))
     of = runs.join(own, ["graph_id", "run_id"], "left").withColumn("scc", F.coalesce("scc", "run_id"))
     loops = edges.where("from_run_id = to_run_id").select("graph_id", F.col("from_run_id").alias("run_id"), F.lit(True).alias("_loop")).distinct()
     order = F.struct("end_time", "run_id")
@@ -240,7 +241,7 @@ def edge_drop_origins(sccs: DataFrame, links: DataFrame, facts: DataFrame, cfg:
                                    recovered.alias("recovered"), F.col("n").alias("iterations"), "end_time", kind.alias("kind"))
 
 
-def degradation_chains(sccs: DataFrame, links: DataFrame, cfg: Config = CONFIG, steps: int = 64) -> DataFrame:
+def degradation_chains(sccs: DataFrame, links: DataFrame, cfg: Config = CONFIG) -> DataFrame:
     """(graph_id, head, path, drop): from a healthy component on to its worst successor while the score falls by a step at least.
 
     The next component is a function of the present one, so all walks advance together, one join a step. A chain that lies on
@@ -251,10 +252,10 @@ def degradation_chains(sccs: DataFrame, links: DataFrame, cfg: Config = CONFIG,
     falls = links.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).where(F.col("s1") - F.col("s2") >= cfg.chain_step)
     nxt = cut(falls.groupBy("graph_id", F.col("src").alias("tail")).agg(F.min_by(F.struct("dst", "s2"), F.struct("s2", "end_time", "exit_run")).alias("next")))
     walk = cut(at.where(F.col("score") >= cfg.threshold).select("graph_id", F.col("scc").alias("head"), F.col("score").alias("first"), F.col("scc").alias("tail"), F.col("score").alias("last"), F.array("scc").alias("path"), F.lit(True).alias("open")))
-    for _ in range(steps):
+    while True:  # scores fall at each step, so every walk ends
         walk = cut(walk.join(nxt, ["graph_id", "tail"], "left").select("graph_id", "head", "first", F.coalesce("next.dst", "tail").alias("tail"), F.coalesce("next.s2", "last").alias("last"),
                                                                       F.when(F.col("next").isNotNull(), F.array_append("path", F.col("next.dst"))).otherwise(F.col("path")).alias("path"), F.col("next").isNotNull().alias("open")))
-        if not walk.where("open").limit(1).count():
+        if walk.where("open").isEmpty():
             break
     good = walk.where((F.size("path") > cfg.chain_edges) & (F.col("first") - F.col("last") >= cfg.chain_drop)).select("graph_id", "head", "path", (F.col("first") - F.col("last")).alias("drop"))
     inner = good.select("graph_id", F.explode(F.slice("path", F.lit(2), F.size("path") - 1)).alias("head")).distinct()
@@ -279,6 +280,29 @@ def cycle_origins(sccs: DataFrame, runs: DataFrame, edges: DataFrame, origins: D
         F.min_by("run_id", F.struct("end_time", "run_id")).alias("run_id"), F.max(F.col("base") - F.col("score")).alias("drop"), F.sort_array(F.collect_list("run_id")).alias("tied"))
 
 
+def drill(candidates: DataFrame, sccs: DataFrame, runs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, scc, run_id, real_drop, tied): who inside a cycle is to blame for a candidate.
+
+    candidates: graph_id, scc, run_id (the exit), member (of the cycle, if one qualified; else null). The qualified member if it has a score;
+    else the member with the lowest score, the first by time among equals, who are all named in ``tied``. real_drop: from the best
+    score among its predecessors in the graph, 0 at least, null if none is scored. A candidate that is no cycle, or whose members have no
+    score, stays as it is.
+    """
+    order = F.struct("end_time", "run_id")
+    scored = runs.where("score is not null").select("graph_id", "run_id", "score", "end_time")
+    inside = candidates.select("graph_id", "scc", "member").join(sccs.where("n > 1").select("graph_id", "scc", F.explode("members").alias("run_id")), ["graph_id", "scc"])
+    picked = inside.join(scored, ["graph_id", "run_id"]).groupBy("graph_id", "scc").agg(
+        F.min_by(F.struct("run_id", "score"), F.struct((~F.coalesce(F.col("run_id") == F.col("member"), F.lit(False))).alias("other"), "score", "end_time", "run_id")).alias("p"),
+        F.bool_or(F.coalesce(F.col("run_id") == F.col("member"), F.lit(False))).alias("qualified"), F.min("score").alias("worst"), F.collect_list(F.struct("score", order.alias("o"))).alias("all"))
+    equal = F.transform(F.sort_array(F.transform(F.filter("all", lambda x: x["score"] == F.col("worst")), lambda x: x["o"])), lambda o: o["run_id"])
+    picked = picked.withColumn("tied", F.when(~F.col("qualified") & (F.size(equal) > 1), equal))
+    above = edges.select("graph_id", F.col("to_run_id").alias("at"), F.col("from_run_id").alias("run_id")).join(scored, ["graph_id", "run_id"]).groupBy("graph_id", "at").agg(F.max("score").alias("best"))
+    picked = picked.select("graph_id", "scc", F.col("p.run_id").alias("at"), F.col("p.score").alias("own"), "tied").join(above, ["graph_id", "at"], "left")
+    out = candidates.select("graph_id", "scc", "run_id").join(picked, ["graph_id", "scc"], "left")
+    drop = F.when(F.col("best").isNotNull(), F.greatest(F.lit(0.0), F.col("best") - F.col("own")))
+    return out.select("graph_id", "scc", F.coalesce("at", "run_id").alias("run_id"), drop.alias("real_drop"), "tied")
+
+
 def shadow(candidates: DataFrame, up: DataFrame) -> DataFrame:
     """Candidates (graph_id, scc, …) without another candidate among their ancestors."""
     others = candidates.select("graph_id", F.col("scc").alias("src")).distinct()
@@ -348,20 +372,20 @@ def capped(confidence: Column, report_type: Column, single_channel: Column, dete
     return F.least(confidence, most)
 
 
-def propagation_path(culprits: DataFrame, sccs: DataFrame, links: DataFrame, targets: DataFrame, steps: int = 64) -> DataFrame:
+def propagation_path(culprits: DataFrame, sccs: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
     """(graph_id, start, path): the shortest way from each culprit's component to its graph's target; among equals the one through the
     worst scores, unknown last, then by time. Paths advance by one link a round; the least per component is kept."""
     node = sccs.select("graph_id", F.col("scc").alias("dst"), F.struct(F.col("score").isNull().cast("int").alias("unknown"), F.coalesce("score", F.lit(9.9)).alias("score"), "end_time", "exit_run").alias("key"))
     kinds = ",".join(f"{c}:{sccs.schema[c].dataType.simpleString()}" for c in ("end_time", "exit_run"))
     now = culprits.select("graph_id", F.col("scc").alias("start"), F.col("scc").alias("at"), F.array().cast(f"array<struct<unknown:int,score:double,{kinds}>>").alias("keys"), F.array("scc").alias("path")).distinct()
     now, seen = cut(now), None
-    for _ in range(steps):
+    while True:  # no component is reached twice from one start
         seen = now if seen is None else cut(seen.unionByName(now))
         step = now.join(links.withColumnRenamed("src", "at"), ["graph_id", "at"]).join(node, ["graph_id", "dst"])
         step = step.select("graph_id", "start", F.col("dst").alias("at"), F.array_append("keys", F.col("key")).alias("keys"), F.array_append("path", F.col("dst")).alias("path"))
         step = step.join(seen.select("graph_id", "start", "at"), ["graph_id", "start", "at"], "left_anti")
         now = cut(step.groupBy("graph_id", "start", "at").agg(F.min(F.struct("keys", "path")).alias("b")).select("graph_id", "start", "at", "b.keys", "b.path"))
-        if not now.limit(1).count():
+        if now.isEmpty():
             break
     hit = seen.join(targets.select("graph_id", F.col("scc").alias("at")), ["graph_id", "at"], "left_semi").select("graph_id", "start", "path")
     lone = culprits.select("graph_id", F.col("scc").alias("start")).distinct().join(hit, ["graph_id", "start"], "left_anti")
@@ -376,17 +400,17 @@ def downstream_cost(culprits: DataFrame, runs: DataFrame, paths: DataFrame) -> D
     return hit.groupBy("graph_id").agg(F.sum("cost_usd").alias("cost"), F.count("cost_usd").alias("priced"), F.count(F.lit(1)).alias("total"))
 
 
-def manifestation(sccs: DataFrame, links: DataFrame, verifiers: DataFrame, steps: int = 32) -> DataFrame:
+def manifestation(sccs: DataFrame, links: DataFrame, verifiers: DataFrame) -> DataFrame:
     """(graph_id, run_id) where a failure surfaced: sinks, from verifiers back level by level to the producer that ended last."""
     node = sccs.select("graph_id", "scc", F.col("exit_run").alias("run_id"), "end_time").join(verifiers.select("graph_id", "run_id", F.lit(True).alias("v")), ["graph_id", "run_id"], "left").na.fill(False, ["v"])
     tips = node.join(links.select("graph_id", F.col("src").alias("scc")).distinct(), ["graph_id", "scc"], "left_anti")
     found = tips.where("not v").select("graph_id", "scc", "run_id")
     level = cut(tips.where("v").select("graph_id", F.col("scc").alias("sink"), "scc"))
     seen = level
-    for _ in range(steps):
+    while True:  # no component is met twice from one sink
         up = level.join(links.select("graph_id", F.col("src").alias("p"), F.col("dst").alias("scc")), ["graph_id", "scc"]).select("graph_id", "sink", F.col("p").alias("scc")).distinct()
         up = cut(up.join(seen, ["graph_id", "sink", "scc"], "left_anti").join(node, ["graph_id", "scc"]))
-        if not up.limit(1).count():
+        if up.isEmpty():
             break
         made = up.where("not v").groupBy("graph_id", "sink").agg(F.max_by("run_id", F.struct("end_time", "run_id")).alias("run_id"))
         found = cut(found.unionByName(made.select("graph_id", F.col("sink").alias("scc"), "run_id")))

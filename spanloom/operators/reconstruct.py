@@ -21,17 +21,18 @@ def open_runs(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("kind") == AGENT).withColumn("_n", first).where("_n = 1").drop("_n").withColumn("run_key", F.concat_ws(":", "trace_id", "span_id"))
 
 
-def assign_owners(spans: DataFrame, steps: int = 24) -> DataFrame:
+def assign_owners(spans: DataFrame) -> DataFrame:
     """spans with run_key of the nearest agent span at or above each; null where the parents break off or run in a circle.
 
-    Pointer doubling: after step i a span points to its ancestor 2^i up, or to the agent that stopped the walk.
+    Pointer doubling: after step i a span points to its ancestor 2^i up, or to the agent that stopped the walk. A walk longer than its
+    trace has spans runs in a circle.
     """
     agent = F.col("kind") == AGENT
     now = spans.select("trace_id", "span_id", F.when(agent, F.col("span_id")).alias("owner"), F.when(~agent, F.col("parent_span_id")).alias("up")).dropDuplicates(["trace_id", "span_id"])
     now = cut(now)
-    for _ in range(steps):
-        if not now.where("owner is null and up is not null").limit(1).count():
-            break
+    longest, walked = now.groupBy("trace_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0], 1
+    while walked <= longest and not now.where("owner is null and up is not null").isEmpty():
+        walked *= 2
         above = now.select("trace_id", F.col("span_id").alias("up"), F.col("owner").alias("o2"), F.col("up").alias("u2"))
         now = cut(now.join(above, ["trace_id", "up"], "left").select("trace_id", "span_id", F.coalesce("owner", "o2").alias("owner"), F.when(F.coalesce("owner", "o2").isNull(), F.col("u2")).alias("up")))
     owner = now.where("owner is not null").select("trace_id", "span_id", F.concat_ws(":", "trace_id", "owner").alias("run_key"))
@@ -162,11 +163,12 @@ def roots(runs: DataFrame, edges: DataFrame) -> DataFrame:
     return runs.join(edges.where("from_run_id <> to_run_id").select("graph_id", F.col("to_run_id").alias("run_id")), ["graph_id", "run_id"], "left_anti")
 
 
-def deliverable(runs: DataFrame, edges: DataFrame, steps: int = 32) -> DataFrame:
+def deliverable(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, run_id) of the run whose output is delivered.
 
     The sink that ends last; without sinks the last run that isn't a source and has output. From a verifier, or a run without
-    output, the walk goes back to the predecessor that ends last until one qualifies. runs: run_id, end_time, has_output, verifier.
+    output, the walk goes back to the predecessor that ends last until one qualifies, or until it would come to a run again. runs: run_id,
+    end_time, has_output, verifier.
     """
     last = lambda df: df.groupBy("graph_id").agg(F.max_by("run_id", F.struct("end_time", "run_id")).alias("run_id"))
     from_sinks = last(sinks(runs, edges))
@@ -176,10 +178,11 @@ def deliverable(runs: DataFrame, edges: DataFrame, steps: int = 32) -> DataFrame
     before = edges.where("from_run_id <> to_run_id").select("graph_id", F.col("to_run_id").alias("run_id"), F.col("from_run_id").alias("prev"))
     hop = before.join(facts.select("graph_id", F.col("run_id").alias("prev"), "end_time"), ["graph_id", "prev"]).groupBy("graph_id", "run_id").agg(F.max_by("prev", F.struct("end_time", "prev")).alias("prev"))
     step = cut(facts.join(hop, ["graph_id", "run_id"], "left"))
-    at = cut(from_sinks.unionByName(fallback).withColumn("start", F.col("run_id")).withColumn("done", F.lit(False)))
-    for _ in range(steps):
-        moved = at.join(step, ["graph_id", "run_id"], "left").select("graph_id", F.when(F.col("done") | F.col("good") | F.col("prev").isNull(), F.col("run_id")).otherwise(F.col("prev")).alias("run_id"), "start", (F.col("done") | F.col("good") | F.col("prev").isNull()).alias("done"))
-        at = cut(moved)
-        if not at.where("not done").limit(1).count():
-            break
-    return at.select("graph_id", "run_id")
+    at, ended = cut(from_sinks.unionByName(fallback).withColumn("met", F.array("run_id"))), None
+    stop = F.col("good") | F.col("prev").isNull() | F.array_contains("met", F.col("prev"))
+    while not at.isEmpty():
+        here = at.join(step, ["graph_id", "run_id"], "left").withColumn("stop", F.coalesce(stop, F.lit(True)))
+        here = cut(here.select("graph_id", F.when(F.col("stop"), F.col("run_id")).otherwise(F.col("prev")).alias("run_id"), F.array_append("met", F.col("prev")).alias("met"), "stop"))
+        done = here.where("stop").select("graph_id", "run_id")
+        ended, at = done if ended is None else ended.unionByName(done), here.where("not stop").drop("stop")
+    return ended if ended is not None else at.select("graph_id", "run_id")
