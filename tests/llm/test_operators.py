@@ -218,6 +218,48 @@ def test_link_that_no_pivot_meets(spark, first, linked):
     assert got == {i: linked[0] if i in linked else i for i in texts}
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_large_group_of_near_copies(spark, percent):
+    """Lists of hundreds of members, of which some are linked, some just not, some to one other only; an id with two texts."""
+    r = random.Random(21)
+    base = [r.choice("abcdefghij") + str(r.randrange(500)) for _ in range(160)]
+    texts = []
+    for k in range(260):
+        words_now = list(base)
+        for _ in range(r.choice([1, 1, 2, 3, 5, 6, 7, 9])):
+            words_now[r.randrange(160)] = f"n{r.randrange(10**6)}"
+        texts.append((k, " ".join(words_now)))
+    texts += [(500 + k, " ".join(base[:110] + [f"o{k}x{j}" for j in range(r.randint(5, 60))])) for k in range(40)]
+    texts += [(900, texts[3][1]), (901, "alone on its own here"), (901, texts[200][1] + " and more"), (902, None)]
+    sets = defaultdict(list)
+    for i, t in texts:
+        sets[i].append(shingles(t, 4))
+    ids = sorted(sets)
+    near = lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if any(near(x, y) for x in sets[a] for y in sets[b])]
+    want = components_of(sets, links)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, 4, percent).collect()
+    assert len(got) == len(texts) and 1 < len(set(want.values())) < len(want)
+    wrong = [(x.doc_id, x.component_id, want[x.doc_id]) for x in got if x.component_id != want[x.doc_id]]
+    assert not wrong
+    left = {x.doc_id for x in minhash.keep_first(docs, 4, percent).collect()}
+    assert left == {i for i in ids if want[i] == i}
+
+
+def test_names_that_clash(spark):
+    names = ["_id", "_doc", "_gone", "_copy", "_copies", "stays", "doc", "gone", "row", "times", "of", "name", "rep", "comp", "n", "x"]
+    lines = "one line that stands in many documents of this test"
+    mine = [(i, f"{lines}\nline number {i * 977} of its own kind {i} stands here", "s", *range(9, 9 + len(names))) for i in range(4)] + [(9, "a b c d e f g " * 9, None, *range(9, 9 + len(names)))]
+    docs = spark.createDataFrame(mine, "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in names))
+    for out in (minhash.keep_first(docs), line_dedup.drop_lines(docs), mixing.mixed_documents(docs), quality_rules.keep_good(docs)):
+        assert out.columns == docs.columns
+        assert all(tuple(x)[3:] == tuple(range(9, 9 + len(names))) for x in out.collect())
+    docs = docs.withColumns({"s1": docs["n"], "n_chars": docs["n"], "lang": docs["source"]})
+    for out in (minhash.near_duplicates(docs), line_dedup.line_dedup(docs), mixing.mix(docs), exact_dedup.exact_dedup(docs), repeats.remove_repeats(docs), quality_rules.quality_rules(docs)):
+        assert out.count() == len(mine)
+
+
 def test_line_dedup(spark, docs, none):
     text = {}
     for d in rows():
@@ -346,23 +388,40 @@ def test_language(docs, none, spark):
     assert {x.lang_pred for x in nothing.collect()} == {"und"}
 
 
-def test_automaton_is_exact():
+def test_parse_is_exact():
+    """Phrases of whole texts, over many blocks; the second training text makes parses slow to fall in step."""
     r = random.Random(4)
-    train = "".join(r.choice("abc") for _ in range(200))
-    model = language.Automaton(train)
-    for n in (1, 7, 60, 300):
-        text = "".join(r.choice("abcd") for _ in range(n))
-        want, i = 0, 0
-        for b in range(0, n, language.BLOCK):
-            block, i = text[b : b + language.BLOCK], 0
-            while i < len(block):
+    for train in ("".join(r.choice("abc") for _ in range(200)), "ab" * 300):
+        model = language.Automaton(train)
+        texts = ["".join(r.choice("abcd") for _ in range(n)) for n in (1, 7, 60, 300, 1500)] + ["ab" * 700, "b" + "ab" * 400 + "c"]
+        bits = language.entropies(texts, [model])[:, 0]
+        for text, got_bits in zip(texts, bits, strict=True):
+            want, i = 0, 0
+            while i < len(text):
                 k = 0
-                while i + k < len(block) and block[i : i + k + 1] in train:
+                while i + k < len(text) and text[i : i + k + 1] in train:
                     k += 1
                 want += 1
                 i += k + 1
-        bits = language.entropies([text], [model])[0, 0]
-        assert math.isclose(bits, want * math.log2(200) / n)
+            assert math.isclose(got_bits, want * math.log2(len(train)) / len(text))
+
+
+def test_language_decision(spark):
+    """The language with the fewest phrases, of texts too long for their room in training; its score is the share of its weight."""
+    r = random.Random(9)
+    tongue = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(n))
+    mine = [(i, tongue("abcde" if i % 2 else "fghij", 60 if i % 3 else 900), "x" if i % 2 else "y") for i in range(60)]
+    held = common.crc_mod("doc_id", 3) == 1
+    docs = spark.createDataFrame(mine, "doc_id long, text string, lang string")
+    trained = language.train(docs.where(~held))
+    assert set(trained) == {"x", "y"} and all(len(t) <= language.DOCS * (language.PIECES * (language.PIECE + 1) + 1) for t in trained.values())
+    langs = sorted(trained)
+    for x in language.language_id(docs, held).collect():
+        text = language.letters(mine[x.doc_id][1])
+        bits = [language.entropies([text], [language.Automaton(trained[k])])[0, 0] for k in langs]
+        assert x.lang_pred == mine[x.doc_id][2] == langs[int(np.argmin(bits))]
+        weights = [2 ** (-4 * (b - min(bits))) for b in bits]
+        assert math.isclose(x.score, max(weights) / sum(weights))
 
 
 def test_classifier(docs, none, spark):
@@ -401,6 +460,57 @@ def test_brown(docs, none):
     assert {x.score for x in brown.score_texts(docs, F.lit(True)).collect()} == {0.0}
 
 
+def test_brown_exchange_and_score(spark):
+    """Score and moves against the formulas, on a small corpus."""
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["the", "a"]) + " " + r.choice(["cat", "dog", "cow"]) + " " + r.choice(["runs", "sleeps"]) for _ in range(20)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + k, " ".join("".join(r.choice("qwxz") for _ in range(7)) for _ in range(60))) for k in range(5)], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    out = {x.doc_id: x for x in brown.score_texts(docs, F.col("doc_id") >= 1000).collect()}
+    prose = [out[i].score / out[i].n_tokens for i in range(40)]
+    noise = [out[1000 + k].score / out[1000 + k].n_tokens for k in range(5)]
+    assert max(noise) < min(prose) - 1
+    # better than words alone: classes know that an article is followed by an animal
+    assert sum(out[i].score for i in range(40)) > sum(out[i].base_score for i in range(40))
+
+    words = spark.createDataFrame([("ab",), ("b",)], "word string")
+    chain = brown.spelling(words)
+    pairs = Counter([(256, 97), (97, 98), (98, 256), (256, 98), (98, 256)])
+    part = lambda y: (sum(n for (_, b), n in pairs.items() if b == y) + 1) / (5 + 257)
+    p = lambda x, y: math.log10((pairs[(x, y)] + 5 * part(y)) / (sum(n for (a, _), n in pairs.items() if a == x) + 5))
+    assert np.allclose(brown.spelled(["ba", "b"], chain), [p(256, 98) + p(98, 97) + p(97, 256), p(256, 98) + p(98, 256)])
+    assert np.allclose((10**chain).sum(1), 1)
+
+    classes = np.arange(6) % 3
+    items = [r.randrange(6) for _ in range(400)]
+    train = spark.createDataFrame([([2 * i for i in items],)], "items array<int>")
+    before, end = brown.CLASSES, 0
+    found = brown.contexts(train, classes, end)
+    table = np.zeros((before, before))
+    seq = [end, *items]
+    for x, y in zip(seq, seq[1:]):
+        table[classes[x], classes[y]] += 1
+    assert (brown.transitions(found, classes) == table).all() and (brown.class_pairs(train, classes, end) == table).all()
+    moved = brown.exchange(found, classes, table, 0)
+    assert (moved[1::2] == classes[1::2]).all()  # half of the items move
+    for w in (0, 2, 4):
+        left, right = np.zeros(before), np.zeros(before)
+        for x, y in zip(seq, seq[1:]):
+            left[classes[x]] += y == w
+            right[classes[y]] += x == w
+        rows_, cols = table.sum(1) + 0.5 * before, table.sum(0) + 0.5 * before
+        gains = []
+        for c in range(before):
+            if c == classes[w]:  # without its own counts
+                gone_r = np.log(np.maximum(table[c] - right, 0) + 0.5) - np.log(max(rows_[c] - right.sum(), 0.5)) - np.log(cols)
+                gone_l = np.log(np.maximum(table[:, c] - left, 0) + 0.5) - np.log(max(cols[c] - left.sum(), 0.5)) - np.log(rows_)
+                gains.append((right * gone_r).sum() + (left * gone_l).sum())
+            else:
+                gains.append((right * np.log((table[c] + 0.5) / rows_[c] / cols)).sum() + (left * np.log((table[:, c] + 0.5) / rows_ / cols[c])).sum())
+        assert math.isclose(gains[moved[w]], max(gains), rel_tol=1e-9)
+
+
 def test_mixing(docs, none, spark):
     size = lambda t: len(words(t))
     by = defaultdict(int)
@@ -428,6 +538,15 @@ def test_mixing(docs, none, spark):
     most = max(size(d[1]) for d in rows())
     for s in order:
         assert abs(taken[s] - target[s]) <= most
+    # many documents a source, a few of them very long: the short ones make up for these
+    r = random.Random(7)
+    many = [(i, "w " * (r.randint(1, 60) if i % 40 else 3000), f"s{i % 4}") for i in range(1200)]
+    big = mixing.mix(spark.createDataFrame(many, "doc_id long, text string, source string"))
+    sums = defaultdict(int)
+    for x in big.collect():
+        sums[many[x.doc_id][2]] += x.taken
+        sums[many[x.doc_id][2], "goal"] = x.target
+    assert all(abs(sums[f"s{k}"] - sums[f"s{k}", "goal"]) <= 10 for k in range(4)), sums
     key = lambda x: (x.doc_id is None, x.doc_id or 0, x.taken)
     assert sorted(out, key=key) == sorted(mixing.mix(docs.repartition(5)).collect(), key=key)
     assert mixing.mix(none).count() == 0
