@@ -7,10 +7,13 @@ Ties break on (end_time, run_id), so results don't depend on row order or partit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import clamp
 from ..functions.lineage import cut, stored
@@ -132,30 +135,70 @@ def loop_anomalies(sccs: DataFrame, runs: DataFrame, baselines: DataFrame | None
     return cycles.withColumn("limit_kind", kind).where("limit_kind is not null").select("graph_id", "scc", "rounds", "limit_kind")
 
 
-def _component_count(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """key…, components: weakly connected components of nodes (key…, id) under edges (key…, src, dst)."""
-    both = edges.select(*key, "src", "dst").union(edges.select(*key, F.col("dst"), F.col("src")))
-    least = closure(both, key).groupBy(*key, F.col("src").alias("id")).agg(F.min("dst").alias("lo"))
-    label = nodes.join(least, [*key, "id"], "left").withColumn("label", F.least("id", F.coalesce("lo", "id")))
-    return label.groupBy(*key).agg(F.count_distinct("label").alias("components"))
+def _pieces(nodes: list, links: list[tuple]) -> tuple[int, list]:
+    """Weakly connected components that hold some of ``nodes``, and the nodes whose removal splits one: one depth-first walk with low
+    links (Hopcroft and Tarjan, 1973), linear in nodes and links. Ends of links that are no nodes connect, but don't count."""
+    near: dict = {v: [] for v in nodes}
+    for v, w in links:
+        near.setdefault(v, []).append(w)
+        near.setdefault(w, []).append(v)
+    known, place, low, count, points = set(nodes), {}, {}, 0, []
+    for root in near:
+        if root in place:
+            continue
+        place[root] = low[root] = len(place)
+        up, walk = {root: None}, [(root, iter(near[root]))]
+        while walk:
+            v, rest = walk[-1]
+            for w in rest:
+                if w not in place:
+                    place[w] = low[w] = len(place)
+                    up[w] = v
+                    walk.append((w, iter(near[w])))
+                    break
+                low[v] = min(low[v], place[w])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+        holds, apart = {v: int(v in known) for v in up}, {v: [] for v in up}
+        for v in reversed(up):  # children before their parents
+            above = up[v]
+            if above is not None:
+                holds[above] += holds[v]
+                if low[v] >= place[above] and holds[v]:
+                    apart[above].append(holds[v])
+        count += holds[root] > 0
+        points += [v for v in up if v in known and len(apart[v]) + (holds[root] - 1 > sum(apart[v])) > 1]
+    return count, points
+
+
+def weak_shape(runs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, components, points): the number of weakly connected components, and the runs whose removal splits one.
+
+    A graph's links are one row, as in ``topological``; the walk over it is linear. Runs without an id are left out.
+    """
+    nodes = runs.groupBy("graph_id").agg(F.collect_set("run_id").alias("nodes"))
+    links = _pairs(edges).where("src <> dst").groupBy("graph_id").agg(F.collect_set(F.struct("src", "dst")).alias("links"))
+    each = nodes.join(links, "graph_id", "left").select("graph_id", "nodes", F.col("links.src").alias("src"), F.col("links.dst").alias("dst"))
+    out = T.StructType([each.schema["graph_id"], T.StructField("components", T.LongType()), T.StructField("points", each.schema["nodes"].dataType)])
+
+    def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = zip(*(part.column(c).to_pylist() for c in ("nodes", "src", "dst")), strict=True)
+            found = [_pieces(nodes, list(zip(src or [], dst or [], strict=True))) for nodes, src, dst in rows]
+            counts, points = pa.array([n for n, _ in found], pa.int64()), pa.array([p for _, p in found], part.column("nodes").type)
+            yield pa.RecordBatch.from_arrays([part.column("graph_id"), counts, points], names=out.names)
+
+    return each.mapInArrow(walk, out)
 
 
 def articulation_points(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, run_id) whose removal splits its component: every run is taken out of a copy of its graph, all at once."""
-    links = _pairs(edges).where("src <> dst").distinct()
-    nodes = runs.select("graph_id", F.col("run_id").alias("id")).distinct()
-    whole = _component_count(nodes, links, ["graph_id"])
-    big = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("graph_id")
-    gone = nodes.join(big, "graph_id", "left_semi").select("graph_id", F.col("id").alias("gone"))
-    left_nodes = gone.join(nodes, "graph_id").where("id <> gone")
-    left_links = gone.join(links, "graph_id").where("src <> gone and dst <> gone")
-    after = _component_count(left_nodes, left_links, ["graph_id", "gone"])
-    touching = links.select("graph_id", F.col("src").alias("gone")).union(links.select("graph_id", F.col("dst"))).distinct().withColumn("linked", F.lit(1))
-    both = after.withColumnRenamed("components", "after").join(whole, "graph_id").join(touching, ["graph_id", "gone"], "left")
-    return both.where("after > components - (1 - coalesce(linked, 0))").select("graph_id", F.col("gone").alias("run_id"))
-
-
-def topology(runs: DataFrame, edges: DataFrame, sccs: DataFrame, order: DataFrame, with_points: bool = True) -> DataFrame:
+    """(graph_id, run_id) whose removal splits its component."""
+    return weak_shape(runs, edges).select("graph_id", F.explode("points").alias("run_id"))
+
+
+def topology(runs: DataFrame, edges: DataFrame, sccs: DataFrame, order: DataFrame) -> DataFrame:
     """One row a graph: counts, components, fan-out, depth, cycles, two-way pairs, articulation points, the shape, and whether it is a line."""
     links = _pairs(edges).distinct()
     nodes = runs.select("graph_id", F.col("run_id").alias("id")).distinct()
@@ -178,7 +221,7 @@ def topology(runs: DataFrame, edges: DataFrame, sccs: DataFrame, order: DataFram
     spokes = links.join(shape.select("graph_id", "root"), "graph_id").where("src = root").select("graph_id", F.col("dst").alias("id")).distinct()
     n_spokes = spokes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("spokes"))
     to_one = links.join(spokes.select("graph_id", F.col("id").alias("src")), ["graph_id", "src"]).groupBy("graph_id").agg(F.count_distinct("src").alias("feeding"), F.count_distinct("dst").alias("fed"), F.count(F.lit(1)).alias("feeds"))
-    comp = _component_count(nodes, links.where("src <> dst"), ["graph_id"])
+    comp = weak_shape(runs, edges).select("graph_id", "components", F.size("points").cast("long").alias("articulation_points"))
     t = g
     for part in (shape, pairs, dense, cyc, cdeg, cind, depth, n_spokes, to_one, comp):
         t = t.join(part, "graph_id", "left")
@@ -193,12 +236,8 @@ def topology(runs: DataFrame, edges: DataFrame, sccs: DataFrame, order: DataFram
     primary = (F.when(F.col("components") > 1, "disconnected").when(F.col("n") == 1, "single_node").when((F.col("cycles") > 0) & ((F.col("two_way") >= 2) | F.col("dense")), "mesh")
                .when((F.col("cycles") > 0) & c_line, "pipeline_with_feedback").when(F.col("cycles") > 0, "cyclic_graph").when(acyclic & line, "pipeline").when(acyclic & star, "star")
                .when(acyclic & tree & (F.col("depth") >= 3), "hierarchy").otherwise("dag"))
-    out = t.select("graph_id", F.col("n").alias("node_count"), F.col("e").alias("edge_count"), "components", F.col("fan").alias("max_fan_out"), "depth", F.col("cycles").alias("scc_count"), F.col("two_way").alias("bidirectional_pairs"),
-                   primary.alias("primary"), ((F.col("depth") >= 3) & primary.isin("pipeline", "pipeline_with_feedback")).alias("chain"))
-    if not with_points:
-        return out
-    points = articulation_points(runs, edges).groupBy("graph_id").agg(F.count(F.lit(1)).alias("articulation_points"))
-    return out.join(points, "graph_id", "left").na.fill(0, ["articulation_points"])
+    return t.select("graph_id", F.col("n").alias("node_count"), F.col("e").alias("edge_count"), "components", F.col("fan").alias("max_fan_out"), "depth", F.col("cycles").alias("scc_count"), F.col("two_way").alias("bidirectional_pairs"),
+                   primary.alias("primary"), ((F.col("depth") >= 3) & primary.isin("pipeline", "pipeline_with_feedback")).alias("chain"), "articulation_points")
 
 
 def unknown_upstream(sccs: DataFrame, facts: DataFrame, links: DataFrame, up: DataFrame) -> DataFrame:

@@ -106,6 +106,16 @@ def test_articulation_points(data, frames):
     assert {(x.graph_id, x.run_id) for x in graph.articulation_points(*frames).collect()} == want
 
 
+def test_weak_shape_edges(spark):
+    """A link through an unknown run connects but doesn't count; a long line needs no recursion; a graph without links stays."""
+    n = 3000
+    runs = spark.createDataFrame([(0, 1, 1, "a", 1.0, None), (0, 2, 2, "a", 1.0, None), (2, 5, 5, "a", 1.0, None)] + [(1, i, i, "a", 1.0, None) for i in range(n)], RUNS)
+    edges = spark.createDataFrame([(0, 1, 9), (0, 9, 2), (0, 2, 8), (2, 5, 5)] + [(1, i, i + 1) for i in range(n - 1)], EDGES)
+    got = {x.graph_id: x for x in graph.weak_shape(runs, edges).collect()}
+    assert {g: x.components for g, x in got.items()} == {0: 1, 1: 1, 2: 1}
+    assert {g: sorted(x.points) for g, x in got.items()} == {0: [], 1: list(range(1, n - 1)), 2: []}
+
+
 def shapes(spark, spec):
     runs = [(g, i, i, "a", 1.0, None) for g, (n, _) in enumerate(spec) for i in range(n)]
     edges = [(g, a, b) for g, (_, es) in enumerate(spec) for a, b in es]
