@@ -13,7 +13,7 @@ from ..functions.jsonview import json_leaves
 from ..functions.lineage import stored
 from ..operators import checks, evidence, graph, reconstruct, reports, scoring
 from ..sources import traces
-from .views import sql, table, view, with_views
+from .views import VIEWS, sql, table, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,7 +65,8 @@ class Orders:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.runs = stored(view(spark, sf_dir, "v_runs"))  # its window over all lines runs once
-        self.edges = view(spark, sf_dir, "v_edges")
+        last = self.runs.groupBy("graph_id").agg(F.max("run_id").alias("n"))
+        self.edges = stored(spark.sql(VIEWS["v_edges"].replace("v_runs", "{runs}").replace("v_last", "{last}"), runs=self.runs, last=last))
 
     def paths(self) -> DataFrame:
         return graph.reach(self.edges)
