@@ -638,7 +638,7 @@ def c15_numeric_content_lost(spark, sf_dir):
 
 @query(r"""select doc_id as graph_id, 'email address' as kind, substring(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}'), 1, 4) as prefix from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')
     union all select doc_id, 'phone number', substring(p, 1, 4) from (select doc_id, list_filter(regexp_extract_all(text, '\+\d[\d \-()]{7,}\d'), lambda m: length(regexp_replace(m, '\D', '', 'g')) >= 9)[1] as p from documents) x where p is not null
-    union all select doc_id, 'payment card number', substring(p, 1, 4) from (select doc_id, list_filter(regexp_extract_all(text, '(?:^|[^0-9A-Za-z])((?:\d[ -]?){12,18}\d)(?:$|[^0-9A-Za-z])', 1), lambda m: list_sum(list_transform(range(1, length(regexp_replace(m, '[ -]', '', 'g')) + 1),
+    union all select doc_id, 'payment card number', substring(p, 1, 4) from (select doc_id, list_filter(regexp_extract_all(replace(text, '_', '.'), '\b(?:\d[ -]?){12,18}\d\b'), lambda m: list_sum(list_transform(range(1, length(regexp_replace(m, '[ -]', '', 'g')) + 1),
       lambda i: (1 + (i + 1) % 2) * cast(substring(reverse(regexp_replace(m, '[ -]', '', 'g')), i, 1) as int) - case when i % 2 = 0 and substring(reverse(regexp_replace(m, '[ -]', '', 'g')), i, 1) > '4' then 9 else 0 end)) % 10 = 0)[1] as p from documents) x where p is not null
     union all select doc_id, 'AWS access key id', 'AKIA' from documents where regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b')
     union all select doc_id, 'private key', '----' from documents where regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')""")
