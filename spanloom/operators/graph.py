@@ -301,10 +301,12 @@ def degradation_chains(sccs: DataFrame, links: DataFrame, cfg: Config = CONFIG)
     return good.join(inner, ["graph_id", "head"], "left_anti")
 
 
-def chain_origins(chains: DataFrame, sccs: DataFrame, origins: DataFrame) -> DataFrame:
-    """In graphs without another origin, the first run of each chain that eroded, with the chain's whole drop."""
+def chain_origins(chains: DataFrame, sccs: DataFrame, origins: DataFrame, facts: DataFrame) -> DataFrame:
+    """In graphs without another origin, the first run of each chain that eroded, with the chain's whole drop; a run whose input was
+    flawed already is none. facts: graph_id, run_id, input_flawed."""
     left = chains.join(origins.select("graph_id").distinct(), "graph_id", "left_anti").select("graph_id", F.element_at("path", 2).alias("scc"), "drop")
-    return left.join(sccs.select("graph_id", "scc", F.col("exit_run").alias("run_id"), "score"), ["graph_id", "scc"])
+    found = left.join(sccs.select("graph_id", "scc", F.col("exit_run").alias("run_id"), "score"), ["graph_id", "scc"])
+    return found.join(facts.where("input_flawed").select("graph_id", "run_id"), ["graph_id", "run_id"], "left_anti")
 
 
 def cycle_origins(sccs: DataFrame, runs: DataFrame, edges: DataFrame, origins: DataFrame, cfg: Config = CONFIG) -> DataFrame:

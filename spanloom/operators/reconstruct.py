@@ -166,23 +166,28 @@ def roots(runs: DataFrame, edges: DataFrame) -> DataFrame:
 def deliverable(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, run_id) of the run whose output is delivered.
 
-    The sink that ends last; without sinks the last run that isn't a source and has output. From a verifier, or a run without
-    output, the walk goes back to the predecessor that ends last until one qualifies, or until it would come to a run again. runs: run_id,
-    end_time, has_output, verifier.
+    The sink that ends last; without sinks the last run that has output and isn't a source, or else the last of all. From a verifier
+    the walk goes to the last of its predecessors that have output and aren't verifiers, and ends there. Without any it goes to the last
+    predecessor that it hasn't met, and on if that is a verifier too. runs: run_id, end_time, has_output, verifier (null: false).
     """
-    last = lambda df: df.groupBy("graph_id").agg(F.max_by("run_id", F.struct("end_time", "run_id")).alias("run_id"))
-    from_sinks = last(sinks(runs, edges))
-    no_sink = runs.join(from_sinks, "graph_id", "left_anti").where("has_output")
-    fallback = last(no_sink.join(roots(runs, edges).select("graph_id", "run_id"), ["graph_id", "run_id"], "left_anti"))
-    facts = runs.select("graph_id", "run_id", "end_time", (F.col("has_output") & ~F.col("verifier")).alias("good"))
-    before = edges.where("from_run_id <> to_run_id").select("graph_id", F.col("to_run_id").alias("run_id"), F.col("from_run_id").alias("prev"))
-    hop = before.join(facts.select("graph_id", F.col("run_id").alias("prev"), "end_time"), ["graph_id", "prev"]).groupBy("graph_id", "run_id").agg(F.max_by("prev", F.struct("end_time", "prev")).alias("prev"))
-    step = cut(facts.join(hop, ["graph_id", "run_id"], "left"))
+    key, end = ["graph_id", "run_id"], F.struct("end_time", "run_id")
+    has, checks = F.coalesce("has_output", F.lit(False)), F.coalesce("verifier", F.lit(False))
+    from_sinks = sinks(runs, edges).groupBy("graph_id").agg(F.max_by("run_id", end).alias("run_id"))
+    fed = edges.select("graph_id", F.col("to_run_id").alias("run_id"), F.lit(True).alias("fed")).distinct()
+    closed = runs.join(from_sinks, "graph_id", "left_anti").join(fed, key, "left")
+    fallback = closed.groupBy("graph_id").agg(F.max_by("run_id", F.struct(has & F.coalesce("fed", F.lit(False)), "end_time", "run_id")).alias("run_id"))
+
+    before = edges.select("graph_id", F.col("to_run_id").alias("run_id"), F.col("from_run_id").alias("prev")).distinct()
+    before = before.join(runs.where(checks).select(*key), key, "left_semi")
+    before = before.join(runs.select("graph_id", F.col("run_id").alias("prev"), "end_time", (has & ~checks).alias("made"), checks.alias("again")), ["graph_id", "prev"])
+    step = cut(before.groupBy(*key).agg(F.max_by("prev", F.when(F.col("made"), F.struct("end_time", "prev"))).alias("maker"), F.sort_array(F.collect_list(F.struct("end_time", "prev", "again")), False).alias("prevs")))
+
     at, ended = cut(from_sinks.unionByName(fallback).withColumn("met", F.array("run_id"))), None
-    stop = F.col("good") | F.col("prev").isNull() | F.array_contains("met", F.col("prev"))
-    while not at.isEmpty():
-        here = at.join(step, ["graph_id", "run_id"], "left").withColumn("stop", F.coalesce(stop, F.lit(True)))
-        here = cut(here.select("graph_id", F.when(F.col("stop"), F.col("run_id")).otherwise(F.col("prev")).alias("run_id"), F.array_append("met", F.col("prev")).alias("met"), "stop"))
-        done = here.where("stop").select("graph_id", "run_id")
-        ended, at = done if ended is None else ended.unionByName(done), here.where("not stop").drop("stop")
-    return ended if ended is not None else at.select("graph_id", "run_id")
+    fresh = F.get(F.filter("prevs", lambda x: ~F.array_contains("met", x["prev"])), F.lit(0))
+    while not at.isEmpty():  # a walk meets no run twice
+        here = at.join(step, key, "left").withColumn("next", F.when(F.col("maker").isNull(), fresh))
+        to = F.coalesce("maker", "next.prev", "run_id")
+        here = cut(here.select("graph_id", to.alias("run_id"), F.array_append("met", to).alias("met"), F.coalesce("next.again", F.lit(False)).alias("on")))
+        done = here.where("not on").select(*key)
+        ended, at = done if ended is None else ended.unionByName(done), here.where("on").drop("on")
+    return ended if ended is not None else at.select(*key)

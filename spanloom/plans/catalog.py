@@ -402,7 +402,7 @@ def a07_degradation_chains(spark, sf_dir):
 def a08_chain_origins(spark, sf_dir):
     o = Orders(spark, sf_dir)
     s = o.sccs()
-    return graph.chain_origins(graph.degradation_chains(s, o.links), s, graph.edge_drop_origins(s, o.links, o.facts).where("kind in ('drop', 'propagating')"))
+    return graph.chain_origins(graph.degradation_chains(s, o.links), s, graph.edge_drop_origins(s, o.links, o.facts).where("kind in ('drop', 'propagating')"), o.facts)
 
 
 @query(f"""with recursive {ORIGINS}, inside as (select m.graph_id, m.scc, m.run_id, m.score from member m join node n on n.graph_id = m.graph_id and n.scc = m.scc where n.n > 1 and not exists (select 1 from origin o where o.graph_id = n.graph_id and o.scc = n.scc and o.kind in ('drop', 'propagating'))),
@@ -526,7 +526,17 @@ def a41_peer_facts(spark, sf_dir):
     return graph.peer_facts(r.select(*KEY, F.col("unscored_reason").alias("name")), r)
 
 
-@query()
+@query("""with recursive fed as (select distinct graph_id, to_run_id as run_id from v_edges), feeds as (select distinct graph_id, from_run_id as run_id from v_edges),
+    tips as (select r.graph_id, max(r.run_id) as run_id from v_runs r left join feeds f on f.graph_id = r.graph_id and f.run_id = r.run_id where f.run_id is null group by 1),
+    start as (select * from tips union all select r.graph_id, coalesce(max(r.run_id) filter (where r.score is not null and f.run_id is not null), max(r.run_id)) from v_runs r left join fed f on f.graph_id = r.graph_id and f.run_id = r.run_id
+      where r.graph_id not in (select graph_id from tips) group by 1),
+    prevs as (select e.graph_id, e.to_run_id as run_id, p.run_id as prev, p.score is not null and not p.verifier as made, p.verifier as again from v_edges e join v_runs p on p.graph_id = e.graph_id and p.run_id = e.from_run_id
+      join v_runs r on r.graph_id = e.graph_id and r.run_id = e.to_run_id where r.verifier),
+    walk as (select graph_id, run_id, [run_id] as met, true as open from start union all
+      select graph_id, coalesce(maker, nxt, run_id), list_append(met, coalesce(maker, nxt, run_id)), maker is null and nxt is not null and again from
+        (select w.graph_id, w.run_id, w.met, max(p.prev) filter (where p.made) as maker, max(p.prev) filter (where not list_contains(w.met, p.prev)) as nxt, coalesce(arg_max(p.again, p.prev) filter (where not list_contains(w.met, p.prev)), false) as again
+         from walk w left join prevs p on p.graph_id = w.graph_id and p.run_id = w.run_id where w.open group by 1, 2, 3) x)
+    select graph_id, run_id from walk where not open""")
 def g18_deliverable(spark, sf_dir):
     o = Orders(spark, sf_dir)
     return reconstruct.deliverable(o.runs.withColumn("has_output", F.col("score").isNotNull()), o.edges)
@@ -712,12 +722,18 @@ def c30_structured_claims(spark, sf_dir):
     return checks.structured_claims(json_leaves(rows, KEY, "output")).select(*KEY, F.array_join("claims", "|").alias("claims"))
 
 
-@query()
+def _picked(key: str, percent: int) -> str:
+    """SQL for ``columns.sampled``: a sha256 modulo 100, four digits at a time."""
+    return "(" + " + ".join(f"cast('0x' || substr(sha256({key}), {4 * i + 1}, 4) as bigint) * {pow(65536, 15 - i, 100)}" for i in range(16)) + f") % 100 < {percent}"
+
+
+@query(f"select o_orderkey as graph_id, true as sampled from orders where {_picked('cast(o_orderkey as varchar)', 20)}")
 def c31_sampled(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("graph_id"), C.sampled(F.col("o_orderkey").cast("string"), 20).alias("sampled")).where("sampled")
 
 
-@query()
+@query("""select o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as id
+    from (select o_orderkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('order:' || o_orderkey)) as h from orders) x""")
 def c32_uuid5(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", C.uuid5_url(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))).alias("id"))
 
@@ -1087,9 +1103,11 @@ def w09_control_signals(spark, sf_dir):
 def w08_quarantine(spark, sf_dir):
     from ..streaming import live
 
-    e = table(spark, sf_dir, "events").withColumn("raw", F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("{"), F.col("event_id").cast("string"))).otherwise(F.col("props"))).withColumn("parsed", F.get_json_object("raw", "$.k"))
+    stream, path = _stream(spark, sf_dir)
+    e = stream.withColumn("raw", F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("{"), F.col("event_id").cast("string"))).otherwise(F.col("props"))).withColumn("parsed", F.get_json_object("raw", "$.k"))
     _, dead = live.quarantine(e, "raw", "parsed")
-    return dead.select(F.substring("payload", 2, 20).cast("bigint").alias("event_id"), "error")
+    live.drain(dead, path)
+    return spark.read.schema("payload string, error string").parquet(f"{path}/out").select(F.substring("payload", 2, 20).cast("bigint").alias("event_id"), "error")
 
 
 # ---- streaming ---------------------------------------------------------------------------------------------------------------------------------
@@ -1130,22 +1148,70 @@ def w07_stream_baselines(spark, sf_dir):
     return _n(spark.read.parquet(f"{path}/v={last}").drop("m2"))
 
 
-@query("select graph_id, count(*) as late_count from v_runs where run_id > 2 and graph_id % 2 = 0 group by 1")
+def _in_files(df: DataFrame, path: str, key: str, files: int = 3) -> DataFrame:
+    """The rows of ``df`` as a stream of a few files, dealt by ``key``; one file makes a batch."""
+    df.repartition(files, key).write.parquet(f"{path}/in")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+@query("select graph_id, count(*) as late_count, max(started_at) as last_at from v_runs where run_id > 2 and graph_id % 2 = 0 group by 1")
 def w05_late_runs(spark, sf_dir):
+    """Every second graph completed with its first two runs; all runs then arrive twice, over several batches."""
     from ..streaming import live
 
-    r = view(spark, sf_dir, "v_runs").select(*KEY, F.col("started_at").alias("arrival_ts"))
-    return live.late_runs(r, r.where("run_id <= 2"), r.where("graph_id % 2 = 0").select("graph_id").distinct()).select("graph_id", "late_count")
+    _, path = _stream(spark, sf_dir)
+    r = stored(view(spark, sf_dir, "v_runs").select(*KEY, F.col("started_at").alias("arrival_ts")))
+    known, completed = r.where("run_id <= 2"), r.where("graph_id % 2 = 0").select("graph_id").distinct()
+    twice = r.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("delivery")).withColumn("file", F.col("run_id") + F.col("delivery"))
+    live.drain_batches(_in_files(twice, path, "file"), path, live.collecting_late(f"{path}/late", known, completed))
+    return live.late_runs(spark.read.schema(r.schema).parquet(f"{path}/late"), known, completed)
 
 
-@query("select distinct graph_id from v_runs where graph_id % 5 <> 0")
+@query("select distinct graph_id from v_runs where score is not null")
 def w04_emit_once(spark, sf_dir):
+    """A graph is reported complete with each of its runs, over several batches; runs without a score are empty shells."""
     from ..streaming import live
 
-    r = view(spark, sf_dir, "v_runs").withColumn("n", F.lit(1))
-    return live.emit_once(r, r.where("graph_id % 5 = 0").select("graph_id").distinct()).select("graph_id")
+    _, path = _stream(spark, sf_dir)
+    r = view(spark, sf_dir, "v_runs").select("graph_id", F.col("score").isNotNull().cast("int").alias("n"), "run_id")
+    live.drain_batches(_in_files(r, path, "run_id"), path, live.emitting_once(f"{path}/completed"))
+    return spark.read.schema("graph_id long").parquet(f"{path}/completed").select("graph_id")
 
 
+@query("select user_id, count(*) as n, min(event_id) as first_id from events group by 1")
+def w01_intake(spark, sf_dir):
+    """Each event delivered twice; the intake keeps one."""
+    from ..streaming import live
+
+    _, path = _stream(spark, sf_dir)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("arrival_ts"))
+    e.union(e).write.parquet(f"{path}/in")
+    live.drain(live.stream_spans(spark, f"{path}/in", e.schema, ["event_id"], "arrival_ts"), path)
+    return spark.read.schema(e.schema).parquet(f"{path}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query(f"""with done as (select g.graph_id, coalesce(v.flagged, false) as flagged from v_graphs g left join v_verdicts v on v.graph_id = g.graph_id where g.status = 'finalized')
+    select graph_id, case when flagged then 'flagged' else 'sampled' end as why from done where flagged or {_picked('cast(graph_id as varchar)', 25)}""")
+def w06_route(spark, sf_dir):
+    """Finalised graphs: flagged ones go on to deep analysis, and a quarter of the others."""
+    from ..streaming import live
+
+    flags = view(spark, sf_dir, "v_verdicts").select("graph_id", F.when(F.col("flagged"), F.array(F.lit("price"))).otherwise(F.array().cast("array<string>")).alias("hard"))
+    _, deep = live.route(view(spark, sf_dir, "v_graphs").where("status = 'finalized'").select("graph_id"), flags, 25)
+    return deep
+
+
+@query("""select case when length(c.text) % 2 = 0 then cast(c.conv_id as varchar) || ':s' || cast(c.turn as varchar) else cast(c.conv_id as varchar) || ':s' || cast(u.turn as varchar) end as from_key,
+      case when length(c.text) % 2 = 0 then cast(c.conv_id as varchar) || ':s' || cast(u.turn as varchar) else cast(c.conv_id as varchar) || ':s' || cast(c.turn as varchar) end as to_key, 'A2A' as type
+    from conversations c join (select conv_id, min(turn) as turn from conversations where role = 'user' group by 1) u on u.conv_id = c.conv_id where c.role = 'assistant'""")
+def g12_a2a_edges(spark, sf_dir):
+    """Every tool call as a message to the peer of the name ``user``; calls with an even length as served ones."""
+    owned = reconstruct.cut(reconstruct.assign_owners(_spans(spark, sf_dir)))
+    runs = reconstruct.cut(reconstruct.build_runs(owned))
+    message = F.create_map(F.lit("a2a.task_id"), F.col("span_id"), F.lit("a2a.peer"), F.lit("user"))
+    asked = owned.where(F.col("kind") == reconstruct.TOOL).withColumn("kind", F.when(F.length(F.col("attributes")["output"]) % 2 == 0, 2).otherwise(F.col("kind"))).withColumn("attributes", F.map_concat("attributes", message))
+    return reconstruct.a2a_edges(asked, runs, enabled=True).select("from_key", "to_key", "type")
+
 
 # ---- operators that had no query of their own ----------------------------------------------------------------------------------------------------------
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.reports import baselines, merge_baselines
 
@@ -80,6 +80,39 @@ def merging_baselines(path: str) -> Callable[[DataFrame, int], None]:
     return fold
 
 
+def _earlier(own: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """What the batches before this one wrote below ``path``; a batch that is run again doesn't see its own rows."""
+    spark = own.sparkSession
+    return spark.read.schema(StructType([*own.schema.fields, StructField("v", LongType())])).parquet(path).where(F.col("v") < batch_id).drop("v") if batch_id else own.where("false")
+
+
+def emitting_once(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes each batch's completed graphs (graph_id, n) that no batch before has emitted."""
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        ids = batch.select("graph_id", "n")
+        emit_once(ids, _earlier(ids, path, batch_id)).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    return emit
+
+
+def collecting_late(path: str, stored: DataFrame, completed: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps each batch's runs (graph_id, run_id, arrival_ts) of completed graphs; a run that is delivered again,
+    in this batch or a later one, isn't new. ``late_runs`` counts them."""
+
+    def collect(batch: DataFrame, batch_id: int) -> None:
+        new = batch.select("graph_id", "run_id", "arrival_ts").groupBy("graph_id", "run_id").agg(F.min("arrival_ts").alias("arrival_ts"))
+        new = new.join(completed.select("graph_id"), "graph_id", "left_semi").join(stored.select("graph_id", "run_id"), ["graph_id", "run_id"], "left_anti")
+        new.join(_earlier(new, path, batch_id), ["graph_id", "run_id"], "left_anti").write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    return collect
+
+
+def drain_batches(stream: DataFrame, path: str, each: Callable[[DataFrame, int], None]) -> None:
+    """Runs a stream over all that is there, batch by batch."""
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 def drain(stream: DataFrame, path: str) -> None:
     """Runs a stream in append mode over all that is there into Parquet at ``path``."""
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
