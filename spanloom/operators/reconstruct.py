@@ -156,11 +156,23 @@ def latest_spans_of(spans: DataFrame, graph_keys: DataFrame, tie: list[str]) ->
 
 
 def sinks(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    return runs.join(edges.where("from_run_id <> to_run_id").select("graph_id", F.col("from_run_id").alias("run_id")), ["graph_id", "run_id"], "left_anti")
+    """Runs that no edge leaves; an edge from a run to itself leaves it."""
+    return runs.join(edges.select("graph_id", F.col("from_run_id").alias("run_id")), ["graph_id", "run_id"], "left_anti")
 
 
 def roots(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    return runs.join(edges.where("from_run_id <> to_run_id").select("graph_id", F.col("to_run_id").alias("run_id")), ["graph_id", "run_id"], "left_anti")
+    """Runs that no edge enters."""
+    return runs.join(edges.select("graph_id", F.col("to_run_id").alias("run_id")), ["graph_id", "run_id"], "left_anti")
+
+
+def ends(runs: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, root_run_id, terminal_run_id: the root that starts first and the sink that ends last; a graph without roots, or without
+    sinks, takes all its runs for them. runs: run_id, started_at, end_time."""
+    key = ["graph_id", "run_id"]
+    entered, left = (edges.select("graph_id", F.col(c).alias("run_id"), F.lit(True).alias(name)).distinct() for c, name in (("to_run_id", "entered"), ("from_run_id", "left")))
+    known = runs.join(entered, key, "left").join(left, key, "left")
+    return known.groupBy("graph_id").agg(F.min_by("run_id", F.struct(F.coalesce("entered", F.lit(False)), "started_at", "run_id")).alias("root_run_id"),
+                                         F.max_by("run_id", F.struct(F.col("left").isNull(), "end_time", "run_id")).alias("terminal_run_id"))
 
 
 def deliverable(runs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -542,6 +542,14 @@ def g18_deliverable(spark, sf_dir):
     return reconstruct.deliverable(o.runs.withColumn("has_output", F.col("score").isNotNull()), o.edges)
 
 
+@query("""with r as (select r.*, exists (select 1 from v_edges e where e.graph_id = r.graph_id and e.to_run_id = r.run_id) as entered, exists (select 1 from v_edges e where e.graph_id = r.graph_id and e.from_run_id = r.run_id) as gone from v_runs r)
+    select graph_id, max(run_id) filter (where k = 1) as root_run_id, coalesce(max(run_id) filter (where not gone), max(run_id)) as terminal_run_id
+    from (select *, row_number() over (partition by graph_id order by entered, started_at, run_id) as k from r) x group by 1""")
+def g18_ends(spark, sf_dir):
+    o = Orders(spark, sf_dir)
+    return reconstruct.ends(o.runs, o.edges)
+
+
 @query("select e.* from v_edges e where exists (select 1 from v_runs r where r.graph_id = e.graph_id and r.run_id = e.from_run_id and r.score is not null) and exists (select 1 from v_runs r where r.graph_id = e.graph_id and r.run_id = e.to_run_id and r.score is not null)")
 def g19_known_edges(spark, sf_dir):
     o = Orders(spark, sf_dir)

@@ -164,3 +164,113 @@ def test_unknown_is_never_an_origin(frames, data):
         hit = {0} | {b for a, b in brute_reach(data[1], g) if a == 0}
         known = [c for h, i, *_, c in data[0] if h == g and i in hit and c is not None]
         assert (x.cost, x.priced, x.total) == (sum(known) if known else None, len(known), len(hit))
+
+
+def by_graph(rows):
+    out = {}
+    for x in rows:
+        out.setdefault(x[0], []).append(x)
+    return out
+
+
+def condensed(frames):
+    """The components and their links, as frames and by graph: {scc: (score, end, exit run)} and {(src, dst)}."""
+    sccs = reconstruct.cut(graph.condense(*frames, graph.reach(frames[1])))
+    links = reconstruct.cut(graph.scc_edges(sccs, frames[1]))
+    nodes, pairs = {}, {}
+    for x in sccs.collect():
+        nodes.setdefault(x.graph_id, {})[x.scc] = (x.score, x.end_time, x.exit_run)
+    for x in links.collect():
+        pairs.setdefault(x.graph_id, set()).add((x.src, x.dst))
+    return sccs, links, nodes, pairs
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    runs, edges = random_graphs(120, 7)
+    return runs, edges, (spark.createDataFrame(runs, RUNS), spark.createDataFrame(edges, EDGES))
+
+
+def test_propagation_path(many):
+    """Every way from the start to the target is listed; the shortest counts, then the worst scores, unknown last."""
+    sccs, links, nodes, pairs = condensed(many[2])
+    starts = sccs.groupBy("graph_id").agg(F.min_by("scc", "end_time").alias("scc"))
+    ends = sccs.groupBy("graph_id").agg(F.max_by("scc", "end_time").alias("scc"))
+    got = {x.graph_id: (x.start, x.path) for x in graph.propagation_path(starts, sccs, links, ends).collect()}
+    longer = 0
+    for g, mine in nodes.items():
+        start, end = min(mine, key=lambda s: mine[s][1]), max(mine, key=lambda s: mine[s][1])
+        ways, todo = [], [[start]]
+        while todo:
+            way = todo.pop()
+            if way[-1] == end:
+                ways.append(way)
+            todo += [[*way, b] for a, b in pairs.get(g, ()) if a == way[-1]]
+        key = lambda s: (mine[s][0] is None, mine[s][0] or 0, mine[s][1], mine[s][2])  # noqa: B023, E731
+        want = min(ways, key=lambda w: (len(w), [key(s) for s in w[1:]])) if ways else [start]
+        assert got[g] == (start, want)
+        longer += len(want) > 2
+    assert longer
+
+
+def test_manifestation(many):
+    sccs, links, nodes, pairs = condensed(many[2])
+    checks = {(g, r) for g, r, *_ in many[0] if (g + 2 * r) % 3}
+    got = by_graph(graph.manifestation(sccs, links, many[2][0].where("(graph_id + 2 * run_id) % 3 <> 0")).collect())
+    moved = 0
+    for g, mine in nodes.items():
+        preds = lambda level: {a for a, b in pairs.get(g, ()) if b in level}  # noqa: B023, E731
+        want = set()
+        for sink in set(mine) - {a for a, _ in pairs.get(g, ())}:
+            run, level, seen = mine[sink][2], {sink}, {sink}
+            if (g, run) in checks:
+                while level := preds(level) - seen:
+                    seen |= level
+                    makers = [(mine[s][1], mine[s][2]) for s in level if (g, mine[s][2]) not in checks]
+                    if makers:
+                        run = max(makers)[1]
+                        moved += 1
+                        break
+            want.add(run)
+        assert {x.run_id for x in got[g]} == want
+    assert moved
+
+
+def test_deliverable(many):
+    runs, edges, frames = many
+    facts = frames[0].select("graph_id", "run_id", "end_time", F.expr("run_id % 3 <> 1").alias("has_output"), F.expr("(graph_id + run_id) % 3 <> 0").alias("verifier"))
+    got = {x.graph_id: x.run_id for x in reconstruct.deliverable(facts, frames[1]).collect()}
+    walked = closed = 0
+    for g in {x[0] for x in runs}:
+        end = {r: e for h, r, e, *_ in runs if h == g}
+        mine = [(a, b) for h, a, b in edges if h == g]
+        made, checks = (lambda r: r % 3 != 1), (lambda r: (g + r) % 3 != 0)  # noqa: B023
+        last = lambda rs: max(rs, key=lambda r: (end[r], r))  # noqa: B023, E731
+        tips = [r for r in end if r not in {a for a, _ in mine}]
+        closed += not tips
+        at, seen = last(tips or [r for r in end if made(r) and r in {b for _, b in mine}] or list(end)), set()
+        while checks(at) and at not in seen:
+            seen.add(at)
+            before = [a for a, b in mine if b == at]
+            makers, others = [r for r in before if made(r) and not checks(r)], [r for r in before if r not in seen]
+            if not makers and not others:
+                break
+            walked += 1
+            at = last(makers or others)
+            if makers:
+                break
+        assert got[g] == at
+    assert walked and closed and len(got) == len({x[0] for x in runs})
+
+
+def test_chain_origins(spark):
+    """Four steps down from a healthy start, beside the same graph with a flawed input and one that has another origin."""
+    scores = [0.9, 0.75, 0.6, 0.45, 0.3]
+    runs = spark.createDataFrame([(g, i, i, "a", x, None) for g in range(3) for i, x in enumerate(scores)], RUNS)
+    edges = spark.createDataFrame([(g, i, i + 1) for g in range(3) for i in range(4)], EDGES)
+    sccs, links, *_ = condensed((runs, edges))
+    chains = graph.degradation_chains(sccs, links)
+    assert {(x.graph_id, x.head, tuple(x.path), round(x.drop, 6)) for x in chains.collect()} == {(g, 0, (0, 1, 2, 3, 4), 0.6) for g in range(3)}
+    facts = runs.select("graph_id", "run_id", F.expr("graph_id = 1 and run_id = 1").alias("input_flawed"))
+    got = graph.chain_origins(chains, sccs, sccs.where("graph_id = 2 and scc = 3"), facts).collect()
+    assert [(x.graph_id, x.run_id, x.score, round(x.drop, 6)) for x in got] == [(0, 1, 0.75, 0.6)]
