@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,57 +21,105 @@ SPACE = "[\\x20\\x09-\\x0D]"
 #: Maps A-Z of UTF-8 bytes to a-z and leaves every other byte as it is.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_scratch: dict[str, list[str]] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, one made here (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Only a session within one process may leave that unset (tests): it gets a folder made here."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if not wanted:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         wanted = tempfile.mkdtemp(prefix="spanloom-")
         atexit.register(shutil.rmtree, wanted, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(wanted)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, owner: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and every executor can read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanloom-{owner}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _scratch.setdefault(owner, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables that one call of an operator writes to the shared folder: lineage ends there and every executor can read them.
+
+    ``result`` writes what the call returns to a table that outlives it. All others go with ``free``, at the end of a ``with``
+    block at the latest. No other call's tables are touched, however many run at once.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.tables = spark, name, []
+
+    def __enter__(self) -> Scratch:
+        return self
 
+    def __exit__(self, *error) -> None:
+        self.free()
 
-def bucketed(df: DataFrame, key: str, owner: str) -> DataFrame:
-    """Like ``written``, with the rows in buckets by ``key``: later joins on it don't shuffle this side again."""
-    spark = df.sparkSession
-    name = f"spanloom_{owner}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
-    _scratch.setdefault(owner, []).append(path)
-    return spark.table(name)
+    def _new(self) -> tuple[str, str]:
+        name = f"spanloom_{self.name}_{uuid.uuid4().hex}"
+        return name, f"{shared_dir(self.spark)}/{name}"
 
+    def result(self, df: DataFrame) -> DataFrame:
+        _, path = self._new()
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-def free(spark: SparkSession, owner: str) -> None:
-    """Deletes the scratch tables of ``owner``; call it when nothing that reads them is pending."""
-    jvm = spark.sparkContext._jvm
-    for path in _scratch.pop(owner, []):
-        name = path.rsplit("/", 1)[-1]
-        if name.startswith("spanloom_"):
-            spark.sql(f"drop table if exists {name}")
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def written(self, df: DataFrame) -> DataFrame:
+        name, path = self._new()
+        self.tables.append((None, path))
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """Like ``written``, with the rows in buckets by ``key``: later joins on it don't shuffle this side again."""
+        name, path = self._new()
+        self.tables.append((name, path))
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+        return self.spark.table(name)
+
+    def free(self) -> None:
+        """Deletes this call's tables but its results."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name, path in self.tables:
+            if name:
+                self.spark.sql(f"drop table if exists {name}")
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.tables = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def numbered(rows: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` (doc_id, text, …) with ``doc``, a number for each document, in the order of ids, those without an id last.
+
+    Where every row has an id of its own, that is the number. Otherwise each distinct pair of id and text is a document: rows without
+    an id, or with different texts under one id, stay apart, and rows that repeat both are one document. Second: a table of doc, its
+    id (of) and the text's hash (body) for ``matched``, or None.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    odd = rows.groupBy(doc_id.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    if odd.isEmpty():
+        return rows.withColumn("doc", doc_id), None
+    key = [doc_id.alias("of"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("body")]
+    order = [F.col("of").asc_nulls_last(), "body"]
+    each = rows.select(*key).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    names = s.written(each.select(F.monotonically_increasing_id().alias("doc"), "of", "body"))
+    rows = rows.withColumns({"_of": key[0], "_body": key[1]}).join(names, F.expr("_of <=> of and _body = body")).drop("_of", "_body", "of", "body")
+    return rows, names
+
+
+def matched(rows: DataFrame, found: DataFrame, names: DataFrame | None, s: Scratch, how: str = "left") -> DataFrame:
+    """``rows`` (doc_id, text, …) with the columns of ``found`` (doc, …), which first becomes a table that outlives the call."""
+    doc_id = F.col("doc_id").cast("long")
+    if names is None:
+        found = s.result(found.withColumnRenamed("doc", "_of"))
+        return rows.join(found, doc_id == F.col("_of"), how).drop("_of")
+    found = s.result(found.join(names, "doc").drop("doc").withColumnsRenamed({"of": "_of", "body": "_body"}))
+    return rows.join(found, doc_id.eqNullSafe(F.col("_of")) & (F.coalesce(F.sha2("text", 256), F.lit("")) == F.col("_body")), how).drop("_of", "_body")
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id written as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -8,33 +8,32 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(links: DataFrame, owner: str) -> DataFrame:
+def components(links: DataFrame, s: common.Scratch) -> DataFrame:
     """(node, comp) for every node of links (a, b): comp is the smallest node that can be reached.
 
     A round links every node's larger neighbours, then its smaller ones and itself, to the least node around it. Both keep what is
     connected, and the rounds go on until each component is a star around its least node, however many that takes: some 12 for a
-    path of 3,000 nodes and 16 for one of 20,000. A round's tables are deleted once the next but one begins; nothing but a
-    count reaches the driver.
+    path of 3,000 nodes and 16 for one of 20,000. A round's tables are deleted once the next but one begins, the labels
+    belong to ``s``; nothing but a count reaches the driver.
     """
-    spark = links.sparkSession
-    work = [f"{owner}-links-{k}" for k in range(2)]
-    edges = common.written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), work[1])
+    rounds = [common.Scratch(links.sparkSession, "links") for _ in range(2)]
+    edges = rounds[1].written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     turn = 0
     while _open(edges):
-        here = work[turn % 2]
-        common.free(spark, here)
+        here = rounds[turn % 2]
+        here.free()
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
         least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("least"))
-        large = common.written(edges.join(least.withColumnRenamed("node", "a"), "a").select(F.col("least").alias("a"), "b").distinct(), here)
+        large = here.written(edges.join(least.withColumnRenamed("node", "a"), "a").select(F.col("least").alias("a"), "b").distinct())
         low = large.groupBy("b").agg(F.min("a").alias("least"))
         small = large.join(low, "b").select("least", F.explode(F.array("a", "b")).alias("b")).where("least <> b")
-        edges = common.written(small.select(F.col("least").alias("a"), "b").distinct(), here)
+        edges = here.written(small.select(F.col("least").alias("a"), "b").distinct())
         turn += 1
     labels = edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(edges.select("a", "a"))
     alone = links.where("a = b").select("a", "b")
-    out = common.written(labels.union(alone).groupBy("node").agg(F.min("comp").alias("comp")), owner)
-    for name in work:
-        common.free(spark, name)
+    out = s.written(labels.union(alone).groupBy("node").agg(F.min("comp").alias("comp")))
+    for scratch in rounds:
+        scratch.free()
     return out
 
 

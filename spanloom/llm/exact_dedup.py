@@ -128,16 +128,21 @@ def exact_dedup(docs: DataFrame, batch: Column | None = None) -> DataFrame:
     repeat the id that stays are all kept, as they are one document. No rows give no rows; other columns are ignored.
     """
     batch = common.crc_mod("doc_id", 2) == 1 if batch is None else batch
-    digests = common.written(
+    with common.Scratch(docs.sparkSession, "exact") as s:
+        return s.result(_exact_dedup(docs, batch, s))
+
+
+def _exact_dedup(docs: DataFrame, batch: Column, s: common.Scratch) -> DataFrame:
+    digests = s.written(
         docs.select("doc_id", "text", F.coalesce(batch, F.lit(False)).cast("int").alias("side"))
-        .select("doc_id", "side", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "exact")
+        .select("doc_id", "side", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")))
     shards = max(1, -(-digests.count() // SHARD_ROWS))
-    old = common.written(_groups(digests.where("side = 0"), shards), "exact")
-    new = common.written(_groups(digests.where("side = 1"), shards), "exact")
+    old = s.written(_groups(digests.where("side = 0"), shards))
+    new = s.written(_groups(digests.where("side = 1"), shards))
 
     maybe = screen(new, old)
     met = maybe.alias("a").join(old.alias("b"), "digest").select("digest", F.col("a.keep_id").alias("a_id"), F.col("b.keep_id").alias("b_id"))
-    same = _same_bytes(common.written(met, "exact"), docs).withColumn("sides", F.array(F.lit(0), F.lit(1)))
+    same = _same_bytes(s.written(met), docs).withColumn("sides", F.array(F.lit(0), F.lit(1)))
     sides = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1))).join(same, "digest", "left")
     groups = (sides.withColumn("sides", F.coalesce("sides", F.array("side"))).groupBy("digest", "sides")
               .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))

@@ -103,19 +103,19 @@ def _characters(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc (never null), line_no, line, h of every line with a word."""
-    last = F.lit((1 << 63) - 1)
-    each = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line"))
+    """doc, line_no, line, h of every line with a word; ``docs`` has doc (a number for each document) and text."""
+    each = docs.dropDuplicates(["doc"]) if "again" in docs.columns else docs
+    each = each.select("doc", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line"))
     return each.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
+def distinct_lines(lines: DataFrame, s: common.Scratch) -> DataFrame:
     """Each text once: h, first (doc, line_no), line, length, letters; in buckets by h."""
     each = lines.groupBy("h").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.min("line").alias("line"))
-    return common.bucketed(each.select("*", *_measures(F.col("line"))), "h", "lines")
+    return s.bucketed(each.select("*", *_measures(F.col("line"))), "h")
 
 
-def line_links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_links(distinct: DataFrame, s: common.Scratch, edits: int = EDITS) -> DataFrame:
     """(a, b), a < b: hashes of different lines within ``edits`` edits; ``distinct`` as ``distinct_lines`` gives it."""
     lines = distinct.where(F.col("length") >= SHORTEST)
     rows = lambda probes: lines.select("h", "letters", F.explode(_keys(F.col("line"), F.col("length"), edits, probes)).alias("key"))
@@ -126,58 +126,70 @@ def line_links(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
         gap = (one - two).bitwiseAND(F.lit(top))
         apart = apart + F.least(gap, F.lit(1 << BITS) - gap)
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")) & (apart <= 2 * edits))
-    pairs = common.written(pairs.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b")).distinct(), "lines")
+    pairs = s.written(pairs.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b")).distinct())
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("h"))
     # The characters become lists in the aggregation: inside the fold they would be taken apart again at every step.
     side = lambda c: F.max(F.when(F.col("h") == F.col(c), _characters(F.col("line"))))
     texts = distinct.select("h", "line").join(sides, "h").groupBy("a", "b").agg(side("a").alias("left"), side("b").alias("right"))
     texts = texts.where(F.abs(F.size("left") - F.size("right")) <= edits)
     texts = texts.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")  # few bytes, much work
-    return common.written(texts.where(edit_distance(F.col("left"), F.col("right"), edits) <= edits).select("a", "b"), "lines")
+    return s.written(texts.where(edit_distance(F.col("left"), F.col("right"), edits) <= edits).select("a", "b"))
 
 
-def decisions(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Every line (doc, line_no, h) with its links, the smallest document of its class, and whether it is kept: the first line of
-    its class, by document and place."""
+def decisions(docs: DataFrame, s: common.Scratch, edits: int = EDITS) -> DataFrame:
+    """Every line (doc, line_no, h) of ``docs`` (doc, text) with its links, the first document of its class, and whether it is kept: the
+    first line of its class, by document and place."""
     lines = _lines(docs)
-    distinct = distinct_lines(lines)
-    links = line_links(distinct, edits)
-    comps = components(links, "lines")
+    distinct = distinct_lines(lines, s)
+    links = line_links(distinct, s, edits)
+    comps = components(links, s)
     of = distinct.select("h", "first").join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     number = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
     heads = of.groupBy("comp").agg(F.min("first").alias("head"))
-    table = common.written(of.join(heads, "comp").join(number, "h", "left").select("h", "first", "head", F.coalesce("links", F.lit(0)).alias("links")), "lines")
+    table = s.written(of.join(heads, "comp").join(number, "h", "left").select("h", "first", "head", F.coalesce("links", F.lit(0)).alias("links")))
     every = lines.select("doc", "line_no", "h").join(table, "h")
     here = F.struct("doc", "line_no")
     return every.select("doc", "line_no", "links", F.col("head.doc").alias("class_doc"), (here == F.col("head")).alias("kept"), (here != F.col("first")).alias("copy"))
 
 
+def _numbered(docs: DataFrame, s: common.Scratch) -> tuple[DataFrame, DataFrame | None]:
+    rows, names = common.numbered(docs, s)
+    return (rows, None) if names is None else (rows.withColumn("again", F.lit(True)), names)
+
+
 def line_dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, n_lines, n_copies, n_near, n_links and class_id of each row of ``docs`` (doc_id: an integer).
 
     n_copies: lines whose exact text stands earlier (smaller doc_id, or higher up); n_near: lines that stand first with their text
     but belong to the class of an earlier line. Both are removed. n_links: links of the document's lines to different texts.
     class_id: the smallest doc_id with a line of the same class as one of its lines; without lines its own.
-    Null and empty texts have no lines. A row without an id comes after all others. Rows that repeat an id are taken as one
-    document. Very long lines are compared whole. Other columns are ignored; no rows give no rows.
+    Null and empty texts have no lines. Each distinct pair of id and text is a document: rows without an id come after all others, each
+    text on its own (class_id is null if no document with an id has a line of the class); rows that repeat both get the same result.
+    Very long lines are compared whole. Other columns are ignored; no rows give no rows.
     """
-    last = (1 << 63) - 1
-    each = decisions(docs, edits).groupBy("doc").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if("copy").alias("n_copies"), F.count_if(~F.col("copy") & ~F.col("kept")).alias("n_near"),
-        F.sum("links").alias("n_links"), F.min("class_doc").alias("class_doc"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc")).join(each, "doc", "left")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with common.Scratch(docs.sparkSession, "lines") as s:
+        rows, names = _numbered(given, s)
+        each = decisions(rows, s, edits).groupBy("doc").agg(
+            F.count(F.lit(1)).alias("n_lines"), F.count_if("copy").alias("n_copies"), F.count_if(~F.col("copy") & ~F.col("kept")).alias("n_near"),
+            F.sum("links").alias("n_links"), F.min("class_doc").alias("class_id"))
+        if names is not None:
+            each = each.join(names.select(F.col("doc").alias("class_id"), F.col("of").alias("class_of")), "class_id").drop("class_id").withColumnRenamed("class_of", "class_id")
+        rows = common.matched(given, each.withColumn("found", F.lit(True)), names, s)
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_copies", "n_near", "n_links")]
-    own = F.coalesce("class_doc", "doc")
-    return rows.select(F.when(F.col("doc") < last, F.col("doc")).alias("doc_id"), *zero, F.when(own < last, own).alias("class_id"))
+    return rows.select("doc_id", *zero, F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The rows of ``docs``, columns as given, without the lines that ``line_dedup`` removes. A document of which no line is left
-    goes: all that it said stands in earlier documents. A document without any line stays."""
-    last = (1 << 63) - 1
-    gone = decisions(docs, edits).where("not kept").groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+    goes: all that it said stands in earlier documents. A document without any line stays. Rows without an id are told apart by their
+    texts, as are texts that share an id."""
     row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row")  # in one column, the given names clash with none here
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), row).join(gone, "doc", "left")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
+    with common.Scratch(docs.sparkSession, "lines") as s:
+        rows, names = _numbered(given.drop("row"), s)
+        gone = decisions(rows, s, edits).where("not kept").groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+        rows = common.matched(given, gone, names, s)
     parts = F.split(F.col("row.text"), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))

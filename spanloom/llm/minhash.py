@@ -155,14 +155,14 @@ def _like_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _second_lists(sketched: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _second_lists(sketched: DataFrame, percent: int, s: common.Scratch) -> tuple[DataFrame, DataFrame]:
     """(value, band, rep, size, k, place, parity) of the second level, twice: what is filed and what is probed.
 
     A document is filed under its band for partners as large or larger, and probes its own band and the smaller ones."""
     share = percent / 100
     both = share / (1 + share)  # common values are at least this part of both sizes together
     n, k = F.col("size"), F.col("k")
-    ranked = common.written(_ranked(sketched).join(sketched.select("rep", "s1", "parity"), ["rep", "s1"]), "minhash")
+    ranked = s.written(_ranked(sketched).join(sketched.select("rep", "s1", "parity"), ["rep", "s1"]))
     band = lambda x: F.floor(F.log(x) / math.log(BAND) + 1e-9).cast("int")
 
     def rows(rooms: Column, bands: Column) -> DataFrame:
@@ -176,9 +176,9 @@ def _second_lists(sketched: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     part = F.least(F.lit(1.0), both * (1 + F.least(low, n) / n))
     sampled = k - F.floor(part * k - SIGMAS * F.sqrt(part * (1 - part) * k)) + 1
     probed = rows(F.when(F.greatest(n, F.pow(F.lit(BAND), F.col("band") + 1)) <= K2, n - F.ceil(part * n - 1e-9) + 1).otherwise(sampled), F.explode(F.sequence(band(F.greatest(F.ceil(share * n - 1e-9), F.lit(1))), band(n))))
-    filed = common.written(filed, "minhash")
+    filed = s.written(filed)
     there = filed.select("value", "band").distinct()
-    return filed, common.written(probed.join(there, ["value", "band"], "left_semi"), "minhash")
+    return filed, s.written(probed.join(there, ["value", "band"], "left_semi"))
 
 
 def _possible(percent: int) -> Column:
@@ -220,23 +220,23 @@ def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return out.where(_estimate(F.col("ask"), F.col("bsk")) >= share - SIGMAS * math.sqrt(share * (1 - share) / K)).select("a", "b")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame, s: common.Scratch) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) whose ids are in ``ids`` (doc_id, each once): few enough ids go to the executors whole, so that
     only the texts needed are shuffled later; more are joined by shuffling both."""
-    ids = common.written(ids, "minhash")
+    ids = s.written(ids)
     small = ids.limit(BROADCAST + 1).count() <= BROADCAST
     return docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, s: common.Scratch) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union. A pivot's members are dealt over several
     groups when they are many; a group is read in order, the pivot first, so a task holds one set at a time."""
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
     member = pairs.join(fan, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("role"))
     pivot = fan.select(F.col("a").alias("doc_id"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     roles = member.union(pivot)
-    roles = common.written(roles, "minhash")
-    rows = _texts(docs, roles.select("doc_id").distinct()).join(roles, "doc_id").select("pivot", "part", "role", "doc_id", "text")
+    roles = s.written(roles)
+    rows = _texts(docs, roles.select("doc_id").distinct(), s).join(roles, "doc_id").select("pivot", "part", "role", "doc_id", "text")
     rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +260,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return rows.mapInArrow(common.task(run), "a long, b long")
 
 
-def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(comps: DataFrame, links: DataFrame, s: common.Scratch) -> DataFrame:
     """``comps`` (node, comp) with the components that ``links`` (a, b) connect made one."""
     label = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
     between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-    new = components(between, "minhash")
+    new = components(between, s)
     every = comps.union(new.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp")))
     root = new.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-    return common.written(every.join(root, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "minhash")
+    return s.written(every.join(root, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -278,31 +278,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Rows that repeat an id are one document, whose links are those of all its texts. Other columns are ignored; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with common.Scratch(docs.sparkSession, "minhash") as s:
+        return s.result(_near_duplicates(docs, size, percent, s))
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, s: common.Scratch) -> DataFrame:
     share, name = percent / 100, ["n", "s1", "s2"]
-    every = common.written(sketches(docs, size, K), "minhash")
-    classes = common.written(every.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep")), "minhash")
+    every = s.written(sketches(docs, size, K))
+    classes = s.written(every.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep")))
     reps = every.join(classes, name).where("doc_id = rep").select("rep", *name, "sketch").dropDuplicates(["rep", *name])
-    reps = common.written(reps, "minhash")
+    reps = s.written(reps)
 
-    pairs, long = _short_pairs(common.written(_lists(reps, share), "minhash"))
-    pairs = common.written(_promising(pairs, reps, percent), "minhash")
-    links = common.written(_confirmed(pairs, docs, size, percent), "minhash")
+    pairs, long = _short_pairs(s.written(_lists(reps, share)))
+    pairs = s.written(_promising(pairs, reps, percent))
+    links = s.written(_confirmed(pairs, docs, size, percent, s))
     several = every.where("n > 0").groupBy("doc_id").agg(F.min(F.struct(*name)).alias("x"), F.max(F.struct(*name)).alias("y")).where("x <> y").select("doc_id")
     same = every.join(several, "doc_id").join(classes, name).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comps = components(links.union(same), "minhash")
+    comps = components(links.union(same), s)
 
-    fine = sketches(_texts(docs, long.withColumnRenamed("rep", "doc_id")), size, K2, parity=True).where("n > 0").dropDuplicates(["doc_id", *name]).withColumnRenamed("doc_id", "rep")
-    filed, probed = _second_lists(common.written(fine, "minhash"), percent)
+    fine = sketches(_texts(docs, long.withColumnRenamed("rep", "doc_id"), s), size, K2, parity=True).where("n > 0").dropDuplicates(["doc_id", *name]).withColumnRenamed("doc_id", "rep")
+    filed, probed = _second_lists(s.written(fine), percent, s)
     tested, turn = None, 0
     while turn <= ROUNDS:
         pairs = _promising(_candidates(filed, probed, comps, turn, percent), reps, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = common.written(pairs, "minhash")
+        pairs = s.written(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        good = common.written(_confirmed(pairs, docs, size, percent), "minhash")
+        good = s.written(_confirmed(pairs, docs, size, percent, s))
         found = not good.isEmpty()
-        comps = _joined(comps, good) if found else comps
+        comps = _joined(comps, good, s) if found else comps
         turn = turn + 1 if found or turn == ROUNDS else ROUNDS  # pivots that link nothing more: on to the round of all pairs
     out = every.join(classes, name, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
@@ -310,6 +315,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group of near duplicates; columns as given, whatever their names."""
-    stay = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["stays"]), "left_semi")
+    """The rows of ``docs`` that stay: one document of each group of near duplicates; columns as given, whatever their names.
+
+    Each distinct pair of id and text is a document of its own here, so rows without an id, and texts that share one, are compared like
+    any others. Rows that repeat both stay or go together."""
+    row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row")  # in one column, the given names clash with none here
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
+    with common.Scratch(docs.sparkSession, "keep") as s:
+        rows, names = common.numbered(given.drop("row"), s)
+        found = _near_duplicates(rows.select(F.col("doc").alias("doc_id"), "text"), size, percent, s)
+        stay = found.where("kept").select(F.col("doc_id").alias("doc")).distinct()
+        return common.matched(given, stay, names, s, "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

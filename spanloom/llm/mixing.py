@@ -88,7 +88,7 @@ def band_rates(runs: DataFrame, goals: DataFrame, most=MOST) -> DataFrame:
     return rates.select("name", "x.band", "x.rate")
 
 
-def rounded(docs: DataFrame, goals: DataFrame, most=MOST) -> DataFrame:
+def rounded(docs: DataFrame, goals: DataFrame, s: common.Scratch, most=MOST) -> DataFrame:
     """Documents (doc_id, source, size) with whole ``copies``. Their places are found without gathering a source: documents of one source and
     size are numbered in runs of bounded length, and window sums go over the runs' counts only."""
     # A source's name may be null: the joins are on a text that isn't.
@@ -100,7 +100,7 @@ def rounded(docs: DataFrame, goals: DataFrame, most=MOST) -> DataFrame:
     d = docs.join(F.broadcast(many.where("runs > 1").select(*key, "runs")), key, "left")
     d = d.withColumn("run", F.when(F.col("runs").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("runs"))).cast("long")).drop("runs")
     runs = d.groupBy(*key, "run").agg(F.count(F.lit(1)).alias("n")).withColumn("band", F.when(F.col("size") == 0, 0).otherwise(F.length(F.bin("size"))))
-    runs = common.written(runs.withColumn("before", F.sum("n").over(W.partitionBy("name", "band").orderBy("size", "run")) - F.col("n")), "mixing")
+    runs = s.written(runs.withColumn("before", F.sum("n").over(W.partitionBy("name", "band").orderBy("size", "run")) - F.col("n")))
     inner = F.row_number().over(W.partitionBy(*key, "run").orderBy("doc_id"))
     d = d.withColumn("inner", inner).join(runs.drop("n"), [*key, "run"])
     d = d.join(band_rates(runs, goals, most), ["name", "band"]).join(goals.select("name", "source_size", "target"), "name")
@@ -114,16 +114,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     rows that repeat an id are numbered like any others (equal rows can trade places, their sum can't change). A source
     without tokens gets target 0 and takes nothing. Other columns are ignored, no rows give no rows.
     """
-    sizes = common.written(docs.select("doc_id", "source", token_count(F.col("text")).alias("size")), "mixing")
+    with common.Scratch(docs.sparkSession, "mixing") as s:
+        return s.result(_mix(docs, s, weights, share, most))
+
+
+def _mix(docs: DataFrame, s: common.Scratch, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    sizes = s.written(docs.select("doc_id", "source", token_count(F.col("text")).alias("size")))
     goals = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    out = rounded(sizes, common.written(balance(goals), "mixing"), most)
+    out = rounded(sizes, s.written(balance(goals)), s, most)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say (none, one or two); columns as given, whatever their names. Of rows that
-    repeat an id, each comes as often as the id's copies come to on average, rounded up."""
-    count = mix(docs).groupBy(F.col("doc_id").alias("of")).agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("times"))
+    """The rows of ``docs``, each as often as its copies say (none, one or two); columns as given, whatever their names. Each distinct pair of
+    id and text counts by itself; rows that repeat both come as often as their copies come to on average, rounded up."""
     row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row")  # in one column, the given names clash with none here
-    rows = docs.select(row).join(count, F.col("row.doc_id").eqNullSafe(F.col("of")))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
+    with common.Scratch(docs.sparkSession, "mixing") as s:
+        rows, names = common.numbered(given.select("doc_id", "text", F.col("row.source").alias("source")), s)
+        count = _mix(rows.drop("doc_id").withColumnRenamed("doc", "doc_id"), s).groupBy(F.col("doc_id").alias("doc")).agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("times"))
+        rows = common.matched(given, count, names, s, "inner")
     return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -197,7 +197,7 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_spans(docs: DataFrame, heavy: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, s: common.Scratch, heavy: int | None = None) -> DataFrame:
     """(doc, start, count): starts of 100-byte strings that also start earlier; ``docs`` has doc (long, not null) and text."""
     heavy = HEAVY if heavy is None else heavy
 
@@ -207,7 +207,7 @@ def repeated_spans(docs: DataFrame, heavy: int | None = None) -> DataFrame:
                 yield _runs(rows)
 
     dealt = docs.mapInArrow(common.task(first), _RUN_DDL).repartition("anchor").sortWithinPartitions("anchor", "key", "doc", "start")
-    found = common.written(dealt.mapInArrow(common.task(_settle), _RUN_DDL), "repeats")
+    found = s.written(dealt.mapInArrow(common.task(_settle), _RUN_DDL))
     settled = found.where("count < 0").select("doc", "start", (-F.col("count")).alias("count"))
 
     # Of the first runs, those that share the bytes beside the anchor on a side on which they have windows; only these windows.
@@ -220,14 +220,14 @@ def repeated_spans(docs: DataFrame, heavy: int | None = None) -> DataFrame:
     high = F.when(F.col("has_r"), F.col("count")).otherwise(F.least(F.col("count"), F.col("offset") - SIDE + 1))
     edge = edge.where("has_l or has_r").select("anchor", "doc", (F.col("start") + low).alias("start"), (high - low).cast("int").alias("count")).where("count > 0")
     wanted = edge.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("wanted"))
-    body = common.written(docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(common.task(_bodies), "anchor long, doc long, start long, count int, body binary"), "repeats")
+    body = s.written(docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(common.task(_bodies), "anchor long, doc long, start long, count int, body binary"))
 
     sizes = body.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("bytes"))
-    crowded = common.written(sizes.where(F.col("n") > heavy).select("anchor"), "repeats")
+    crowded = s.written(sizes.where(F.col("n") > heavy).select("anchor"))
     bytes_, = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()
     parts = max(1, -(-int(bytes_) // PART_BYTES))
     light = body.join(crowded, "anchor", "left_anti").select("anchor", "doc", "start", "count", "body")
-    merged = common.written(light.repartition(parts, "anchor").mapInArrow(common.task(_merged), "doc long, start long, count int"), "repeats")
+    merged = s.written(light.repartition(parts, "anchor").mapInArrow(common.task(_merged), "doc long, start long, count int"))
     windows = body.join(crowded, "anchor").select("anchor", "doc", "start", "count", "body").mapInArrow(common.task(_windows), "hash binary, doc long, start long")
     first_of = windows.groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("first"))
     rest = windows.join(first_of, "hash").where("struct(doc, start) <> first").select("doc", "start", F.lit(1).alias("count"))
@@ -237,13 +237,15 @@ def repeated_spans(docs: DataFrame, heavy: int | None = None) -> DataFrame:
 def remove_repeats(docs: DataFrame, heavy: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of each row of ``docs`` (doc_id: an integer).
 
-    A null text counts as empty. A row without an id comes after all others. Ids are taken to name one text: rows that repeat
-    an id with its text are one document and get the same result. Texts under 100 bytes are untouched. Other columns are
-    ignored; no rows give no rows.
+    A null text counts as empty. Each distinct pair of id and text is a document: rows without an id come after all others, each text on
+    its own, and rows that repeat both get the same result. Texts under 100 bytes are untouched. Other columns are ignored; no rows
+    give no rows.
     """
-    last = (1 << 63) - 1
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), "text")
-    spans = repeated_spans(base, heavy).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("found"))
-    rows = base.join(spans, "doc", "left").select(F.when(F.col("doc") < last, F.col("doc")).alias("doc_id"), "text", "found")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with common.Scratch(docs.sparkSession, "repeats") as s:
+        base, names = common.numbered(given, s)
+        base = base.select("doc", "text") if names is None else base.select("doc", "text").dropDuplicates(["doc"])
+        spans = repeated_spans(base, s, heavy).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("found"))
+        rows = common.matched(given, spans, names, s)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
-    return rows.mapInArrow(common.task(_cut), schema)
+    return rows.select("doc_id", "text", "found").mapInArrow(common.task(_cut), schema)

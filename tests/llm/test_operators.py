@@ -161,10 +161,10 @@ def test_components_of_long_paths(spark):
     ids = list(range(1, 3001))
     r.shuffle(ids)
     links = list(zip(ids, ids[1:])) + [(5000 + i, 5001 + i) for i in range(300)] + [(9000, 9000), (9001, 9002), (9002, 9001)]
-    got = {x.node: x.comp for x in components.components(spark.createDataFrame(links, "a long, b long"), "test").collect()}
+    got = {x.node: x.comp for x in components.components(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark, "test")).collect()}
     want = {i: 1 for i in ids} | {i: 5000 for i in range(5000, 5301)} | {9000: 9000, 9001: 9001, 9002: 9001}
     assert got == want
-    assert components.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), common.Scratch(spark, "test")).count() == 0
 
 
 def test_near_duplicates(spark, docs, none):
@@ -307,6 +307,81 @@ def test_line_dedup(spark, docs, none):
     assert left.columns == docs.columns and left.where("text is null").count() >= 1
 
 
+#: Rows without an id, ids with several texts, and rows that repeat both; lines and long passages stand in several of them.
+def unnamed():
+    r = random.Random(21)
+    lines = [sentence(r, 14) for _ in range(9)]
+    long = [" ".join(sentence(r, 30).split()) for _ in range(4)]
+    texts = ["\n".join(x) for x in (lines[:3], [lines[3], lines[1]], [lines[0], lines[4]], [lines[5], lines[1] + "x", lines[6]], [lines[6], lines[7]], [lines[8]])]
+    texts += [long[0] + " " + long[1], long[1] + " " + long[2], long[2] + " " + long[3]]
+    ids = [None, None, 4, 4, 7, None, None, 9, 9]
+    out = [(i, t, "en", f"s{k}", k, 1, True) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return out + [out[1], out[2], (None, None, "en", "a", 0, 1, True), (4, "", "en", "a", 0, 1, True)]
+
+
+def in_order(mine):
+    """Distinct pairs of id and text in the order of ids, those without last, then by the texts' hashes."""
+    return sorted({(d[0], d[1]) for d in mine}, key=lambda x: (x[0] is None, x[0] or 0, "" if x[1] is None else hashlib.sha256(x[1].encode()).hexdigest()))
+
+
+def test_rows_without_ids_keep_their_lines(spark):
+    mine, seen, want = unnamed(), [], {}
+    close = lambda a, b: a == b or sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b)) <= 1
+    for key in in_order(mine):
+        left = []
+        for line in (key[1] or "").split("\n"):
+            if not words(line) or not any(close(line, x) for x in seen):
+                left.append(line)
+            if words(line):
+                seen.append(line)
+        want[key] = "\n".join(left) if key[1] else key[1]
+    rows_in = spark.createDataFrame(mine, SCHEMA).repartition(4)
+    out = line_dedup.drop_lines(rows_in).collect()
+    expected = [(d[0], want[d[0], d[1]], d[3]) for d in mine if not d[1] or want[d[0], d[1]]]
+    key = lambda x: (x[0] is None, x[0] or 0, x[2], x[1] or "")
+    assert sorted(((x.doc_id, x.text, x.source) for x in out), key=key) == sorted(expected, key=key)
+    assert line_dedup.line_dedup(rows_in).count() == len(mine)
+
+
+def test_rows_without_ids_keep_their_bytes(spark):
+    mine, seen, want = unnamed(), set(), {}
+    for key in in_order(mine):
+        raw = (key[1] or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(raw[p : p + 100])
+        want[key] = bytes(np.frombuffer(raw, np.uint8)[~gone])
+    out = repeats.remove_repeats(spark.createDataFrame(mine, SCHEMA).repartition(4)).collect()
+    expected = sorted((d[0] or -1, want[d[0], d[1]]) for d in mine)
+    assert sorted((x.doc_id or -1, x.kept) for x in out) == expected
+    assert any(len(want[d[0], d[1]]) < len((d[1] or "").encode()) for d in mine)
+
+
+def test_keep_first_compares_rows_without_ids(spark):
+    r = random.Random(31)
+    a, b, c = (sentence(r, 90) for _ in range(3))
+    texts = [(None, a), (None, b), (5, a + " more"), (5, c), (None, c + " more"), (None, None), (None, b), (6, b.replace(b.split()[40], "else", 1))]
+    mine = [(i, t, "en", f"s{k}", 0, 0, None) for k, (i, t) in enumerate(texts)]
+    stay = minhash.keep_first(spark.createDataFrame(mine, SCHEMA))
+    assert stay.columns == [x.split()[0] for x in SCHEMA.split(", ")]
+    assert sorted(x.source for x in stay.collect()) == ["s2", "s3", "s5", "s7"]
+
+
+def test_calls_leave_each_other_alone(spark, docs):
+    from concurrent.futures import ThreadPoolExecutor
+
+    links = [(i, i + 1) for i in range(60) if i % 7]
+    pending = minhash.near_duplicates(docs, 4, 80)
+    run = lambda _: {x.node: x.comp for x in components.components(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark, "test")).collect()}
+    with ThreadPoolExecutor(3) as pool:
+        a, b, c = pool.map(run, range(3))
+    assert a == b == c == {k: v for k, v in components_of(range(61), links).items() if k in a}
+    mixing.mixed_documents(minhash.keep_first(docs)).count()
+    assert pending.count() == len(rows())
+
+
 def test_edit_distance(spark):
     from pyspark.sql import functions as F
 
@@ -565,7 +640,7 @@ def test_pipeline(spark, tmp_path):
     assert ids and not ids & {100, 101, 102} and all(x.n_tokens == len(x.token_ids) for x in out)
     docs = spark.createDataFrame(mine, SCHEMA)
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = common.written(stage(spark, docs, str(tmp_path)), "test")
+        docs = common.Scratch(spark, "test").result(stage(spark, docs, str(tmp_path)))
         assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
     none = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
