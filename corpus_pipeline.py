@@ -1,7 +1,7 @@
 """From raw documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's
-``docs``. A stage begins by deleting the scratch tables of the stage before, whose rows are written by then.
+``docs``. A stage deletes its scratch tables itself, but for one with a few numbers a document.
 """
 
 from __future__ import annotations
@@ -26,19 +26,16 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    common.free(spark, "lines")
     return minhash.keep_first(docs, 5, 80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    common.free(spark, "minhash")
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the hashes of ids and decoded bytes, and the ids."""
-    common.free(spark, "mixing")
     public = tokenizers()
     return bpe.bpe_codec(docs, bpe.read_ranks(public.path("byte_bpe_multi_50k.tiktoken")), public.PATTERN, keep=True).drop("decoded")
 
@@ -50,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs, before = common.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        here = common.Scratch(spark, f"pipeline_{name}")
+        docs = here.written(stage(spark, docs, sf_dir))
+        if before:
+            before.free()
+        before = here
     return STAGES[-1][1](spark, docs, sf_dir)
