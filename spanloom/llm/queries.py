@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, classifier, exact_dedup, language, line_dedup, minhash, mixing, quality_rules, repeats
+from . import bpe, brown, classifier, exact_dedup, language, line_dedup, minhash, mixing, prefix_trie, quality_rules, repeats
 from .common import crc_mod, documents
 
 
@@ -62,7 +62,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_quality_classifier, op3_quality_rules, op4_bwt_dedup, op5_line_dedup, op6_language_id, op7_mixing, op8_minhash_dedup, op9_bpe_codec, op10_exact_dedup)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_quality_classifier, op3_quality_rules, op4_bwt_dedup, op5_line_dedup, op6_language_id, op7_mixing, op8_minhash_dedup, op9_bpe_codec, op10_exact_dedup, op12_prefix_trie)}
 
 ORACLES = {
     "op10_exact_dedup": r"""
@@ -70,4 +74,35 @@ ORACLES = {
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
                doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256
         from t""",
+    "op12_prefix_trie": r"""
+        with t as (
+            select conv_id as c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as turn_key, length(coalesce(text, '')) as size,
+                   row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as i
+            from conversations where conv_id is not null),
+        ids as (
+            select c, c - c % 100 as base, xor(list_reduce(list_concat([4294967295::ubigint], list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::ubigint)),
+                lambda crc, b: list_reduce(list_concat([xor(crc, b)], list_transform(range(8), lambda z: 0::ubigint)),
+                    lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint) % 6 as h
+            from (select distinct c from t)),
+        heads as (select ids.*, (select count(*) from t where t.c = ids.base and t.i < ids.h) as head from ids),
+        turns as (
+            select heads.c, t.i + 1 as depth, turn_key, size from heads join t on t.c = heads.base and t.i < heads.h
+            union all
+            select heads.c, head + t.i - h + 1, turn_key, size from heads join t on t.c = heads.c and t.i >= heads.h),
+        places as (
+            select c, depth, string_agg(turn_key, ',') over (partition by c order by depth) as node, size from turns
+            union all
+            select c, 0, '', 0 from ids),
+        path as (select *, lag(node) over (partition by c order by depth) as parent, depth = max(depth) over (partition by c) as ends from places),
+        nodes as (
+            select node, depth, any_value(parent) as parent, any_value(size) as size, min(c) as conv_id, count(*) as n_convs,
+                   sha256(coalesce(string_agg(case when ends then c::varchar end, ',' order by c), '')) as ends_sha256
+            from path group by node, depth),
+        children as (select parent, count(*) as n_children from nodes where depth > 0 group by parent),
+        full_nodes as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children on children.parent = nodes.node),
+        below as (
+            select p.node, sum(case when u.n_children = 0 then 1 else 0 end) as n_leaves, sum((u.n_convs - 1) * u.size) as saved_tokens
+            from full_nodes u join path p on p.c = u.conv_id and p.depth <= u.depth group by p.node)
+        select v.conv_id, v.depth::bigint as depth, up.conv_id as parent_conv_id, v.n_convs, v.n_children, below.n_leaves::bigint as n_leaves, below.saved_tokens::bigint as saved_tokens, v.ends_sha256
+        from full_nodes v join below on below.node = v.node left join full_nodes up on v.depth > 0 and up.node = v.parent""",
 }
