@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, classifier, exact_dedup, language, line_dedup, minhash, mixing, prefix_trie, quality_rules, repeats
+from . import bpe, brown, classifier, divergence, exact_dedup, language, line_dedup, minhash, mixing, prefix_trie, quality_rules, repeats
 from .common import crc_mod, documents
 
 
@@ -62,11 +62,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_quality_classifier, op3_quality_rules, op4_bwt_dedup, op5_line_dedup, op6_language_id, op7_mixing, op8_minhash_dedup, op9_bpe_codec, op10_exact_dedup, op12_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_quality_classifier, op3_quality_rules, op4_bwt_dedup, op5_line_dedup, op6_language_id, op7_mixing, op8_minhash_dedup, op9_bpe_codec, op10_exact_dedup, op11_source_divergence, op12_prefix_trie)}
 
 ORACLES = {
     "op10_exact_dedup": r"""
@@ -74,6 +78,31 @@ ORACLES = {
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
                doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256
         from t""",
+    "op11_source_divergence": r"""
+        with d as (
+            select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as row_no,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+            from documents),
+        words as (select lang, source, row_no, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+        kept as (select lang, term, count(*) as total from words group by lang, term having count(distinct row_no) >= 3),
+        langs as (select lang, count(*) as kinds, sum(total)::hugeint as lang_size from kept group by lang),
+        counts as (select lang, source, term, count(*) as n from words group by lang, source, term),
+        sizes as (select lang, source, sum(n)::hugeint as size from counts join kept using (lang, term) group by lang, source),
+        cells as (
+            select g.lang, g.source, term, coalesce(n, 0) as n,
+                   (1 + (1000000000::hugeint * (coalesce(n, 0) + 1)) // (coalesce(size, 0) + kinds))::bigint as p,
+                   (1 + (1000000000::hugeint * (total + 1)) // (lang_size + kinds))::bigint as q
+            from (select distinct lang, source from d) g join kept using (lang) join langs using (lang) left join sizes using (lang, source) left join counts using (lang, source, term)),
+        pairs as (
+            select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+            from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+            union all
+            select distinct a.lang, a.source, b.source, 0 from d a join d b on a.lang = b.lang and a.source <> b.source where a.lang not in (select lang from langs)),
+        ranked as (
+            select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+            union all
+            select lang, source, 'term', term, (p - q) * (p - q) // q, row_number() over (partition by lang, source order by (p - q) * (p - q) // q desc, term) from cells where n > 0 and p > q)
+        select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 200""",
     "op12_prefix_trie": r"""
         with t as (
             select conv_id as c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as turn_key, length(coalesce(text, '')) as size,
