@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, classifier, divergence, exact_dedup, language, line_dedup, minhash, mixing, prefix_trie, quality_rules, repeats
+from . import bpe, brown, classifier, divergence, exact_dedup, language, line_dedup, minhash, mixing, overlap_join, prefix_trie, quality_rules, repeats
 from .common import crc_mod, documents
 
 
@@ -70,9 +70,31 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_quality_classifier, op3_quality_rules, op4_bwt_dedup, op5_line_dedup, op6_language_id, op7_mixing, op8_minhash_dedup, op9_bpe_codec, op10_exact_dedup, op11_source_divergence, op12_prefix_trie)}
+def op13_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join.overlap_join(documents(spark, sf_dir), size=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op2_quality_classifier, op3_quality_rules, op4_bwt_dedup, op5_line_dedup, op6_language_id, op7_mixing, op8_minhash_dedup, op9_bpe_codec, op10_exact_dedup, op11_source_divergence, op12_prefix_trie, op13_overlap_join)}
+
+#: Components of documents whose sets of four-word shingles are alike, from all pairs that share a shingle.
+_ALIKE = r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        shingles as (
+            select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] end) as shingle
+            from words),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+        links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared.n >= {percent} * (x.n + y.n - shared.n)),
+        ways as (select a, b from links union all select b, a from links),
+        reach as (select a, b from ways union select reach.a, ways.b from reach join ways on reach.b = ways.a),
+        least as (select a as doc_id, min(b) as other from reach group by a)
+        select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(other, doc_id)) as component_id{more}
+        from documents left join sizes using (doc_id) left join least using (doc_id)"""
 
 ORACLES = {
+    "op8_minhash_dedup": _ALIKE.format(percent=80, more=", doc_id <= coalesce(other, doc_id) as kept"),
+    "op13_overlap_join": _ALIKE.format(percent=85, more=""),
     "op10_exact_dedup": r"""
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
