@@ -549,6 +549,28 @@ def test_brown_exchange_and_score(spark):
     # better than words alone: classes know that an article is followed by an animal
     assert sum(out[i].score for i in range(40)) > sum(out[i].base_score for i in range(40))
 
+    # words never seen: with up to four times as many of them as in training a text isn't worse off than by the base (which gives every such
+    # word the whole share of one), and gibberish is worst of all
+    kinds = [a + b + c for a in ("ba", "ko", "mi", "re", "stu", "ver") for b in ("lan", "mor", "ti", "gend", "ru", "pel") for c in ("", "s", "ing", "er", "ed", "ness", "ly")]
+    r.shuffle(kinds)
+    parts = [kinds[k::3] for k in range(3)]  # what comes in turn
+    zipf = [1 / (k + 3) for k in range(len(kinds) // 3)]
+    prose = lambda share: " ".join(r.choice(kinds) + r.choice(kinds) if r.random() < share else r.choices(parts[j % 3], zipf)[0] for j in range(81))
+    held = []
+    for k in range(120):
+        held.append((5000 + k, prose(k % 6 * 0.08)))
+    held += [(9000 + k, " ".join("".join(r.choice("qwxzj#0") for _ in range(8)) for _ in range(80))) for k in range(4)]
+    known = [(i, prose(0.04)) for i in range(300)]
+    out = brown.score_texts(spark.createDataFrame(known + held, "doc_id long, text string"), F.col("doc_id") >= 5000).where("held_out").collect()
+    bands = defaultdict(lambda: [0.0, 0.0])
+    for x in out:
+        if x.doc_id < 9000:
+            band = bands[min(4, int((1 - x.n_known / x.n_tokens) / 0.08))]
+            band[0] += x.score
+            band[1] += x.base_score
+    assert len(bands) == 5 and all(model >= base for k, (model, base) in bands.items() if k < 2), dict(bands)
+    assert max(x.score / x.n_tokens for x in out if x.doc_id >= 9000) < min(x.score / x.n_tokens for x in out if x.doc_id < 9000)
+
     words = spark.createDataFrame([("ab",), ("b",)], "word string")
     chain = brown.spelling(words)
     pairs = Counter([(256, 97), (97, 98), (98, 256), (256, 98), (98, 256)])
