@@ -10,9 +10,8 @@ set aside: a partner stands in one of the others. The long lists are the ones to
 * Then over whole sets of the others. Their lists are counted again; each keeps all but its T - 1 longest ones. Documents that meet in
   these lists form clusters, which are dealt into blocks of like sizes and bounded weight.
 * Within a block, or a pair of blocks, the search itself: a query merges its short lists, L of the longest left out; documents that occur T - L
-  times are then looked up in each long list by binary search. A link that joins nothing new isn't looked for: a task gives
-  a spanning forest. First each block alone, then the heads of what is linked, and at last the pairs of blocks that still have
-  different components.
+  times are then looked up in each long list by binary search. A link that joins nothing new isn't looked for. First each block alone, then the heads of what is linked, and at last the pairs of blocks that still have
+  different components. A task says which components its links make one.
 
 Values are 64-bit hashes; documents with the same set of shingles are one from the start.
 """
@@ -76,12 +75,13 @@ def extra(n, percent: int):
 
 
 def _counted(rows: DataFrame, drop: Column) -> DataFrame:
-    """(rep, value, n): of each set of ``rows`` (rep, s1, s2, n, list) the values that others list too, without its ``drop`` most frequent."""
-    values = rows.select("rep", "s1", "s2", "n", F.explode("list").alias("value"))
-    several = values.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    found = values.join(several, "value").groupBy("rep", "s1", "s2", "n").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("found"))
-    found = found.withColumn("keep", (F.size("found") - drop).cast("int")).where("keep > 0")
-    return found.select("rep", "n", F.explode(F.slice("found", F.lit(1), F.col("keep"))["value"]).alias("value"))
+    """(rep, value): of each set of ``rows`` (rep, s1, n, list) the values that others list too, without its ``drop`` most frequent. The
+    values travel with the name of their set alone."""
+    values = rows.select("s1", F.explode("list").alias("value"))
+    several = values.groupBy("value").agg(F.count(F.lit(1)).cast("int").alias("times")).where("times > 1")
+    found = values.join(several, "value").groupBy("s1").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("found"))
+    found = found.join(rows.select("rep", "s1", "n"), "s1").withColumn("keep", (F.size("found") - drop).cast("int")).where("keep > 0")
+    return found.select("rep", F.explode(F.slice("found", F.lit(1), F.col("keep"))["value"]).alias("value"))
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -133,8 +133,23 @@ def overlap_links(values: list[np.ndarray], query: np.ndarray, label: np.ndarray
     return links
 
 
+def _merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(label, least label that ``pairs`` connect it with), where these differ."""
+    over: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while over.get(x, x) != x:
+            x = over[x]
+        return x
+
+    for x, y in pairs:
+        x, y = top(x), top(y)
+        over[max(x, y)] = min(x, y)
+    return [(x, top(x)) for x in over if top(x) != x]
+
+
 def _searched(units: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links in each unit of ``units`` (unit, role, rep, comp, list)."""
+    """(comp, least): which components of each unit of ``units`` (unit, role, rep, comp, list) its links make one, each with the least of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, role, rep, comp, values = None, [], [], [], []
@@ -142,7 +157,8 @@ def _searched(units: DataFrame, percent: int) -> DataFrame:
         def links() -> pa.RecordBatch:
             names, label = np.unique(np.array(comp, np.int64), return_inverse=True)
             found = overlap_links(values, np.array(role) == 1, label, percent) if len(names) > 1 and 0 in role else []
-            return pa.RecordBatch.from_arrays([pa.array([rep[i] for i, _ in found], pa.int64()), pa.array([rep[j] for _, j in found], pa.int64())], names=["a", "b"])
+            pairs = _merged([(comp[i], comp[j]) for i, j in found])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["comp", "least"])
 
         for batch in batches:
             lists = batch.column(4)
@@ -160,7 +176,7 @@ def _searched(units: DataFrame, percent: int) -> DataFrame:
             yield links()
 
     rows = units.select("unit", "role", "rep", "comp", "list").repartition("unit").sortWithinPartitions("unit", "role", "rep")
-    return rows.mapInArrow(common.task(run), "a long, b long")
+    return rows.mapInArrow(common.task(run), "comp long, least long")
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -177,10 +193,9 @@ def _unit(*columns: str) -> Column:
     return F.concat_ws(":", *columns).alias("unit")
 
 
-def _labelled(docs: DataFrame, links: DataFrame, s: common.Scratch) -> DataFrame:
-    """``docs`` with comp, the component of each document by ``links`` (itself if it has none)."""
-    comps = components(links, s).withColumnRenamed("node", "rep")
-    return docs.drop("comp").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with comp replaced by what ``merged`` (comp, least) has for it."""
+    return rows.join(merged, "comp", "left").withColumn("comp", F.coalesce("least", "comp")).drop("least")
 
 
 def _clusters(full: DataFrame, percent: int, s: common.Scratch) -> DataFrame:
@@ -191,36 +206,35 @@ def _clusters(full: DataFrame, percent: int, s: common.Scratch) -> DataFrame:
     return components(meet, s).select(F.col("node").alias("rep"), F.col("comp").alias("cluster"))
 
 
-def _cluster_links(full: DataFrame, percent: int, s: common.Scratch) -> DataFrame:
-    """(a, b): links between documents of ``full`` (rep, n, list) that connect all that is linked."""
+def _cluster_comps(full: DataFrame, percent: int, s: common.Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(rep, comp) of documents of ``full`` (rep, s1, n, list) that may have a partner, and (a, b): links between these components, if any."""
     docs = s.written(_blocks(full.select("rep", "n", "list").join(_clusters(full, percent, s), "rep")).withColumn("comp", F.col("rep")))
-    links = s.written(_searched(docs.select(_unit("cluster", "band", "part"), F.lit(0).alias("role"), "rep", "comp", "list"), percent))
-    wide = docs.where("several")
+    merged = s.written(_searched(docs.select(_unit("cluster", "band", "part"), F.lit(0).alias("role"), "rep", "comp", "list"), percent))
+    comps = s.written(_relabelled(docs.drop("list"), merged))
+    # Heads of components of several members in clusters of several blocks, as long as these heads fill several blocks and still link.
+    wide = docs.where("several").select("rep", "list")
     if wide.isEmpty():
-        return links
-    plain = wide.select("cluster", "rep", "n", "band", "part")
-    # Heads of components of several members, as long as these still link among each other.
-    while True:
-        comps = s.written(_labelled(plain, links, s))
-        heads = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("comp").alias("rep"))
-        heads = _blocks(plain.select("cluster", "rep", "n").join(heads, "rep"))
-        heads = heads.select(_unit("cluster", "band", "part"), "rep").join(wide.select("rep", "list"), "rep")
-        more = s.written(_searched(heads.select("unit", F.lit(0).alias("role"), "rep", F.col("rep").alias("comp"), "list"), percent))
-        if more.isEmpty():
-            break
-        links = links.union(more)
+        return comps.select("rep", "comp"), None
+    several = True
+    while several:
+        heads = comps.where("several").groupBy("comp").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("comp").alias("rep"))
+        heads = s.written(_blocks(comps.select("cluster", "rep", "n").join(heads, "rep").dropDuplicates(["rep"])))
+        more = s.written(_searched(heads.select(_unit("cluster", "band", "part"), F.lit(0).alias("role"), "rep", F.col("rep").alias("comp")).join(wide, "rep"), percent))
+        several = not more.isEmpty() and not heads.where("several").isEmpty()
+        comps = s.written(_relabelled(comps, more))
 
     # Pairs of blocks whose sizes may be near each other and that have different components.
     key = ["cluster", "band", "part"]
-    about = comps.groupBy(*key).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    about = comps.where("several").groupBy(*key).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     reach = math.ceil(math.log(100 / percent) / math.log(BAND)) + 1
     a = about.select("cluster", *(F.col(c).alias(f"a_{c}") for c in about.columns[1:]), F.explode(F.sequence(F.col("band") - reach, F.col("band"))).alias("b_band"))
     b = about.select("cluster", *(F.col(c).alias(f"b_{c}") for c in about.columns[1:]))
     pairs = a.join(b, ["cluster", "b_band"]).where("b_band < a_band or b_part < a_part").where(F.col("b_high") * 100 >= F.col("a_low") * percent)
     pairs = s.written(pairs.where("least(a_c1, b_c1) <> greatest(a_c2, b_c2)").select(_unit("cluster", "a_band", "a_part", "b_band", "b_part"), "cluster", "a_band", "a_part", "b_band", "b_part"))
     side = lambda x, role: pairs.select("unit", F.lit(role).alias("role"), "cluster", F.col(f"{x}_band").alias("band"), F.col(f"{x}_part").alias("part"))
-    units = side("a", 0).union(side("b", 1)).join(comps.select(*key, "rep", "comp"), key).join(wide.select("rep", "list"), "rep")
-    return links.union(s.written(_searched(units, percent)))
+    units = side("a", 0).union(side("b", 1)).join(comps.select(*key, "rep", "comp"), key).join(wide, "rep")
+    links = s.written(_searched(units, percent).select(F.col("comp").alias("a"), F.col("least").alias("b")))
+    return comps.select("rep", "comp"), None if links.isEmpty() else links
 
 
 def overlap_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -247,10 +261,18 @@ def _overlap_join(docs: DataFrame, size: int, percent: int, s: common.Scratch) -
     met = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
     near = lists.join(met, "value").select(F.col("rep").alias("doc_id")).distinct()
     full = sets(_texts(docs, near, s), size).where("n > 0").dropDuplicates(["doc_id", *name]).withColumnRenamed("doc_id", "rep")
-    links = _cluster_links(s.written(full), percent, s)
+    comps, links = _cluster_comps(s.written(full), percent, s)
 
+    # An id with several texts links their sets.
     several = every.where("n > 0").groupBy("doc_id").agg(F.min(F.struct(*name)).alias("x"), F.max(F.struct(*name)).alias("y")).where("x <> y").select("doc_id")
-    same = every.join(several, "doc_id").join(classes, name).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comps = components(links.union(same), s).withColumnRenamed("node", "rep")
-    out = every.select("doc_id", *name).join(classes, name, "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(comps, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    several = s.written(several.where("doc_id is not null"))
+    comps = comps.distinct()
+    if not several.isEmpty():
+        same = every.join(several, "doc_id").join(classes, name).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        for c in "ab":
+            same = same.join(comps.select(F.col("rep").alias(c), "comp"), c, "left").withColumn(c, F.coalesce("comp", c)).drop("comp")
+        links = same.select("a", "b") if links is None else links.union(same.select("a", "b"))
+    out = every.select("doc_id", *name).join(classes, name, "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    if links is not None:
+        out = _relabelled(out, components(links, s).select(F.col("node").alias("comp"), F.col("comp").alias("least")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
