@@ -119,7 +119,7 @@ def framework_profile(openers: DataFrame, signature: str) -> DataFrame:
     return openers.select("run_key", F.when(fits, F.nullif(F.regexp_extract("name", signature, 1), F.lit(""))).alias("role"), unwrap("input").alias("input"), unwrap("output").alias("output"))
 
 
-RULE_ORDER = ["parent_span", "tool_target", "a2a_message", "task_order"]
+RULE_ORDER = ["parent_span", "tool_target", "a2a_message", "task_order", "stored_run"]
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
@@ -141,12 +141,25 @@ def known_edges(runs: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(ids.withColumnRenamed("run_id", "to_run_id"), ["graph_id", "to_run_id"], "left_semi")
 
 
-def remap(spans: DataFrame, graph_keys: DataFrame, tie: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs, edges and graphs again from all stored spans of finished graphs."""
+def remap(spans: DataFrame, graph_keys: DataFrame, tie: list[str], stored_runs: DataFrame | None = None, a2a: bool = False, signature: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, edges and graphs again from all stored spans of finished graphs.
+
+    ``stored_runs`` (graph_id, trace_id, run_key, agent_name, started_at) answer the delegations for which the spans have no run: those whose
+    spans are lost. ``a2a`` adds edges of peer messages, ``signature`` (of span names) the order of a framework's tasks."""
     owned = cut(assign_owners(latest_spans_of(spans, graph_keys, tie)))
     runs = cut(build_runs(owned))
-    tools, _ = delegation_edges(owned, runs)
-    return runs, dedup_edges(spawn_edges(owned, runs).unionByName(tools)), graph_rollup(runs)
+    tools, open_ = delegation_edges(owned, runs)
+    edges = spawn_edges(owned, runs).unionByName(tools)
+    if stored_runs is not None:
+        asked = open_.join(runs.select(F.col("run_key").alias("owner_key"), "graph_id", "trace_id"), "owner_key")
+        found = resolve_by_name(asked.select("graph_id", "trace_id", "owner_key", "target_name"), stored_runs).where("to_key is not null")
+        edges = edges.unionByName(found.select("graph_id", F.col("to_key").alias("from_key"), F.col("owner_key").alias("to_key"), F.lit("TOOL_DELEGATION").alias("type"), F.lit("stored_run").alias("detection_rule")))
+    if a2a:
+        edges = edges.unionByName(a2a_edges(owned, runs, enabled=True))
+    if signature:
+        chained = sequential_edges(owned.where((F.col("kind") == AGENT) & (F.concat_ws(":", "trace_id", "span_id") == F.col("run_key"))), signature)
+        edges = edges.unionByName(chained.join(runs.select(F.col("run_key").alias("from_key"), "graph_id"), "from_key").select("graph_id", "from_key", "to_key", "type", "detection_rule"))
+    return runs, dedup_edges(edges), graph_rollup(runs)
 
 
 def latest_spans_of(spans: DataFrame, graph_keys: DataFrame, tie: list[str]) -> DataFrame:
