@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import clamp
 from ..functions.lineage import cut, stored
+from . import walks
 
 
 @dataclass(frozen=True)
@@ -66,13 +67,12 @@ def reach(edges: DataFrame) -> DataFrame:
     return closure(_pairs(edges), ["graph_id"])
 
 
-def condense(runs: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
+def condense(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """One row a strongly connected component: graph_id, scc (least member), members (by time), exit_run, score (the exit's),
-    min_score, n, self_loop, end_time."""
-    ring = cut(paths.where("src = dst").select("graph_id", "src"))  # runs on a cycle; most graphs have none
-    inside = paths.join(ring, ["graph_id", "src"], "left_semi").join(ring.withColumnRenamed("src", "dst"), ["graph_id", "dst"], "left_semi")
-    back = inside.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("src"))
-    own = inside.join(back, ["graph_id", "src", "dst"]).groupBy("graph_id", F.col("src").alias("run_id")).agg(F.min("dst").alias("scc"))
+    min_score, n, self_loop, end_time. One linear walk a graph finds the cycles."""
+    kind = edges.schema["from_run_id"].dataType
+    cycles = walks.linked(_pairs(edges).where("src <> dst"), ["graph_id"])
+    own = walks.each_graph(cycles, walks.strong_parts, [T.StructField("run_id", kind), T.StructField("scc", kind)])
     of = runs.join(own, ["graph_id", "run_id"], "left").withColumn("scc", F.coalesce("scc", "run_id"))
     loops = edges.where("from_run_id = to_run_id").select("graph_id", F.col("from_run_id").alias("run_id"), F.lit(True).alias("_loop")).distinct()
     order = F.struct("end_time", "run_id")
@@ -94,25 +94,12 @@ def scc_edges(sccs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def topological(sccs: DataFrame, links: DataFrame) -> DataFrame:
-    """(graph_id, scc, topo, depth): Kahn's order with ties by (end_time, exit run), and the longest path to each, in nodes.
-
-    Exact and inside the JVM: one fold a graph over its own components; graphs run in parallel.
-    """
-    kind = sccs.schema["scc"].dataType.simpleString()
-    before = links.groupBy("graph_id", F.col("dst").alias("scc")).agg(F.collect_list("src").alias("preds"))
-    node = F.struct("end_time", "exit_run", "scc", F.coalesce("preds", F.array().cast(f"array<{kind}>")).alias("preds"))
-    each = sccs.join(before, ["graph_id", "scc"], "left").groupBy("graph_id").agg(F.collect_list(node).alias("nodes"))
-
-    def step(done: Column, i: Column) -> Column:
-        ids = F.transform(done, lambda d: d["scc"])
-        free = F.filter("nodes", lambda x: ~F.array_contains(ids, x["scc"]) & (F.size(F.array_except(x["preds"], ids)) == 0))
-        best = F.array_min(free)
-        above = F.array_max(F.transform(F.filter(done, lambda d: F.array_contains(best["preds"], d["scc"])), lambda d: d["depth"]))
-        return F.array_append(done, F.struct(best["scc"].alias("scc"), i.cast("int").alias("topo"), (F.coalesce(above, F.lit(0)) + 1).cast("int").alias("depth")))
-
-    start = F.array().cast(f"array<struct<scc:{kind},topo:int,depth:int>>")
-    order = F.aggregate(F.sequence(F.lit(1), F.size("nodes")), start, step)
-    return each.select("graph_id", F.inline(order))
+    """(graph_id, scc, topo, depth): Kahn's order with ties by (end_time, exit run), and the longest path to each, in nodes. One walk a graph
+    with a heap of what is free."""
+    node = F.sort_array(F.collect_list(F.struct("scc", "end_time", "exit_run"))).alias("_n")
+    each = sccs.groupBy("graph_id").agg(node).join(walks.linked(links, ["graph_id"]), "graph_id", "left")
+    each = each.select("graph_id", *(F.col(f"_n.{c}").alias(c) for c in ("scc", "end_time", "exit_run")), "src", "dst")
+    return walks.each_graph(each, walks.kahn, [sccs.schema["scc"], T.StructField("topo", T.IntegerType()), T.StructField("depth", T.IntegerType())])
 
 
 def loop_anomalies(sccs: DataFrame, runs: DataFrame, baselines: DataFrame | None = None, cfg: Config = CONFIG) -> DataFrame:
@@ -240,13 +227,13 @@ def topology(runs: DataFrame, edges: DataFrame, sccs: DataFrame, order: DataFram
                    primary.alias("primary"), ((F.col("depth") >= 3) & primary.isin("pipeline", "pipeline_with_feedback")).alias("chain"), "articulation_points")
 
 
-def unknown_upstream(sccs: DataFrame, facts: DataFrame, links: DataFrame, up: DataFrame) -> DataFrame:
+def unknown_upstream(sccs: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:
     """(graph_id, scc) with an ancestor whose score is unknown and could hide an origin: sources without payload and runs with an
-    empty result set can't. facts: graph_id, run_id, unscored_reason; up: closure of ``links``."""
+    empty result set can't. facts: graph_id, run_id, unscored_reason."""
     sources = sccs.join(links.select("graph_id", F.col("dst").alias("scc")).distinct(), ["graph_id", "scc"], "left_anti").select("graph_id", "scc", F.lit(True).alias("source"))
     blind = sccs.where("score is null").join(facts.select("graph_id", F.col("run_id").alias("exit_run"), "unscored_reason"), ["graph_id", "exit_run"], "left").join(sources, ["graph_id", "scc"], "left")
     blind = blind.where("not (coalesce(source, false) and unscored_reason <=> 'payload_missing') and not (unscored_reason <=> 'zero_result_set')")
-    return up.join(blind.select("graph_id", F.col("scc").alias("src")), ["graph_id", "src"], "left_semi").select("graph_id", F.col("dst").alias("scc")).distinct()
+    return walks.below(links, blind.select("graph_id", F.col("scc").alias("src")), ["graph_id"]).withColumnRenamed("dst", "scc")
 
 
 def edge_drop_origins(sccs: DataFrame, links: DataFrame, facts: DataFrame, cfg: Config = CONFIG) -> DataFrame:
@@ -344,20 +331,22 @@ def drill(candidates: DataFrame, sccs: DataFrame, runs: DataFrame, edges: DataFr
     return out.select("graph_id", "scc", F.coalesce("at", "run_id").alias("run_id"), drop.alias("real_drop"), "tied")
 
 
-def shadow(candidates: DataFrame, up: DataFrame) -> DataFrame:
-    """Candidates (graph_id, scc, …) without another candidate among their ancestors."""
-    others = candidates.select("graph_id", F.col("scc").alias("src")).distinct()
-    under = up.where("src <> dst").join(others, ["graph_id", "src"], "left_semi").select("graph_id", F.col("dst").alias("scc")).distinct()
-    return candidates.join(under, ["graph_id", "scc"], "left_anti")
+def shadow(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidates (graph_id, scc, …) without another candidate among their ancestors; ``links`` between components have no cycle."""
+    under = walks.below(links, candidates.select("graph_id", F.col("scc").alias("src")), ["graph_id"])
+    return candidates.join(under.withColumnRenamed("dst", "scc"), ["graph_id", "scc"], "left_anti")
 
 
-def deterministic_origins(breaches: DataFrame, sccs: DataFrame, written: DataFrame, up: DataFrame, order: DataFrame) -> DataFrame:
+def deterministic_origins(breaches: DataFrame, sccs: DataFrame, written: DataFrame, links: DataFrame, order: DataFrame) -> DataFrame:
     """Origins by hard evidence. breaches: graph_id, scc, key, value (that its run wrote); written: the same of all runs.
 
     A breach whose value an ancestor had written already is secondary. Where all of a graph's are, the earliest stays, with its
     upstream unknown.
     """
-    above = written.select("graph_id", F.col("scc").alias("src"), "key", "value").join(up, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("scc"), "key", "value").where("true").distinct()
+    what = ["graph_id", "key", "value"]
+    wanted = breaches.select(*what).distinct()
+    seeds = written.join(wanted, what, "left_semi").select(*what, F.col("scc").alias("src"))
+    above = walks.below(links.join(wanted, "graph_id").select(*what, "src", "dst"), seeds, what).withColumnRenamed("dst", "scc")
     first = breaches.join(above, ["graph_id", "scc", "key", "value"], "left_anti").select("graph_id", "scc").distinct()
     rest = breaches.join(first.select("graph_id").distinct(), "graph_id", "left_anti").join(order.select("graph_id", "scc", "topo"), ["graph_id", "scc"])
     rest = rest.groupBy("graph_id").agg(F.min_by("scc", "topo").alias("scc"))
@@ -433,10 +422,10 @@ def propagation_path(culprits: DataFrame, sccs: DataFrame, links: DataFrame, tar
     return hit.unionByName(lone.select("graph_id", "start", F.array("start").alias("path")))
 
 
-def downstream_cost(culprits: DataFrame, runs: DataFrame, paths: DataFrame) -> DataFrame:
+def downstream_cost(culprits: DataFrame, runs: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, cost, priced, total) over culprits and all downstream of them; cost null where none of them has a price, each run once."""
     own = culprits.select("graph_id", "run_id")
-    below = paths.join(own.withColumnRenamed("run_id", "src"), ["graph_id", "src"], "left_semi").select("graph_id", F.col("dst").alias("run_id"))
+    below = walks.below(_pairs(edges), own.withColumnRenamed("run_id", "src"), ["graph_id"]).withColumnRenamed("dst", "run_id")
     hit = own.union(below).distinct().join(runs.select("graph_id", "run_id", "cost_usd"), ["graph_id", "run_id"])
     return hit.groupBy("graph_id").agg(F.sum("cost_usd").alias("cost"), F.count("cost_usd").alias("priced"), F.count(F.lit(1)).alias("total"))
 
@@ -468,11 +457,11 @@ def significant_drops(runs: DataFrame, edges: DataFrame, least: float = 0.2) ->
     return score.join(best, ["graph_id", "run_id"]).withColumn("drop", F.col("best") - F.col("score")).where(F.col("drop") > least).select("graph_id", "run_id", "drop")
 
 
-def verification_gaps(runs: DataFrame, verdicts: DataFrame, culprits: DataFrame, paths: DataFrame, cfg: Config = CONFIG) -> DataFrame:
+def verification_gaps(runs: DataFrame, verdicts: DataFrame, culprits: DataFrame, edges: DataFrame, cfg: Config = CONFIG) -> DataFrame:
     """(graph_id, run_id, reason): verifiers whose low score contradicts a good end, and those that passed work below a culprit of a bad one."""
     v = runs.where("verifier and score is not null").join(verdicts.select("graph_id", "bad"), "graph_id")
     wrong = v.where(~F.col("bad") & (F.col("score") < cfg.threshold)).select("graph_id", "run_id", F.lit("verdict_scored_incorrect").alias("reason"))
-    below = paths.join(culprits.select("graph_id", F.col("run_id").alias("src")), ["graph_id", "src"], "left_semi").select("graph_id", F.col("dst").alias("run_id")).distinct()
+    below = walks.below(_pairs(edges), culprits.select("graph_id", F.col("run_id").alias("src")), ["graph_id"]).withColumnRenamed("dst", "run_id")
     passed = v.where(F.col("bad") & (F.col("score") >= cfg.threshold)).join(below, ["graph_id", "run_id"], "left_semi").select("graph_id", "run_id", F.lit("passed_bad_terminal").alias("reason"))
     return wrong.unionByName(passed)
 

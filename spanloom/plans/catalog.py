@@ -63,23 +63,22 @@ ORIGINS = SCC + """, pred as (select l.graph_id, l.dst as scc, max(s.score) as b
 class Orders:
     """The order graphs with what the graph operators share; each part is made once a session use."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, again: bool = True):
+        """``again``: whether the edges are read more than once."""
         self.runs = stored(view(spark, sf_dir, "v_runs"))  # its window over all lines runs once
         last = self.runs.groupBy("graph_id").agg(F.max("run_id").alias("n"))
-        self.edges = stored(spark.sql(VIEWS["v_edges"].replace("v_runs", "{runs}").replace("v_last", "{last}"), runs=self.runs, last=last))
+        edges = spark.sql(VIEWS["v_edges"].replace("v_runs", "{runs}").replace("v_last", "{last}"), runs=self.runs, last=last)
+        self.edges = stored(edges) if again else edges
 
     def paths(self) -> DataFrame:
         return graph.reach(self.edges)
 
     def sccs(self) -> DataFrame:
         self.facts = self.runs.select(*KEY, "input_flawed", "verifier", "unscored_reason")
-        out = reconstruct.cut(graph.condense(self.runs, self.edges, self.paths()))
+        out = reconstruct.cut(graph.condense(self.runs, self.edges))
         self.links = reconstruct.cut(graph.scc_edges(out, self.edges))
         return out
 
-    def up(self) -> DataFrame:
-        return graph.closure(self.links, ["graph_id"])
-
 
 # ---- flagship -----------------------------------------------------------------------------------------------------------------
 
@@ -106,7 +105,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = edges.select("graph_id", F.col("from_run_id").alias("src"), F.col("to_run_id").alias("dst"))
     facts = runs.select(*KEY, F.lit(False).alias("input_flawed"), F.lit(False).alias("verifier"), F.lit(None).cast("string").alias("unscored_reason"))
     origins = reconstruct.cut(graph.edge_drop_origins(sccs, links, facts).where("kind in ('drop', 'propagating')"))
-    found = graph.shadow(origins, graph.closure(links, ["graph_id"]))
+    found = graph.shadow(origins, links)
     found = found.select("graph_id", "run_id", graph.attribution(F.col("score"), F.col("base"), F.col("drop"), F.col("iterations")).alias("confidence"))
     out = runs.join(found, KEY, "left").groupBy("agent_name").agg(F.count(F.lit(1)).alias("runs"), F.count("confidence").alias("origins"), F.avg("score").alias("avg_score"), F.avg("confidence").alias("avg_confidence"))
     return _n(out)
@@ -359,8 +358,9 @@ def a02_condense(spark, sf_dir):
     return Orders(spark, sf_dir).sccs().select("graph_id", "scc", "exit_run", "score", "min_score", "n")
 
 
-@query()
+@query(f"with recursive {SCC} select graph_id, scc, cast(row_number() over w as int) as topo, cast(row_number() over w as int) as depth from node window w as (partition by graph_id order by exit_run)")
 def a03_topological(spark, sf_dir):
+    """Every run of an order follows the one before, so there is one order, and the longest path goes through all components."""
     o = Orders(spark, sf_dir)
     s = o.sccs()
     return graph.topological(s, o.links)
@@ -421,7 +421,7 @@ def a11_shadow(spark, sf_dir):
     o = Orders(spark, sf_dir)
     s = o.sccs()
     found = graph.edge_drop_origins(s, o.links, o.facts).where("kind in ('drop', 'propagating')")
-    return graph.shadow(found, o.up()).select("graph_id", "run_id")
+    return graph.shadow(found, o.links).select("graph_id", "run_id")
 
 
 @query(f"""with recursive {SCC}, blind as (select n.graph_id, n.scc, n.exit_run from node n join v_runs f on f.graph_id = n.graph_id and f.run_id = n.exit_run where n.score is null and f.unscored_reason is distinct from 'zero_result_set'
@@ -430,7 +430,7 @@ def a11_shadow(spark, sf_dir):
 def a13_unknown_upstream(spark, sf_dir):
     o = Orders(spark, sf_dir)
     s = o.sccs()
-    return graph.unknown_upstream(s, o.facts, o.links, o.up())
+    return graph.unknown_upstream(s, o.facts, o.links)
 
 
 @query(f"""with recursive {ORIGINS} select graph_id, exit_run as run_id, round(case when n > 1 then 0.8 else 1 end * (0.5 * least(1, fall / 0.5) + 0.3 * greatest(0, (0.5 - score) / 0.5) + 0.2 * greatest(0, (base - 0.5) / 0.5)), 6) as attribution,
@@ -455,7 +455,7 @@ def a18_propagation_path(spark, sf_dir):
     select h.graph_id, round(sum(v.cost_usd), 2) as cost, count(v.cost_usd) as priced, count(*) as total from hit h join v_runs v on v.graph_id = h.graph_id and v.run_id = h.run_id group by 1""")
 def a19_downstream_cost(spark, sf_dir):
     o = Orders(spark, sf_dir)
-    return graph.downstream_cost(o.runs.where("score < 0.2"), o.runs, o.paths()).withColumn("cost", _r("cost", 2))
+    return graph.downstream_cost(o.runs.where("score < 0.2"), o.runs, o.edges).withColumn("cost", _r("cost", 2))
 
 
 @query()
@@ -470,7 +470,7 @@ def a20_manifestation(spark, sf_dir):
     union all select r.graph_id, r.run_id, 'passed_bad_terminal' from v_runs r join v_verdicts v on v.graph_id = r.graph_id join below b on b.graph_id = r.graph_id and b.run_id = r.run_id where r.verifier and r.score >= 0.5 and v.bad""")
 def a21_verification_gaps(spark, sf_dir):
     o = Orders(spark, sf_dir)
-    return graph.verification_gaps(o.runs, view(spark, sf_dir, "v_verdicts"), o.runs.where("score < 0.2"), o.paths())
+    return graph.verification_gaps(o.runs, view(spark, sf_dir, "v_verdicts"), o.runs.where("score < 0.2"), o.edges)
 
 
 DROPS = "select r.graph_id, r.run_id, round(b.best - r.score, 6) as drop from v_runs r join (select e.graph_id, e.to_run_id as run_id, max(s.score) as best from v_edges e join v_runs s on s.graph_id = e.graph_id and s.run_id = e.from_run_id where s.score is not null group by 1, 2) b on b.graph_id = r.graph_id and b.run_id = r.run_id where b.best - r.score > 0.2"
@@ -478,7 +478,7 @@ DROPS = "select r.graph_id, r.run_id, round(b.best - r.score, 6) as drop from v_
 
 @query(DROPS)
 def a22_significant_drops(spark, sf_dir):
-    o = Orders(spark, sf_dir)
+    o = Orders(spark, sf_dir, again=False)
     return _n(graph.significant_drops(o.runs, o.edges))
 
 
@@ -502,11 +502,11 @@ def a28_a33_reports(spark, sf_dir):
     o = Orders(spark, sf_dir)
     s = o.sccs()
     verdicts = view(spark, sf_dir, "v_verdicts")
-    content = reconstruct.cut(graph.shadow(graph.edge_drop_origins(s, o.links, o.facts).where("kind in ('drop', 'propagating')"), o.up()))
+    content = reconstruct.cut(graph.shadow(graph.edge_drop_origins(s, o.links, o.facts).where("kind in ('drop', 'propagating')"), o.links))
     hard = o.runs.where("status = 'failed'").select(*KEY)
     via = graph.merge_channels(content, hard).join(content.select(*KEY, "recovered"), KEY, "left")
     loops = graph.loop_anomalies(s, o.runs.withColumn("attempt_of", F.lit(None).cast("string")), cfg=graph.Config(max_rounds=1))
-    gaps = graph.verification_gaps(o.runs, verdicts, content, o.paths())
+    gaps = graph.verification_gaps(o.runs, verdicts, content, o.edges)
     breaches = hard.select("graph_id", F.col("run_id").alias("scc"), F.lit("status").alias("key"), F.lit("failed").alias("value"))
     found = graph.findings(o.runs, graph.significant_drops(o.runs, o.edges), loops, breaches, verdicts)
     made, refs = graph.defects(via, loops, gaps, found)
@@ -1040,14 +1040,16 @@ def c22_payload_numbers(spark, sf_dir):
     return out.withColumn("total", _r("total", 2))
 
 
-@query(f"""with recursive {SCC}, b as (select distinct m.graph_id, m.scc from member m where m.status = 'failed'), first as (select b.* from b where not exists (select 1 from b a join node x on x.graph_id = a.graph_id and x.scc = a.scc join node y on y.graph_id = b.graph_id and y.scc = b.scc
-    join reach r on r.graph_id = a.graph_id and r.src = x.exit_run and r.dst = y.exit_run where a.graph_id = b.graph_id and a.scc <> b.scc)) select graph_id, scc, false as unknown_upstream from first""")
+@query(f"""with recursive {SCC}, w as (select distinct m.graph_id, m.scc, x.exit_run from member m join node x on x.graph_id = m.graph_id and x.scc = m.scc where m.status = 'failed'), b as (select * from w where scc % 2 = 0),
+    first as (select b.* from b where not exists (select 1 from w a join reach r on r.graph_id = a.graph_id and r.src = a.exit_run and r.dst = b.exit_run where a.graph_id = b.graph_id and a.scc <> b.scc)),
+    rest as (select graph_id, arg_min(scc, exit_run) as scc from b where not exists (select 1 from first f where f.graph_id = b.graph_id) group by 1)
+    select graph_id, scc, false as unknown_upstream from first union all select graph_id, scc, true from rest""")
 def a10_deterministic_origins(spark, sf_dir):
+    """Every failed run has written the value; only even components count as breaches, so that in some graphs all of them come second."""
     o = Orders(spark, sf_dir)
     s = o.sccs()
-    failed = o.runs.where("status = 'failed'").join(graph.membership(s), KEY).select("graph_id", "scc", F.lit("status").alias("key"), F.lit("failed").alias("value")).distinct()
-    order = reconstruct.cut(s.select("graph_id", "scc", F.col("end_time").alias("topo")))
-    return graph.deterministic_origins(failed, s, failed, o.up(), order).select("graph_id", "scc", "unknown_upstream")
+    failed = reconstruct.cut(o.runs.where("status = 'failed'").join(graph.membership(s), KEY).select("graph_id", "scc", F.lit("status").alias("key"), F.lit("failed").alias("value")).distinct())
+    return graph.deterministic_origins(failed.where("scc % 2 = 0"), s, failed, o.links, graph.topological(s, o.links)).select("graph_id", "scc", "unknown_upstream")
 
 
 @query("select graph_id, run_id, case when score < 0.2 and status = 'failed' then 'both' when score < 0.2 then 'content' else 'deterministic' end as via from v_runs where score < 0.2 or status = 'failed'")

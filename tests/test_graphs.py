@@ -59,7 +59,7 @@ def test_reach_and_condense(data, frames):
     paths = graph.reach(frames[1])
     got = {(x.graph_id, x.src, x.dst) for x in paths.collect()}
     assert got == {(g, a, b) for g in range(25) for a, b in brute_reach(edges, g)}
-    sccs = {(x.graph_id, x.scc): x for x in graph.condense(*frames, paths).collect()}
+    sccs = {(x.graph_id, x.scc): x for x in graph.condense(*frames).collect()}
     end = {(g, i): e for g, i, e, *_ in runs}
     score = {(g, i): s for g, i, _, _, s, _ in runs}
     for (g, scc), x in sccs.items():
@@ -68,8 +68,25 @@ def test_reach_and_condense(data, frames):
     assert sum(x.n for x in sccs.values()) == len(runs)
 
 
+def test_long_chain_in_linear_time(spark):
+    """A graph of 10,000 components in a row, and one of 10,000 runs on one cycle."""
+    import time
+
+    n = 10_000
+    runs = spark.range(2 * n).selectExpr(f"cast(id div {n} as long) as graph_id", "id as run_id", "id as end_time", "cast(null as double) as score")
+    edges = spark.range(2 * n - 1).selectExpr(f"cast(id div {n} as long) as graph_id", "id as from_run_id", "id + 1 as to_run_id").where(f"from_run_id <> {n - 1}")
+    edges = edges.union(spark.sql(f"select 1L, {2 * n - 1}L, {n}L"))
+    began = time.time()
+    sccs = reconstruct.cut(graph.condense(runs, edges))
+    order = graph.topological(sccs, graph.scc_edges(sccs, edges)).collect()
+    assert time.time() - began < 40  # of which the walks take well under a second
+    assert sorted((x.graph_id, x.scc, x.topo, x.depth) for x in order) == [(0, i, i + 1, i + 1) for i in range(n)] + [(1, n, 1, 1)]
+    under = graph.shadow(sccs.where("scc % 2000 = 500").select("graph_id", "scc"), graph.scc_edges(sccs, edges)).collect()
+    assert [(x.graph_id, x.scc) for x in under] == [(0, 500)]
+
+
 def test_topological_order(frames):
-    sccs = reconstruct.cut(graph.condense(*frames, graph.reach(frames[1])))
+    sccs = reconstruct.cut(graph.condense(*frames))
     links = graph.scc_edges(sccs, frames[1])
     order = {(x.graph_id, x.scc): (x.topo, x.depth) for x in graph.topological(sccs, links).collect()}
     nodes, preds = {}, {}
@@ -120,7 +137,7 @@ def shapes(spark, spec):
     runs = [(g, i, i, "a", 1.0, None) for g, (n, _) in enumerate(spec) for i in range(n)]
     edges = [(g, a, b) for g, (_, es) in enumerate(spec) for a, b in es]
     r, e = spark.createDataFrame(runs, RUNS), spark.createDataFrame(edges, EDGES)
-    s = reconstruct.cut(graph.condense(r, e, graph.reach(e)))
+    s = reconstruct.cut(graph.condense(r, e))
     return {x.graph_id: x for x in graph.topology(r, e, s, graph.topological(s, graph.scc_edges(s, e))).collect()}
 
 
@@ -142,7 +159,7 @@ def test_order_independence(spark, data):
         a, b = r.sample(runs, len(runs)), r.sample(edges, len(edges))
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         rd, ed = spark.createDataFrame(a, RUNS), spark.createDataFrame(b, EDGES)
-        s = reconstruct.cut(graph.condense(rd, ed, graph.reach(ed)))
+        s = reconstruct.cut(graph.condense(rd, ed))
         links = reconstruct.cut(graph.scc_edges(s, ed))
         f = spark.createDataFrame([(g, i, False, False, None) for g, i, *_ in runs], facts)
         o = graph.edge_drop_origins(s, links, f)
@@ -155,11 +172,11 @@ def test_order_independence(spark, data):
 
 
 def test_unknown_is_never_an_origin(frames, data):
-    sccs = reconstruct.cut(graph.condense(*frames, graph.reach(frames[1])))
+    sccs = reconstruct.cut(graph.condense(*frames))
     links = graph.scc_edges(sccs, frames[1])
     facts = frames[0].select("graph_id", "run_id", F.lit(False).alias("input_flawed"), F.lit(False).alias("verifier"), F.lit(None).cast("string").alias("unscored_reason"))
     assert graph.edge_drop_origins(sccs, links, facts).where("score is null").count() == 0
-    cost = {x.graph_id: x for x in graph.downstream_cost(frames[0].where("run_id = 0"), frames[0], graph.reach(frames[1])).collect()}
+    cost = {x.graph_id: x for x in graph.downstream_cost(frames[0].where("run_id = 0"), frames[0], frames[1]).collect()}
     for g, x in cost.items():
         hit = {0} | {b for a, b in brute_reach(data[1], g) if a == 0}
         known = [c for h, i, *_, c in data[0] if h == g and i in hit and c is not None]
@@ -175,7 +192,7 @@ def by_graph(rows):
 
 def condensed(frames):
     """The components and their links, as frames and by graph: {scc: (score, end, exit run)} and {(src, dst)}."""
-    sccs = reconstruct.cut(graph.condense(*frames, graph.reach(frames[1])))
+    sccs = reconstruct.cut(graph.condense(*frames))
     links = reconstruct.cut(graph.scc_edges(sccs, frames[1]))
     nodes, pairs = {}, {}
     for x in sccs.collect():
