@@ -111,12 +111,13 @@ def numbered(rows: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame | None]:
 
 
 def matched(rows: DataFrame, found: DataFrame, names: DataFrame | None, s: Scratch, how: str = "left") -> DataFrame:
-    """``rows`` (doc_id, text, …) with the columns of ``found`` (doc, …), which first becomes a table that outlives the call."""
+    """``rows`` (doc_id, text, …) with the columns of ``found`` (doc, …), which first becomes a table that outlives the call. That table grows
+    with the documents, so it is never broadcast: the plan is the same at every size."""
     doc_id = F.col("doc_id").cast("long")
     if names is None:
-        found = s.result(found.withColumnRenamed("doc", "_of"))
+        found = s.result(found.withColumnRenamed("doc", "_of")).hint("merge")
         return rows.join(found, doc_id == F.col("_of"), how).drop("_of")
-    found = s.result(found.join(names, "doc").drop("doc").withColumnsRenamed({"of": "_of", "body": "_body"}))
+    found = s.result(found.join(names, "doc").drop("doc").withColumnsRenamed({"of": "_of", "body": "_body"})).hint("merge")
     return rows.join(found, doc_id.eqNullSafe(F.col("_of")) & (F.coalesce(F.sha2("text", 256), F.lit("")) == F.col("_body")), how).drop("_of", "_body")
 
 
