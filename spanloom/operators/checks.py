@@ -1,18 +1,25 @@
 """Per-run checks. Each gives rows (graph_id, run_id, name, severity, code, params); what can't be read gives no row.
 
-No check needs a row-at-a-time UDF: text is taken apart by built-in functions inside the JVM.
+No check needs a row-at-a-time UDF: text is taken apart by built-in functions inside the JVM; only the directories of archives are read
+in Arrow batches.
 """
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import glob_regex
 from ..functions.jsonview import json_leaves, tolerant
+from ..functions.schemas import breaches, schema_rules
 
 KEY = ["graph_id", "run_id"]
 
@@ -98,11 +105,29 @@ def section_present(text: Column, match: Column, pattern: Column, exact: Column)
             .when(match == "regex", F.regexp_like(body, F.concat(F.when(exact, "").otherwise("(?iu)"), pattern))))
 
 
+def usable_patterns(rules: DataFrame) -> DataFrame:
+    """``rules`` without those whose regular expression is malformed. Rules are written by people and few; each distinct pattern is compiled once,
+    one after another as they stream by, and only the bad ones are kept."""
+    jvm = rules.sparkSession.sparkContext._jvm
+    bad = []
+    for row in rules.where("match = 'regex'").select("pattern").distinct().toLocalIterator():
+        try:
+            jvm.java.util.regex.Pattern.compile(row.pattern)
+        except (Py4JJavaError, IllegalArgumentException):
+            bad.append(row.pattern)
+    return rules.where(~((F.col("match") == "regex") & F.col("pattern").isin(bad))) if bad else rules
+
+
 def required_section(runs: DataFrame, rules: DataFrame) -> DataFrame:
-    """A fail a rule whose section the output lacks. rules: agent_name (null: any), name, match, pattern, case_sensitive; few, so broadcast."""
-    r = rules.select(F.col("agent_name").alias("rule_agent"), F.col("name").alias("section"), "match", "pattern", F.coalesce("case_sensitive", F.lit(False)).alias("exact"))
-    both = runs.join(F.broadcast(r), F.col("rule_agent").isNull() | (F.col("rule_agent") == F.col("agent_name")))
-    return signal(both.where(~section_present(F.col("output"), F.col("match"), F.col("pattern"), F.col("exact"))), "missing_required_section", "fail", "section_absent", section=F.col("section"))
+    """A fail a rule whose section the output lacks. rules: agent_name (null: any), name, match, pattern, case_sensitive. A rule with a malformed
+    regular expression, or of a kind that isn't known, gives nothing. Rules of one agent are joined by its name, those of any agent are
+    one list beside the rows."""
+    r = usable_patterns(rules).select("agent_name", F.struct(F.col("name").alias("section"), "match", "pattern", F.coalesce("case_sensitive", F.lit(False)).alias("exact")).alias("r"))
+    common = r.where("agent_name is null").agg(F.collect_list("r").alias("any_rules"))  # one row
+    own = r.where("agent_name is not null").groupBy("agent_name").agg(F.collect_list("r").alias("own_rules"))
+    both = runs.join(own, "agent_name", "left").crossJoin(F.broadcast(common))
+    both = both.withColumn("r", F.explode(F.concat(F.coalesce("own_rules", F.array().cast(own.schema["own_rules"].dataType)), "any_rules")))
+    return signal(both.where(~section_present(F.col("output"), F.col("r.match"), F.col("r.pattern"), F.col("r.exact"))), "missing_required_section", "fail", "section_absent", section=F.col("r.section"))
 
 
 def sum_invariant(runs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -373,46 +398,26 @@ def select_contract(runs: DataFrame, contracts: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg(F.min_by("json_schema", "ord").alias("json_schema"))
 
 
-# The types of JSON Schema as VARIANT names them.
-JSON_TYPES = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING", "integer": "^(BIGINT|INT|TINYINT|SMALLINT|DECIMAL\\(\\d+,0\\))", "number": "^(BIGINT|INT|TINYINT|SMALLINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "null": "^VOID"}
-
-
-def fits_schema(value: Column, schema: Column, depth: int = 4) -> Column:
-    """Whether a VARIANT fits a JSON Schema, itself a VARIANT: type (one or a list), enum, required, properties, items; other words
-    are ignored, as is what lies deeper than ``depth`` levels."""
-    get = lambda x, path, kind: F.try_variant_get(x, path, kind)
-    texts, variants = "array<string>", "array<variant>"
-    patterns = F.create_map(*(y for k, p in JSON_TYPES.items() for y in (F.lit(k), F.lit(p))))
-    types = F.coalesce(get(schema, "$.type", texts), F.array(get(schema, "$.type", "string")))
-    shape = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    typed = get(schema, "$.type", "variant").isNull() | F.exists(types, lambda t: F.coalesce(F.regexp_like(shape, F.element_at(patterns, t)), F.lit(False)))
-    listed = F.coalesce(F.exists(get(schema, "$.enum", variants), lambda x: F.to_json(x) == F.to_json(value)), F.lit(True))
-    fields = get(value, "$", "map<string,variant>")
-    names = F.coalesce(F.map_keys(fields), F.array().cast(texts))
-    required = F.coalesce(F.forall(get(schema, "$.required", texts), lambda k: F.array_contains(names, k)), F.lit(True))
-    good = typed & listed & (~shape.startswith("OBJECT") | required)
-    if depth:
-        below = lambda e: ~F.array_contains(names, e["key"]) | fits_schema(F.element_at(fields, e["key"]), e["value"], depth - 1)
-        each = F.coalesce(F.forall(F.map_entries(get(schema, "$.properties", "map<string,variant>")), below), F.lit(True))
-        items = get(schema, "$.items", "variant")
-        every = items.isNull() | F.coalesce(F.forall(get(value, "$", variants), lambda x: fits_schema(x, items, depth - 1)), F.lit(True))
-        good = good & (~shape.startswith("OBJECT") | each) & (~shape.startswith("ARRAY") | every)
-    return F.coalesce(good, F.lit(False))
-
-
 def schema_component(runs: DataFrame, contracts: DataFrame) -> DataFrame:
-    """graph_id, run_id, schema: 1.0 where the output fits the agent's contract, else 0.0; no row without a contract. An output that is no JSON doesn't fit."""
-    x = runs.join(select_contract(runs, contracts), KEY).select(*KEY, F.try_parse_json("json_schema").alias("s"), F.try_parse_json("output").alias("v"))
-    return x.select(*KEY, F.when(F.col("v").isNotNull() & (F.col("s").isNull() | fits_schema(F.col("v"), F.col("s"))), 1.0).otherwise(0.0).alias("schema"))
+    """graph_id, run_id, schema: 1.0 where the output fits the agent's contract, else 0.0; no row without a contract. An output that is no JSON
+    doesn't fit; a contract that is none asks nothing. Eight levels below the top are checked: if all is well there and output and contract
+    both go deeper, the component is null, as it wasn't measured."""
+    chosen = runs.join(select_contract(runs, contracts), KEY).select(*KEY, "json_schema", F.try_parse_json("output").alias("v"))
+    rules = schema_rules(contracts.select("json_schema").distinct(), "json_schema", "json_schema")
+    bad = breaches(chosen, KEY, rules, "json_schema").groupBy(*KEY).agg(F.bool_or(F.col("reason") != "deeper").alias("breach"))
+    out = chosen.join(bad, KEY, "left")
+    return out.select(*KEY, F.when(F.col("v").isNull() | F.col("breach"), 0.0).when(F.col("breach").isNull(), 1.0).alias("schema"))
 
 
 def tool_args_invalid(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Tools that a run called with arguments that don't fit the tool's registered schema, once each. calls: args (JSON; calls without, or with
-    text that is no JSON, give nothing). rules: tool, json_schema, ord (the first of a tool counts)."""
+    """Tools that a run called with arguments that don't fit the tool's registered schema, once each, with the first breach (by path). calls:
+    args (JSON; calls without, or with text that is no JSON, give nothing). rules: tool, json_schema, ord (the first of a tool counts)."""
     first = rules.groupBy(F.col("tool").alias("name")).agg(F.min_by("json_schema", "ord").alias("json_schema"))
-    x = calls.join(first, "name").select(*KEY, F.col("name").alias("tool"), F.try_parse_json("args").alias("v"), F.try_parse_json("json_schema").alias("s"))
-    bad = x.where(F.col("v").isNotNull() & F.col("s").isNotNull()).where(~fits_schema(F.col("v"), F.col("s"))).select(*KEY, "tool").distinct()
-    return signal(bad, "tool_args_invalid", "fail", "tool_args_invalid", tool=F.col("tool"))
+    x = calls.join(first.select("name"), "name").select(*KEY, F.col("name").alias("tool"), F.try_parse_json("args").alias("v"))
+    asked = schema_rules(first.withColumnRenamed("name", "tool"), "tool", "json_schema")
+    bad = breaches(x.withColumn("named", F.col("tool")), [*KEY, "named"], asked, "tool").where("reason <> 'deeper'")
+    bad = bad.groupBy(*KEY, F.col("named").alias("tool")).agg(F.min(F.struct("path", "reason")).alias("x")).select(*KEY, "tool", F.concat(F.lit("$"), F.array_join("x.path", "")).alias("path"), "x.reason")
+    return signal(bad, "tool_args_invalid", "fail", "tool_args_invalid", tool=F.col("tool"), path=F.col("path"), breach=F.col("reason"))
 
 
 # What keys of a payload tell of.
@@ -440,7 +445,8 @@ def payload_kind(text: Column) -> Column:
 
 def structured_claims(leaves: DataFrame, most: int = 6) -> DataFrame:
     """(graph_id, run_id, claims): up to ``most`` distinct scalars of a JSON output, numbers and texts of 3 to 80 characters; telling ones (with a
-    digit, a space, or 12 characters) first, else as they stand in the document. leaves: json_leaves with ``place``."""
+    digit, a space, or 12 characters) first, else as they stand in the document. leaves: json_leaves with ``place``
+    (``ordered``)."""
     claim = F.when(F.col("type") == "STRING", F.trim("value")).otherwise(F.col("value"))
     number = F.col("value").try_cast("double").isNotNull() & ~F.col("type").isin("STRING", "BOOLEAN")
     each = leaves.withColumn("claim", claim).where(number | ((F.col("type") == "STRING") & F.length("claim").between(3, 80)))
@@ -456,9 +462,41 @@ def claim_matches(claim: Column, text: Column) -> Column:
     return F.contains(low, F.lower(claim)) | ((F.size(words) > 0) & (F.size(F.filter(words, lambda w: F.contains(low, w))) >= 0.6 * F.size(words)))
 
 
+# The member that makes an archive a document of its kind, and the extensions that stand for text.
+MAIN_PART = {"docx": "word/document.xml", "xlsx": "xl/workbook.xml", "pptx": "ppt/presentation.xml"}
+TEXT_EXTENSIONS = ("md", "txt", "html", "json")
+
+
+def _opens(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each archive (path, content, wanted member) has a directory that names the member. Files are held one at a time."""
+    for part in parts:
+        out = []
+        for content, wanted in zip(part.column(1), part.column(2).to_pylist(), strict=True):
+            try:
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                    out.append(wanted in z.namelist())
+            except (zipfile.BadZipFile, OSError, ValueError, EOFError, NotImplementedError):
+                out.append(False)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.bool_())], names=["path", "opened"])
+
+
 def file_meta(files: DataFrame) -> DataFrame:
-    """path, size, sha256, declared_ext, detected_kind, nonempty of a table of files (Spark's binaryFile source)."""
+    """path, size, sha256, declared_ext, detected_kind, parse_ok, nonempty of a table of files (Spark's binaryFile source; a path each).
+
+    parse_ok goes by the extension: office documents must have a directory of members with their main part, PDF its first and last marks,
+    texts must be UTF-8 and JSON must parse; of other files it asks only that they aren't empty. A null content is a missing file."""
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    # A sample may end within a character: up to three bytes are left off.
+    sample = F.coalesce(*(F.when(F.is_valid_utf8(cut), cut) for cut in (F.substring("content", 1, F.least(F.octet_length("content"), F.lit(4096)) - k).cast("string") for k in range(4))))
+    shown = F.regexp_count(sample, F.lit("[^\\p{C}\\p{Z}]|[ \\t\\n\\r]"))
     head = F.hex(F.substring("content", 1, 4))
-    text = F.when(F.octet_length("content") == 0, F.lit(None)).otherwise(~F.make_valid_utf8(F.substring("content", 1, 4096).cast("string")).rlike("[\\u0000-\\u0008�]"))
-    kind = F.when(F.octet_length("content") == 0, "empty").when(head == "504B0304", "zip").when(head == "25504446", "pdf").when(text, "text").otherwise("binary")
-    return files.select("path", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("sha256"), F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1)).alias("declared_ext"), kind.alias("detected_kind"), (F.octet_length("content") > 0).alias("nonempty"))
+    kind = (F.when(F.col("content").isNull(), "missing").when(F.octet_length("content") == 0, "empty").when(head == "504B0304", "zip").when(head == "25504446", "pdf")
+            .when(sample.isNotNull() & (shown >= 0.85 * F.length(sample)), "text").otherwise("binary"))
+    ext = F.lower(F.regexp_extract("path", "[^/]\\.([^./]+)$", 1))
+    meta = files.select("path", "content", F.coalesce(F.octet_length("content"), F.lit(0)).alias("size"), F.sha2("content", 256).alias("sha256"), ext.alias("declared_ext"), kind.alias("detected_kind"),
+                        (head == "25504446").alias("_pdf"), F.contains(F.substring("content", -1024, 1024), F.lit(b"%%EOF")).alias("_eof"), text.isNotNull().alias("_utf8"), F.try_parse_json(text).isNotNull().alias("_json"))
+    parts = F.create_map(*(F.lit(x) for pair in MAIN_PART.items() for x in pair))
+    office = files.select("path", "content", F.element_at(parts, ext).alias("wanted")).where("wanted is not null and content is not null").mapInArrow(_opens, "path string, opened boolean")
+    ok = (F.when(F.col("declared_ext").isin(*MAIN_PART), F.col("opened")).when(F.col("declared_ext") == "pdf", F.col("_pdf") & F.col("_eof")).when(F.col("declared_ext") == "json", F.col("_json"))
+          .when(F.col("declared_ext").isin(*TEXT_EXTENSIONS), F.col("_utf8")).otherwise(F.col("size") > 0))
+    return meta.join(office, "path", "left").select("path", "size", "sha256", "declared_ext", "detected_kind", F.coalesce(F.col("content").isNotNull() & ok, F.lit(False)).alias("parse_ok"), (F.col("size") > 0).alias("nonempty"))

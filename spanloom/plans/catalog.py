@@ -727,7 +727,7 @@ def c29_judge_window(spark, sf_dir):
 @query("""select o_orderkey as graph_id, cast(0 as bigint) as run_id, o_orderpriority || '|' || cast(o_custkey as string) || '|' || case when o_orderstatus = 'O' then 'the customer waits|' else '' end || o_orderstatus || 'xyz' as claims from orders""")
 def c30_structured_claims(spark, sf_dir):
     rows = sql(spark, sf_dir, "select o_orderkey as graph_id, cast(0 as bigint) as run_id, to_json(named_struct('a', o_orderstatus || 'xyz', 'b', named_struct('c', o_orderpriority), 'd', 'no', 'e', o_custkey, 'f', true, 'g', case when o_orderstatus = 'O' then 'the customer waits' end)) as output from orders")
-    return checks.structured_claims(json_leaves(rows, KEY, "output")).select(*KEY, F.array_join("claims", "|").alias("claims"))
+    return checks.structured_claims(json_leaves(rows, KEY, "output", ordered=True)).select(*KEY, F.array_join("claims", "|").alias("claims"))
 
 
 def _picked(key: str, percent: int) -> str:

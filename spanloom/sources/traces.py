@@ -35,21 +35,45 @@ def flatten_exports(exports: DataFrame) -> DataFrame:
     return scopes.select(F.explode(_field("s", "spans", kind="array<variant>")).alias("span"), "resource_attributes")
 
 
+def _entries(list_: Column) -> Column:
+    """(k, v) of a list of {key, value}, as it is; entries without a key go, and of repeated keys the last stays."""
+    entries = F.transform(list_, lambda e: F.struct(F.try_variant_get(e, "$.key", "string").alias("k"), F.try_variant_get(e, "$.value", "variant").alias("v")))
+    entries = F.filter(entries, lambda e: F.coalesce(e["k"] != "", F.lit(False)))
+    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda x: x["k"] == e["k"]))
+
+
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _opened(value: Column, depth: int) -> Column:
+    """A typed value as JSON text, its wrappers opened down to ``depth`` lists or maps; bad numbers are null, what has no wrapper stays."""
+    get = lambda kind, *names: F.coalesce(*(F.try_variant_get(value, f"$.{n}", kind) for n in names))
+    whole, number = (get("string", *names).try_cast(kind).cast("string") for names, kind in ((("intValue", "int_value"), "bigint"), (("doubleValue", "double_value"), "double")))
+    text = F.coalesce(F.to_json(get("variant", "stringValue", "string_value", "boolValue", "bool_value", "bytesValue", "bytes_value")), whole, number)
+    if depth:
+        inner = lambda v: F.coalesce(_opened(v, depth - 1), F.lit("null"))
+        items = get("array<variant>", "arrayValue.values", "array_value.values", "arrayValue", "array_value")
+        pairs = get("array<variant>", "kvlistValue.values", "kvlist_value.values", "kvlistValue", "kvlist_value")
+        text = F.coalesce(text, F.concat(F.lit("["), F.array_join(F.transform(items, inner), ","), F.lit("]")),
+                          F.concat(F.lit("{"), F.array_join(F.transform(_entries(pairs), lambda e: F.concat(_quoted(e["k"]), F.lit(":"), inner(e["v"]))), ","), F.lit("}")))
+    typed = F.to_json(value).rlike('^\\{"(string|bool|bytes|int|double|array|kvlist)(Value|_value)"')
+    return F.when(typed, text).otherwise(F.to_json(value))
+
+
 def _scalar(value: Column) -> Column:
-    """One attribute value as text: typed wrappers are opened, bad numbers are null."""
+    """One attribute value as text: typed wrappers are opened, lists and maps three deep; bad numbers are null."""
     get = lambda n: F.try_variant_get(value, f"$.{n}", "string")
     wrapped = F.coalesce(get("stringValue"), get("string_value"), get("boolValue"), get("bool_value"),
                          get("intValue").try_cast("bigint").cast("string"), get("int_value").try_cast("bigint").cast("string"),
-                         get("doubleValue").try_cast("double").cast("string"), get("double_value").try_cast("double").cast("string"),
-                         get("bytesValue"), get("arrayValue.values"), get("kvlistValue.values"))
+                         get("doubleValue").try_cast("double").cast("string"), get("double_value").try_cast("double").cast("string"), get("bytesValue"), get("bytes_value"), _opened(value, 3))
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), wrapped).otherwise(F.try_variant_get(value, "$", "string"))
 
 
 def decode_attributes(bag: Column) -> Column:
-    """MAP<STRING,STRING> of a list of {key, value} or of a plain object; of repeated keys the last counts."""
-    entries = F.transform(F.try_variant_get(bag, "$", "array<variant>"), lambda e: F.struct(F.try_variant_get(e, "$.key", "string").alias("k"), _scalar(F.try_variant_get(e, "$.value", "variant")).alias("v")))
-    entries = F.filter(entries, lambda e: e["k"].isNotNull())
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda x: x["k"] == e["k"]))
+    """MAP<STRING,STRING> of a list of {key, value} or of a plain object; of repeated keys the last counts. Lists and maps come out as JSON."""
+    last = F.transform(_entries(F.try_variant_get(bag, "$", "array<variant>")), lambda e: F.struct(e["k"], _scalar(e["v"])))
     plain = F.try_variant_get(bag, "$", "map<string,variant>")
     return F.coalesce(F.map_from_entries(last), F.transform_values(plain, lambda _, v: _scalar(v)))
 
