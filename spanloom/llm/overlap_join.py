@@ -4,8 +4,8 @@ A document of n shingles shares at least T = ceil(n * percent / 100) of them wit
 set aside: a partner stands in one of the others. The long lists are the ones to set aside, as they cost most to merge.
 
 * First over all documents, to find those that may have a partner at all. Of each set only a beginning is listed, by order of hash: its
-  n - T + 1 smallest values hold one that both sides have, and with e more values, 1 + e such values. So with as many more listed, each
-  side can drop its e most frequent values, be they a passage that a third of all documents share, and some rare value remains that both
+  n - T + 1 smallest values hold one that both sides have, and with e more values, 1 + e such values. So with half as many more listed,
+  each side can drop its e most frequent values, be they a passage that a third of all documents share, and some rare value remains that both
   list. Whoever meets nobody in such a list is done.
 * Then over whole sets of the others. Their lists are counted again; each keeps all but its T - 1 longest ones. Documents that meet in
   these lists form clusters, which are dealt into blocks of like sizes and bounded weight.
@@ -69,18 +69,18 @@ def sets(docs: DataFrame, size: int, percent: int | None = None) -> DataFrame:
 
 
 def extra(n, percent: int):
-    """Values listed beyond the necessary beginning: as many again, as far as the set goes. It never falls as n grows."""
+    """Values listed beyond the necessary beginning: half as many, as far as the set goes. It never falls as n grows."""
     need = least(n, percent)
-    return np.maximum(np.minimum(n - need + 1, need - 1), 0)
+    return np.maximum(np.minimum((n - need + 1) // 2, need - 1), 0)
 
 
 def _counted(rows: DataFrame, drop: Column) -> DataFrame:
-    """(rep, value): of each set of ``rows`` (rep, s1, n, list) the values that others list too, without its ``drop`` most frequent. The
-    values travel with the name of their set alone."""
-    values = rows.select("s1", F.explode("list").alias("value"))
+    """(rep, value): of each set of ``rows`` (rep, number, n, list) the values that others list too, without its ``drop`` most frequent. The
+    values travel with the number of their set alone, which takes few bytes."""
+    values = rows.select("number", F.explode("list").alias("value"))
     several = values.groupBy("value").agg(F.count(F.lit(1)).cast("int").alias("times")).where("times > 1")
-    found = values.join(several, "value").groupBy("s1").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("found"))
-    found = found.join(rows.select("rep", "s1", "n"), "s1").withColumn("keep", (F.size("found") - drop).cast("int")).where("keep > 0")
+    found = values.join(several, "value").groupBy("number").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("found"))
+    found = found.join(rows.select("rep", "number", "n"), "number").withColumn("keep", (F.size("found") - drop).cast("int")).where("keep > 0")
     return found.select("rep", F.explode(F.slice("found", F.lit(1), F.col("keep"))["value"]).alias("value"))
 
 
@@ -207,7 +207,7 @@ def _clusters(full: DataFrame, percent: int, s: common.Scratch) -> DataFrame:
 
 
 def _cluster_comps(full: DataFrame, percent: int, s: common.Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """(rep, comp) of documents of ``full`` (rep, s1, n, list) that may have a partner, and (a, b): links between these components, if any."""
+    """(rep, comp) of documents of ``full`` (rep, number, n, list) that may have a partner, and (a, b): links between these components, if any."""
     docs = s.written(_blocks(full.select("rep", "n", "list").join(_clusters(full, percent, s), "rep")).withColumn("comp", F.col("rep")))
     merged = s.written(_searched(docs.select(_unit("cluster", "band", "part"), F.lit(0).alias("role"), "rep", "comp", "list"), percent))
     comps = s.written(_relabelled(docs.drop("list"), merged))
@@ -252,16 +252,16 @@ def overlap_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 
 def _overlap_join(docs: DataFrame, size: int, percent: int, s: common.Scratch) -> DataFrame:
     name = ["n", "s1", "s2"]
-    every = s.written(sets(docs, size, percent))
+    every = s.written(sets(docs, size, percent).withColumn("number", F.monotonically_increasing_id()))
     classes = s.written(every.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep")))
-    reps = every.join(classes, name).where("doc_id = rep").select("rep", *name, "list").dropDuplicates(["rep", *name])
+    reps = every.join(classes, name).where("doc_id = rep").select("rep", *name, "number", "list").dropDuplicates(["rep", *name])
     low = _least(F.col("n"), percent)  # a partner's size, at least: what it lists beyond the necessary is the least of both
-    drop = F.greatest(F.least(low - _least(low, percent) + 1, _least(low, percent) - 1), F.lit(0))
+    drop = F.greatest(F.least(F.floor((low - _least(low, percent) + 1) / 2), _least(low, percent) - 1), F.lit(0))
     lists = s.written(_counted(reps, drop))
     met = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
     near = lists.join(met, "value").select(F.col("rep").alias("doc_id")).distinct()
     full = sets(_texts(docs, near, s), size).where("n > 0").dropDuplicates(["doc_id", *name]).withColumnRenamed("doc_id", "rep")
-    comps, links = _cluster_comps(s.written(full), percent, s)
+    comps, links = _cluster_comps(s.written(full.withColumn("number", F.monotonically_increasing_id())), percent, s)
 
     # An id with several texts links their sets.
     several = every.where("n > 0").groupBy("doc_id").agg(F.min(F.struct(*name)).alias("x"), F.max(F.struct(*name)).alias("y")).where("x <> y").select("doc_id")
