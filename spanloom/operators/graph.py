@@ -458,12 +458,29 @@ def significant_drops(runs: DataFrame, edges: DataFrame, least: float = 0.2) ->
 
 
 def verification_gaps(runs: DataFrame, verdicts: DataFrame, culprits: DataFrame, edges: DataFrame, cfg: Config = CONFIG) -> DataFrame:
-    """(graph_id, run_id, reason): verifiers whose low score contradicts a good end, and those that passed work below a culprit of a bad one."""
-    v = runs.where("verifier and score is not null").join(verdicts.select("graph_id", "bad"), "graph_id")
-    wrong = v.where(~F.col("bad") & (F.col("score") < cfg.threshold)).select("graph_id", "run_id", F.lit("verdict_scored_incorrect").alias("reason"))
+    """(graph_id, run_id, reason): verifiers whose verdict and the end of their graph don't go together.
+
+    A score under the threshold says that the verifier's verdict was wrong. That is a gap where the end agrees: it passed the work
+    (not issued_fail) and the end is bad, or it failed work whose end is ok (verdict_scored_incorrect). Issuing FAIL on work that ended badly
+    would have been right, so there either the flag or the score is wrong (verifier_flag_conflict). A verifier with a good score that passed
+    work below a culprit of a bad end (any work, where nothing is below one) is a gap as well (passed_bad_terminal). runs: score, verifier, issued_fail
+    (if known); verdicts: verdict (ok, bad, not_checkable).
+    """
+    fail = F.coalesce("issued_fail", F.lit(False)) if "issued_fail" in runs.columns else F.lit(False)
+    v = runs.where("verifier and score is not null").withColumn("issued_fail", fail).join(verdicts.select("graph_id", "verdict"), "graph_id")
+    bad, ok, low = F.col("verdict") == "bad", F.col("verdict") == "ok", F.col("score") < cfg.threshold
+    reason = F.when(low & F.col("issued_fail") & bad, "verifier_flag_conflict").when(low & F.when(F.col("issued_fail"), ok).otherwise(bad), "verdict_scored_incorrect")
+    wrong = v.withColumn("reason", reason).where("reason is not null").select("graph_id", "run_id", "reason")
     below = walks.below(_pairs(edges), culprits.select("graph_id", F.col("run_id").alias("src")), ["graph_id"]).withColumnRenamed("dst", "run_id")
-    passed = v.where(F.col("bad") & (F.col("score") >= cfg.threshold)).join(below, ["graph_id", "run_id"], "left_semi").select("graph_id", "run_id", F.lit("passed_bad_terminal").alias("reason"))
-    return wrong.unionByName(passed)
+    some = below.select("graph_id", F.lit(True).alias("some")).distinct()
+    passed = v.where(bad & ~low & ~F.col("issued_fail")).join(below.withColumn("below", F.lit(True)), ["graph_id", "run_id"], "left").join(some, "graph_id", "left")
+    return wrong.unionByName(passed.where("below or some is null").select("graph_id", "run_id", F.lit("passed_bad_terminal").alias("reason")))
+
+
+def score_overrides(gaps: DataFrame, runs: DataFrame) -> DataFrame:
+    """(graph_id, run_id, original, effective): verifiers whose pass the end refutes count as 0.1; the score itself stays."""
+    hit = gaps.where("reason = 'passed_bad_terminal'").join(runs.where("score is not null").select("graph_id", "run_id", F.col("score").alias("original")), ["graph_id", "run_id"])
+    return hit.select("graph_id", "run_id", "original", F.lit(0.1).alias("effective"))
 
 
 def hypotheses(culprits: DataFrame) -> DataFrame:
@@ -495,7 +512,7 @@ def findings(runs: DataFrame, drops: DataFrame, anomalies: DataFrame, breaches:
         pick(drops, "content_drop", "judge", run, 0.7, F.concat(F.lit("drop:"), run), F.round("drop", 6).cast("string")),
         pick(anomalies, "loop_anomaly", "deterministic", text("scc"), 0.95, F.concat(F.lit("loop:"), text("scc")), text("rounds")),
         pick(breaches, "contract_breach", "deterministic", text("scc"), 0.95, F.concat(F.lit("param:"), F.col("key")), F.col("value")),
-        pick(verdicts, "terminal_content", "terminal", F.lit("deliverable"), 0.7, F.lit("terminal"), F.when(F.col("bad"), "bad").otherwise("ok"))]
+        pick(verdicts, "terminal_content", "terminal", F.lit("deliverable"), 0.7, F.lit("terminal"), F.col("verdict"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -508,13 +525,20 @@ def reconcile(found: DataFrame) -> DataFrame:
 
 
 def defects(candidates: DataFrame, anomalies: DataFrame, gaps: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Defects (graph_id, kind, origin_kind, origin, recovered) and the findings each rests on (role supporting or context)."""
+    """Defects (graph_id, kind, origin_kind, origin, recovered) and the findings each rests on, with a role.
+
+    A finding of the origin is supporting; the origin's own score supports a content defect under the threshold and is refuting from it on,
+    and is context for other defects. How the graph ended: a bad end supports, a good one refutes what wasn't recovered, anything
+    else is context."""
     origin = F.col("run_id").cast("string").alias("origin")
     made = candidates.select("graph_id", F.when(F.col("via") == "deterministic", "contract").otherwise("content").alias("kind"), F.lit("localized").alias("origin_kind"), origin, F.coalesce("recovered", F.lit(False)).alias("recovered"))
     made = made.unionByName(anomalies.select("graph_id", F.lit("loop").alias("kind"), F.lit("localized").alias("origin_kind"), F.col("scc").cast("string").alias("origin"), F.lit(False).alias("recovered")))
-    made = made.unionByName(gaps.select("graph_id", F.lit("verification").alias("kind"), F.lit("localized").alias("origin_kind"), origin, F.lit(False).alias("recovered")))
-    role = F.when(F.col("subject") == F.col("origin"), "supporting").when(F.col("f_kind") == "terminal_content", "context")
-    refs = made.select("graph_id", "kind", "origin").join(found.select("graph_id", F.col("kind").alias("f_kind"), "subject", "fact_key"), "graph_id").withColumn("role", role).where("role is not null")
+    asserted = gaps.where("reason <> 'verifier_flag_conflict'")  # a conflict is evidence and blames nobody
+    made = made.unionByName(asserted.select("graph_id", F.lit("verification").alias("kind"), F.lit("localized").alias("origin_kind"), origin, F.lit(False).alias("recovered")))
+    score = F.when(F.col("kind") != "content", "context").when(F.col("value").try_cast("double") < CONFIG.threshold, "supporting").otherwise("refuting")
+    end = F.when(F.col("value") == "bad", "supporting").when((F.col("value") == "ok") & ~F.col("recovered"), "refuting").otherwise("context")
+    role = F.when(F.col("f_kind") == "terminal_content", end).when(F.col("subject") == F.col("origin"), F.when(F.col("f_kind") == "content_score", score).otherwise("supporting"))
+    refs = made.join(found.select("graph_id", F.col("kind").alias("f_kind"), "subject", "fact_key", "value"), "graph_id").withColumn("role", role).where("role is not null")
     return made, refs.select("graph_id", "kind", "origin", "fact_key", "role")
 
 

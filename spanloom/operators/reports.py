@@ -284,18 +284,63 @@ def claims(quality: DataFrame) -> DataFrame:
     return g.select("graph_id", F.explode(rows).alias("r")).select("graph_id", "r.claim", "r.holds")
 
 
-def determinism(rounds: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """By run over repeats (column round): mean, deviation, least and greatest score, and whether it crosses the threshold."""
-    return rounds.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rounds"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("lo"), F.max("score").alias("hi"), ((F.min("score") < threshold) & (F.max("score") >= threshold)).alias("flips"))
-
-
-def scoreboard(cells: DataFrame) -> DataFrame:
-    """metric, value, lo, hi, cells. cells: cell, topology, control, verdict_bad (share over repeats), hit (share; null where no origin is known)."""
-    fpr = cells.where("control").agg(F.sum("verdict_bad").alias("h"), F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit("false_positive_rate"))
-    disc = cells.where("not control").agg(F.sum("verdict_bad").alias("h"), F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit("discrimination"))
-    acc = cells.where("hit is not null").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit("attribution_accuracy"))
-    p, lo, hi = wilson(F.col("h"), F.col("n"))
-    return fpr.unionByName(disc).unionByName(acc).select("metric", p.alias("value"), lo.alias("lo"), hi.alias("hi"), F.col("n").alias("cells"))
+def determinism(rounds: DataFrame, threshold: float = 0.5, band: float = 0.1) -> DataFrame:
+    """By run over repeats (column round): mean, deviation, least and greatest score, whether it crosses the threshold, and whether the mean
+    is so near it that it may (flip_risk)."""
+    return rounds.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rounds"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("lo"), F.max("score").alias("hi"),
+                                    ((F.min("score") < threshold) & (F.max("score") >= threshold)).alias("flips"), (F.abs(F.avg("score") - threshold) <= band + 1e-9).alias("flip_risk"))
+
+
+# Fixed value: the report type of a round that gave no report.
+NO_REPORT = "no_report"
+
+
+def verdict_determinism(rounds: DataFrame) -> DataFrame:
+    """By graph over repeats (graph_id, round, report_type, culprits): rounds, no_report_rounds, inconclusive (no round gave a report), stable
+    (all gave one verdict), distribution (verdict to number of rounds), and the set of culprits that came most often (the one that came
+    first among equals) with its share and the number of sets. A verdict is a report type with its culprits, in order."""
+    culprits = F.array_sort(F.array_distinct(F.coalesce("culprits", F.array().cast("array<string>"))))
+    r = rounds.select("graph_id", "round", "report_type", culprits.alias("culprits"))
+    name = F.concat(F.coalesce("report_type", F.lit("None")), F.lit("|culprits="), F.when(F.size("culprits") > 0, F.array_join("culprits", ",")).otherwise("-"))
+    total = r.groupBy("graph_id").agg(F.count(F.lit(1)).alias("rounds"), F.count_if(F.col("report_type") == NO_REPORT).alias("no_report_rounds"))
+    kinds = r.groupBy("graph_id", name.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy("graph_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("verdict", "n")))).alias("distribution"))
+    sets = r.groupBy("graph_id", "culprits").agg(F.count(F.lit(1)).alias("n"), F.min("round").alias("first"))
+    modal = sets.groupBy("graph_id").agg(F.max_by(F.struct("culprits", "n"), F.struct("n", -F.col("first"))).alias("m"), F.count(F.lit(1)).alias("distinct_sets"))
+    x = total.join(kinds, "graph_id").join(modal, "graph_id").withColumn("inconclusive", F.col("no_report_rounds") == F.col("rounds"))
+    return x.select("graph_id", "rounds", "no_report_rounds", "inconclusive", (~F.col("inconclusive") & (F.size("distribution") == 1)).alias("stable"), "distribution",
+                    F.col("m.culprits").alias("modal_culprits"), (F.col("m.n") / F.col("rounds")).alias("modal_fraction"), "distinct_sets")
+
+
+def cell_rates(verdicts: DataFrame, cells: DataFrame) -> DataFrame:
+    """By cell over its repeats: incident (share with an incident), differs (of faulted cells whose topology has controls: share whose report type
+    isn't the most common one among these controls' rounds, the least among equals), hit (where the origin is known: share that names it)
+    and unstable. verdicts: cell, incident, report_type, culprits; cells: cell, topology, control, faulted, origin."""
+    v = verdicts.join(cells, "cell")
+    count = v.where("control").groupBy("topology", "report_type").agg(F.count(F.lit(1)).alias("k"))
+    most = count.groupBy("topology").agg(F.max("k").alias("k"))
+    base = count.join(most, ["topology", "k"]).groupBy("topology").agg(F.min("report_type").alias("base"), F.lit(True).alias("has_controls"))  # null (clean) only if no other is as common
+    v = v.join(base, "topology", "left")
+    share = lambda test: F.avg(test.cast("int"))
+    return v.groupBy("cell", "topology", "control", "faulted", "origin").agg(
+        share(F.col("incident")).alias("incident"), share(F.when(F.col("faulted") & F.col("has_controls"), ~F.col("report_type").eqNullSafe(F.col("base")))).alias("differs"),
+        share(F.when(F.col("origin").isNotNull(), F.coalesce(F.array_contains("culprits", F.col("origin")), F.lit(False)))).alias("hit"),
+        (F.count_distinct(F.coalesce("report_type", F.lit("clean"))) > 1).alias("unstable"))
+
+
+def scoreboard(rates: DataFrame) -> DataFrame:
+    """metric, value (mean rate over cells), lo, hi, cells. ``rates`` as ``cell_rates`` gives them. The Wilson intervals count cells: a control
+    that ever raised an incident is a false positive, a faulted cell is told apart, or its origin named, from half of its rounds on.
+    unstable_cells has the number of cells whose report type changes; it has no interval."""
+    parts = [("false_positive_rate", rates.where("control"), "incident", F.col("incident") > 0), ("discrimination", rates.where("differs is not null"), "differs", F.col("differs") >= 0.5), ("attribution_accuracy", rates.where("hit is not null"), "hit", F.col("hit") >= 0.5)]
+    out = None
+    for metric, cells, rate, counts in parts:
+        one = cells.agg(F.avg(rate).alias("value"), F.count_if(counts).alias("h"), F.count(F.lit(1)).alias("n"))
+        _, lo, hi = wilson(F.col("h"), F.nullif("n", F.lit(0)))
+        one = one.select(F.lit(metric).alias("metric"), "value", F.coalesce(lo, F.lit(0.0)).alias("lo"), F.coalesce(hi, F.lit(1.0)).alias("hi"), F.col("n").alias("cells"))
+        out = one if out is None else out.unionByName(one)
+    unstable = rates.agg(F.count_if("unstable").cast("double").alias("value"), F.count(F.lit(1)).alias("cells"))
+    return out.unionByName(unstable.select(F.lit("unstable_cells").alias("metric"), "value", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "cells"))
 
 
 def golden_diff(now: DataFrame, stored: DataFrame) -> DataFrame:

@@ -314,20 +314,39 @@ def r29_claims(spark, sf_dir):
     return reports.claims(_quality(spark, sf_dir))
 
 
-@query("select graph_id, run_id, count(*) as rounds, round(avg(s), 6) as mean, round(stddev_pop(s), 6) as std, round(min(s), 6) as lo, round(max(s), 6) as hi, min(s) < 0.5 and max(s) >= 0.5 as flips from (select o_custkey as graph_id, cast(1 as bigint) as run_id, round(o_totalprice / 600000.0, 4) as s from orders) x group by 1, 2")
+@query("select graph_id, run_id, count(*) as rounds, round(avg(s), 6) as mean, round(stddev_pop(s), 6) as std, round(min(s), 6) as lo, round(max(s), 6) as hi, min(s) < 0.5 and max(s) >= 0.5 as flips, abs(avg(s) - 0.5) <= 0.1 + 1e-9 as flip_risk from (select o_custkey as graph_id, cast(1 as bigint) as run_id, round(o_totalprice / 600000.0, 4) as s from orders) x group by 1, 2")
 def r30_determinism(spark, sf_dir):
     rounds = sql(spark, sf_dir, "select o_custkey as graph_id, cast(1 as bigint) as run_id, round(o_totalprice / 600000.0, 4) as score from orders")
     return _n(reports.determinism(rounds))
 
 
-@query("""with c as (select prompt_hash || model as cell, model = 'en' as control, avg(case when verdict = 'bad' then 1.0 else 0 end) as b, case when model <> 'en' then avg(case when label = verdict then 1.0 else 0 end) end as hit from v_judgements group by 1, 2, prompt_hash, model),
-    m as (select 'false_positive_rate' as metric, sum(b) as h, count(*) as n from c where control union all select 'discrimination', sum(b), count(*) from c where not control union all select 'attribution_accuracy', sum(hit), count(*) from c where hit is not null),
-    w as (select metric, n, h / n as p, 1.959963984540054 as z from m)
-    select metric, round(p, 6) as value, round(greatest(0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) as lo, round(least(1, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) as hi, n as cells from w""")
+ROUNDS = """select o_custkey as graph_id, o_orderkey as round, case when o_totalprice < 60000 then 'no_report' else o_orderpriority end as report_type, case when o_totalprice > 250000 then null when o_totalprice > 150000 then o_orderstatus end as a, case when o_totalprice between 100000 and 200000 then 'w' end as b from orders"""
+
+
+@query(f"""with r as ({ROUNDS}), v as (select *, coalesce(nullif(concat_ws(',', a, b), ''), '-') as who from r), k as (select graph_id, who, count(*) as n, min(round) as first from v group by 1, 2), m as (select *, row_number() over (partition by graph_id order by n desc, first) as place, count(*) over (partition by graph_id) as sets from k)
+    select v.graph_id, count(*) as rounds, count(*) filter (where report_type = 'no_report') as no_report_rounds, bool_and(report_type = 'no_report') as inconclusive, not bool_and(report_type = 'no_report') and count(distinct report_type || '|' || v.who) = 1 as stable,
+      count(distinct report_type || '|' || v.who) as verdicts, m.who as modal, round(m.n * 1.0e0 / count(*), 6) as modal_fraction, m.sets as distinct_sets from v join m on m.graph_id = v.graph_id and m.place = 1 group by v.graph_id, m.who, m.n, m.sets""")
+def r30_verdict_determinism(spark, sf_dir):
+    rounds = sql(spark, sf_dir, ROUNDS).select("graph_id", "round", "report_type", F.array_compact(F.array("b", "a")).alias("culprits"))
+    out = reports.verdict_determinism(rounds)
+    modal = F.when(F.size("modal_culprits") > 0, F.array_join("modal_culprits", ",")).otherwise("-")
+    return _n(out.select("graph_id", "rounds", "no_report_rounds", "inconclusive", "stable", F.size("distribution").cast("bigint").alias("verdicts"), modal.alias("modal"), "modal_fraction", "distinct_sets"))
+
+
+@query("""with v as (select o_custkey % 90 as cell, o_totalprice > 280000 as incident, case when o_totalprice > 120000 then o_orderpriority end as report_type, o_orderstatus as culprit, o_custkey % 90 % 4 as topology, o_custkey % 90 % 5 = 0 and o_custkey % 90 % 4 < 3 as control, o_custkey % 90 % 5 in (1, 2) as faulted, case when o_custkey % 3 = 0 then 'O' end as origin from orders),
+    n as (select topology, report_type, count(*) as k from v where control group by 1, 2), base as (select topology, min(report_type) as base from n where k = (select max(k) from n m where m.topology = n.topology) group by 1),
+    c as (select cell, control, avg(case when incident then 1.0 else 0 end) as incident, avg(case when faulted and b.topology is not null then case when report_type is distinct from base then 1.0 else 0 end end) as differs, avg(case when origin is not null then case when culprit = origin then 1.0 else 0 end end) as hit,
+      count(distinct coalesce(report_type, 'clean')) > 1 as unstable from v left join base b on b.topology = v.topology group by 1, 2),
+    m as (select 'false_positive_rate' as metric, avg(incident) as value, count(*) filter (where incident > 0) as h, count(*) as n from c where control union all select 'discrimination', avg(differs), count(*) filter (where differs >= 0.5), count(*) from c where differs is not null
+      union all select 'attribution_accuracy', avg(hit), count(*) filter (where hit >= 0.5), count(*) from c where hit is not null),
+    w as (select *, h * 1.0e0 / n as p, 1.959963984540054e0 as z from m)
+    select metric, round(value, 6) as value, round(greatest(0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) as lo, round(least(1, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) as hi, n as cells from w
+    union all select 'unstable_cells', count(*) filter (where unstable), null, null, count(*) from c""")
 def r31_scoreboard(spark, sf_dir):
-    j = view(spark, sf_dir, "v_judgements")
-    cells = j.groupBy(F.concat("prompt_hash", "model").alias("cell"), (F.col("model") == "en").alias("control")).agg(F.avg(F.when(F.col("verdict") == "bad", 1.0).otherwise(0.0)).alias("verdict_bad"), F.avg(F.when(F.col("label") == F.col("verdict"), 1.0).otherwise(0.0)).alias("h"))
-    return _n(reports.scoreboard(cells.withColumn("hit", F.when(~F.col("control"), F.col("h")))))
+    """Orders as rounds of cells; one topology has no control, so its faulted cells can't be told apart."""
+    v = sql(spark, sf_dir, "select o_custkey % 90 as cell, o_totalprice > 280000 as incident, case when o_totalprice > 120000 then o_orderpriority end as report_type, array(o_orderstatus) as culprits from orders")
+    cells = v.select("cell").distinct().select("cell", (F.col("cell") % 4).alias("topology"), ((F.col("cell") % 5 == 0) & (F.col("cell") % 4 < 3)).alias("control"), (F.col("cell") % 5).isin(1, 2).alias("faulted"), F.when(F.col("cell") % 3 == 0, "O").alias("origin"))
+    return _n(reports.scoreboard(reports.cell_rates(v, cells)))
 
 
 @query("""with a as (select graph_id, report_type from v_reports where is_latest), b as (select graph_id, case when graph_id % 10 = 0 then 'cut_point' else report_type end as report_type from v_reports where is_latest and graph_id % 9 <> 0)
@@ -465,12 +484,32 @@ def a20_manifestation(spark, sf_dir):
     return graph.manifestation(s, o.links, o.runs.where("verifier"))
 
 
-@query(f"""with recursive {REACH}, w as (select graph_id, run_id from v_runs where score < 0.2), below as (select distinct r.graph_id, r.dst as run_id from reach r join w on w.graph_id = r.graph_id and w.run_id = r.src)
-    select r.graph_id, r.run_id, 'verdict_scored_incorrect' as reason from v_runs r join v_verdicts v on v.graph_id = r.graph_id where r.verifier and r.score < 0.5 and not v.bad
-    union all select r.graph_id, r.run_id, 'passed_bad_terminal' from v_runs r join v_verdicts v on v.graph_id = r.graph_id join below b on b.graph_id = r.graph_id and b.run_id = r.run_id where r.verifier and r.score >= 0.5 and v.bad""")
+@query(f"""with recursive {REACH}, w as (select graph_id, run_id from v_runs where score < 0.2), below as (select distinct r.graph_id, r.dst as run_id from reach r join w on w.graph_id = r.graph_id and w.run_id = r.src),
+    v as (select r.graph_id, r.run_id, r.score, r.run_id % 2 = 0 as fail, t.verdict from v_runs r join v_verdicts t on t.graph_id = r.graph_id where r.verifier and r.score is not null),
+    g as (select graph_id, run_id, score, case when score < 0.5 and fail and verdict = 'bad' then 'verifier_flag_conflict' when score < 0.5 and verdict = case when fail then 'ok' else 'bad' end then 'verdict_scored_incorrect'
+      when score >= 0.5 and not fail and verdict = 'bad' and (not exists (select 1 from below b where b.graph_id = v.graph_id) or exists (select 1 from below b where b.graph_id = v.graph_id and b.run_id = v.run_id)) then 'passed_bad_terminal' end as reason from v)
+    select graph_id, run_id, reason, case when reason = 'passed_bad_terminal' then 0.1e0 end as effective from g where reason is not null""")
 def a21_verification_gaps(spark, sf_dir):
+    """Every second verifier issued FAIL; with the scores that the end overrides."""
     o = Orders(spark, sf_dir)
-    return graph.verification_gaps(o.runs, view(spark, sf_dir, "v_verdicts"), o.runs.where("score < 0.2"), o.edges)
+    runs = o.runs.withColumn("issued_fail", F.col("run_id") % 2 == 0)
+    gaps = reconstruct.cut(graph.verification_gaps(runs, view(spark, sf_dir, "v_verdicts"), runs.where("score < 0.2"), o.edges))
+    return gaps.join(graph.score_overrides(gaps, runs).select(*KEY, "effective"), KEY, "left")
+
+
+@query("""with c as (select graph_id, cast(run_id as varchar) as origin, case when status = 'failed' then 'contract' else 'content' end as kind, graph_id % 3 = 0 as recovered, score, input_flawed from v_runs where run_id = 1),
+    f as (select c.graph_id, kind, origin, 'score:' || origin as fact_key, case when kind <> 'content' then 'context' when score < 0.5 then 'supporting' else 'refuting' end as role from c where score is not null
+      union all select graph_id, kind, origin, 'input:' || origin, 'supporting' from c where input_flawed
+      union all select c.graph_id, kind, origin, 'terminal', case when verdict = 'bad' then 'supporting' when verdict = 'ok' and not recovered then 'refuting' else 'context' end from c join v_verdicts v on v.graph_id = c.graph_id)
+    select * from f""")
+def a30_defect_roles(spark, sf_dir):
+    """The first run of every graph as a candidate, by contract where it failed; findings of runs and of the graph's end by their role."""
+    r = view(spark, sf_dir, "v_runs")
+    candidates = r.where("run_id = 1").select(*KEY, F.when(F.col("status") == "failed", "deterministic").otherwise("content").alias("via"), (F.col("graph_id") % 3 == 0).alias("recovered"))
+    none = r.where("false")
+    found = graph.findings(r, none.withColumn("drop", F.lit(0.0)), none.select("graph_id", F.col("run_id").alias("scc"), F.lit(0).alias("rounds")), none.select("graph_id", F.col("run_id").alias("scc"), F.lit("").alias("key"), F.lit("").alias("value")), view(spark, sf_dir, "v_verdicts"))
+    _, refs = graph.defects(candidates, none.select("graph_id", F.col("run_id").alias("scc")), none.select(*KEY, F.lit("").alias("reason")), found)
+    return refs
 
 
 DROPS = "select r.graph_id, r.run_id, round(b.best - r.score, 6) as drop from v_runs r join (select e.graph_id, e.to_run_id as run_id, max(s.score) as best from v_edges e join v_runs s on s.graph_id = e.graph_id and s.run_id = e.from_run_id where s.score is not null group by 1, 2) b on b.graph_id = r.graph_id and b.run_id = r.run_id where b.best - r.score > 0.2"
