@@ -554,6 +554,32 @@ def a28_a33_reports(spark, sf_dir):
     return out.select("graph_id", "report_type", "refs", graph.incident_key(F.col("report_type"), F.array().cast("array<string>"), F.coalesce("bad", F.lit(False))).alias("incident_key"))
 
 
+CLASS_FACTS = """select r.graph_id, count(r.score) > 1 as measured, count(*) filter (where r.score < 0.2) as n_candidates, coalesce(bool_or(r.input_flawed and r.run_id = 1), false) as flawed_source, r.graph_id % 7 = 0 as anomaly, r.graph_id % 14 = 0 as anomaly_is_candidate,
+    r.graph_id % 3 = 0 as recovered, max(case when v.verdict <> 'not_checkable' then v.verdict end) as terminal, bool_or(r.status = 'failed') as deterministic_only, r.graph_id % 5 = 0 as fabrication, r.graph_id % 2 = 0 as composition
+    from v_runs r left join v_verdicts v on v.graph_id = r.graph_id group by r.graph_id"""
+
+
+@query(f"""with f as ({CLASS_FACTS}) select graph_id, case when n_candidates = 0 and not measured and not anomaly then 'unclassified' when n_candidates = 0 and flawed_source then 'root_cause_external' when anomaly and n_candidates = 0 then 'loop_detected'
+    when anomaly and anomaly_is_candidate then case when n_candidates = 1 then 'loop_detected' else 'multi_culprit' end when n_candidates > 1 then 'multi_culprit'
+    when n_candidates = 1 then case when recovered and terminal is not distinct from 'ok' then 'degraded_recovered' when recovered and terminal is not distinct from 'bad' and deterministic_only then 'terminal_defect_unlocalized' else 'cut_point' end
+    when terminal is not distinct from 'bad' and fabrication then 'cut_point' when terminal is not distinct from 'bad' and composition then 'composition_failure' else 'unclassified' end as class from f""")
+def a28_classify(spark, sf_dir):
+    """Graphs of orders with facts that reach every branch."""
+    return graph.classify(sql(spark, sf_dir, CLASS_FACTS))
+
+
+@query("""select r.graph_id, case when r.report_type = 'cut_point' then case when exists (select 1 from v_runs x where x.graph_id = r.graph_id and x.status = 'failed' and x.run_id > 1) then 'shipped_with_latent_defect' else 'degraded_recovered' end else r.report_type end as report_type,
+    case when r.report_type <> 'cut_point' then 'degraded_quality' when exists (select 1 from v_runs x where x.graph_id = r.graph_id and x.status = 'failed' and x.run_id > 1) then 'latent_defect' when v.bad then 'terminal_failure' end as incident_key
+    from v_reports r left join v_verdicts v on v.graph_id = r.graph_id where r.is_latest""")
+def a33_escalate(spark, sf_dir):
+    """Recovered degradations whose breach (a later run that failed) reached the deliverable, and the incidents that the reports give."""
+    kind = F.when(F.col("report_type") == "cut_point", "degraded_recovered").otherwise(F.col("report_type"))
+    got = view(spark, sf_dir, "v_reports").where("is_latest").select("graph_id", kind.alias("report_type"))
+    shipped = view(spark, sf_dir, "v_runs").where("status = 'failed'").select("graph_id", F.when(F.col("run_id") > 1, "propagated").otherwise("unverified").alias("status"))
+    out = graph.escalate(got, shipped).join(view(spark, sf_dir, "v_verdicts").select("graph_id", "bad"), "graph_id", "left")
+    return out.select("graph_id", "report_type", graph.incident_key(F.col("report_type"), F.array().cast("array<string>"), F.coalesce("bad", F.lit(False))).alias("incident_key"))
+
+
 @query("select graph_id, 'representation_divergence' as kind, fact_key, string_agg(distinct v, ',' order by v) as \"values\" from (select graph_id, 'model:' || agent_version as fact_key, model_name as v from v_runs) x group by 1, 2, 3 having count(distinct v) > 1")
 def a31_reconcile(spark, sf_dir):
     return graph.reconcile(view(spark, sf_dir, "v_runs").select("graph_id", F.concat(F.lit("model:"), "agent_version").alias("fact_key"), F.col("model_name").alias("value")))
