@@ -10,8 +10,9 @@ set aside: a partner stands in one of the others. The long lists are the ones to
 * Then over whole sets of the others. Their lists are counted again; each keeps all but its T - 1 longest ones. Documents that meet in
   these lists form clusters, which are dealt into blocks of like sizes and bounded weight.
 * Within a block, or a pair of blocks, the search itself: a query merges its short lists, L of the longest left out; documents that occur T - L
-  times are then looked up in each long list by binary search. A link that joins nothing new isn't looked for. First each block alone, then the heads of what is linked, and at last the pairs of blocks that still have
-  different components. A task says which components its links make one.
+  times are then looked up in each long list by binary search. A link that joins nothing new isn't looked for. First each block alone,
+  then the heads of what is linked, and at last the pairs of blocks that still have different components. A task says which
+  components its links make one.
 
 Values are 64-bit hashes; documents with the same set of shingles are one from the start.
 """
@@ -252,15 +253,18 @@ def overlap_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 
 def _overlap_join(docs: DataFrame, size: int, percent: int, s: common.Scratch) -> DataFrame:
     name = ["n", "s1", "s2"]
-    every = s.written(sets(docs, size, percent).withColumn("number", F.monotonically_increasing_id()))
-    classes = s.written(every.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep")))
-    reps = every.join(classes, name).where("doc_id = rep").select("rep", *name, "number", "list").dropDuplicates(["rep", *name])
-    low = _least(F.col("n"), percent)  # a partner's size, at least: what it lists beyond the necessary is the least of both
-    drop = F.greatest(F.least(F.floor((low - _least(low, percent) + 1) / 2), _least(low, percent) - 1), F.lit(0))
-    lists = s.written(_counted(reps, drop))
-    met = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
-    near = lists.join(met, "value").select(F.col("rep").alias("doc_id")).distinct()
-    full = sets(_texts(docs, near, s), size).where("n > 0").dropDuplicates(["doc_id", *name]).withColumnRenamed("doc_id", "rep")
+    with common.Scratch(docs.sparkSession, "beginnings") as first:
+        begun = first.written(sets(docs, size, percent).withColumn("number", F.monotonically_increasing_id()))
+        every = s.written(begun.select("doc_id", *name))
+        classes = s.written(every.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep")))
+        reps = begun.join(classes, name).where("doc_id = rep").select("rep", *name, "number", "list").dropDuplicates(["rep", *name])
+        low = _least(F.col("n"), percent)  # a partner's size, at least: what it lists beyond the necessary is the least of both
+        drop = F.greatest(F.least(F.floor((low - _least(low, percent) + 1) / 2), _least(low, percent) - 1), F.lit(0))
+        lists = first.written(_counted(reps, drop))
+        met = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
+        near = lists.join(met, "value").select(F.col("rep").alias("doc_id")).distinct()
+        texts = _texts(docs, near, s)  # the ids are written by then: the beginnings can go
+    full = sets(texts, size).where("n > 0").dropDuplicates(["doc_id", *name]).withColumnRenamed("doc_id", "rep")
     comps, links = _cluster_comps(s.written(full.withColumn("number", F.monotonically_increasing_id())), percent, s)
 
     # An id with several texts links their sets.
