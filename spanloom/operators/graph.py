@@ -404,22 +404,14 @@ def capped(confidence: Column, report_type: Column, single_channel: Column, dete
 
 def propagation_path(culprits: DataFrame, sccs: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
     """(graph_id, start, path): the shortest way from each culprit's component to its graph's target; among equals the one through the
-    worst scores, unknown last, then by time. Paths advance by one link a round; the least per component is kept."""
-    node = sccs.select("graph_id", F.col("scc").alias("dst"), F.struct(F.col("score").isNull().cast("int").alias("unknown"), F.coalesce("score", F.lit(9.9)).alias("score"), "end_time", "exit_run").alias("key"))
-    kinds = ",".join(f"{c}:{sccs.schema[c].dataType.simpleString()}" for c in ("end_time", "exit_run"))
-    now = culprits.select("graph_id", F.col("scc").alias("start"), F.col("scc").alias("at"), F.array().cast(f"array<struct<unknown:int,score:double,{kinds}>>").alias("keys"), F.array("scc").alias("path")).distinct()
-    now, seen = cut(now), None
-    while True:  # no component is reached twice from one start
-        seen = now if seen is None else cut(seen.unionByName(now))
-        step = now.join(links.withColumnRenamed("src", "at"), ["graph_id", "at"]).join(node, ["graph_id", "dst"])
-        step = step.select("graph_id", "start", F.col("dst").alias("at"), F.array_append("keys", F.col("key")).alias("keys"), F.array_append("path", F.col("dst")).alias("path"))
-        step = step.join(seen.select("graph_id", "start", "at"), ["graph_id", "start", "at"], "left_anti")
-        now = cut(step.groupBy("graph_id", "start", "at").agg(F.min(F.struct("keys", "path")).alias("b")).select("graph_id", "start", "at", "b.keys", "b.path"))
-        if now.isEmpty():
-            break
-    hit = seen.join(targets.select("graph_id", F.col("scc").alias("at")), ["graph_id", "at"], "left_semi").select("graph_id", "start", "path")
-    lone = culprits.select("graph_id", F.col("scc").alias("start")).distinct().join(hit, ["graph_id", "start"], "left_anti")
-    return hit.unionByName(lone.select("graph_id", "start", F.array("start").alias("path")))
+    worst scores, unknown last, then by time. One walk a graph with a culprit, linear but for the paths themselves."""
+    starts = culprits.groupBy("graph_id").agg(F.collect_set("scc").alias("starts"))
+    ends = targets.groupBy("graph_id").agg(F.collect_set("scc").alias("ends"))
+    nodes = sccs.groupBy("graph_id").agg(F.collect_list(F.struct("scc", "score", "end_time", "exit_run")).alias("_n"))
+    each = starts.join(ends, "graph_id", "left").join(walks.linked(links, ["graph_id"]), "graph_id", "left").join(nodes, "graph_id", "left")
+    each = each.select("graph_id", "starts", "ends", *(F.col(f"_n.{c}").alias(c) for c in ("scc", "score", "end_time", "exit_run")), "src", "dst")
+    kind = sccs.schema["scc"].dataType
+    return walks.each_graph(each, walks.shortest, [T.StructField("start", kind), T.StructField("path", T.ArrayType(kind))])
 
 
 def downstream_cost(culprits: DataFrame, runs: DataFrame, edges: DataFrame) -> DataFrame:

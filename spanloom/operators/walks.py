@@ -123,6 +123,92 @@ def linked(links: DataFrame, key: list[str]) -> DataFrame:
 def below(links: DataFrame, seeds: DataFrame, key: list[str]) -> DataFrame:
     """(key…, dst): what lies below some seed (key…, src) by ``links`` (key…, src, dst); a seed itself only if another, or a cycle, leads
     to it. Graphs without seeds aren't walked."""
+def _order(time, name) -> tuple:
+    """(time, name) as a key: an unknown time comes first."""
+    return (time is not None, time if time is not None else 0, name)
+
+
+def _quality(score) -> tuple:
+    """A score as a key: from bad to good, not a number and then unknown last."""
+    return (1, False, 9.9) if score is None else (0, score != score, score if score == score else 0.0)
+
+
+def shortest(starts: list, ends: list | None, ids: list | None, scores: list, times: list, names: list, src: list | None, dst: list | None) -> list[tuple]:
+    """(start, path) to each end that a start reaches, or the start alone. One flood back from an end gives all distances; a path then takes
+    the least node by (score, time, name) that is one step nearer, which makes it the least of the shortest ones."""
+    key = {v: (*_quality(s), *_order(t, n)) for v, s, t, n in zip(ids or [], scores or [], times or [], names or [], strict=True)}
+    links = [(v, w) for v, w in zip(src or [], dst or [], strict=True) if w in key]
+    near, back = _near([v for v, _ in links], [w for _, w in links]), _near([w for _, w in links], [v for v, _ in links])
+    out, met = [], set()
+    for end in ends or []:
+        far, front = {end: 0}, [end]
+        while front:
+            up = []
+            for w in front:
+                for v in back.get(w, ()):
+                    if v not in far:
+                        far[v] = far[w] + 1
+                        up.append(v)
+            front = up
+        for v in starts:
+            if v in far:
+                path = [v]
+                while path[-1] != end:
+                    path.append(min((w for w in near[path[-1]] if far.get(w) == far[path[-1]] - 1), key=key.__getitem__))
+                met.add(v)
+                out.append((v, path))
+    return out + [(v, [v]) for v in starts if v not in met]
+
+
+def producers(sinks: list, ids: list, names: list, times: list, verifier: list, src: list | None, dst: list | None) -> list[tuple]:
+    """For each sink the last by (time, name) among the nearest nodes above it that are no verifiers, or its own name."""
+    fact = {v: (_order(t, n), n, c) for v, t, n, c in zip(ids, times, names, verifier, strict=True)}
+    back, out = _near(dst, src), set()
+    for sink in sinks:
+        met, front, made = {sink}, [sink], []
+        while front and not made:
+            front = [p for w in front for p in back.get(w, ()) if p in fact and not (p in met or met.add(p))]
+            made = [fact[p][:2] for p in front if not fact[p][2]]
+        out.add(max(made)[1] if made else fact[sink][1])
+    return [(n,) for n in out]
+
+
+def falls(ids: list, scores: list, times: list, names: list, src: list, dst: list, healthy: float, step: float, edges: int, drop: float) -> list[tuple]:
+    """(head, path, drop): from each healthy node on to the worst next one while the score falls by ``step`` at least; paths of more than
+    ``edges`` nodes that fall by ``drop`` in all, but for those within another."""
+    score = dict(zip(ids, scores, strict=True))
+    key = {v: (s != s, s if s == s else 0.0, *_order(t, n)) for v, s, t, n in zip(ids, scores, times, names, strict=True)}
+    after: dict = {}
+    for v, w in zip(src, dst, strict=True):
+        if v in score and w in score and not score[v] - score[w] < step and (v not in after or key[w] < key[after[v]]):
+            after[v] = w
+    end: dict = {}  # of a node: the last of its chain, and the chain's length
+    for v in score:
+        chain = []
+        while v not in end and v in after:
+            chain.append(v)
+            v = after[v]
+        last, n = end.setdefault(v, (v, 1))
+        for w in reversed(chain):
+            n += 1
+            end[w] = (last, n)
+    good = [v for v in score if not score[v] < healthy and end[v][1] > edges and not score[v] - score[end[v][0]] < drop]  # not a number is the highest
+    inner: set = set()
+    for v in good:
+        w = after.get(v)
+        while w is not None and w not in inner:
+            inner.add(w)
+            w = after.get(w)
+    out = []
+    for v in good:
+        if v not in inner:
+            path = [v]
+            while path[-1] in after:
+                path.append(after[path[-1]])
+            out.append((v, path, score[v] - score[path[-1]]))
+    return out
+
+
     start = seeds.groupBy(*key).agg(F.collect_set("src").alias("seeds"))
     rows = linked(links, key).join(start, key).select(*key, "src", "dst", "seeds")
     return each_graph(rows, flooded, [T.StructField("dst", links.schema["dst"].dataType)], len(key))
