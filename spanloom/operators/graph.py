@@ -423,23 +423,17 @@ def downstream_cost(culprits: DataFrame, runs: DataFrame, edges: DataFrame) -> D
 
 
 def manifestation(sccs: DataFrame, links: DataFrame, verifiers: DataFrame) -> DataFrame:
-    """(graph_id, run_id) where a failure surfaced: sinks, from verifiers back level by level to the producer that ended last."""
+    """(graph_id, run_id) where a failure surfaced: sinks, from verifiers back level by level to the producer that ended last.
+    One walk a graph with such a sink."""
     node = sccs.select("graph_id", "scc", F.col("exit_run").alias("run_id"), "end_time").join(verifiers.select("graph_id", "run_id", F.lit(True).alias("v")), ["graph_id", "run_id"], "left").na.fill(False, ["v"])
     tips = node.join(links.select("graph_id", F.col("src").alias("scc")).distinct(), ["graph_id", "scc"], "left_anti")
-    found = tips.where("not v").select("graph_id", "scc", "run_id")
-    level = cut(tips.where("v").select("graph_id", F.col("scc").alias("sink"), "scc"))
-    seen = level
-    while True:  # no component is met twice from one sink
-        up = level.join(links.select("graph_id", F.col("src").alias("p"), F.col("dst").alias("scc")), ["graph_id", "scc"]).select("graph_id", "sink", F.col("p").alias("scc")).distinct()
-        up = cut(up.join(seen, ["graph_id", "sink", "scc"], "left_anti").join(node, ["graph_id", "scc"]))
-        if up.isEmpty():
-            break
-        made = up.where("not v").groupBy("graph_id", "sink").agg(F.max_by("run_id", F.struct("end_time", "run_id")).alias("run_id"))
-        found = cut(found.unionByName(made.select("graph_id", F.col("sink").alias("scc"), "run_id")))
-        seen = cut(seen.unionByName(up.select("graph_id", "sink", "scc")))
-        level = cut(up.join(made, ["graph_id", "sink"], "left_anti").select("graph_id", "sink", "scc"))
-    alone = tips.where("v").join(found.select("graph_id", "scc"), ["graph_id", "scc"], "left_anti").select("graph_id", "scc", "run_id")
-    return found.unionByName(alone).select("graph_id", "run_id").distinct()
+    found = tips.where("not v").select("graph_id", "run_id")
+    sinks = tips.where("v").groupBy("graph_id").agg(F.collect_list("scc").alias("sinks"))
+    all_ = node.groupBy("graph_id").agg(F.collect_list(F.struct("scc", "run_id", "end_time", "v")).alias("_n"))
+    each = sinks.join(walks.linked(links, ["graph_id"]), "graph_id", "left").join(all_, "graph_id")
+    each = each.select("graph_id", "sinks", *(F.col(f"_n.{c}").alias(c) for c in ("scc", "run_id", "end_time", "v")), "src", "dst")
+    behind = walks.each_graph(each, walks.producers, [T.StructField("run_id", sccs.schema["exit_run"].dataType)])
+    return found.unionByName(behind).distinct()
 
 
 def significant_drops(runs: DataFrame, edges: DataFrame, least: float = 0.2) -> DataFrame:

@@ -34,3 +34,9 @@ def test_long_propagation_path(spark):
     s, links = line(spark, 40)
     rows, n = jobs(spark, "path", lambda: graph.propagation_path(s.where("scc = 3"), s, links, s.where("scc = 39")))
     assert [x.path for x in rows] == [list(range(3, 40))] and n < 20
+
+
+def test_long_line_of_verifiers(spark):
+    s, links = line(spark, 40)
+    rows, n = jobs(spark, "verifiers", lambda: graph.manifestation(s, links, s.where("scc > 0").select("graph_id", F.col("scc").alias("run_id"))))
+    assert [x.run_id for x in rows] == [0] and n < 20
