@@ -270,22 +270,18 @@ def edge_drop_origins(sccs: DataFrame, links: DataFrame, facts: DataFrame, cfg:
 def degradation_chains(sccs: DataFrame, links: DataFrame, cfg: Config = CONFIG) -> DataFrame:
     """(graph_id, head, path, drop): from a healthy component on to its worst successor while the score falls by a step at least.
 
-    The next component is a function of the present one, so all walks advance together, one join a step. A chain that lies on
+    The next component is a function of the present one, so one walk a graph tells the end of every chain. A chain that lies on
     the path of another recorded chain isn't recorded again: a head on another path is a suffix of it.
     """
-    at = sccs.where("score is not null").select("graph_id", "scc", "score", "end_time", "exit_run")
-    a, b = at.select("graph_id", F.col("scc").alias("src"), F.col("score").alias("s1")), at.select("graph_id", F.col("scc").alias("dst"), F.col("score").alias("s2"), "end_time", "exit_run")
-    falls = links.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).where(F.col("s1") - F.col("s2") >= cfg.chain_step)
-    nxt = cut(falls.groupBy("graph_id", F.col("src").alias("tail")).agg(F.min_by(F.struct("dst", "s2"), F.struct("s2", "end_time", "exit_run")).alias("next")))
-    walk = cut(at.where(F.col("score") >= cfg.threshold).select("graph_id", F.col("scc").alias("head"), F.col("score").alias("first"), F.col("scc").alias("tail"), F.col("score").alias("last"), F.array("scc").alias("path"), F.lit(True).alias("open")))
-    while True:  # scores fall at each step, so every walk ends
-        walk = cut(walk.join(nxt, ["graph_id", "tail"], "left").select("graph_id", "head", "first", F.coalesce("next.dst", "tail").alias("tail"), F.coalesce("next.s2", "last").alias("last"),
-                                                                      F.when(F.col("next").isNotNull(), F.array_append("path", F.col("next.dst"))).otherwise(F.col("path")).alias("path"), F.col("next").isNotNull().alias("open")))
-        if walk.where("open").isEmpty():
-            break
-    good = walk.where((F.size("path") > cfg.chain_edges) & (F.col("first") - F.col("last") >= cfg.chain_drop)).select("graph_id", "head", "path", (F.col("first") - F.col("last")).alias("drop"))
-    inner = good.select("graph_id", F.explode(F.slice("path", F.lit(2), F.size("path") - 1)).alias("head")).distinct()
-    return good.join(inner, ["graph_id", "head"], "left_anti")
+    at = sccs.where("score is not null").groupBy("graph_id").agg(F.collect_list(F.struct("scc", F.col("score").cast("double").alias("score"), "end_time", "exit_run")).alias("_n"))
+    at = at.where(F.exists("_n", lambda x: x["score"] >= cfg.threshold) & (F.size("_n") > cfg.chain_edges))
+    each = at.join(walks.linked(links, ["graph_id"]), "graph_id").select("graph_id", *(F.col(f"_n.{c}").alias(c) for c in ("scc", "score", "end_time", "exit_run")), "src", "dst")
+    kind = sccs.schema["scc"].dataType
+
+    def walk(*graph: list) -> list[tuple]:
+        return walks.falls(*graph, cfg.threshold, cfg.chain_step, cfg.chain_edges, cfg.chain_drop)
+
+    return walks.each_graph(each, walk, [T.StructField("head", kind), T.StructField("path", T.ArrayType(kind)), T.StructField("drop", T.DoubleType())])
 
 
 def chain_origins(chains: DataFrame, sccs: DataFrame, origins: DataFrame, facts: DataFrame) -> DataFrame:

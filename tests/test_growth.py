@@ -40,3 +40,9 @@ def test_long_line_of_verifiers(spark):
     s, links = line(spark, 40)
     rows, n = jobs(spark, "verifiers", lambda: graph.manifestation(s, links, s.where("scc > 0").select("graph_id", F.col("scc").alias("run_id"))))
     assert [x.run_id for x in rows] == [0] and n < 20
+
+
+def test_long_chain(spark):
+    s, links = line(spark, 18)
+    rows, n = jobs(spark, "chain", lambda: graph.degradation_chains(s, links))
+    assert [(x.head, x.path) for x in rows] == [(0, list(range(18)))] and n < 20
