@@ -71,7 +71,8 @@ def condense(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """One row a strongly connected component: graph_id, scc (least member), members (by time), exit_run, score (the exit's),
     min_score, n, self_loop, end_time. One linear walk a graph finds the cycles."""
     kind = edges.schema["from_run_id"].dataType
-    cycles = walks.linked(_pairs(edges).where("src <> dst"), ["graph_id"])
+    links = _pairs(edges).where("src <> dst")
+    cycles = walks.linked(links.join(links.where("src > dst").select("graph_id").distinct(), "graph_id", "left_semi"), ["graph_id"])
     own = walks.each_graph(cycles, walks.strong_parts, [T.StructField("run_id", kind), T.StructField("scc", kind)])
     of = runs.join(own, ["graph_id", "run_id"], "left").withColumn("scc", F.coalesce("scc", "run_id"))
     loops = edges.where("from_run_id = to_run_id").select("graph_id", F.col("from_run_id").alias("run_id"), F.lit(True).alias("_loop")).distinct()

@@ -87,6 +87,15 @@ def kahn(ids: list, times: list, names: list, src: list | None, dst: list | None
         if v in key and w in key:
             after[v].append(w)
             left[w] += 1
+    if all(key[v] < key[w] for v in after for w in after[v]):  # the order of the keys is the one; no heap is needed
+        out = []
+        for v in sorted(ids, key=key.__getitem__):
+            d = depth[v] + 1
+            out.append((v, len(out) + 1, d - 1))
+            for w in after[v]:
+                if depth[w] < d:
+                    depth[w] = d
+        return out
     free = [(key[v], v) for v in ids if not left[v]]
     heapq.heapify(free)
     out = []

@@ -46,3 +46,8 @@ def test_long_chain(spark):
     s, links = line(spark, 18)
     rows, n = jobs(spark, "chain", lambda: graph.degradation_chains(s, links))
     assert [(x.head, x.path) for x in rows] == [(0, list(range(18)))] and n < 20
+
+
+def test_order_of_a_line_needs_no_heap(monkeypatch):
+    monkeypatch.setattr(walks.heapq, "heapify", None)
+    assert walks.kahn([1, 2, 3], [5, 6, None], [1, 2, 3], [3, 1], [1, 2]) == [(3, 1, 1), (1, 2, 2), (2, 3, 3)]
