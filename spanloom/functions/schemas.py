@@ -54,7 +54,7 @@ def breaches(values: DataFrame, id_: list[str], rules: DataFrame, key: str, dept
     level = values.select(*keys, F.array().cast("array<string>").alias("path"), "v").where("v is not null")
     out = None
     for d in range(depth + 1):
-        met = level.join(rules.where(F.col("level") == d).drop("level"), [key, "path"])
+        met = level.join(F.broadcast(rules.where(F.col("level") == d).drop("level")), [key, "path"])  # written by people, and few: joined by key, all values of a schema would go to one task
         shape = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
         patterns = F.create_map(*(y for k, p in JSON_TYPES.items() for y in (F.lit(k), F.lit(p))))
         typed = F.exists("types", lambda t: F.coalesce(F.regexp_like(shape, F.element_at(patterns, t)), F.lit(False)))

@@ -58,3 +58,16 @@ def test_batches_are_of_many_files(spark):
     df = spark.range(1000).repartition(6).withColumn("k", F.col("id") % 7)
     catalog._in_files(df, path, "k", lambda batch, i: seen.append((batch.count(), batch.select(F.input_file_name()).distinct().count())))
     assert sum(n for n, _ in seen) == 1000 and len(seen) == 3 and max(f for _, f in seen) > 1
+
+
+def test_values_of_one_schema_stay_where_they_are(spark, monkeypatch):
+    rules = schemas.schema_rules(spark.createDataFrame([('{"type":"object"}',)], "js string"), "js", "js")
+    monkeypatch.setattr(schemas, "cut", lambda df: df)
+    values = stored(spark.range(50).select("id", F.lit('{"type":"object"}').alias("js"), F.parse_json(F.lit("1")).alias("v")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        bad = schemas.breaches(values, ["id"], rules, "js", depth=0)
+        assert "SortMergeJoin" not in plan(bad) and bad.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
