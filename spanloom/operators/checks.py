@@ -19,6 +19,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.columns import glob_regex
 from ..functions.jsonview import json_leaves, tolerant
+from ..functions.lineage import stored
 from ..functions.schemas import breaches, schema_rules
 
 KEY = ["graph_id", "run_id"]
@@ -257,13 +258,14 @@ def number_not_derivable(runs: DataFrame, tolerance: float = 1e-4) -> DataFrame:
 
     A range join as an equi-join: logarithms fall into buckets as wide as the tolerance, and neighbours are probed too.
     """
-    out = payload_numbers(runs.join(tabular(runs, KEY, "output"), KEY, "left_semi"), KEY, "output").distinct()
+    runs = stored(runs.select(*KEY, "input", "output"))  # read six times below
+    out = stored(payload_numbers(runs.join(tabular(runs, KEY, "output"), KEY, "left_semi"), KEY, "output").distinct())
     rates = reduce(lambda a, b: a.union(b), [runs.select(*KEY, F.explode(F.regexp_extract_all("input", F.lit(p), F.lit(1))).alias("r")) for p in RATES])
     rates = rates.select(*KEY, parse_number(F.col("r")).alias("f")).where("f > 0 and f <> 1")
-    given = payload_numbers(runs, KEY, "input").distinct()
+    given = stored(payload_numbers(runs, KEY, "input").distinct())
     fixed = given.select(*KEY, "value", F.explode(F.array(*map(F.lit, FACTORS))).alias("f"))
     scaled = fixed.unionByName(given.join(rates, KEY).select(*KEY, "value", "f"))
-    made = scaled.select(*KEY, F.explode(F.array(F.col("value") * F.col("f"), F.col("value") / F.col("f"))).alias("made")).distinct()
+    made = scaled.select(*KEY, F.explode(F.array(F.col("value") * F.col("f"), F.col("value") / F.col("f"))).alias("made"))
     bucket = lambda x: F.floor(F.ln(F.abs(x)) / tolerance)
     probe = out.where("value <> 0").select(*KEY, "value", F.signum("value").alias("sign"), F.explode(F.array(*(bucket(F.col("value")) + d for d in (-1, 0, 1)))).alias("bucket"))
     hit = probe.join(made.where("made <> 0").select(*KEY, "made", F.signum("made").alias("sign"), bucket(F.col("made")).alias("bucket")), [*KEY, "sign", "bucket"]).where(F.abs(F.col("value") - F.col("made")) / F.abs("made") <= tolerance)
