@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import stored
+
 DEPTH = 8
 
 
@@ -29,7 +31,8 @@ def json_leaves(rows: DataFrame, key: list[str], text: str, depth: int = DEPTH,
     ``depth`` levels. Fields of an object stand in the order of their names, as VARIANT keeps them; with ``ordered`` their places are
     those in the text, which a map of the raw texts keeps.
 
-    Each level is one generator step over the values that are still objects or arrays; there is no recursion and no UDF.
+    Each level is one generator step over the values that are still objects or arrays, is stored, and ends the search where nothing goes
+    deeper: a text is parsed once. There is no recursion and no UDF.
     """
     keys = [F.col(k) for k in key]
     raw = _json_text(F.col(text)) if ordered else F.lit(None).cast("string")
@@ -37,11 +40,12 @@ def json_leaves(rows: DataFrame, key: list[str], text: str, depth: int = DEPTH,
     level = level.select(*keys, F.lit("").alias("parent_path"), F.lit("$").alias("key_name"), "path", F.array().cast("array<int>").alias("place"), "v", "raw")
     out = None
     for d in range(depth + 1):
+        level = stored(level)
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         leaves = level.where(~nested).select(*keys, "parent_path", "key_name", F.try_variant_get("v", "$", "string").alias("value"), F.schema_of_variant("v").alias("type"), F.lit(d).alias("depth"), "place")
         out = leaves if out is None else out.unionByName(leaves)
-        if d == depth:
+        if d == depth or level.where(nested).isEmpty():
             break
         if ordered:
             level = level.where(nested).withColumn("_map", F.when(kind.startswith("OBJECT"), F.from_json("raw", "map<string,string>"))).withColumn("_list", F.when(kind.startswith("ARRAY"), F.from_json("raw", "array<string>")))

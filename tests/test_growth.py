@@ -73,6 +73,11 @@ def test_values_of_one_schema_stay_where_they_are(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_json_is_parsed_once(spark):
+    leaves = json_leaves(spark.createDataFrame([(1, '{"a":{"b":[1,2]}}')], "id long, t string"), ["id"], "t")
+    assert "parse_json" not in plan(leaves) and sorted(x.value for x in leaves.collect()) == ["1", "2"]
+
+
 def test_payloads_are_read_once(spark):
     runs = spark.createDataFrame([(1, 0, "10\n20", "a;10;20\nb;30;77\nc;5;6")], "graph_id long, run_id long, input string, output string")
     out = checks.number_not_derivable(runs.withColumn("output", F.regexp_replace("output", "zz-marker", "")))
