@@ -186,15 +186,16 @@ def _trigrams(text: Column) -> Column:
 
 
 def detect_language(texts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """texts (id, text) → (id, lang, p): the language with the highest sum of log shares. Trigrams are counted before the join."""
-    grams = texts.select("id", F.explode(_trigrams(F.col("text"))).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    """texts (id, text) → (id, lang, p): the language with the highest sum of log shares. What is shuffled is one sum a text and language: a
+    text's trigrams meet the profiles, which are as many as an alphabet gives, where they are read."""
     floor = profiles.select("lang", "floor").distinct()
-    hit = grams.join(profiles, "gram").groupBy("id", "lang").agg(F.sum(F.col("n") * (F.col("logp") - F.col("floor"))).alias("s"))
-    size = grams.groupBy("id").agg(F.sum("n").alias("size"))
+    grams = texts.select("id", F.explode(_trigrams(F.col("text"))).alias("gram"))
+    hit = grams.join(profiles.select("gram", "lang", (F.col("logp") - F.col("floor")).alias("over")), "gram").groupBy("id", "lang").agg(F.sum("over").alias("s"))
+    size = texts.select("id", F.size(_trigrams(F.col("text"))).alias("n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("size"))
     score = size.join(F.broadcast(floor)).join(hit, ["id", "lang"], "left").withColumn("ll", (F.coalesce("s", F.lit(0.0)) + F.col("size") * F.col("floor")))
-    best = score.groupBy("id").agg(F.max("ll").alias("top"), F.max_by("lang", F.struct("ll", "lang")).alias("lang"))
-    p = score.join(best.select("id", "top"), "id").groupBy("id").agg((1 / F.sum(F.exp(F.greatest(F.lit(-50.0), F.col("ll") - F.col("top"))))).alias("p"))
-    return best.select("id", "lang").join(p, "id")
+    best = score.groupBy("id").agg(F.max("ll").alias("top"), F.max_by("lang", F.struct("ll", "lang")).alias("lang"), F.sort_array(F.collect_list("ll")).alias("all"))
+    total = F.aggregate("all", F.lit(0.0), lambda t, x: t + F.exp(F.greatest(F.lit(-50.0), x - F.col("top"))))
+    return best.select("id", "lang", (1 / total).alias("p"))
 
 
 def language_mismatch(runs: DataFrame, profiles: DataFrame, least: int = 120, sure: float = 0.90) -> DataFrame:

@@ -78,6 +78,12 @@ def test_json_is_parsed_once(spark):
     assert "parse_json" not in plan(leaves) and sorted(x.value for x in leaves.collect()) == ["1", "2"]
 
 
+def test_trigrams_are_not_shuffled(spark):
+    corpus = spark.createDataFrame([("the cat and the dog and the bird", "en"), ("der hund und die katze und der vogel", "de")], "text string, lang string")
+    found = checks.detect_language(corpus.select(F.monotonically_increasing_id().alias("id"), "text", F.col("lang").alias("own")), stored(checks.train_lang_profiles(corpus)))
+    assert not re.search(r"hashpartitioning\((id#\d+L?, )?gram#", plan(found)) and {x.lang for x in found.collect()} == {"en", "de"}
+
+
 def test_payloads_are_read_once(spark):
     runs = spark.createDataFrame([(1, 0, "10\n20", "a;10;20\nb;30;77\nc;5;6")], "graph_id long, run_id long, input string, output string")
     out = checks.number_not_derivable(runs.withColumn("output", F.regexp_replace("output", "zz-marker", "")))
