@@ -69,7 +69,8 @@ def reach(edges: DataFrame) -> DataFrame:
 
 def condense(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """One row a strongly connected component: graph_id, scc (least member), members (by time), exit_run, score (the exit's),
-    min_score, n, self_loop, end_time. One linear walk a graph finds the cycles."""
+    min_score, n, self_loop, end_time. One linear walk a graph finds the cycles. A cycle has a link that goes down in the order of ids, so
+    graphs without one aren't walked."""
     kind = edges.schema["from_run_id"].dataType
     links = _pairs(edges).where("src <> dst")
     cycles = walks.linked(links.join(links.where("src > dst").select("graph_id").distinct(), "graph_id", "left_semi"), ["graph_id"])
