@@ -188,11 +188,12 @@ def _trigrams(text: Column) -> Column:
 def detect_language(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     """texts (id, text) → (id, lang, p): the language with the highest sum of log shares. What is shuffled is one sum a text and language: a
     text's trigrams meet the profiles, which are as many as an alphabet gives, where they are read."""
-    floor = profiles.select("lang", "floor").distinct()
-    grams = texts.select("id", F.explode(_trigrams(F.col("text"))).alias("gram"))
-    hit = grams.join(profiles.select("gram", "lang", (F.col("logp") - F.col("floor")).alias("over")), "gram").groupBy("id", "lang").agg(F.sum("over").alias("s"))
-    size = texts.select("id", F.size(_trigrams(F.col("text"))).alias("n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("size"))
-    score = size.join(F.broadcast(floor)).join(hit, ["id", "lang"], "left").withColumn("ll", (F.coalesce("s", F.lit(0.0)) + F.col("size") * F.col("floor")))
+    langs = profiles.select("lang", "floor").distinct().orderBy("lang").collect()  # one row a language
+    over = profiles.groupBy("gram").agg(*(F.max(F.when(F.col("lang") == x.lang, F.col("logp") - x.floor)).alias(f"_{i}") for i, x in enumerate(langs)))
+    grams = texts.select("id", F.explode(_trigrams(F.col("text"))).alias("gram")).join(stored(over), "gram", "left")
+    sums = grams.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *(F.sum(f"_{i}").alias(f"_{i}") for i in range(len(langs))))
+    each = F.array(*(F.struct(F.lit(x.lang).alias("lang"), (F.coalesce(f"_{i}", F.lit(0.0)) + F.col("size") * x.floor).alias("ll")) for i, x in enumerate(langs)))
+    score = sums.select("id", F.explode(each).alias("e")).select("id", "e.*") if langs else texts.where("false").select("id", F.lit("").alias("lang"), F.lit(0.0).alias("ll"))
     best = score.groupBy("id").agg(F.max("ll").alias("top"), F.max_by("lang", F.struct("ll", "lang")).alias("lang"), F.sort_array(F.collect_list("ll")).alias("all"))
     total = F.aggregate("all", F.lit(0.0), lambda t, x: t + F.exp(F.greatest(F.lit(-50.0), x - F.col("top"))))
     return best.select("id", "lang", (1 / total).alias("p"))
