@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import clamp
 from ..functions.lineage import cut, stored
-from . import walks
+from . import bundles, walks
 
 
 @dataclass(frozen=True)
@@ -254,7 +254,16 @@ def edge_drop_origins(sccs: DataFrame, links: DataFrame, facts: DataFrame, cfg:
     into = into.groupBy("graph_id", F.col("dst").alias("scc")).agg(F.max("src_score").alias("best"), F.min("src_score").alias("worst"), F.bool_and(bare).alias("only_bare"))
     out = links.join(dst, ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("scc")).agg(F.bool_and(F.coalesce(F.col("dst_score") >= cfg.threshold, F.lit(False))).alias("cured"))
     own = facts.select("graph_id", F.col("run_id").alias("exit_run"), "input_flawed", "verifier")
-    s = sccs.where("score is not null").join(into, ["graph_id", "scc"], "left").join(out, ["graph_id", "scc"], "left").join(own, ["graph_id", "exit_run"], "left")
+    return _judged(sccs.where("score is not null").join(into, ["graph_id", "scc"], "left").join(out, ["graph_id", "scc"], "left").join(own, ["graph_id", "exit_run"], "left"), cfg)
+
+
+def drop_origins(graphs: DataFrame, cfg: Config = CONFIG) -> DataFrame:
+    """``edge_drop_origins`` of graphs as rows (see ``bundles``), without a shuffle."""
+    return _judged(bundles.around(graphs, cfg.threshold), cfg)
+
+
+def _judged(s: DataFrame, cfg: Config) -> DataFrame:
+    """Kinds of scored components, from best and worst input, only_bare, cured, input_flawed and verifier."""
     observed = F.col("best").isNotNull()
     source_like = F.coalesce("only_bare", F.lit(True))
     base = F.when(observed, F.col("best")).when(source_like, F.lit(1.0))
