@@ -143,10 +143,23 @@ def sccs(graphs: DataFrame) -> DataFrame:
     return graphs.select("graph_id", F.inline("comps")).select("graph_id", "scc", "members", "exit_run", "score", "min_score", "n", "self_loop", "end_time")
 
 
+def linked(graphs: DataFrame) -> DataFrame:
+    """graph_id, src and dst: the links between components by their ids, as two lists a graph."""
+    return graphs.select("graph_id", *(F.transform(c, lambda i: F.get(F.col("comps.scc"), i)).alias(name) for c, name in (("tail", "src"), ("head", "dst"))))
+
+
 def links(graphs: DataFrame) -> DataFrame:
     """(graph_id, src, dst): distinct links between components, by their ids."""
-    ends = [F.transform(c, lambda i: F.get(F.col("comps.scc"), i)).alias(name) for c, name in (("tail", "src"), ("head", "dst"))]
-    return graphs.select("graph_id", *ends).select("graph_id", F.inline(F.arrays_zip("src", "dst")))
+    return linked(graphs).select("graph_id", F.inline(F.arrays_zip("src", "dst")))
+
+
+def shadow(candidates: DataFrame, graphs: DataFrame) -> DataFrame:
+    """(graph_id, scc, run_id) of candidates without another one among their ancestors, as ``graph.shadow``. Links are read only where a graph
+    has several candidates."""
+    each = candidates.groupBy("graph_id").agg(F.collect_list(F.struct("scc", "run_id")).alias("_c"))
+    ends = linked(graphs.where(F.size("tail") > 0))
+    each = each.join(ends.withColumnRenamed("graph_id", "_g"), (F.col("graph_id") == F.col("_g")) & (F.size("_c") > 1), "left").select("graph_id", "_c.scc", "_c.run_id", "src", "dst")
+    return walks.each_graph(each, walks.unshadowed, [candidates.schema["scc"], candidates.schema["run_id"]])
 
 
 def runs(graphs: DataFrame) -> DataFrame:

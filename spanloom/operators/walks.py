@@ -221,3 +221,9 @@ def below(links: DataFrame, seeds: DataFrame, key: list[str]) -> DataFrame:
     start = seeds.groupBy(*key).agg(F.collect_set("src").alias("seeds"))
     rows = linked(links, key).join(start, key).select(*key, "src", "dst", "seeds")
     return each_graph(rows, flooded, [T.StructField("dst", links.schema["dst"].dataType)], len(key))
+
+
+def unshadowed(ids: list, names: list, src: list | None, dst: list | None) -> list[tuple]:
+    """(node, name) of those that no other of them reaches. One alone isn't reached, as links have no cycle."""
+    under = {v for (v,) in flooded(src, dst, ids)} if src and len(ids) > 1 else ()
+    return [(v, n) for v, n in zip(ids, names, strict=True) if v not in under]

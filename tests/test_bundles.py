@@ -70,3 +70,21 @@ def test_no_rows(spark):
     assert bundles.sccs(g).count() == bundles.topological(g).count() == graph.drop_origins(g).count() == 0
     g = bundles.components(bundles.gathered(runs, edges.where("false"), FACTS))
     assert bundles.links(g).count() == 0 and bundles.sccs(g).where(F.col("n") > 1).count() == 0
+
+
+def test_shadow_of_rows(spark):
+    runs, edges = tables(spark, False)
+    g = stored(bundles.components(bundles.gathered(runs, edges, FACTS)))
+    found = bundles.runs(g).where("graph_id is not null and run_id % 3 = 1").select("graph_id", F.col("scc"), F.col("scc").alias("run_id")).distinct()
+    want = graph.shadow(found, bundles.links(g))
+    assert 0 < want.count() < found.count() and rows(bundles.shadow(found, g), "graph_id", "scc", "run_id") == rows(want, "graph_id", "scc", "run_id")
+
+
+@pytest.mark.parametrize("name", ["a09_cycle_origins", "a10_deterministic_origins"])
+def test_graphs_that_matter(spark, monkeypatch, name):
+    """Only graphs with a cycle, or with a failed run, are kept and joined."""
+    kept = []
+    monkeypatch.setattr(catalog, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    catalog.QUERIES[name](spark, SF).count()
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert 0 < kept[0].count() < n / 3
