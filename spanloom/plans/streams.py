@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import folder, stored
 from ..operators import reconstruct
 from ..streaming import chain, live
-from .catalog import _picked, _spans, query
+from .catalog import Orders, _picked, _spans, query
 from .views import sql, table, view
 
 
@@ -139,12 +139,13 @@ def w10_incident_stream(spark, sf_dir):
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> chain.Analysis:
-    r = view(spark, sf_dir, "v_runs")
-    fed = view(spark, sf_dir, "v_edges").select("graph_id", F.col("to_run_id").alias("run_id"), F.lit(False).alias("root")).distinct()
+    each = Orders(spark, sf_dir).gathered(F.col("ended_at").isNotNull().alias("ended"))
+    roots = F.array_except("nodes.run_id", "dst").alias("roots")
     turn = F.when(F.col("run_id") <= 2, 0).when(F.col("run_id") <= 4, 1).otherwise(2)
-    rows = r.join(fed, ["graph_id", "run_id"], "left").select("graph_id", "run_id", F.coalesce("root", F.lit(True)).alias("root"), F.col("ended_at").isNotNull().alias("ended"), (F.col("status") == "failed").alias("failed"), F.col("score").cast("double").alias("score"),
-                                                              F.timestamp_seconds(turn * 3600).alias("arrival_ts"), turn.alias("at"))
+    rows = each.select("graph_id", roots, F.inline("nodes")).select("graph_id", "run_id", F.array_contains("roots", F.col("run_id")).alias("root"), "ended", "failed", F.col("score").cast("double").alias("score"),
+                                                                    F.timestamp_seconds(turn * 3600).alias("arrival_ts"), turn.alias("at"))
+    twice = F.when(F.col("at") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array("at"))
     path = _path(spark)
     state = chain.Analysis(path, "30 minutes", 25)
-    in_turns(spark, rows.union(rows.where("at = 0").withColumn("at", F.lit(1))), "at", 3, state.fold, path)
+    in_turns(spark, rows.withColumn("at", F.explode(twice)), "at", 3, state.fold, path)
     return state

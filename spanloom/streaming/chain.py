@@ -171,17 +171,15 @@ class Analysis:
         # Complete: by ended roots in the touched graphs, by silence in any open one.
         touched = batch.groupBy("graph_id").agg(F.max("arrival_ts").alias("new_at"))
         known = self.graphs.before(spark, batch_id)
-        roots = self.runs.before(spark, batch_id + 1).where("root").join(touched, "graph_id", "left_semi").groupBy("graph_id").agg(F.bool_and("ended").alias("roots_ended"))
-        graphs = known.where("complete is null").join(touched, "graph_id", "full").join(known.where("complete is not null").select("graph_id"), "graph_id", "left_anti").join(roots, "graph_id", "left")
-        graphs = graphs.withColumn("last_at", F.greatest("last_at", "new_at")).crossJoin(F.broadcast(now(self.clock).select("at")))  # one row
+        facts = self.runs.before(spark, batch_id + 1, by="graph_id").groupBy("graph_id").agg(F.bool_and(F.when(F.col("root"), F.col("ended"))).alias("roots_ended"), F.bool_or("failed").alias("failed"), F.min("score").alias("worst"))
+        graphs = known.join(touched, "graph_id", "full").where("complete is null").join(facts, "graph_id", "left")
+        graphs = stored(graphs.withColumn("last_at", F.greatest("last_at", "new_at")).crossJoin(F.broadcast(now(self.clock).select("at"))))  # one row
         quiet = F.col("last_at") + F.expr(f"interval {self.gap}") <= F.col("at")
-        graphs = graphs.withColumn("complete", F.when(F.col("roots_ended"), "root_ended").when(quiet, "quiet"))
+        graphs = graphs.withColumn("complete", F.when(F.col("roots_ended") & F.col("new_at").isNotNull(), "root_ended").when(quiet, "quiet"))
         self.graphs.write(graphs.where("new_at is not null or complete is not null"), batch_id)
-        done = now(self.graphs).where("complete is not null").select("graph_id")
 
-        facts = self.runs.before(spark, batch_id + 1).join(done, "graph_id", "left_semi").groupBy("graph_id").agg(F.bool_or("failed").alias("failed"), F.min("score").alias("worst"))
         hard = F.array_compact(F.array(F.when(F.col("failed"), "run_failed"), F.when(F.col("worst") < self.low, "low_score")))
-        self.triage.write(facts.select("graph_id", hard.alias("hard")).withColumn("flagged", F.size("hard") > 0), batch_id)
+        self.triage.write(graphs.where("complete is not null").select("graph_id", hard.alias("hard")).withColumn("flagged", F.size("hard") > 0), batch_id)
         triaged = now(self.triage)
         self.deep.write(deep_worklist(triaged, self.deep.before(spark, batch_id), self.percent), batch_id)
         raised = now(self.deep).where("why = 'flagged'").join(triaged, "graph_id").select("graph_id", F.explode("hard").alias("incident_key"), F.array_join("hard", ",").alias("trigger"))

@@ -26,13 +26,15 @@ class ChangeLog:
         others = [c for c in names if c not in self.key]
         return rows.groupBy(*self.key).agg(F.max_by(F.struct(*(others or ["_v"])), "_v").alias("_x")).select(*(F.col(c if c in self.key else f"_x.{c}").alias(c) for c in names))
 
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """The latest row of each key by the batches before ``batch_id``."""
+    def before(self, spark: SparkSession, batch_id: int, by: str | None = None) -> DataFrame:
+        """The latest row of each key by the batches before ``batch_id``. With ``by``, a column of the key, the rows are dealt by it alone, so that what
+        groups or joins by it next needs no other shuffle."""
         if batch_id <= 0:
             return spark.createDataFrame([], self.schema)
         whole = (batch_id - 1) // self.every * self.every
         rows = self._read(spark, f"{self.path}/changes", "v").where((F.col("_v") < batch_id) & (F.col("_v") >= (whole + 1 if whole else 0)))
-        return self._latest(rows.unionByName(self._read(spark, f"{self.path}/whole", "w").where(F.col("_v") == whole)) if whole else rows)
+        rows = rows.unionByName(self._read(spark, f"{self.path}/whole", "w").where(F.col("_v") == whole)) if whole else rows
+        return self._latest(rows.repartition(by) if by else rows)
 
     def write(self, changes: DataFrame, batch_id: int) -> None:
         """``changes`` has one row a key at most."""

@@ -8,7 +8,7 @@ from spanloom.functions import schemas
 from spanloom.functions.jsonview import json_leaves
 from spanloom.functions.lineage import folder, stored
 from spanloom.operators import checks, graph, walks
-from spanloom.plans import catalog
+from spanloom.plans import catalog, streams
 
 
 def line(spark, n, verifier=False):
@@ -88,3 +88,10 @@ def test_payloads_are_read_once(spark):
     runs = spark.createDataFrame([(1, 0, "10\n20", "a;10;20\nb;30;77\nc;5;6")], "graph_id long, run_id long, input string, output string")
     out = checks.number_not_derivable(runs.withColumn("output", F.regexp_replace("output", "zz-marker", "")))
     assert "zz-marker" not in plan(out) and [x.params["count"] for x in out.collect()] == ["4"]
+
+
+def test_incident_stream_reads_lines_once(spark, monkeypatch):
+    fed = []
+    monkeypatch.setattr(streams, "in_turns", lambda spark, rows, *rest: fed.append(rows))
+    streams._analysis(spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan(fed[0]) and plan(fed[0]).count("Exchange") == 1
