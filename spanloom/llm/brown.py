@@ -6,14 +6,16 @@ words: most of it evenly over as many unseen words as the class has words seen o
 by spelling: a chain of byte pairs, learned from the words seen once, gives every spelling a probability. A text's score is the log10
 of the product over its words and its end.
 
-Corpus counts cover every word. Words with at least one in ``FREQUENT`` training tokens (so at most that many) are items
-of their own; each other word belongs to one of ``FORMS`` items by its ending. The exchange assigns every item to a class:
-in each round the corpus gives each item's neighbours by class, half of the items move to the class that raises the
-likelihood most, and the classes go out again (after Uszkoreit and Brants, 2008). Only item tables of bounded size reach
-the driver; counts, contexts and scores stay distributed.
-
-A task turns its documents into chunks with a vocabulary of their own. Vocabularies, not texts, are shuffled by word to
-be counted, and come back to their chunk with the corpus counts.
+Every word has a class of its own choice. As in Brown's algorithm the frequent words come first: those with at least one in
+``FREQUENT`` training tokens (so at most that many) are items of their own, and each other word begins in one of ``FORMS``
+items by its ending. In each round of the exchange the corpus gives each item's neighbours by class, half of the items move to
+the class that raises the likelihood most, and the classes go out again (after Uszkoreit and Brants, 2008). Then each other word
+of training, down to those seen once, leaves its form: all its neighbours by class are brought together, and it moves by the same
+rule. A last round moves frequent words among all these classes. Only words never seen in training keep the class of their
+form. Only item tables of bounded size reach the driver; words, counts, contexts and scores stay distributed.
+
+A task turns its documents into chunks with a vocabulary of their own, kept in buckets by chunk. Vocabularies, not texts, are
+shuffled by word, with the classes of each word's neighbours, and come back to their chunk with the corpus counts and classes.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ CLASSES, ROUNDS = 32, 3
 FREQUENT, FORMS = 1 << 16, 1024
 #: A chunk ends after so many distinct words or tokens.
 CHUNK_WORDS, CHUNK_TOKENS = 200_000, 2_000_000
+#: So many words of a vocabulary make a row.
+BLOCK = 1000
 #: The end of a text, as a word: no word holds a separator.
 END = "\n"
 #: Weight of the unigram of classes in the transition from a class.
@@ -44,8 +49,9 @@ SPELLED = 0.1
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds. Documents: chunk, doc_id, held_out, ids (words as numbers in the chunk). Words: chunk, id, word, n (in training rows)."""
-    fields = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.list_(pa.int32())), ("id", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
+    """Rows of two kinds. Documents: chunk, doc_id, held_out, ids (words as numbers in the chunk). Vocabularies: chunk, id (of the first word), words,
+    n (in training rows), for ``BLOCK`` words each."""
+    fields = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.list_(pa.int32())), ("id", pa.int32()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
@@ -53,9 +59,10 @@ def chunks(docs: DataFrame) -> DataFrame:
         count, tokens = np.zeros(1, np.int64), 0
 
         def vocabulary() -> pa.RecordBatch:
-            n = len(number)
-            words = pa.array([w.decode() for w in number], pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, fields.field("ids").type), pa.array(np.arange(n, dtype=np.int32)), words, pa.array(count)], schema=fields)
+            starts = np.arange(0, len(number), BLOCK, dtype=np.int32)
+            cuts, n = pa.array(np.append(starts, np.int32(len(number)))), len(starts)
+            words = pa.ListArray.from_arrays(cuts, pa.array([w.decode() for w in number], pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, fields.field("ids").type), pa.array(starts), words, pa.ListArray.from_arrays(cuts, pa.array(count))], schema=fields)
 
         for part in parts:
             for rows in common.batches(part):
@@ -70,7 +77,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 count = np.concatenate([count, np.zeros(len(number) - len(count), np.int64)]) + np.bincount(ids[train], minlength=len(number))
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 n = len(lists)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), rows.column(0), rows.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), rows.column(0), rows.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.nulls(n, pa.int32()), pa.nulls(n, fields.field("words").type), pa.nulls(n, fields.field("n").type)], schema=fields)
                 tokens += len(ids)
                 if len(number) > CHUNK_WORDS or tokens > CHUNK_TOKENS:
                     yield vocabulary()
@@ -78,7 +85,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if tokens:
             yield vocabulary()
 
-    return docs.mapInArrow(common.task(run), "chunk long, doc_id long, held_out boolean, ids array<int>, id int, word string, n long")
+    return docs.mapInArrow(common.task(run), "chunk long, doc_id long, held_out boolean, ids array<int>, id int, words array<string>, n array<long>")
 
 
 def spelling(words: DataFrame) -> np.ndarray:
@@ -115,33 +122,163 @@ def spelled(words: list[str], chain: np.ndarray) -> np.ndarray:
     return np.diff(total, prepend=0.0)
 
 
+def _by_id(own: pa.Table, column: str) -> np.ndarray:
+    """A column of a chunk's vocabulary, in the order of its numbers."""
+    out = np.zeros(len(own), np.int64)
+    out[own["id"].to_numpy()] = own[column].to_numpy()
+    return out
+
+
+def _flat(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all words of some documents in a row, and the documents' cuts."""
+    lists = docs["ids"].combine_chunks()
+    cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+    return lists.flatten().to_numpy(), cuts
+
+
+def itemized(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """items (twice the item) of each training text; ``own``: of (chunk), id, item of all words."""
+
+    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
+        flat, cuts = _flat(docs := docs.filter(pc.invert(docs["held_out"])))
+        return pa.table({"items": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array((_by_id(own, "item") * 2).astype(np.int32)[flat]))})
+
+    texts = rows.where("ids is not null").select("chunk", "held_out", "ids")
+    return texts.groupBy("chunk").cogroup(own.select("of", "id", "item").groupBy("of")).applyInArrow(common.group(run), "items array<int>")
+
+
+#: So many bytes hold a word's neighbours at most: the number of each class before and after it.
+WIDE = 2 * CLASSES * 4
+
+
+def _packed(who: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The neighbours of ``n[k]`` tokens of each word k, of which ``codes`` has two bytes a token (in the order of k, as ``who`` says): these
+    bytes, or from ``WIDE`` bytes on how often each occurs."""
+    wide = 2 * n >= WIDE
+    sizes = np.where(wide, WIDE, 2 * n)
+    data, is_wide, far = np.empty(int(sizes.sum()), np.uint8), np.repeat(wide, sizes), wide[who]
+    data[~is_wide] = codes[~far].ravel()
+    number = (np.cumsum(wide) - 1)[who[far]]
+    data[is_wide] = np.bincount((number[:, None] * 2 * CLASSES + codes[far]).ravel(), minlength=int(wide.sum()) * 2 * CLASSES).astype("<u4").view(np.uint8)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _unpacked(met: pa.Array, group: np.ndarray, n: int) -> np.ndarray:
+    """How often each class stands before and after the words of each of ``n`` groups of packed neighbours."""
+    ends = np.frombuffer(met.buffers()[1], np.int32)[met.offset : met.offset + len(met) + 1]
+    data = np.frombuffer(met.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    sizes = np.diff(ends)
+    wide = sizes == WIDE
+    is_wide = np.repeat(wide, sizes)
+    out = np.bincount(np.repeat(group, sizes)[~is_wide] * 2 * CLASSES + data[~is_wide], minlength=n * 2 * CLASSES).reshape(n, 2 * CLASSES)
+    np.add.at(out, group[wide], data[is_wide].view("<u4").reshape(-1, 2 * CLASSES))
+    return out
+
+
+def neighbours(rows: DataFrame, own: DataFrame, classes: np.ndarray, first: int, end: int) -> DataFrame:
+    """word, of (its chunk), id, met (packed neighbours in training) of each chunk's words whose item is ``first`` or a later one."""
+    shared = rows.sparkSession.sparkContext.broadcast(classes)
+
+    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
+        item = _by_id(own, "item")
+        cls = shared.value[item]
+        flat, cuts = _flat(docs.filter(pc.invert(docs["held_out"])))
+        after = cls[flat]
+        before = np.concatenate([after[:0], [shared.value[end]], after[:-1]])[: len(flat)]
+        before[cuts[:-1]] = shared.value[end]
+        after = np.concatenate([after[1:], after[:1]])  # what stands last is an end
+        others = np.flatnonzero(item >= first)
+        place = np.zeros(len(item), np.int64)
+        place[others] = np.arange(len(others))
+        at = np.flatnonzero(item[flat] >= first)
+        at = at[np.argsort(flat[at], kind="stable")]
+        who = place[flat[at]]
+        met = _packed(who, np.stack([before[at], CLASSES + after[at]], 1).astype(np.uint8), np.bincount(who, minlength=len(others)))
+        row = np.zeros(len(item), np.int64)
+        row[own["id"].to_numpy()] = np.arange(len(item))
+        own = own.take(row[others])
+        return pa.table({"word": own["word"], "of": own["of"], "id": own["id"], "met": met})
+
+    texts = rows.where("ids is not null").select("chunk", "held_out", "ids")
+    return texts.groupBy("chunk").cogroup(own.select("of", "id", "item", "word").groupBy("of")).applyInArrow(common.group(run), "word string, of long, id int, met binary")
+
+
+def _whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of their first column, cut only where that changes."""
+    kept: list[pa.RecordBatch] = []
+    for rows in parts:
+        if rows.num_rows == 0:
+            continue
+        if kept and kept[-1].column(0)[-1] != rows.column(0)[0]:
+            yield pa.Table.from_batches(kept).combine_chunks()
+            kept = []
+        starts = np.flatnonzero(_starts(rows.column(0)))
+        if starts[-1]:
+            yield pa.Table.from_batches([*kept, rows.slice(0, starts[-1])]).combine_chunks()
+            kept = []
+        kept.append(rows.slice(starts[-1]))
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def _starts(words: pa.Array) -> np.ndarray:
+    """Where another word begins."""
+    return np.concatenate([[True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)])
+
+
+def placed(found: DataFrame, classes: np.ndarray, table: np.ndarray, first: int) -> DataFrame:
+    """of, id, c (count in the corpus), item and new (the word if training lacks it) for each row of ``neighbours``. Each word of training moves
+    to the class with the highest likelihood: item ``first`` plus the class, and another ``CLASSES`` if it was seen once. Others keep that of their form."""
+    shared = found.sparkSession.sparkContext.broadcast((classes, table))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts = shared.value
+        for rows in _whole(parts):
+            word, chunk, number, met, form = (c.chunk(0) for c in rows.columns)
+            start = _starts(word)
+            group = np.cumsum(start) - 1
+            sums = _unpacked(met, group, int(start.sum()))
+            own = of[first + form.to_numpy()[start]]
+            c = sums[:, :CLASSES].sum(1)
+            cls = np.where(c > 0, best(sums[:, :CLASSES].astype(np.float64), sums[:, CLASSES:].astype(np.float64), own, counts), own)
+            item = (first + cls + CLASSES * (c == 1)).astype(np.int32)
+            new = word.take(pa.array(np.arange(len(word)), mask=c[group] > 0))
+            yield pa.RecordBatch.from_arrays([chunk, number, pa.array(c[group]), pa.array(item[group]), new], names=["of", "id", "c", "item", "new"])
+
+    by_word = found.repartition("word").sortWithinPartitions("word").withColumn("form", _form())
+    return by_word.mapInArrow(common.task(run), "of long, id int, c long, item int, new string")
+
+
+def _form() -> Column:
+    return (F.crc32(F.substring("word", -3, 3).cast("binary")) % FORMS).cast("int")
+
+
 _ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, log_words double, items array<int>, spelled array<float>"
 
 
-def encoded(rows: DataFrame, words: DataFrame, total: int, distinct: int, chain: np.ndarray) -> DataFrame:
+def encoded(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int, chain: np.ndarray) -> DataFrame:
     """Each document with its base score, the sum of the log counts of its known words, its items (twice the item, plus one if the word is
-    unknown), and the log chance of each unknown word's spelling."""
-    vocabulary = rows.where("word is not null").select(F.col("chunk").alias("of"), "id", "word").join(words, "word")
-    vocabulary = vocabulary.select("of", "id", "c", "item", F.when(F.col("c") == 0, F.col("word")).alias("new"))
+    unknown), and the log chance of each unknown word's spelling. ``vocabulary``: of (chunk), id, c, item, new (an unknown word)."""
     shared = rows.sparkSession.sparkContext.broadcast(chain)
     texts = rows.where("ids is not null").select("chunk", "doc_id", "held_out", "ids")
 
-    def run(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        c, item = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        c[own["id"].to_numpy()], item[own["id"].to_numpy()] = own["c"].to_numpy(), own["item"].to_numpy()
+    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
+        c, item = _by_id(own, "c"), _by_id(own, "item")
         base = np.log10((c + 1) / (total + distinct + 1))
         log_w = np.log10(np.maximum(c, 1))
-        new = own.loc[own["c"] == 0, ["id", "new"]]
         by_spelling = np.zeros(len(own))
-        by_spelling[new["id"].to_numpy()] = spelled(new["new"].tolist(), shared.value)
+        new = own.filter(pc.equal(own["c"], 0))
+        by_spelling[new["id"].to_numpy()] = spelled(new["new"].to_pylist(), shared.value)
         code = (item * 2 + (c == 0)).astype(np.int32)
-        out = []
-        for doc_id, held_out, ids in zip(docs["doc_id"], docs["held_out"], docs["ids"], strict=True):
-            out.append((doc_id, held_out, len(ids), int((c[ids] > 0).sum()), float(base[ids].sum()), float(log_w[ids].sum()), code[ids], by_spelling[ids[c[ids] == 0]].astype(np.float32)))
-        frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "log_words", "items", "spelled"])
-        return frame.astype({"doc_id": "Int64"})
+        flat, cuts = _flat(docs)
+        unknown = np.concatenate([[0], np.cumsum(c[flat] == 0)])[cuts]
+        sums = [np.array([x[ids].sum() for ids in np.split(flat, cuts[1:-1])], np.float64) for x in (base, log_w)]
+        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": np.diff(cuts), "n_known": np.diff(cuts) - np.diff(unknown), "base_score": sums[0], "log_words": sums[1],
+                         "items": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(code[flat])),
+                         "spelled": pa.ListArray.from_arrays(pa.array(unknown.astype(np.int32)), pa.array(by_spelling[flat[c[flat] == 0]].astype(np.float32)))})
 
-    return texts.groupBy("chunk").cogroup(vocabulary.groupBy("of")).applyInPandas(run, _ENCODED)
+    return texts.groupBy("chunk").cogroup(vocabulary.groupBy("of")).applyInArrow(common.group(run), _ENCODED)
 
 
 def _pairs(rows: pa.RecordBatch, column: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -216,25 +353,29 @@ def class_pairs(train: DataFrame, classes: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def best(left: np.ndarray, right: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The class with the highest likelihood for each row of neighbours by class, its own counts taken out of its present class first."""
+    before, after = counts.sum(1) + 0.5 * CLASSES, counts.sum(0) + 0.5 * CLASSES
+    forth = np.log((counts + 0.5) / before[:, None] / after[None, :])
+    gain = right @ forth.T + left @ forth
+    n_right, n_left = right.sum(1, keepdims=True), left.sum(1, keepdims=True)
+    gone_r = np.log(np.maximum(counts[own] - right, 0) + 0.5) - np.log(np.maximum(before[own][:, None] - n_right, 0.5)) - np.log(after)[None, :]
+    gone_l = np.log(np.maximum(counts.T[own] - left, 0) + 0.5) - np.log(np.maximum(after[own][:, None] - n_left, 0.5)) - np.log(before)[None, :]
+    gain[np.arange(len(own)), own] = (right * gone_r).sum(1) + (left * gone_l).sum(1)
+    return gain.argmax(1)
+
+
 def exchange(found: DataFrame, classes: np.ndarray, table: np.ndarray, turn: int) -> np.ndarray:
-    """Moves every second item to the class with the highest likelihood, its own counts taken out of its present class first."""
+    """Moves every second item to its best class."""
     shared = found.sparkSession.sparkContext.broadcast((classes, table))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, counts = shared.value
-        before, after = counts.sum(1) + 0.5 * CLASSES, counts.sum(0) + 0.5 * CLASSES
-        forth = np.log((counts + 0.5) / before[:, None] / after[None, :])
         for rows in parts:
             item = rows.column(0).to_numpy()
             left, right = (np.stack([rows.column(1 + side * CLASSES + k).to_numpy() for k in range(CLASSES)], 1).astype(np.float64) for side in (0, 1))
-            gain = right @ forth.T + left @ forth
-            own = of[item]
-            n_right, n_left = right.sum(1, keepdims=True), left.sum(1, keepdims=True)
-            gone_r = np.log(np.maximum(counts[own] - right, 0) + 0.5) - np.log(np.maximum(before[own][:, None] - n_right, 0.5)) - np.log(after)[None, :]
-            gone_l = np.log(np.maximum(counts.T[own] - left, 0) + 0.5) - np.log(np.maximum(after[own][:, None] - n_left, 0.5)) - np.log(before)[None, :]
-            gain[np.arange(len(item)), own] = (right * gone_r).sum(1) + (left * gone_l).sum(1)
-            best = np.where((item + turn) % 2 == 0, gain.argmax(1), own)
-            yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(best)], names=["item", "cls"])
+            moved = np.where((item + turn) % 2 == 0, best(left, right, of[item], counts), of[item])
+            yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(moved)], names=["item", "cls"])
 
     moved = found.mapInArrow(common.task(run), "item long, cls long").toPandas()
     out = classes.copy()
@@ -249,38 +390,48 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     rows every probability is 1 and the scores are 0. Repeated rows count and are scored each time, a null doc_id is kept,
     other columns are ignored, no rows give no rows.
     """
-    with common.Scratch(docs.sparkSession, "brown") as s, common.Scratch(docs.sparkSession, "words") as word_tables, common.Scratch(docs.sparkSession, "counts") as count_table:
+    spark = docs.sparkSession
+    with common.Scratch(spark, "brown") as s, common.Scratch(spark, "words") as word_tables, common.Scratch(spark, "counts") as count_table:
         return s.result(_score_texts(docs, held_out, s, word_tables, count_table))
 
 
 def _score_texts(docs: DataFrame, held_out: Column, s: common.Scratch, word_tables: common.Scratch, count_table: common.Scratch) -> DataFrame:
     spark = docs.sparkSession
-    rows = word_tables.written(chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")))
-    counts = count_table.written(rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
+    rows = word_tables.bucketed(chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")), "chunk", shuffle=False)
+    counts = count_table.written(rows.where("ids is null").select("n", F.posexplode("words").alias("at", "word")).selectExpr("word", "n[at] as n").groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
 
-    # At most FREQUENT words have so large a share of the tokens.
-    top = counts.where((F.col("c") > 0) & ((F.col("c") * FREQUENT >= total) | (F.col("word") == END))).orderBy(F.desc("c"), "word").collect()
-    frequent = spark.createDataFrame([(r.word, i) for i, r in enumerate(top)], "word string, rank int")
-    form = (F.crc32(F.substring("word", -3, 3).cast("binary")) % FORMS).cast("int") + len(top)
-    words = word_tables.written(counts.join(F.broadcast(frequent), "word", "left").select("word", "c", F.coalesce("rank", form).alias("item")))
-    end = next((i for i, r in enumerate(top) if r.word == END), len(top))
+    # At most FREQUENT words have so large a share of the tokens; the end is one more.
+    top = counts.where(((F.col("c") > 0) & (F.col("c") * FREQUENT >= total)) | (F.col("word") == END)).orderBy(F.desc("c"), "word").collect()
+    first = len(top)
+    frequent = F.broadcast(spark.createDataFrame([(r.word, r.c, i) for i, r in enumerate(top)], "word string, c long, rank int"))
+    end = next((i for i, r in enumerate(top) if r.word == END), 0)
     chain = spelling(counts.where(F.col("c") == 1))
-    count_table.free()  # ``words`` has them too
-    text = s.written(encoded(rows, words, total, distinct, chain))
-    train = text.where("not held_out")
+    count_table.free()
+    own = rows.where("ids is null").select("chunk", "id", F.posexplode("words").alias("at", "word")).selectExpr("chunk as of", "id + at as id", "word").join(frequent, "word", "left").withColumn("item", F.coalesce("rank", first + _form()))
 
-    n_items = len(top) + FORMS
-    seen = words.groupBy("item").agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once")).toPandas()  # one row an item
-    n, once = np.zeros(n_items), np.zeros(n_items)
-    n[seen["item"]], once[seen["item"]] = seen["n"], seen["once"]
-    word_tables.free()  # all that is needed of the words is in ``text`` and in the items
-    classes = np.arange(n_items) % CLASSES
+    train = count_table.written(itemized(rows, own))
+    classes = np.arange(first + FORMS) % CLASSES
     for turn in range(ROUNDS):
         found = s.written(contexts(train, classes, end))
         classes = exchange(found, classes, transitions(found, classes), turn)
     table = class_pairs(train, classes, end)
+    count_table.free()
+
+    each = placed(neighbours(rows, own, classes, first, end), classes, table, first)
+    each = each.unionByName(own.where("rank is not null").select("of", "id", "c", "item", F.expr("if(c = 0, word, null)").alias("new")))
+    text = s.written(encoded(rows, each, total, distinct, chain))
+    word_tables.free()  # all that is needed of the words is in ``text``
+    train = text.where("not held_out")
+    classes = np.concatenate([classes[:first], np.arange(2 * CLASSES) % CLASSES])  # the items of ``placed``
+    found = s.written(contexts(train, classes, end))
+    classes = exchange(found.where(F.col("item") < first), classes, transitions(found, classes), ROUNDS)
+    table = class_pairs(train, classes, end)
 
+    n, once = np.zeros(len(classes)), np.zeros(len(classes))
+    n[:first], once[:first] = [r.c for r in top], [r.c == 1 for r in top]
+    for item, tokens in found.where(F.col("item") >= first).select("item", sum(F.col(f"l{k}") for k in range(CLASSES))).collect():  # 64 rows
+        n[item], once[item] = tokens, tokens * (item >= first + CLASSES)
     size, alone = np.bincount(classes, n, CLASSES), np.bincount(classes, once, CLASSES)
     prior = (size + 0.5) / (size.sum() + 0.5 * CLASSES)
     forth = np.log10((table + PRIOR * prior) / (table.sum(1, keepdims=True) + PRIOR))

@@ -608,6 +608,52 @@ def test_brown_exchange_and_score(spark):
         assert math.isclose(gains[moved[w]], max(gains), rel_tol=1e-9)
 
 
+def test_brown_rare_words(spark, monkeypatch):
+    """Words too rare to be items of their own, all of one ending: each takes the class that its own neighbours ask for."""
+    monkeypatch.setattr(brown, "FREQUENT", 60)
+    r = random.Random(8)
+    nouns, verbs = [f"k{k}oning" for k in range(150)], [f"t{k}oning" for k in range(150)]
+    text = lambda *few: " ".join(f"the {r.choice([r.choice(nouns), *few[:1]])} must {r.choice([r.choice(verbs), *few[1:]])} ." for _ in range(5))
+    known = [(i, text(r.choice(["dog", "cat", "cow"]), r.choice(["run", "eat", "sit"]))) for i in range(400)]
+    held = [(5000 + k, text()) for k in range(20)]
+    held += [(i + 1000, re.sub(r"the (\S+) must (\S+)", r"the \2 must \1", t)) for i, t in held]  # the same words, each in the other's place
+    from pyspark.sql import functions as F
+
+    out = {x.doc_id: x for x in brown.score_texts(spark.createDataFrame(known + held, "doc_id long, text string"), F.col("doc_id") >= 5000).collect()}
+    assert all(math.isclose(out[5000 + k].base_score, out[6000 + k].base_score) and out[5000 + k].score > out[6000 + k].score + 3 for k in range(20))
+
+
+def test_brown_places(spark):
+    """Packed neighbours, and the class of each word, against the formulas: words in several chunks, seen once, often, or not at all."""
+    r = random.Random(9)
+    n = brown.CLASSES
+    table = np.array([[float(r.randrange(50)) for _ in range(n)] for _ in range(n)])
+    first, classes = 3, np.array([r.randrange(n) for _ in range(3 + brown.FORMS)])
+    met, rows_ = defaultdict(list), []
+    for w, sizes in {"once": [1], "never": [0, 0], "some": [2, 0, 5], "often": [400, 127, 128, 3], "ünoften": [128]}.items():
+        for chunk, size in enumerate(sizes):
+            pairs = [(r.randrange(n), r.randrange(n)) for _ in range(size)]
+            met[w] += pairs
+            codes = np.array([(b, n + a) for b, a in pairs], np.uint8).reshape(-1, 2)
+            packed = brown._packed(np.zeros(size, np.int64), codes, np.array([size]))
+            assert len(packed[0].as_py()) == min(2 * size, brown.WIDE)
+            rows_.append((w, chunk, 7, bytearray(packed[0].as_py())))
+    found = spark.createDataFrame(rows_, "word string, of long, id int, met binary")
+    out = brown.placed(found, classes, table, first).collect()
+    assert len(out) == len(rows_)
+    by = defaultdict(list)
+    for x in out:
+        by[(x.c, x.new)].append(x)
+    for w, pairs in met.items():
+        c = len(pairs)
+        own = classes[first + zlib.crc32(w[-3:].encode()) % brown.FORMS]
+        left, right = (np.bincount([p[side] for p in pairs], minlength=n).astype(float) if pairs else np.zeros(n) for side in (0, 1))
+        cls = brown.best(left[None], right[None], np.array([own]), table)[0] if c else own
+        same = by[(c, None if c else w)]
+        assert {x.item for x in same} == {first + cls + n * (c == 1)} and all(x.id == 7 for x in same)
+        assert sorted(x.of for x in same if c != 128) == sorted(x[1] for x in rows_ if x[0] == w and c != 128)
+
+
 def test_mixing(docs, none, spark):
     size = lambda t: len(words(t))
     by = defaultdict(int)
