@@ -4,7 +4,7 @@ Rows are the groups (language, source), columns the kept terms of the language,
 are empty: an empty cell has the same share all along its row, so where both rows of a pair are empty over a range of columns, the range is
 priced at once. The matrix is cut into tiles, ``BLOCK`` columns (dealt by the terms' hash) by two blocks of ``ROWS`` groups; a tile
 becomes a K-squared tree with K = 2: each node tells which of its four quadrants hold anything. One traversal goes down the tree for
-all pairs of rows together, as long as either side holds something; a quadrant pair without anything is priced by its number of
+all pairs of rows together, each pair once for both directions, as long as either side holds something; a quadrant pair without anything is priced by its number of
 columns, a leaf by its cells. Tiles give one sum a pair, and the first ``TOP`` terms a group; Spark adds these up.
 """
 
@@ -13,48 +13,96 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
 #: Columns and rows of the blocks that a tile is made of; terms listed of a group; documents that a kept term needs.
-BLOCK, ROWS, TOP, LEAST = 512, 32, 200, 3
+BLOCK, ROWS, TOP, LEAST = 2048, 32, 200, 3
+#: Bytes of text whose terms are counted at once: the more, the fewer rows are shuffled.
+PIECE = 16 << 20
+#: Leaves of a tile's pairs that are priced at once.
+LEAVES = 1 << 16
 #: Shares are counted in billionths.
 SCALE = 1_000_000_000
 #: Letters A-Z become small, other bytes below 128 that are no letters separate terms.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def _tokens(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The terms of all texts, one after the other, as a dictionary array; and how many each text has."""
+    text = text.cast(pa.large_string())
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = text.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes() if at[-1] > at[0] else b""
+    raw, at = np.frombuffer(raw.translate(LETTERS), np.uint8), at - at[0]
+    letter = raw != 32
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    edges = at[:-1][at[:-1] < at[1:]]  # no term reaches into the next text
+    begins[edges] = letter[edges]
+    counts = np.diff(np.searchsorted(np.flatnonzero(begins), at))
+    raw, starts = raw[letter], np.flatnonzero(begins[letter])
+    places = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
+    return pa.LargeStringArray.from_buffers(len(starts), places, pa.py_buffer(raw)).dictionary_encode(), counts
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) over ``docs`` (lang, source, text): how often the term occurs in the group and in how many documents."""
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in ("lang", "source", "term")), *(T.StructField(c, T.LongType()) for c in ("n", "docs"))])
+    """(lang, term, g, n, docs) over ``docs`` (lang, g, text): how often the term occurs in the group and in how many documents. Rows are
+    dealt by lang and term."""
+    schema = "lang string, term string, g long, n long, docs long"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for rows in common.batches(part):
-                lists = [t.encode().translate(LETTERS).split() for t in rows.column(2).to_pylist()]
-                counts = np.array([len(x) for x in lists], np.int64)
-                flat = np.empty(int(counts.sum()), dtype=object)
-                flat[:] = [w for x in lists for w in x]
-                if not len(flat):
+            for rows in common.batches(part, most=PIECE):
+                words, counts = _tokens(rows.column("text"))
+                if not len(words):
                     continue
-                term, terms = pd.factorize(flat)
-                group, groups = pd.factorize(pd.MultiIndex.from_arrays([rows.column(k).to_pylist() for k in (0, 1)]))
-                once, n = np.unique(np.repeat(np.arange(len(lists)), counts) * len(terms) + term, return_counts=True)
-                cell, place = np.unique(group[once // len(terms)] * len(terms) + once % len(terms), return_inverse=True)
-                total = np.zeros(len(cell), np.int64)
-                np.add.at(total, place, n)
-                g = cell // len(terms)
-                names = [pa.array([x[k] for x in groups], pa.string()).take(pa.array(g)) for k in (0, 1)]
-                words = pa.array(list(terms), pa.binary()).cast(pa.string()).take(pa.array(cell % len(terms)))
-                yield pa.RecordBatch.from_arrays([*names, words, pa.array(total), pa.array(np.bincount(place, minlength=len(cell)))], names=schema.names)
+                kinds, many = len(words.dictionary), len(rows)
+                lang, g = (rows.column(k).dictionary_encode() for k in ("lang", "g"))
+                group = lang.indices.to_numpy().astype(np.int64) * len(g.dictionary) + g.indices.to_numpy()
+                key = (np.repeat(group, counts) * kinds + words.indices.to_numpy()) * many + np.repeat(np.arange(many), counts)
+                key.sort()  # by group, term and document
+                once = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                cell = key[once] // many
+                first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                cell, n, held = cell[first], np.diff(np.append(once[first], len(key))), np.diff(np.append(first, len(once)))
+                group, term = cell // kinds, cell % kinds
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        lang.dictionary.take(pa.array(group // len(g.dictionary))).cast(pa.string()),
+                        words.dictionary.take(pa.array(term)).cast(pa.string()),
+                        g.dictionary.take(pa.array(group % len(g.dictionary))),
+                        pa.array(n, pa.int64()),
+                        pa.array(held, pa.int64()),
+                    ],
+                    names=["lang", "term", "g", "n", "docs"],
+                )
+
+    found = docs.select("lang", "g", "text").mapInArrow(common.task(run), schema).repartition("lang", "term")
+    return found.groupBy("lang", "term", "g").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
-    return docs.mapInArrow(common.task(run), schema).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+def _lists(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, lang, term, total, lead, g, n) in order of terms to rows (h, lang, term, total, lead, r, x): the cells x (g, n) that a term has
+    among the groups of block r. A term that goes on in the next batch has several rows; one of all has ``lead``."""
+    for part in parts:
+        if not len(part):
+            continue
+        lang, term = (part.column(k).dictionary_encode() for k in ("lang", "term"))
+        g = part.column("g").to_numpy()
+        key = (lang.indices.to_numpy().astype(np.int64) * len(term.dictionary) + term.indices.to_numpy()) * (int(g.max()) // ROWS + 1) + g // ROWS
+        order = np.argsort(key, kind="stable")
+        key, g = key[order], g[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        lead = np.logical_or.reduceat(part.column("lead").to_numpy(zero_copy_only=False)[order], first)
+        cells = pa.StructArray.from_arrays([pa.array(g), part.column("n").take(pa.array(order))], ["g", "n"])
+        x = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), cells)
+        heads = [part.column(k).take(pa.array(order[first])) for k in ("h", "lang", "term", "total")]
+        yield pa.RecordBatch.from_arrays([*heads, pa.array(lead), pa.array(g[first] // ROWS), x], names=["h", "lang", "term", "total", "lead", "r", "x"])
 
 
 def _share(n: str, size: str) -> Column:
@@ -76,41 +124,42 @@ class Tree:
         nodes = np.unique(code >> (2 * levels)) if len(code) else np.zeros(0, np.int64)
         for level in range(levels):
             children = np.unique(code >> (2 * (levels - level - 1)))
-            below = np.full((len(nodes), 4), -1, np.int64)
+            below = np.full((len(nodes), 4), -1, np.int32)
             below[np.searchsorted(nodes, children >> 2), children & 3] = np.arange(len(children))
             self.below.append(below)
             nodes = children
 
     def joint(self, rows: int, columns: int, one: np.ndarray, other: np.ndarray):
-        """Walks the tree for all pairs of a row marked in ``one`` and a row marked in ``other``. Yields (row, other row, columns, width):
-        ranges of 2**k rows each (as prefix, k) that both are empty over so many columns; and lastly the leaves (row, other row,
-        cell or -1, cell or -1) at which either holds something."""
-        marks = {"one": one, "other": other}
-        a = b = np.zeros(1, np.int64)
-        column = np.zeros(1, np.int64)
-        x = y = np.zeros(1, np.int64) if len(self.order) else np.full(1, -1, np.int64)
+        """Walks the tree for all pairs of a row marked in ``one`` and a row marked in ``other``, each pair once, the smaller row first.
+        Yields (row, other row, columns, width): ranges of 2**k rows each (as prefix, k) that both are empty over so many columns;
+        and lastly the leaves (row, other row, cell or -1, cell or -1) at which either holds something."""
+        a = b = column = np.zeros(1, np.int32)
+        x = y = np.zeros(1, np.int32) if len(self.order) else np.full(1, -1, np.int32)
         if not len(self.order):
             yield a, b, np.full(1, columns, np.int64), self.levels
             return
         for level in range(self.levels):
             width = self.levels - level - 1
-            held = {k: np.add.reduceat(np.concatenate([m, np.zeros(1)]), np.minimum(np.arange(0, max(rows, 1), 1 << width), rows)) > 0 for k, m in marks.items()}
-            found = []
+            size = -(-rows // (1 << width))
+            held = [np.add.reduceat(m.astype(np.int64), np.arange(0, rows, 1 << width)) > 0 for m in (one, other)]
+            wanted = np.triu((held[0][:, None] & held[1][None, :]) | (held[1][:, None] & held[0][None, :]), 1 if width == 0 else 0)
+            wanted = np.pad(wanted, (0, 2))  # children past the last row
+            below, found = np.vstack([self.below[level], np.full((1, 4), -1, np.int32)]), []  # the last row is that of node -1
             for i in (0, 1):
                 for j in (0, 1):
+                    both = np.flatnonzero(wanted[2 * a + i, 2 * b + j])
+                    u, v, c, px, py = a[both], b[both], column[both], x[both], y[both]
                     for k in (0, 1):
-                        na, nb, nc = 2 * a + i, 2 * b + j, 2 * column + k
-                        inside = (na << width < rows) & (nb << width < rows) & (nc << width < columns)
-                        inside[inside] &= held["one"][na[inside]] & held["other"][nb[inside]]
-                        na, nb, nc, px, py = na[inside], nb[inside], nc[inside], x[inside], y[inside]
-                        nx = np.where(px >= 0, self.below[level][px, 2 * i + k], -1)
-                        ny = np.where(py >= 0, self.below[level][py, 2 * j + k], -1)
-                        empty = (nx < 0) & (ny < 0)
-                        if empty.any():
-                            yield na[empty], nb[empty], np.minimum(1 << width, columns - (nc[empty] << width)), width
-                        found.append((na[~empty], nb[~empty], nc[~empty], nx[~empty], ny[~empty]))
+                        nc, nx, ny = 2 * c + k, below[px, 2 * i + k], below[py, 2 * j + k]
+                        some = (nx >= 0) | (ny >= 0)
+                        empty = np.flatnonzero(~some & (nc << width < columns))
+                        if len(empty):
+                            yield 2 * u[empty] + i, 2 * v[empty] + j, np.minimum(1 << width, columns - (nc[empty] << width)), width
+                        some = np.flatnonzero(some)
+                        found.append((2 * u[some] + i, 2 * v[some] + j, nc[some], nx[some], ny[some]))
             a, b, column, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-        yield a, b, np.where(x >= 0, self.order[x], -1), np.where(y >= 0, self.order[y], -1)
+        order = np.append(self.order, -1).astype(np.int32)
+        yield a, b, order[x], order[y]
 
 
 def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -127,55 +176,57 @@ def pair_sums(row: np.ndarray, column: np.ndarray, share: np.ndarray, empty: np.
     for a, b, n, width in ranges:
         size = -(-rows // (1 << width))
         part = np.zeros(size * size, np.int64)
-        np.add.at(part, a * size + b, n)
-        blank += np.repeat(np.repeat(part.reshape(size, size), 1 << width, 0), 1 << width, 1)[:rows, :rows]
-    if leaves is not None:
-        a, b, x, y = leaves
+        np.add.at(part, a.astype(np.int64) * size + b, n.astype(np.int64))
+        part = part.reshape(size, size)
+        part = part + np.triu(part, 1).T
+        blank += np.repeat(np.repeat(part, 1 << width, 0), 1 << width, 1)[:rows, :rows]
+    for at in range(0, len(leaves[0]) if leaves else 0, LEAVES):
+        a, b, x, y = (c[at : at + LEAVES] for c in leaves)
         p, q = np.where(x >= 0, share[x], empty[a]), np.where(y >= 0, share[y], empty[b])
-        np.add.at(sums, a * rows + b, _apart(p, q))
+        a, b, square = a.astype(np.int64), b.astype(np.int64), (p - q) * (p - q)
+        np.add.at(sums, a * rows + b, square // q)
+        np.add.at(sums, b * rows + a, square // p)
     return sums.reshape(rows, rows) + blank * _apart(empty[:, None], empty[None, :])
 
 
+def _shares(n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """1 + floor(SCALE * (n + 1) / of), exact at any count."""
+    if len(n) and int(n.max()) >= (1 << 63) // SCALE - 1:
+        return np.array([1 + SCALE * (int(x) + 1) // int(y) for x, y in zip(n, of, strict=True)], np.int64)
+    return 1 + SCALE * (n + 1) // of
+
+
+def _flat(lists: pa.ChunkedArray) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy()
+
+
 def _tile(table: pa.Table) -> pa.Table:
     """The pairs (g, h, value) of one tile, and for tiles on the diagonal the first terms (g, term, value) of its groups."""
-    head, cells = {}, []
-    for lang, block, i, j, side, m, term, q, gs, ps in zip(*(c.to_pylist() for c in table.columns), strict=True):
-        if term is None:
-            head[side] = (m, gs, ps)
-        else:
-            cells.append((term.encode(), q, side, gs, ps))
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    groups = [g for side in sorted(head) for g in head[side][1]]
-    empty = np.array([p for side in sorted(head) for p in head[side][2]], np.int64)
-    place = {g: k for k, g in enumerate(groups)}
-    terms = sorted({c[0] for c in cells})
-    number = {t: k for k, t in enumerate(terms)}
-    row = np.array([place[g] for c in cells for g in c[3]], np.int64)
-    column = np.repeat(np.array([number[c[0]] for c in cells], np.int64), [len(c[3]) for c in cells])
-    share = np.array([p for c in cells for p in c[4]], np.int64)
-    first = np.array([side == i for side in sorted(head) for _ in head[side][1]])
-    out: list[list] = [[], [], [], []]
-    for one, other in [(first, first)] if i == j else [(first, ~first), (~first, first)]:
-        sums = pair_sums(row, column, share, empty, head[i][0], one, other)
-        a, b = np.nonzero(one[:, None] & other[None, :] & ~np.eye(len(groups), dtype=bool))
-        out[0] += [groups[x] for x in a]
-        out[1] += [groups[x] for x in b]
-        out[2] += [None] * len(a)
-        out[3] += sums[a, b].tolist()
+    lang, i, j = (table.column(k)[0].as_py() for k in ("lang", "i", "j"))
+    head, cells = (table.filter(pc.is_null(table.column("term"), nan_is_null=False) if x else pc.is_valid(table.column("term"))) for x in (True, False))
+    groups, empty, sizes = (_flat(head.column(k)) for k in ("g", "x", "size"))
+    first = np.repeat(head.column("side").to_numpy() == i, pc.list_value_length(head.column("g")).to_numpy())
+    order = np.argsort(groups)
+    groups, empty, sizes, first = groups[order], empty[order], sizes[order], first[order]
+    words = cells.column("term").combine_chunks().dictionary_encode()
+    by_name = pc.sort_indices(words.dictionary).to_numpy()  # by UTF-8 bytes
+    terms, number = words.dictionary.take(pa.array(by_name)), np.argsort(by_name)[words.indices.to_numpy()]
+    row = np.searchsorted(groups, _flat(cells.column("g")))
+    column = np.repeat(number, pc.list_value_length(cells.column("g")).to_numpy())
+    share = _shares(_flat(cells.column("x")), sizes[row])
+    sums = pair_sums(row, column, share, empty, head.column("m")[0].as_py(), first, first if i == j else ~first)
+    a, b = np.nonzero((first[:, None] & first[None, :] & ~np.eye(len(groups), dtype=bool)) if i == j else first[:, None] != first[None, :])
+    out = [(pa.array(groups[a]), pa.array(groups[b]), pa.nulls(len(a), pa.string()), pa.array(sums[a, b]))]
     if i == j and len(row):
         q = np.zeros(len(terms), np.int64)
-        q[[number[c[0]] for c in cells]] = [c[1] for c in cells]
+        q[number] = cells.column("q").to_numpy()
         more = np.flatnonzero(share > q[column])
         value = _apart(share[more], q[column[more]])
         order = np.lexsort((column[more], -value, row[more]))
         r = row[more][order]
         order = order[np.arange(len(r)) - np.searchsorted(r, r) < TOP]
-        out[0] += [groups[x] for x in row[more][order]]
-        out[1] += [None] * len(order)
-        out[2] += [terms[x].decode() for x in column[more][order]]
-        out[3] += value[order].tolist()
-    lang = table.column("lang")[0].as_py()
-    return pa.table([pa.array([lang] * len(out[0]), pa.string()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64())], names=["lang", "g", "h", "term", "value"])
+        out += [(pa.array(groups[row[more][order]]), pa.nulls(len(order), pa.int64()), terms.take(pa.array(column[more][order])), pa.array(value[order]))]
+    return pa.concat_tables(pa.table([pa.array([lang] * len(x[0]), pa.string()), *x], names=["lang", "g", "h", "term", "value"]) for x in out)
 
 
 def divergence(docs: DataFrame) -> DataFrame:
@@ -193,28 +244,31 @@ def divergence(docs: DataFrame) -> DataFrame:
 
 
 def _divergence(docs: DataFrame, s: common.Scratch) -> DataFrame:
-    counts = s.written(term_counts(docs))
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST).select("lang", "term", "total")
-    kept = s.written(kept)
-    cells = s.written(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]))
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("total").alias("lang_size"))
-    groups = docs.select("lang", "source").distinct().withColumn("g", F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long") - 1)
-    groups = groups.join(langs, "lang", "left").join(cells.groupBy("lang", "source").agg(F.sum("n").alias("size")), ["lang", "source"], "left")
-    groups = groups.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("kinds", "lang_size", "size")}).withColumn("r", F.floor(F.col("g") / ROWS))
-    groups = s.written(groups.withColumn("many", F.max("r").over(W.partitionBy("lang"))))
-    about = groups.select("lang", "source", "g", "r", "many", "kinds", "size", "lang_size")
-
-    block = F.pmod(F.xxhash64("term"), F.ceil(F.col("kinds") / BLOCK))
-    there = cells.join(about, ["lang", "source"]).withColumn("p", _share("n", "size")).withColumn("q", _share("total", "lang_size"))
-    lists = there.groupBy("lang", "term", "r").agg(F.first("many").alias("many"), F.first("kinds").alias("kinds"), F.first("q").alias("q"), F.collect_list(F.struct("g", "p")).alias("x"))
-    lists = lists.withColumn("block", block)
+    numbers = docs.select("lang", "source").distinct().withColumn("g", F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long") - 1)
+    numbers = s.written(numbers.withColumn("r", F.floor(F.col("g") / ROWS)).withColumn("many", F.max("r").over(W.partitionBy("lang"))))
+    counts = term_counts(docs.join(numbers.select("lang", "source", "g"), ["lang", "source"]))
+    one = W.partitionBy("h", "lang", "term")  # the hash comes first as numbers are sorted faster; rows are where they belong already
+    kept = counts.withColumn("h", F.xxhash64("term")).withColumns({"total": F.sum("n").over(one), "docs": F.sum("docs").over(one), "lead": F.col("g") == F.min("g").over(one)})
+    kept = kept.where(F.col("docs") >= LEAST).select("h", "lang", "term", "total", "lead", "g", "n")
+    lists = s.written(kept.mapInArrow(common.task(_lists), "h long, lang string, term string, total long, lead boolean, r long, x array<struct<g: long, n: long>>"))
+    langs = lists.where("lead").groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("total").alias("lang_size"))
+    sizes = lists.select("lang", F.inline("x")).groupBy("lang", "g").agg(F.sum("n").alias("size"))
+    groups = numbers.join(langs, "lang", "left").join(sizes, ["lang", "g"], "left")
+    about = s.written(groups.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("kinds", "lang_size", "size")}))
+    langs = about.select("lang", "many", "kinds", "lang_size").distinct()
+
+    block = F.pmod("h", F.ceil(F.col("kinds") / BLOCK))
     tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.col("many")))  # the other block of rows
-    lists = lists.withColumn("o", tiles).select("lang", "block", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), F.col("r").alias("side"), F.lit(None).cast("long").alias("m"), "term", "q", "x.g", "x.p")
+    ends = [F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), F.col("r").alias("side")]
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    placed = lists.join(langs, "lang").withColumns({"block": block, "q": _share("total", "lang_size")})
+    cells = placed.withColumn("o", tiles).select("lang", "block", *ends, none("long", "m"), "term", "q", "x.g", F.col("x.n").alias("x"), none("array<long>", "size"))
 
-    blocks = kept.join(langs, "lang").groupBy("lang", block.alias("block")).agg(F.count(F.lit(1)).alias("m"))
-    heads = about.where("kinds > 0").withColumn("p", _share("0", "size")).groupBy("lang", "r").agg(F.first("many").alias("many"), F.collect_list(F.struct("g", "p")).alias("x"))
-    heads = heads.join(blocks, "lang").withColumn("o", tiles).select("lang", "block", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), F.col("r").alias("side"), "m", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("q"), "x.g", "x.p")
-    found = lists.unionByName(heads).groupBy("lang", "block", "i", "j").applyInArrow(_tile, "lang string, g long, h long, term string, value long")
+    blocks = placed.where("lead").groupBy("lang", "block").agg(F.count(F.lit(1)).alias("m"))
+    heads = about.where("kinds > 0").withColumn("p", _share("0", "size")).withColumn("size", F.expr("size + kinds"))
+    heads = heads.groupBy("lang", "r").agg(F.first("many").alias("many"), F.collect_list(F.struct("g", "p", "size")).alias("x")).join(blocks, "lang")
+    heads = heads.withColumn("o", tiles).select("lang", "block", *ends, "m", none("string", "term"), none("long", "q"), "x.g", F.col("x.p").alias("x"), "x.size")
+    found = cells.unionByName(heads).groupBy("lang", "block", "i", "j").applyInArrow(_tile, "lang string, g long, h long, term string, value long")
     found = s.written(found)
 
     name = lambda g, source: about.select("lang", F.col("g").alias(g), F.col("source").alias(source))

@@ -82,3 +82,56 @@ def test_shares_are_exact_at_any_count(spark):
     rows = [(10**12 + 7, 3 * 10**15, 10**9), (0, 0, 1), (5 * 10**9, 5 * 10**9, 1)]
     got = spark.createDataFrame(rows, "n long, size long, kinds long").select(divergence._share("n", "size").alias("p")).collect()
     assert [x.p for x in got] == [1 + 10**9 * (n + 1) // (size + kinds) for n, size, kinds in rows]
+
+
+def test_each_pair_of_rows_is_walked_once():
+    r = np.random.default_rng(3)
+    rows, columns = 9, 40
+    row, column = np.nonzero(r.random((rows, columns)) < 0.6)
+    *_, (a, b, x, y) = divergence.Tree(row, column, 6).joint(rows, columns, np.ones(rows, bool), np.ones(rows, bool))
+    assert (a < b).all() and ((x >= 0) | (y >= 0)).all()
+    filled = np.zeros((rows, columns), bool)
+    filled[row, column] = True
+    assert len(a) == sum((filled[i] | filled[j]).sum() for i in range(rows) for j in range(i + 1, rows))
+
+
+def test_terms_end_with_their_text():
+    import pyarrow as pa
+
+    texts = ["skipped", "", "Ab", "cD ", " ", "", "eÉß\x00日\x7f日 1a`b", "x" * 9, "x", "\x80q[Q"]
+    for kind in (pa.string(), pa.large_string()):
+        words, counts = divergence._tokens(pa.array(texts, kind).slice(1, 8))
+        want = [re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t)) for t in texts[1:9]]
+        assert words.to_pylist() == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
+    assert [len(x) for x in divergence._tokens(pa.array(["", ""], pa.string()))] == [0, 2]
+
+
+def test_terms_are_shuffled_once(spark):
+    """Sums over all groups of a term's language need no shuffle after that of the counts."""
+    docs = spark.createDataFrame([("en", 0, "a b a"), ("en", 1, "a c"), ("de", 0, "a")], "lang string, g long, text string")
+    counts = divergence.term_counts(docs)
+    total = counts.selectExpr("*", "xxhash64(term) as h").selectExpr("*", "sum(n) over (partition by h, lang, term) as total")
+    rows = {(x.lang, x.term, x.g, x.n, x.docs, x.total) for x in total.collect()}
+    assert rows == {("en", "a", 0, 2, 1, 3), ("en", "a", 1, 1, 1, 3), ("en", "b", 0, 1, 1, 1), ("en", "c", 1, 1, 1, 1), ("de", "a", 0, 1, 1, 1)}
+    plan = total._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange hashpartitioning", plan.split("== Initial Plan ==")[-1])) == 1
+
+
+def test_pieces_and_batches_cut_anywhere(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "PIECE", 300)
+    monkeypatch.setattr(divergence, "ROWS", 4)
+    docs = documents(8, 14)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # terms go on in the next batch
+    try:
+        got = divergence.divergence(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(tuple(x) for x in got) == brute(docs)
+
+
+def test_shares_of_a_tile_are_exact_at_any_count():
+    rows = [(10**12 + 7, 3 * 10**15 + 10**9), (0, 1), (5 * 10**9, 5 * 10**9 + 1), (9223372035, 9223372037), (9223372036, 9223372037)]
+    for some in (rows, rows[1:2] + rows[3:4], rows[1:2]):
+        n, of = (np.array(c, np.int64) for c in zip(*some, strict=True))
+        assert divergence._shares(n, of).tolist() == [1 + 10**9 * (a + 1) // b for a, b in some]
