@@ -32,7 +32,8 @@ def json_leaves(rows: DataFrame, key: list[str], text: str, depth: int = DEPTH,
     those in the text, which a map of the raw texts keeps.
 
     Each level is one generator step over the values that are still objects or arrays, is stored, and ends the search where nothing goes
-    deeper: a text is parsed once. There is no recursion and no UDF.
+    deeper: a text is parsed once. There is no recursion and no UDF. Joins of the leaves shuffle both sides: Spark takes a VARIANT for 2 KB, so it
+    estimates columns beside one at a small part of the stored files, and would broadcast leaves of any number.
     """
     keys = [F.col(k) for k in key]
     raw = _json_text(F.col(text)) if ordered else F.lit(None).cast("string")
@@ -56,4 +57,4 @@ def json_leaves(rows: DataFrame, key: list[str], text: str, depth: int = DEPTH,
             place = F.coalesce(F.when(F.col("_key").isNotNull(), F.array_position(F.map_keys("_map"), F.col("_key")) - 1), F.col("_pos")).cast("int")
             inner = F.when(F.col("_key").isNotNull(), F.try_element_at("_map", F.col("_key"))).otherwise(F.get("_list", F.col("_pos")))
         level = each.select(*keys, F.col("path").alias("parent_path"), name.alias("key_name"), F.concat("path", F.lit("."), name).alias("path"), F.array_append("place", place).alias("place"), F.col("_value").alias("v"), inner.alias("raw"))
-    return out
+    return out.hint("merge")

@@ -78,6 +78,15 @@ def test_json_is_parsed_once(spark):
     assert "parse_json" not in plan(leaves) and sorted(x.value for x in leaves.collect()) == ["1", "2"]
 
 
+def test_leaves_are_not_broadcast(spark):
+    """Not even few: how many there are can't be told from the files, as Spark takes the VARIANT beside them for most of these."""
+    runs = spark.createDataFrame([(1, 0, "ask acme", '{"hits":[],"q":"acme"}'), (2, 0, "ask", '{"hits":["acme"]}')], "graph_id long, run_id long, input string, output string")
+    none = checks.zero_result_set(runs)
+    assert "Broadcast" not in plan(none) and [x.graph_id for x in none.collect()] == [1]
+    leaves = json_leaves(runs, ["graph_id", "run_id"], "output").where("value = 'acme'")
+    assert "Broadcast" not in plan(leaves.groupBy("graph_id").count().join(runs, "graph_id"))
+
+
 def test_trigrams_are_not_shuffled(spark):
     corpus = spark.createDataFrame([("the cat and the dog and the bird", "en"), ("der hund und die katze und der vogel", "de")], "text string, lang string")
     found = checks.detect_language(corpus.select(F.monotonically_increasing_id().alias("id"), "text", F.col("lang").alias("own")), stored(checks.train_lang_profiles(corpus)))
