@@ -32,7 +32,7 @@ def gathered(runs: DataFrame, edges: DataFrame, facts: list[str] | None = None)
     return nodes.join(links, "graph_id", "left").select("graph_id", "nodes", F.col("_l.from_run_id").alias("src"), F.col("_l.to_run_id").alias("dst"))
 
 
-def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def flattened(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All elements, and the row of each."""
     n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     return lists.flatten(), np.repeat(np.arange(len(lists)), n)
@@ -87,8 +87,8 @@ def components(graphs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             n = part.num_rows
-            nodes, row = _flat(part.column("nodes"))
-            (src, link_row), (dst, _) = _flat(part.column("src")), _flat(part.column("dst"))
+            nodes, row = flattened(part.column("nodes"))
+            (src, link_row), (dst, _) = flattened(part.column("src")), flattened(part.column("dst"))
             ids, times, scores = (pc.struct_field(nodes, c) for c in OWN)
             code, span, values = _codes(pa.concat_arrays([ids, src.cast(ids.type), dst.cast(ids.type)]))
             own, s, d = np.split(code, [len(ids), len(ids) + len(src)])
@@ -175,9 +175,9 @@ def edges(graphs: DataFrame) -> DataFrame:
 
 def _positions(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """The row of each component, the place where each row begins, and the ends of all links as flat positions."""
-    row = _flat(part.column("comps"))[1]
+    row = flattened(part.column("comps"))[1]
     first = np.searchsorted(row, np.arange(part.num_rows))
-    (tail, link_row), (head, _) = _flat(part.column("tail")), _flat(part.column("head"))
+    (tail, link_row), (head, _) = flattened(part.column("tail")), flattened(part.column("head"))
     return row, first, link_row, first[link_row] + tail.to_numpy(zero_copy_only=False), first[link_row] + head.to_numpy(zero_copy_only=False)
 
 

@@ -1,7 +1,7 @@
 """Per-run checks. Each gives rows (graph_id, run_id, name, severity, code, params); what can't be read gives no row.
 
-No check needs a row-at-a-time UDF: text is taken apart by built-in functions inside the JVM; only the directories of archives are read
-in Arrow batches.
+No check needs a row-at-a-time UDF: text is taken apart by built-in functions inside the JVM; only the directories of archives are read,
+and figures compared, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,17 +10,21 @@ import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import glob_regex
 from ..functions.jsonview import json_leaves, tolerant
 from ..functions.lineage import stored
 from ..functions.schemas import breaches, schema_rules
+from .bundles import flattened
 
 KEY = ["graph_id", "run_id"]
 
@@ -242,10 +246,16 @@ def payload_numbers(texts: DataFrame, key: list[str], column: str) -> DataFrame:
     return tokens.select(*key, parse_number(F.col("token")).alias("value")).where("value is not null")
 
 
-def tabular(texts: DataFrame, key: list[str], column: str) -> DataFrame:
-    """key… of texts with two neighbouring lines of one delimiter."""
-    before = F.lag("delimiter").over(W.partitionBy(*key).orderBy("no"))
-    return payload_lines(texts, key, column).withColumn("before", before).where("delimiter = before").select(*key).distinct()
+def figures(lines: Column, delimiters: Column) -> Column:
+    """The values of all figures in a text's ``lines``, as ``payload_numbers`` reads them."""
+    cells = F.zip_with(lines, delimiters, lambda line, d: F.when(d.isNull(), F.array(line)).otherwise(F.split(line, F.concat(F.lit("\\Q"), d, F.lit("\\E")))))
+    tokens = F.flatten(F.transform(F.flatten(cells), lambda cell: F.regexp_extract_all(F.trim(cell), F.lit(FIGURE), F.lit(0))))
+    return F.array_compact(F.transform(tokens, parse_number))
+
+
+def tabular(delimiters: Column) -> Column:
+    """Whether two neighbouring lines have one delimiter."""
+    return F.exists(F.zip_with(delimiters, F.slice(delimiters, 2, F.size(delimiters)), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same)
 
 
 def numeric_content_lost(runs: DataFrame, least: int = 8, chars: int = 200) -> DataFrame:
@@ -255,26 +265,80 @@ def numeric_content_lost(runs: DataFrame, least: int = 8, chars: int = 200) -> D
     return signal(count.join(payload_numbers(out, KEY, "output").select(*KEY).distinct(), KEY, "left_anti"), "numeric_content_lost", "fail", "numeric_content_lost", input_numbers=F.col("n"))
 
 
+def _placed(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(row, value) as one number that sorts by both."""
+    out = np.empty(len(rows), np.complex128)
+    out.real, out.imag = rows, values
+    return out
+
+
+def _distinct(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row and value of each list's distinct figures, in order."""
+    values, rows = flattened(lists)
+    values = values.to_numpy(zero_copy_only=False)
+    order = np.lexsort((values, rows))
+    rows, values = rows[order], values[order]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
+    return rows[fresh], values[fresh]
+
+
+def _lost(given: pa.Array, rates: pa.Array, stated: pa.Array, tolerance: float) -> np.ndarray:
+    """By row, how many distinct figures of ``stated`` nothing gives. A factor keeps the order of the given figures, and of what they make
+    only the next below and above a stated figure can be near enough: each factor is one search of sorted numbers."""
+    (own, value), (row, base), (of, rate) = map(_distinct, (stated, given, rates))
+    found, place, zero = np.zeros(len(own), bool), _placed(own, value), np.zeros(len(given), bool)
+    nth = np.arange(len(of)) - np.searchsorted(of, of)
+    for k in range(-len(FACTORS), nth.max(initial=-1) + 1):
+        if k < 0:
+            f, at, wanted = FACTORS[k], np.ones(len(row), bool), np.flatnonzero(~found)
+        else:
+            by_row = np.full(len(given), np.nan)  # the k-th rate of each row that has one
+            by_row[of[nth == k]] = rate[nth == k]
+            at, wanted = by_row[row] == by_row[row], np.flatnonzero(~found & (by_row[own] == by_row[own]))
+            f = by_row[row[at]]
+        for made in (base[at] * f, base[at] / f):
+            rows, made = row[at][made == made], made[made == made]
+            zero[rows[made == 0]] = True
+            above = np.searchsorted(_placed(rows, made), place[wanted], side="right")
+            for i in (above - 1, above):
+                there = (i >= 0) & (i < len(rows))
+                there[there] = (rows[i[there]] == own[wanted[there]]) & (np.sign(made[i[there]]) == np.sign(value[wanted[there]])) & (made[i[there]] != 0)
+                m, v = made[i[there]], value[wanted[there]]
+                found[wanted[there][np.abs(v - m) / np.abs(m) <= tolerance]] = True
+    found |= (value == 0) & zero[own]
+    return np.bincount(own[~found], minlength=len(given))
+
+
+#: A batch is searched by parts of some so many figures; a run stays whole.
+FIGURES = 1 << 18
+
+
 def number_not_derivable(runs: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """Figures of a tabular output that no input figure gives, alone, scaled by a power of ten, or by a rate that the input states.
 
-    A range join as an equi-join: logarithms fall into buckets as wide as the tolerance, and neighbours are probed too.
+    A run stands in one row, and its figures stay there: nothing is shuffled, and only how many a run has lost is stored. In a run the work
+    grows with its figures and their logarithm, times its rates.
     """
-    runs = stored(runs.select(*KEY, "input", "output"))  # read six times below
-    out = stored(payload_numbers(runs.join(tabular(runs, KEY, "output"), KEY, "left_semi"), KEY, "output").distinct())
-    rates = reduce(lambda a, b: a.union(b), [runs.select(*KEY, F.explode(F.regexp_extract_all("input", F.lit(p), F.lit(1))).alias("r")) for p in RATES])
-    rates = rates.select(*KEY, parse_number(F.col("r")).alias("f")).where("f > 0 and f <> 1")
-    given = stored(payload_numbers(runs, KEY, "input").distinct())
-    fixed = given.select(*KEY, "value", F.explode(F.array(*map(F.lit, FACTORS))).alias("f"))
-    scaled = fixed.unionByName(given.join(rates, KEY).select(*KEY, "value", "f"))
-    made = scaled.select(*KEY, F.explode(F.array(F.col("value") * F.col("f"), F.col("value") / F.col("f"))).alias("made"))
-    bucket = lambda x: F.floor(F.ln(F.abs(x)) / tolerance)
-    probe = out.where("value <> 0").select(*KEY, "value", F.signum("value").alias("sign"), F.explode(F.array(*(bucket(F.col("value")) + d for d in (-1, 0, 1)))).alias("bucket"))
-    hit = probe.join(made.where("made <> 0").select(*KEY, "made", F.signum("made").alias("sign"), bucket(F.col("made")).alias("bucket")), [*KEY, "sign", "bucket"]).where(F.abs(F.col("value") - F.col("made")) / F.abs("made") <= tolerance)
-    zero = out.where("value = 0").join(made.where("made = 0").select(*KEY).distinct(), KEY, "left_semi")
-    lost = out.join(hit.select(*KEY, "value").union(zero.select(*KEY, "value")).distinct(), [*KEY, "value"], "left_anti")
-    g = lost.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"))
-    return signal(g, "number_not_derivable", "fail", "number_not_derivable", count=F.col("n"))
+    split = lambda c: F.split(F.col(c), "\\r\\n|\\n|\\r")
+    x = runs.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in KEY))).select(*KEY, "input", split("input").alias("i"), split("output").alias("o"))
+    x = x.withColumns({"di": F.transform("i", _delimiter), "do": F.transform("o", _delimiter)}).where(tabular(F.col("do")))
+    rates = F.transform(F.flatten(F.array(*(F.regexp_extract_all("input", F.lit(p), F.lit(1)) for p in RATES))), parse_number)
+    x = x.select(*KEY, figures(F.col("i"), F.col("di")).alias("given"), F.filter(rates, lambda f: (f > 0) & (f != 1)).alias("rates"), figures(F.col("o"), F.col("do")).alias("stated"))
+    out = T.StructType([*(x.schema[k] for k in KEY), T.StructField("n", T.LongType())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            size = sum(pc.fill_null(pc.list_value_length(part.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("given", "rates", "stated"))
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // FIGURES, prepend=0))
+            for a, b in zip([0, *cuts], [*cuts, part.num_rows], strict=True):
+                some = part.slice(a, b - a)
+                with np.errstate(all="ignore"):
+                    n = _lost(*(some.column(c) for c in ("given", "rates", "stated")), tolerance)
+                kept = pa.array(np.flatnonzero(n))
+                yield pa.RecordBatch.from_arrays([*(some.column(k).take(kept) for k in KEY), pa.array(n, pa.int64()).take(kept)], names=out.names)
+
+    return signal(stored(x.mapInArrow(run, out)), "number_not_derivable", "fail", "number_not_derivable", count=F.col("n"))
 
 
 # ---- security ------------------------------------------------------------------------------------------------------------
