@@ -64,6 +64,13 @@ def _listed(values: pa.Array, rows: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), values)
 
 
+def _most(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The largest value in each of ``n`` rows, or 0."""
+    out = np.zeros(n, np.int64)
+    np.maximum.at(out, rows, values)
+    return out
+
+
 def _least(scores: pa.Array, starts: np.ndarray) -> pa.Array:
     """The least score of each group: null without any, not a number only where there is nothing else."""
     if not len(starts):
@@ -181,6 +188,28 @@ def _positions(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return row, first, link_row, first[link_row] + tail.to_numpy(zero_copy_only=False), first[link_row] + head.to_numpy(zero_copy_only=False)
 
 
+def _ordered(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of each component its row, its place in topological order, the longest path to it in nodes, and whether it has a place."""
+    row, first, link_row, tail, head = _positions(part)
+    topo, depth = np.arange(len(row)) - first[row] + 1, np.ones(len(row), np.int64)
+    size = np.bincount(row, minlength=part.num_rows)
+    slow = size > LONG
+    slow[link_row[tail > head]] = True
+    fast = ~slow[link_row]
+    by_place = np.argsort(topo[tail[fast]], kind="stable")
+    a, b = tail[fast][by_place], head[fast][by_place]
+    for x in np.split(np.arange(len(a)), _starts(topo[a])[1:]):
+        np.maximum.at(depth, b[x], depth[a[x]] + 1)
+    done = np.ones(len(row), bool)
+    cuts = np.searchsorted(link_row, np.arange(part.num_rows + 1))
+    for r in np.flatnonzero(slow):
+        at, own = range(size[r]), slice(cuts[r], cuts[r + 1])
+        done[first[r] : first[r] + size[r]] = False
+        for x, t, far in walks.kahn(at, at, at, (tail[own] - first[r]).tolist(), (head[own] - first[r]).tolist()):
+            topo[first[r] + x], depth[first[r] + x], done[first[r] + x] = t, far, True
+    return row, topo, depth, done
+
+
 def topological(graphs: DataFrame) -> DataFrame:
     """(graph_id, scc, topo, depth), as ``graph.topological``. Where every link goes on in time, the order of the components is the one."""
     kind = graphs.schema["comps"].dataType.elementType["scc"].dataType
@@ -188,23 +217,7 @@ def topological(graphs: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            row, first, link_row, tail, head = _positions(part)
-            topo, depth = np.arange(len(row)) - first[row] + 1, np.ones(len(row), np.int64)
-            size = np.bincount(row, minlength=part.num_rows)
-            slow = size > LONG
-            slow[link_row[tail > head]] = True
-            fast = ~slow[link_row]
-            by_place = np.argsort(topo[tail[fast]], kind="stable")
-            a, b = tail[fast][by_place], head[fast][by_place]
-            for x in np.split(np.arange(len(a)), _starts(topo[a])[1:]):
-                np.maximum.at(depth, b[x], depth[a[x]] + 1)
-            done = np.ones(len(row), bool)
-            cuts = np.searchsorted(link_row, np.arange(part.num_rows + 1))
-            for r in np.flatnonzero(slow):
-                at, own = range(size[r]), slice(cuts[r], cuts[r + 1])
-                done[first[r] : first[r] + size[r]] = False
-                for x, t, far in walks.kahn(at, at, at, (tail[own] - first[r]).tolist(), (head[own] - first[r]).tolist()):
-                    topo[first[r] + x], depth[first[r] + x], done[first[r] + x] = t, far, True
+            row, topo, depth, done = _ordered(part)
             kept = np.flatnonzero(done)
             ids = pc.struct_field(part.column("comps").flatten(), "scc")
             yield pa.RecordBatch.from_arrays([part.column("graph_id").take(pa.array(row[kept])), ids.take(pa.array(kept)), pa.array(topo[kept], pa.int32()), pa.array(depth[kept], pa.int32())], names=out.names)
@@ -212,6 +225,68 @@ def topological(graphs: DataFrame) -> DataFrame:
     return graphs.select("graph_id", F.transform("comps", lambda c: F.struct(c["scc"].alias("scc"))).alias("comps"), "tail", "head").mapInArrow(run, out)
 
 
+#: What is counted of a graph; the last two are flags.
+COUNTS = ("n", "e", "fan", "fan_in", "roots", "in_rest", "two_way", "spokes", "feeding", "fed", "cycles", "supers", "c_e", "c_out", "c_in", "depth", "components", "articulation_points", "dense", "loops")
+
+
+def counts(graphs: DataFrame) -> DataFrame:
+    """One row a graph with what ``graph.topology`` counts: distinct runs and links, degrees, two-way pairs, what the first root leads to (spokes)
+    and these in turn, cycles, the longest path, and weak components with their articulation points."""
+    kinds = {"depth": T.IntegerType(), "dense": T.BooleanType(), "loops": T.BooleanType()}
+    out = T.StructType([graphs.schema["graph_id"], *(T.StructField(c, kinds.get(c, T.LongType())) for c in COUNTS)])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            n = part.num_rows
+            per, most = (lambda rows: np.bincount(rows, minlength=n)), (lambda rows, x: _most(rows, x, n))
+            ids, row = flattened(part.column("ids"))
+            (src, link_row), (dst, _) = flattened(part.column("src")), flattened(part.column("dst"))
+            code, span, _ = _codes(pa.concat_arrays([ids, src.cast(ids.type), dst.cast(ids.type)]))
+            own, s, d = np.split(code, [len(ids), len(ids) + len(src)])
+            met, index = np.unique(np.concatenate([row * span + own, link_row * span + s, link_row * span + d]), return_inverse=True)
+            at, s, d = np.split(index, [len(ids), len(ids) + len(src)])
+            m, of, known = len(met), met // span, met % span > 0
+            pair = np.unique(s * m + d)
+            s, d = pair // max(m, 1), pair % max(m, 1)
+            node = np.unique(at)
+            inner = np.zeros(m, bool)
+            inner[node] = known[node]
+            # Degrees of the runs; the ends of a link may be no runs, or unknown.
+            leaves, enters = np.bincount(s, minlength=m) * inner, np.bincount(d, minlength=m) * inner
+            roots = node[enters[node] == 0]
+            first = roots[known[roots]]
+            root = np.full(n, -1)
+            root[of[first][::-1]] = first[::-1]
+            near = d[s == root[of[s]]]
+            spoke = np.zeros(m, bool)
+            spoke[near] = known[near]
+            fed = np.unique(d[spoke[s]])
+            two_way = (s < d) & known[s] & np.isin(d * m + s, pair)
+            # Components: links within one, and between them.
+            comp_row, _, depth, done = _ordered(part)
+            begins, comps = np.searchsorted(comp_row, np.arange(n)), part.column("comps").flatten()
+            size, loops = (pc.struct_field(comps, c).to_numpy(zero_copy_only=False) for c in ("n", "self_loop"))
+            comp = np.full(m, -1)
+            comp[at] = begins[row] + flattened(part.column("at"))[0].to_numpy(zero_copy_only=False)
+            inside = (s != d) & inner[s] & inner[d] & (comp[s] == comp[d])
+            dense = (size >= 4) & (np.bincount(comp[s[inside]], minlength=len(size)) / np.maximum(size * (size - 1), 1) >= 0.5)
+            _, _, tail_row, tail, head = _positions(part)
+            far = most(comp_row[done], depth[done])
+            # Weak components, a graph at a time.
+            real = (s != d) & known[s] & known[d]
+            a, b, runs = s[real].tolist(), d[real].tolist(), node[known[node]].tolist()
+            ends, stops = np.searchsorted(of[s[real]], np.arange(n + 1)), np.searchsorted(of[node[known[node]]], np.arange(n + 1))
+            weak = [walks.pieces(runs[i:j], list(zip(a[k:x], b[k:x], strict=True))) for i, j, k, x in zip(stops, stops[1:], ends, ends[1:], strict=False)]
+            fan_in = most(of[node], enters[node])
+            made = [per(of[node]), per(of[s[inner[s]]]), most(of[node], leaves[node]), fan_in, per(of[roots]), pa.array(fan_in, pa.int64(), mask=fan_in == 0), per(of[s[two_way]]), per(of[near]), per(of[np.unique(s[spoke[s]])]), per(of[fed[known[fed]]]),
+                    per(comp_row[size >= 2]), per(comp_row), per(tail_row), most(comp_row, np.bincount(tail, minlength=len(size))), most(comp_row, np.bincount(head, minlength=len(size))), pa.array(far, pa.int32(), mask=far == 0), [x for x, _ in weak], [len(x) for _, x in weak],
+                    per(comp_row[dense]) > 0, per(comp_row[loops]) > 0]
+            yield pa.RecordBatch.from_arrays([part.column("graph_id"), *(pa.array(x, k.type) for x, k in zip(made, list(to_arrow_schema(out))[1:], strict=True))], names=out.names)
+
+    wanted = F.transform("comps", lambda c: F.struct(c["n"].alias("n"), c["self_loop"].alias("self_loop"))).alias("comps")
+    return graphs.select("graph_id", F.col("nodes.run_id").alias("ids"), "src", "dst", wanted, "tail", "head", "at").mapInArrow(run, out)
+
+
 def around(graphs: DataFrame, threshold: float) -> DataFrame:
     """Scored components with what stands around them: graph_id, scc, exit_run, score, n, end_time, input_flawed, verifier, and best, worst, only_bare
     (all of its inputs are sources without payload; null without inputs) and cured (all that it leads to is healthy; null where nothing is)."""

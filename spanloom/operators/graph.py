@@ -124,44 +124,6 @@ def loop_anomalies(sccs: DataFrame, runs: DataFrame, baselines: DataFrame | None
     return cycles.withColumn("limit_kind", kind).where("limit_kind is not null").select("graph_id", "scc", "rounds", "limit_kind")
 
 
-def _pieces(nodes: list, links: list[tuple]) -> tuple[int, list]:
-    """Weakly connected components that hold some of ``nodes``, and the nodes whose removal splits one: one depth-first walk with low
-    links (Hopcroft and Tarjan, 1973), linear in nodes and links. Ends of links that are no nodes connect, but don't count."""
-    near: dict = {v: [] for v in nodes}
-    for v, w in links:
-        near.setdefault(v, []).append(w)
-        near.setdefault(w, []).append(v)
-    known, place, low, count, points = set(nodes), {}, {}, 0, []
-    for root in near:
-        if root in place:
-            continue
-        place[root] = low[root] = len(place)
-        up, walk = {root: None}, [(root, iter(near[root]))]
-        while walk:
-            v, rest = walk[-1]
-            for w in rest:
-                if w not in place:
-                    place[w] = low[w] = len(place)
-                    up[w] = v
-                    walk.append((w, iter(near[w])))
-                    break
-                low[v] = min(low[v], place[w])
-            else:
-                walk.pop()
-                if walk:
-                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
-        holds, apart = {v: int(v in known) for v in up}, {v: [] for v in up}
-        for v in reversed(up):  # children before their parents
-            above = up[v]
-            if above is not None:
-                holds[above] += holds[v]
-                if low[v] >= place[above] and holds[v]:
-                    apart[above].append(holds[v])
-        count += holds[root] > 0
-        points += [v for v in up if v in known and len(apart[v]) + (holds[root] - 1 > sum(apart[v])) > 1]
-    return count, points
-
-
 def weak_shape(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, components, points): the number of weakly connected components, and the runs whose removal splits one.
 
@@ -175,7 +137,7 @@ def weak_shape(runs: DataFrame, edges: DataFrame) -> DataFrame:
     def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = zip(*(part.column(c).to_pylist() for c in ("nodes", "src", "dst")), strict=True)
-            found = [_pieces(nodes, list(zip(src or [], dst or [], strict=True))) for nodes, src, dst in rows]
+            found = [walks.pieces(nodes, list(zip(src or [], dst or [], strict=True))) for nodes, src, dst in rows]
             counts, points = pa.array([n for n, _ in found], pa.int64()), pa.array([p for _, p in found], part.column("nodes").type)
             yield pa.RecordBatch.from_arrays([part.column("graph_id"), counts, points], names=out.names)
 
@@ -214,7 +176,16 @@ def topology(runs: DataFrame, edges: DataFrame, sccs: DataFrame, order: DataFram
     t = g
     for part in (shape, pairs, dense, cyc, cdeg, cind, depth, n_spokes, to_one, comp):
         t = t.join(part, "graph_id", "left")
-    t = t.na.fill(0, ["two_way", "c_out", "c_e", "c_in", "spokes", "feeding", "fed", "feeds"]).na.fill(False, ["dense"])
+    return _classified(t.na.fill(0, ["two_way", "c_out", "c_e", "c_in", "spokes", "feeding", "fed", "feeds"]).na.fill(False, ["dense"]))
+
+
+def topologies(graphs: DataFrame) -> DataFrame:
+    """``topology`` of graphs as rows (see ``bundles``), without a shuffle."""
+    return _classified(bundles.counts(graphs))
+
+
+def _classified(t: DataFrame) -> DataFrame:
+    """The shape of each graph by what was counted of it."""
     c_line = ((F.col("supers") == 1) & (F.col("c_e") == 0)) | ((F.col("supers") > 1) & (F.col("c_e") == F.col("supers") - 1) & (F.col("components") == 1) & (F.col("c_in") <= 1) & (F.col("c_out") <= 1))
     line = ((F.col("n") == 1) & (F.col("e") == 0)) | ((F.col("n") > 1) & (F.col("e") == F.col("n") - 1) & (F.col("components") == 1) & (F.col("fan") <= 1) & (F.col("fan_in") <= 1))
     pure = (F.col("spokes") == F.col("n") - 1) & (F.col("e") == F.col("n") - 1)

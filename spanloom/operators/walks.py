@@ -209,6 +209,44 @@ def falls(ids: list, scores: list, times: list, names: list, src: list, dst: lis
     return out
 
 
+def pieces(nodes: list, links: list[tuple]) -> tuple[int, list]:
+    """Weakly connected components that hold some of ``nodes``, and the nodes whose removal splits one: one depth-first walk with low
+    links (Hopcroft and Tarjan, 1973), linear in nodes and links. Ends of links that are no nodes connect, but don't count."""
+    near: dict = {v: [] for v in nodes}
+    for v, w in links:
+        near.setdefault(v, []).append(w)
+        near.setdefault(w, []).append(v)
+    known, place, low, count, points = set(nodes), {}, {}, 0, []
+    for root in near:
+        if root in place:
+            continue
+        place[root] = low[root] = len(place)
+        up, walk = {root: None}, [(root, iter(near[root]))]
+        while walk:
+            v, rest = walk[-1]
+            for w in rest:
+                if w not in place:
+                    place[w] = low[w] = len(place)
+                    up[w] = v
+                    walk.append((w, iter(near[w])))
+                    break
+                low[v] = min(low[v], place[w])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+        holds, apart = {v: int(v in known) for v in up}, {v: [] for v in up}
+        for v in reversed(up):  # children before their parents
+            above = up[v]
+            if above is not None:
+                holds[above] += holds[v]
+                if low[v] >= place[above] and holds[v]:
+                    apart[above].append(holds[v])
+        count += holds[root] > 0
+        points += [v for v in up if v in known and len(apart[v]) + (holds[root] - 1 > sum(apart[v])) > 1]
+    return count, points
+
+
 def linked(links: DataFrame, key: list[str]) -> DataFrame:
     """key…, src and dst: the distinct links (key…, src, dst) of each graph as two lists."""
     each = links.groupBy(*key).agg(F.collect_set(F.struct("src", "dst")).alias("_l"))

@@ -88,3 +88,27 @@ def test_graphs_that_matter(spark, monkeypatch, name):
     catalog.QUERIES[name](spark, SF).count()
     n = spark.read.parquet(f"{SF}/orders.parquet").count()
     assert 0 < kept[0].count() < n / 3
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_topology_of_rows(spark, text):
+    """Also links from and to unknown ends, from and to themselves, several times, and shapes that random links hardly give."""
+    runs, edges = tables(spark, text)
+    name = (lambda i: f"r{i}") if text else (lambda i: i)
+    spec = [[(0, i) for i in range(1, 5)], [(0, 1), (0, 2), (1, 3), (2, 3)], [(i, j) for i in range(4) for j in range(4)], [(0, 1), (0, 2), (1, 3), (1, 4)], [(0, 1), (1, 2), (2, 3)], [(0, 1), (1, 2), (2, 1)], [(0, 1), (0, 1), (0, 0)], [(0, None), (0, 1), (None, 1), (1, 9), (9, 2)], []]
+    kind, shapes = "string" if text else "long", list(enumerate(spec, 100))
+    nodes = [(g, name(i), i, 1.0, False, False, None) for g, es in shapes for i in range(max([0, *(x for e in es for x in e if x is not None and x < 9)]) + 1)] + [(100, None, None, 1.0, False, False, None)]
+    runs = stored(runs.union(spark.createDataFrame(nodes, f"graph_id long, run_id {kind}, end_time long, score double, input_flawed boolean, verifier boolean, unscored_reason string")))
+    edges = stored(edges.union(spark.createDataFrame([(g, *(None if x is None else name(x) for x in e)) for g, es in shapes for e in es], f"graph_id long, from_run_id {kind}, to_run_id {kind}")))
+    s = stored(graph.condense(runs, edges))
+    want = graph.topology(runs, edges, s, graph.topological(s, graph.scc_edges(s, edges))).where("graph_id is not null")
+    g = bundles.components(bundles.gathered(runs, edges, FACTS))
+    got = graph.topologies(g).where("graph_id is not null")
+    assert got.dtypes == want.dtypes and rows(got, *want.columns) == rows(want, *want.columns)
+    assert {x.primary for x in want.select("primary").collect()} == {"disconnected", "single_node", "mesh", "pipeline_with_feedback", "cyclic_graph", "pipeline", "star", "hierarchy", "dag"}
+    assert graph.topologies(g.where("false")).count() == 0
+
+
+def test_topology_takes_one_shuffle(spark):
+    plan = catalog.QUERIES["a05_topology"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
