@@ -287,18 +287,19 @@ def _lost(given: pa.Array, rates: pa.Array, stated: pa.Array, tolerance: float)
     """By row, how many distinct figures of ``stated`` nothing gives. A factor keeps the order of the given figures, and of what they make
     only the next below and above a stated figure can be near enough: each factor is one search of sorted numbers."""
     (own, value), (row, base), (of, rate) = map(_distinct, (stated, given, rates))
-    found, place, zero = np.zeros(len(own), bool), _placed(own, value), np.zeros(len(given), bool)
+    found, place, zero, wanted = np.zeros(len(own), bool), _placed(own, value), np.zeros(len(given), bool), np.arange(len(own))
     nth = np.arange(len(of)) - np.searchsorted(of, of)
-    for k in range(-len(FACTORS), nth.max(initial=-1) + 1):
-        if k < 0:
-            f, at, wanted = FACTORS[k], np.ones(len(row), bool), np.flatnonzero(~found)
-        else:
-            by_row = np.full(len(given), np.nan)  # the k-th rate of each row that has one
-            by_row[of[nth == k]] = rate[nth == k]
-            at, wanted = by_row[row] == by_row[row], np.flatnonzero(~found & (by_row[own] == by_row[own]))
-            f = by_row[row[at]]
-        for made in (base[at] * f, base[at] / f):
-            rows, made = row[at][made == made], made[made == made]
+    turns = np.split(np.argsort(nth, kind="stable"), np.cumsum(np.bincount(nth)))[:-1]  # the first rate of each row, the second …
+    for f in (*FACTORS, *turns):
+        wanted = wanted[~found[wanted]]
+        if isinstance(f, np.ndarray):
+            by_row = np.full(len(given), np.nan)
+            by_row[of[f]] = rate[f]
+            at = by_row[row] == by_row[row]  # rows without such a rate have none that follows
+            row, base, wanted = row[at], base[at], wanted[by_row[own[wanted]] == by_row[own[wanted]]]
+            f = by_row[row]
+        for made in (base * f, base / f):
+            rows, made = row[made == made], made[made == made]
             zero[rows[made == 0]] = True
             above = np.searchsorted(_placed(rows, made), place[wanted], side="right")
             for i in (above - 1, above):
@@ -310,7 +311,7 @@ def _lost(given: pa.Array, rates: pa.Array, stated: pa.Array, tolerance: float)
     return np.bincount(own[~found], minlength=len(given))
 
 
-#: A batch is searched by parts of some so many figures; a run stays whole.
+#: A batch is searched in parts of about so many figures; a run stays whole.
 FIGURES = 1 << 18
 
 
